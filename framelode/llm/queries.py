@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, url_filter
+from . import mixing, packing, simhash, url_filter
 from .common import read_table
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = mixing.decide(mixing.sized(read_table(spark, sf_dir, "documents", "doc_id", "source", "text")))
     rows = chosen.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
@@ -24,7 +29,7 @@ def op7_pack_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mix_sources, op6_url_filter, op7_pack_buckets)}
+    return {f.__name__: f for f in (op2_simhash, op3_mix_sources, op6_url_filter, op7_pack_buckets)}
 
 
 def oracle_sql() -> dict[str, str]:
