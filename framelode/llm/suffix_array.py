@@ -139,11 +139,12 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     return _induce(t, up, lms[order], sigma)
 
 
-def permuted_lcp(t: np.ndarray, sa: np.ndarray, words: np.ndarray, longest: int) -> np.ndarray:
-    """Common prefix of each suffix, in text order, with its predecessor in sa; exact up to `longest`.
+def permuted_lcp(t: np.ndarray, sa: np.ndarray, words: np.ndarray, longest: int, begins: np.ndarray | None = None) -> np.ndarray:
+    """Common prefix of each suffix, in text order, with its predecessor in sa; cut off at `longest`.
 
     words: the 8 elements from each position as one number. Only where the elements before the two suffixes differ is
-    a prefix compared; elsewhere it is one shorter than at the position before.
+    a prefix compared; elsewhere it is one shorter than at the position before. So that a prefix which was cut off doesn't
+    shorten later ones, begins holds positions that are compared anyway: at most `longest` apart, if given.
     """
     n = len(t)
     phi = np.full(n, -1, dtype=np.int64)
@@ -151,6 +152,8 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, words: np.ndarray, longest: int)
     fresh = np.ones(n, dtype=bool)
     at = np.flatnonzero((phi > 0) & (np.arange(n) > 0))
     fresh[at] = t[at - 1] != t[phi[at] - 1]
+    if begins is not None:
+        fresh[begins] = True
     live = np.flatnonzero(fresh & (phi >= 0))
     found = np.zeros(n, dtype=np.int64)
     k = 0

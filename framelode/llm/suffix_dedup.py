@@ -224,7 +224,7 @@ def repeats_in_shard(shard: list[bytes], length: int) -> tuple[np.ndarray, np.nd
     t[ends] = 1
     t = np.concatenate([t, [0]]).astype(np.uint8 if raw.max() < 0xFE else np.uint16)
     sa = suffix_array(t, 258)
-    lcp = permuted_lcp(t, sa, words_of(np.concatenate([raw, [0]])), int(sizes.max()) + 8)
+    lcp = permuted_lcp(t, sa, words_of(np.concatenate([raw, [0]])), int(sizes.max()) + 8, ends - sizes)
     rest = np.append(np.repeat(ends, sizes + 1) - np.arange(len(raw)), 0)
     before = np.zeros(len(t), dtype=np.int64)
     before[sa[1:]] = sa[:-1]
