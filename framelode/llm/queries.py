@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, packing, simhash, suffix_dedup, url_filter
+from . import ann, chat, html_template, media, mixing, packing, quality, simhash, suffix_dedup, url_filter
 from .common import read_table
 
 
+def op1_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(read_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -20,6 +24,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op4_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op5_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.store(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return media.digests(media.audio_features(stored))
@@ -40,12 +48,16 @@ def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.conversations(rows)).drop("branch")
 
 
+def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "posterior", "score", "keep")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op3_mix_sources, op5_audio_features, op6_url_filter, op7_pack_buckets, op8_reply_trees, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_html_template, op2_simhash, op3_mix_sources, op4_posting_lists, op5_audio_features, op6_url_filter, op7_pack_buckets, op8_reply_trees, op9_weak_labels, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
