@@ -313,19 +313,54 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     return base, spans.groupBy("key", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def removal(docs: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the text that is left) of each row.
+def _without(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
+    """What is left of a text, and how many runs of bytes are removed."""
+    cut = merged([(x["lo"], x["hi"]) for x in spans or []])
+    if not cut:
+        return text, 0
+    bounds = [0, *(v for span in cut for v in span), len(text)]
+    return b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)), len(cut)
+
+
+def cut_documents(docs: DataFrame, length: int = 200) -> DataFrame:
+    """The rows of docs with repeated passages removed from text, and n_chars, if there, counted anew; columns as in docs.
+
+    What is left of a character that was cut is left out; a null text stays null. A text of which nothing is left is empty.
+    """
+    base, spans = repeated_spans(docs, length)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    keyed = docs.withColumn("_key", key).withColumn("_tag", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF)))
+    both = keyed.join(spans.select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")), ["_key", "_tag"], "left").select(*docs.columns, "_spans")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 512):
+                some = batch.slice(begin, 512)
+                texts = []
+                for text, found in zip(some.column(at), some.column(some.num_columns - 1), strict=True):
+                    said, found = text.as_py(), found.as_py()
+                    texts.append(_without(said.encode("utf-8", "surrogatepass"), found)[0].decode("utf-8", "ignore") if found else said)
+                columns = list(some.columns[:-1])
+                columns[at] = pa.array(texts, type=columns[at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=list(docs_names))
+
+    docs_names = tuple(docs.columns)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    out = both.mapInArrow(run, schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def removal(docs: DataFrame, length: int = 200) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row.
 
     Texts are UTF-8 bytes; every byte that lies in a string of `length` bytes which starts at another place too, in
-    the same or another row, is removed. Null texts are empty. In kept, what is left of a character that was cut is left out. An empty
-    table gives an empty one.
+    the same or another row, is removed. Null texts are empty. An empty table gives an empty one.
     """
     base, spans = repeated_spans(docs, length)
     both = base.join(spans, ["key", "tag"], "left").select("key", "text", "spans")
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    if not with_text:
-        kinds, names = kinds[:-1], names[:-1]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,13 +368,9 @@ def removal(docs: DataFrame, length: int = 200, with_text: bool = False) -> Data
                 rows = []
                 some = batch.slice(begin, 512)
                 for key, text, found in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), some.column(2).to_pylist(), strict=True):
-                    cut = merged([(x["lo"], x["hi"]) for x in found or []])
-                    bounds = [0, *(v for span in cut for v in span), len(text)]
-                    kept = b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2], strict=True)) if cut else text
-                    row = (key, len(text), len(text) - len(kept), len(cut), hashlib.sha256(kept).hexdigest())
-                    rows.append((*row, kept.decode("utf-8", "ignore")) if with_text else row)
+                    kept, runs = _without(text, found)
+                    rows.append((key, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    schema = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    out = both.mapInArrow(run, schema)
+    out = both.mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return out.select(F.when(F.col("key") != F.lit(-(1 << 63)), F.col("key")).alias("doc_id"), *names[1:])
