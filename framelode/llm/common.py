@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import settle
+
+__all__ = ["WORD", "hashed_slot", "read_table", "running_total", "settle", "word_count"]
+
 #: A word is a maximal run of bytes other than the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,26 +19,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session without the setting gets one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="framelode-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write df once into the shared folder and go on from the files: lineage ends, a lost executor costs a re-read only."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def running_total(df: DataFrame, group: str, slot: str, order: list[str], value: str, out: str, per_group: DataFrame | None = None, shifts: tuple[int, int] = (16, 24)) -> DataFrame:
     """Inclusive running sum of value per group in the order (slot, *order), with the group's total as _total.
 

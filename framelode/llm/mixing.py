@@ -111,10 +111,10 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5, epochs: int = 2) -> DataFrame:
     """The mix itself: rows of docs, one for each pass, range-sorted by virtual finish time; columns as in docs."""
-    names = docs.columns
     chosen = decide(sized(docs), weights, share, epochs).where("copies > 0")
     chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies", "finish")
-    keyed = docs.withColumn("_words", word_count(F.col("text")))
-    both = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["_id"]) & keyed["source"].eqNullSafe(chosen["_source"]) & (keyed["_words"] == chosen["_size"]))
-    passes = both.withColumn("_at", F.explode(F.slice("finish", 1, F.col("copies"))))
-    return passes.orderBy("_at").select(*names)
+    # rows travel as one column, so that none of theirs clashes with those of the mix
+    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.col("source").alias("_of"), word_count(F.col("text")).alias("_words"))
+    both = keyed.join(chosen, keyed["_doc"].eqNullSafe(chosen["_id"]) & keyed["_of"].eqNullSafe(chosen["_source"]) & (keyed["_words"] == chosen["_size"]))
+    passes = both.select("_row", F.explode(F.slice("finish", 1, F.col("copies"))).alias("_at"))
+    return passes.orderBy("_at").select("_row.*")

@@ -252,6 +252,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
 def deduplicated(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """The rows of docs whose id is the component's; of rows with the same id the first in the order of their columns."""
     kept = near_duplicates(docs, width, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    others = [c for c in docs.columns if c != "doc_id"]
-    return rows.withColumn("_at", F.row_number().over(W.partitionBy("doc_id").orderBy(*others))).where("_at = 1").drop("_at")
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.struct("*").alias("_row"))
+    rows = rows.join(kept, rows["_doc"].eqNullSafe(kept["_id"]), "left_semi")
+    order = [F.col(f"_row.{c}") for c in docs.columns if c != "doc_id" and not docs.schema[c].dataType.simpleString().startswith("map")]
+    return rows.withColumn("_at", F.row_number().over(W.partitionBy("_doc").orderBy(*order or [F.lit(0)]))).where("_at = 1").select("_row.*")

@@ -329,8 +329,9 @@ def cut_documents(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     base, spans = repeated_spans(docs, length)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.withColumn("_key", key).withColumn("_tag", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF)))
-    both = keyed.join(spans.select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")), ["_key", "_tag"], "left").select(*docs.columns, "_spans")
+    tag = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF))
+    keyed = docs.select(key.alias("_key"), tag.alias("_tag"), F.struct("*").alias("_row"))
+    both = keyed.join(spans.select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")), ["_key", "_tag"], "left").select("_row.*", F.col("_spans").alias("_found_spans"))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
