@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import geometry as G
+from ..functions import raster as R
 from ..functions import scalars as S
 from ..operators import gates
 from .tables import BOXES, SAMPLES, box, boxes, read, samples
@@ -356,3 +357,43 @@ def val_manifest_match(spark, sf_dir):
     s = read(spark, sf_dir, "documents").select("source").distinct()
     same = F.when(F.col("source") == "src5", "x").otherwise(F.sha2("source", 256)) == F.sha2("source", 256)
     return s.select("source", same.alias("matches"), F.when(same, "").otherwise(F.concat(F.lit("-other-"), F.substring(F.sha2("source", 256), 1, 8))).alias("suffix"))
+
+
+@query("flt_seed", f"WITH {BOXES} SELECT frame, det, cls = 1 AND conf >= 0.4 AND det % 3 <> 0 AS seeds FROM boxes")
+def flt_seed(spark, sf_dir):
+    """Only rows that are visible, sure and unambiguous seed the next one."""
+    clear = (F.col("cls") == 1) & (F.col("conf") >= 0.4) & (F.col("det") % 3 != 0)
+    return boxes(spark, sf_dir).select("frame", "det", clear.alias("seeds"))
+
+
+def masks(spark, sf_dir):
+    """8 x 8 masks of the signs of vectors."""
+    bit = F.transform("embedding", lambda v: (v > 0).cast("int"))
+    rows = F.array(*[F.slice(bit, 8 * i + 1, 8) for i in range(8)])
+    return read(spark, sf_dir, "embeddings").where("size(embedding) = 64 and vec_id < 400").select("vec_id", "embedding", rows.alias("mask"))
+
+
+@query("flt_small_components")
+def flt_small_components(spark, sf_dir):
+    kept = masks(spark, sf_dir).select("vec_id", R.small_components_removed(F.col("mask"), 4).alias("m"))
+    return kept.select("vec_id", F.aggregate(F.flatten("m"), F.lit(0), lambda s, v: s + v).alias("pixels"))
+
+
+@query("fn_skeleton_path")
+def fn_skeleton_path(spark, sf_dir):
+    p = masks(spark, sf_dir).select("vec_id", R.skeleton_path(F.col("mask")).alias("p"))
+    return p.select("vec_id", F.size("p").alias("points"), F.bround(G.polyline_length(F.col("p")), 4).alias("length"))
+
+
+@query("fn_mask_support")
+def fn_mask_support(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    corners = F.array(F.array(a[0], a[1]), F.array(a[2], a[1]), F.array(a[2], a[3]), F.array(a[0], a[3]))
+    line = F.array(F.array(b[0], b[1]), F.array(b[2], b[3]))
+    return pairs(spark, sf_dir).select("frame", "det", F.bround(R.mask_support(line, F.array(corners)), 6).alias("share"))
+
+
+@query("fn_descriptor", "SELECT vec_id, round_even(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) / list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))), 6) AS square FROM embeddings")
+def fn_descriptor(spark, sf_dir):
+    d = read(spark, sf_dir, "embeddings").select("vec_id", R.descriptor(F.col("embedding").cast("array<double>")).alias("d"))
+    return d.select("vec_id", F.bround(F.aggregate("d", F.lit(0.0), lambda s, v: s + v * v), 6).alias("square"))

@@ -1,7 +1,8 @@
 """Keyed state over streams of frames: the step functions of operators.folds, carried from batch to batch.
 
-State is a few numbers a key and goes when the key has been silent for the timeout; rows of a key are put in order within
-a batch, and frames at or before one that was seen are dropped, as the loop they come from is strictly ordered.
+State is a few numbers a key and goes when the key has been silent for the timeout, if one is given (an endless stream
+needs one; it also keeps an availableNow query from ending). Rows of a key are put in order within a batch, and frames at
+or before one that was seen are dropped, as the loop they come from is strictly ordered.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from ..operators import folds
 from ..scratch import scratch_dir
 
 
-def keyed_fold(df: DataFrame, group: str, order: str, step: Callable[[object, dict], tuple[object, dict]], schema: str, timeout_ms: int = 3_600_000) -> DataFrame:
+def keyed_fold(df: DataFrame, group: str, order: str, step: Callable[[object, dict], tuple[object, dict]], schema: str, timeout_ms: int | None = None) -> DataFrame:
     """step over a stream's rows by key; its state must survive json (tuples come back as lists)."""
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -36,34 +37,35 @@ def keyed_fold(df: DataFrame, group: str, order: str, step: Callable[[object, di
             rows.append(out)
         if last is not None:
             state.update((last, json.dumps(inner)))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(rows, columns=names)
 
-    return df.groupBy(group).applyInPandasWithState(run, schema, "last long, inner string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.groupBy(group).applyInPandasWithState(run, schema, "last long, inner string", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
 
 SMOOTHED = "grp long, frame long, label string, confidence double, raw_label string, status string"
 
 
-def smoothed(df: DataFrame, how: folds.Smoothing = folds.Smoothing()) -> DataFrame:
+def smoothed(df: DataFrame, how: folds.Smoothing = folds.Smoothing(), timeout_ms: int | None = None) -> DataFrame:
     """folds.smoothed over a stream (grp, frame, probs)."""
     def step(state, row):
         state, out = folds.smooth(state, list(row["probs"]), how)
         return state, {"grp": row["grp"], "frame": row["frame"], **{k: out[k] for k in ("label", "confidence", "raw_label", "status")}}
 
-    return keyed_fold(df, "grp", "frame", step, SMOOTHED)
+    return keyed_fold(df, "grp", "frame", step, SMOOTHED, timeout_ms)
 
 
-def cadence(df: DataFrame, interval: int, burst: int, stable_needed: int = 4, least_confidence: float = 0.6) -> DataFrame:
+def cadence(df: DataFrame, interval: int, burst: int, stable_needed: int = 4, least_confidence: float = 0.6, timeout_ms: int | None = None) -> DataFrame:
     """folds.cadence over a stream."""
     def step(state, row):
         state, out = folds.observe(state, list(row["probs"]), interval, burst, stable_needed, least_confidence)
         return state, {"grp": row["grp"], "frame": row["frame"], **{k: out[k] for k in ("label", "observed", "burst")}}
 
-    return keyed_fold(df, "grp", "frame", step, "grp long, frame long, label string, observed boolean, burst boolean")
+    return keyed_fold(df, "grp", "frame", step, "grp long, frame long, label string, observed boolean, burst boolean", timeout_ms)
 
 
-def gate_latch(df: DataFrame, window: int = 12, confidence_below: float = 0.82, ratio_above: float = 0.018, most_accepts: int = 0) -> DataFrame:
+def gate_latch(df: DataFrame, window: int = 12, confidence_below: float = 0.82, ratio_above: float = 0.018, most_accepts: int = 0, timeout_ms: int | None = None) -> DataFrame:
     """The rolling gate over a stream (grp, frame, accepted, confidence, ratio): the last rows and the latch are the state."""
     def step(state, row):
         rows, latched = state or [[], False]
@@ -72,17 +74,17 @@ def gate_latch(df: DataFrame, window: int = 12, confidence_below: float = 0.82,
         fires = n == window and sum(r[0] for r in rows) <= most_accepts and sum(r[1] for r in rows) / n < confidence_below and sum(r[2] for r in rows) / n > ratio_above
         return [rows, latched or fires], {"grp": row["grp"], "frame": row["frame"], "fires": fires, "latched": latched}
 
-    return keyed_fold(df, "grp", "frame", step, "grp long, frame long, fires boolean, latched boolean")
+    return keyed_fold(df, "grp", "frame", step, "grp long, frame long, fires boolean, latched boolean", timeout_ms)
 
 
-def track_identity(df: DataFrame) -> DataFrame:
+def track_identity(df: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """The preferred track over a stream (grp, frame, found: array of structs x1, y1, x2, y2, conf, cls)."""
     def step(state, row):
         found = [{"box": [float(d[c]) for c in ("x1", "y1", "x2", "y2")], "conf": float(d["conf"]), "track": int(d["cls"])} for d in row["found"]]
         state, out = folds.pick(state, found)
         return state, {"grp": row["grp"], "frame": row["frame"], "track": out["chosen"] and out["chosen"]["track"], "source": out["source"], "carried": out["carried"]}
 
-    return keyed_fold(df, "grp", "frame", step, "grp long, frame long, track long, source string, carried boolean")
+    return keyed_fold(df, "grp", "frame", step, "grp long, frame long, track long, source string, carried boolean", timeout_ms)
 
 
 def append_reviews(events: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
