@@ -6,7 +6,7 @@ Boxes are arrays x1, y1, x2, y2; points arrays x, y; polylines arrays of points.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -159,10 +159,10 @@ def centerline_metrics(target: Column, prediction: Column, tolerances: tuple[flo
     """Struct CENTERLINE of two sets of polylines: the mean and the 95th percentile of both directions' distances pooled,
     and for each tolerance what share of samples has the other side within it. A side that is empty has nothing near."""
 
-    @F.pandas_udf(CENTERLINE)
-    def measure(t: pd.Series, p: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(CENTERLINE)
+    def measure(t: pa.Array, p: pa.Array) -> pa.Array:
         rows = []
-        for a, b in zip(t, p, strict=True):
+        for a, b in zip(t.to_pylist(), p.to_pylist(), strict=True):
             a, b = _sampled(a, spacing), _sampled(b, spacing)
             da, db = _nearest(a, b), _nearest(b, a)
             both = np.concatenate([da, db])
@@ -173,8 +173,9 @@ def centerline_metrics(target: Column, prediction: Column, tolerances: tuple[flo
                 precision, recall = hb / len(b) if len(b) else 0.0, ha / len(a) if len(a) else 0.0
                 f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
                 per.append({"tolerance": tol, "target_hits": ha, "prediction_hits": hb, "precision": round(precision, 6), "recall": round(recall, 6), "f1": round(f1, 6)})
-            rows.append((len(a), len(b), round(float(both.mean()), 4) if finite else None, round(float(np.percentile(both, 95)), 4) if finite else None, per))
-        return pd.DataFrame(rows, columns=["target_samples", "prediction_samples", "chamfer", "hd95", "tolerances"])
+            rows.append({"target_samples": len(a), "prediction_samples": len(b), "chamfer": round(float(both.mean()), 4) if finite else None, "hd95": round(float(np.percentile(both, 95)), 4) if finite else None, "tolerances": per})
+        per = pa.struct([("tolerance", pa.float64()), ("target_hits", pa.int32()), ("prediction_hits", pa.int32()), ("precision", pa.float64()), ("recall", pa.float64()), ("f1", pa.float64())])
+        return pa.array(rows, type=pa.struct([("target_samples", pa.int32()), ("prediction_samples", pa.int32()), ("chamfer", pa.float64()), ("hd95", pa.float64()), ("tolerances", pa.list_(per))]))
 
     return measure(target, prediction)
 
@@ -182,8 +183,8 @@ def centerline_metrics(target: Column, prediction: Column, tolerances: tuple[flo
 def sample_polylines(lines: Column, spacing: float = 2.0) -> Column:
     """Samples of all polylines of a row, in order."""
 
-    @F.pandas_udf("array<array<double>>")
-    def sample(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else _sampled(v, spacing).astype(float).tolist())
+    @F.arrow_udf("array<array<double>>")
+    def sample(a: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else _sampled(v, spacing).astype(float).tolist() for v in a.to_pylist()], type=pa.list_(pa.list_(pa.float64())))
 
     return sample(lines)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,33 +85,33 @@ def _grid(rows) -> np.ndarray:
 
 
 def small_components_removed(mask: Column, least: int) -> Column:
-    @F.pandas_udf("array<array<int>>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda m: without_small(_grid(m), least).astype(int).tolist())
+    @F.arrow_udf("array<array<int>>")
+    def run(a: pa.Array) -> pa.Array:
+        return pa.array([without_small(_grid(m), least).astype(int).tolist() for m in a.to_pylist()], type=pa.list_(pa.list_(pa.int32())))
 
     return run(mask)
 
 
 def skeleton_path(mask: Column, most: int = 64) -> Column:
-    @F.pandas_udf("array<array<double>>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda m: longest_path(_grid(m), most))
+    @F.arrow_udf("array<array<double>>")
+    def run(a: pa.Array) -> pa.Array:
+        return pa.array([longest_path(_grid(m), most) for m in a.to_pylist()], type=pa.list_(pa.list_(pa.float64())))
 
     return run(mask)
 
 
 def mask_support(line: Column, polygons: Column, spacing: float = 2.0) -> Column:
     """Share of a line's samples that lie in one of the polygons; 0 without samples."""
-    @F.pandas_udf("double")
-    def run(lines: pd.Series, masks: pd.Series) -> pd.Series:
-        def share(points, polys):
-            at = resample(np.array([list(p) for p in points]), spacing) if len(points) else np.empty((0, 2))
-            hit = np.zeros(len(at), dtype=bool)
-            for p in polys:
-                hit |= inside(at, np.array([list(q) for q in p]))
-            return float(hit.mean()) if len(at) else 0.0
-
-        return pd.Series([share(a, b) for a, b in zip(lines, masks, strict=True)])
+    def share(points, polys):
+        at = resample(np.array(points), spacing) if points else np.empty((0, 2))
+        hit = np.zeros(len(at), dtype=bool)
+        for p in polys or []:
+            hit |= inside(at, np.array(p))
+        return float(hit.mean()) if len(at) else 0.0
+
+    @F.arrow_udf("double")
+    def run(lines: pa.Array, masks: pa.Array) -> pa.Array:
+        return pa.array([share(a, b) for a, b in zip(lines.to_pylist(), masks.to_pylist(), strict=True)], type=pa.float64())
 
     return run(line, polygons)
 

@@ -11,7 +11,10 @@ from dataclasses import dataclass
 from math import hypot, log
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Labels in the order in which ties are broken: fixed values.
 LABELS = ("normal", "horizontal", "other")
@@ -189,20 +192,20 @@ def fold(df: DataFrame, group: str, order: str, start: Callable[[], object], ste
 
     Rows are dealt by group and sorted, and read batch by batch, so that state is all that is held of a group.
     """
-    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
         for batch in batches:
             rows = []
-            for row in batch.to_dict("records"):
+            for row in batch.to_pylist():
                 if row[group] != now:
                     now, state = row[group], start()
                 state, out = step(state, row)
                 rows.append(out)
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
 
-    return df.repartition(group).sortWithinPartitions(group, order).mapInPandas(run, schema)
+    return df.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, schema)
 
 
 def smoothed(df: DataFrame, group: str = "grp", frame: str = "frame", how: Smoothing = Smoothing()) -> DataFrame:
