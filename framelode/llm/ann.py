@@ -21,10 +21,10 @@ from .common import settle
 #: Vectors that centroids are fitted on, at most; vectors a list should hold; heads, at most.
 SAMPLE, LIST_SIZE, MOST_HEADS = 32_768, 48, 8192
 #: Copies of a boundary vector; how much farther a head may be (squared distances) for a copy, and for a probe than the
-#: fifth head; lists probed at least and at most.
-REPLICAS, COPY_RATIO, PROBE_RATIO, FEWEST, PROBES = 4, 1.25, 1.5, 64, 144
-#: Neighbours of a head in the graph, heads kept in a search, and vectors of a list in one block.
-DEGREE, BEAM, BLOCK = 16, 192, 512
+#: fifth head; lists probed at least; and at most, as a number or, where it is more, as a share of all lists.
+REPLICAS, COPY_RATIO, PROBE_RATIO, FEWEST, MOST, SHARE = 4, 1.25, 1.5, 64, 144, 1 / 7
+#: Neighbours of a head in the graph, heads kept in a search beyond the probes, and vectors of a list in one block.
+DEGREE, BEAM, BLOCK = 16, 48, 512
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -79,7 +79,7 @@ def head_graph(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
     return out
 
 
-def graph_search(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+def graph_search(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """The beam of heads found near each query, nearest first, with squared distances: best-first over the graph, all queries at once."""
     n, k = len(q), len(c)
     beam = min(beam, k)
@@ -185,9 +185,10 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                ids, d = graph_search(_unit(_matrix(some.column(1), size)).astype(np.float32), heads, links)
+                most = max(MOST, int(len(heads) * SHARE))
+                ids, d = graph_search(_unit(_matrix(some.column(1), size)).astype(np.float32), heads, links, most + BEAM)
                 fifth = d[:, min(4, d.shape[1] - 1)][:, None]
-                near = (d <= PROBE_RATIO * fifth) & (np.arange(ids.shape[1]) < PROBES) | (np.arange(ids.shape[1]) < FEWEST)
+                near = (d <= PROBE_RATIO * fifth) & (np.arange(ids.shape[1]) < most) | (np.arange(ids.shape[1]) < FEWEST)
                 near &= ids >= 0
                 rows, place = np.nonzero(near)
                 taken = some.take(pa.array(rows))
