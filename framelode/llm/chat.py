@@ -58,22 +58,24 @@ def best_paths(nodes: DataFrame, branches: int = 1, most_levels: int = 40) -> Da
     """
     known = nodes.select("key", F.col("node").alias("parent"), F.lit(True).alias("_there"))
     plain = nodes.select("key", "node", "parent", "score").join(known, ["key", "parent"], "left")
-    step = settle(plain.select("key", "node", F.when(F.col("_there"), F.col("parent")).alias("up"), "score", F.lit(0).cast("long").alias("far")), "jump")
-    jumps = [step]
-    while step.where("up is not null").limit(1).count():
-        if len(jumps) > most_levels:
+    live = settle(plain.select("key", "node", F.when(F.col("_there"), F.col("parent")).alias("up"), "score", F.lit(0).cast("long").alias("far")), "jump")
+    # live holds the nodes whose ancestor is known but isn't the root; the others are done and no longer joined
+    done, jumps = live.where("up is null"), []
+    live = live.where("up is not null")
+    while live.limit(1).count():
+        if len(jumps) >= most_levels:
             raise ValueError("a reply tree has a cycle")
-        above = step.select("key", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("far").alias("_far"))
+        jumps.append(live)
+        above = live.unionByName(done).select("key", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("far").alias("_far"))
         reach = F.lit(1 << (len(jumps) - 1)).cast("long")
-        met = step.join(above, ["key", "up"], "left")
-        step = settle(met.select("key", "node", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"), F.when(F.col("up").isNotNull(), reach + F.col("_far")).otherwise(F.col("far")).alias("far")), "jump")
-        jumps.append(step)
-    parents = jumps[0].where("up is not null").select("key", F.col("up").alias("node")).distinct()
-    leaves = step.join(parents, ["key", "node"], "left_anti")
+        met = live.join(above, ["key", "up"])
+        step = settle(met.select("key", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (reach + F.col("_far")).alias("far")), "jump")
+        done, live = done.unionByName(step.where("up is null")), step.where("up is not null")
+    leaves = done.join(jumps[0].select("key", F.col("up").alias("node")).distinct(), ["key", "node"], "left_anti") if jumps else done
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.col("score").desc(), F.col("far").desc(), "node"))
     paths = leaves.withColumn("_rank", rank).where(F.col("_rank") <= branches).select("key", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("below"))
-    for level in reversed(range(len(jumps) - 1)):
-        jump = jumps[level].where("up is not null").select("key", "node", "up")
+    for level in reversed(range(len(jumps))):
+        jump = jumps[level].select("key", "node", "up")
         higher = paths.join(jump, ["key", "node"]).select("key", "leaf", F.col("up").alias("node"), (F.col("below") + (1 << level)).alias("below"))
         paths = settle(paths.unionByName(higher), "paths")
     return paths.select("key", "leaf", "node", (-F.col("below")).alias("depth"))
