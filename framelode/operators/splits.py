@@ -26,19 +26,21 @@ def assignment_scores(features: DataFrame, assignments: DataFrame, ratios: dict[
     """score of each attempt of assignments (attempt, group, split), from features (group, feature, n) in long form.
 
     Sum over splits and features of weight (count - target)^2 / max(1, target), 8 for samples and 1 otherwise, and 100 for each
-    other feature that three groups or more have and a split hasn't. Features and groups are few; attempts may be many, and are
-    aggregated by attempt. An attempt must name every group.
+    other feature that three groups or more have and a split hasn't. Attempts may be many: each is the sum for empty splits,
+    which is one number for all, corrected by the cells that it fills. An attempt must name every group.
     """
     totals = features.groupBy("feature").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("groups"))
-    counts = assignments.join(features, group).groupBy("attempt", "feature", "split").agg(F.sum("n").alias("n"))
-    grid = assignments.select("attempt").distinct().withColumn("split", F.explode(F.array(*[F.lit(s) for s in SPLITS])))
-    cells = grid.join(F.broadcast(totals)).join(counts, ["attempt", "split", "feature"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     ratio = F.element_at(F.create_map(*[F.lit(x) for s in SPLITS for x in (s, float(ratios[s]))]), F.col("split"))
     target = F.col("total") * ratio
     weight = F.when(F.col("feature") == "samples", 8.0).otherwise(1.0)
-    miss = weight * (F.col("n") - target) * (F.col("n") - target) / F.greatest(F.lit(1.0), target)
-    empty = F.when((F.col("feature") != "samples") & (F.col("groups") >= len(SPLITS)) & (F.col("n") == 0), 100.0).otherwise(0.0)
-    return cells.groupBy("attempt").agg(F.sum(miss + empty).alias("score"))
+
+    def cost(n: Column) -> Column:
+        empty = F.when((F.col("feature") != "samples") & (F.col("groups") >= len(SPLITS)) & (n == 0), 100.0).otherwise(0.0)
+        return weight * (n - target) * (n - target) / F.greatest(F.lit(1.0), target) + empty
+
+    base = totals.withColumn("split", F.explode(F.array(*[F.lit(s) for s in SPLITS]))).agg(F.sum(cost(F.lit(0)))).first()[0] or 0.0
+    cells = assignments.join(features, group).groupBy("attempt", "feature", "split").agg(F.sum("n").alias("n")).join(totals, "feature")
+    return cells.groupBy("attempt").agg((F.lit(base) + F.sum(cost(F.col("n")) - cost(F.lit(0)))).alias("score"))
 
 
 def random_search(features: DataFrame, group: str, ratios: dict[str, float], seed: int, attempts: int = 6000) -> DataFrame:
