@@ -16,7 +16,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -47,15 +47,16 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of each row."""
+def fingerprints(docs: DataFrame, width: int = 4, key: Column | None = None) -> DataFrame:
+    """doc_id, key (a long; null if not given) and fp (the 64 bits as a long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t, width) for t in batch.column(1).cast(pa.binary()).to_pylist()), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            prints = np.fromiter((fingerprint(t, width) for t in batch.column(2).cast(pa.binary()).to_pylist()), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    key = F.lit(None).cast("long") if key is None else key
+    return docs.select(F.col("doc_id").cast("long"), key.alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -230,6 +231,15 @@ def near_links(signed: DataFrame, radius: int) -> DataFrame:
     return signed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
+def _rooted(prints: DataFrame, radius: int) -> DataFrame:
+    """fp, least (doc_id) and root, which is equal in a component, of each distinct fingerprint."""
+    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    chain = bit_order(distinct)
+    parts = allocate(block_distances(distinct, chain, radius), distinct.count(), radius)
+    linked = components(near_links(signatures(distinct, chain, parts), radius))
+    return distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp (long) and component_id of each row of docs.
 
@@ -238,21 +248,26 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     gives an empty one. Copies share a fingerprint and are one node; a group of near copies is connected by a search
     that gives one link for each member and key, not by all its pairs.
     """
-    prints = settle(fingerprints(docs, width), "prints")
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    chain = bit_order(distinct)
-    parts = allocate(block_distances(distinct, chain, radius), distinct.count(), radius)
-    linked = components(near_links(signatures(distinct, chain, parts), radius))
-    of_node = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = settle(fingerprints(docs, width).drop("key"), "prints")
+    of_node = _rooted(prints, radius)
     of_root = of_node.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = settle(of_node.join(of_root, "root").select("fp", "component_id"), "nodes")
     return prints.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs whose id is the component's; of rows with the same id the first in the order of their columns."""
-    kept = near_duplicates(docs, width, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.select(F.col("doc_id").alias("_doc"), F.struct("*").alias("_row"))
-    rows = rows.join(kept, rows["_doc"].eqNullSafe(kept["_id"]), "left_semi")
+    """One row of docs for each component: one with the least id, null ids last, whatever ids other components have.
+
+    Rows are told apart by id and a hash of 64 bits of id and text; of rows with equal ids and texts the first in the order
+    of their columns stays.
+    """
+    key = F.xxhash64("doc_id", "text")
+    prints = settle(fingerprints(docs, width, key), "prints")
+    first = lambda c: F.min(c).alias("first")
+    of_fp = prints.groupBy("fp").agg(first(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")))
+    kept = _rooted(prints, radius).select("fp", "root").join(of_fp, "fp").groupBy("root").agg(first("first"))
+    kept = settle(kept.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_kept")), "kept")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), key.alias("_key"), F.struct("*").alias("_row"))
+    rows = rows.join(kept, (rows["_key"] == kept["_kept"]) & rows["_doc"].eqNullSafe(kept["_id"]), "left_semi")
     order = [F.col(f"_row.{c}") for c in docs.columns if c != "doc_id" and not docs.schema[c].dataType.simpleString().startswith("map")]
-    return rows.withColumn("_at", F.row_number().over(W.partitionBy("_doc").orderBy(*order or [F.lit(0)]))).where("_at = 1").select("_row.*")
+    return rows.withColumn("_at", F.row_number().over(W.partitionBy("_doc", "_key").orderBy(*order or [F.lit(0)]))).where("_at = 1").select("_row.*")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -296,18 +296,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _row_key() -> tuple[Column, Column]:
+    """key, 64 bits of a hash of id and text, and tag, 16 bits of another one of the text."""
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64("doc_id", text), F.xxhash64(F.lit(10), text).bitwiseAND(F.lit(0xFFFF))
+
+
 def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs by key, with tag and text (null as empty); and all found spans (key, tag, spans), by row.
+    """The rows of docs with doc_id, key, tag and text (null as empty); and all found spans (key, tag, spans), by row.
 
-    key is the doc_id, with a fixed number for null, and tag 16 bits of a hash of the text: rows with one id but
-    different texts stay apart. Equal rows share their spans.
+    See _row_key: rows with one id, or none, but different texts stay apart. Equal rows share their spans.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    text = F.coalesce("text", F.lit(""))
-    base = docs.select(key.alias("key"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).alias("tag"), text.alias("text"))
-    found = settle(_repeated(_minimisers(base.where(F.octet_length("text") >= length), length), length), "repeats")
+    key, tag = _row_key()
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), tag.alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
+    found = settle(_repeated(_minimisers(base.select("key", "tag", "text").where(F.octet_length("text") >= length), length), length), "repeats")
     asked = found.where("loc is not null").groupBy("key", "tag").agg(F.collect_list(F.struct("loc", "settled")).alias("locs"))
-    pieces = _asked_bytes(base.join(asked, ["key", "tag"]).select("key", "tag", "text", "locs"), length)
+    # with doc_id, though unused, the exchange of texts is the same as that of the join with the spans
+    pieces = _asked_bytes(base.join(asked, ["key", "tag"]).select("key", "tag", "text", "locs", "doc_id"), length)
     late = _from_shards(pieces, length)
     spans = found.where("lo >= 0").select("key", "tag", "lo", "hi").unionByName(late)
     return base, spans.groupBy("key", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
@@ -328,8 +333,7 @@ def cut_documents(docs: DataFrame, length: int = 200) -> DataFrame:
     What is left of a character that was cut is left out; a null text stays null. A text of which nothing is left is empty.
     """
     base, spans = repeated_spans(docs, length)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    tag = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF))
+    key, tag = _row_key()
     keyed = docs.select(key.alias("_key"), tag.alias("_tag"), F.struct("*").alias("_row"))
     both = keyed.join(spans.select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")), ["_key", "_tag"], "left").select("_row.*", F.col("_spans").alias("_found_spans"))
     at = docs.columns.index("text")
@@ -359,19 +363,18 @@ def removal(docs: DataFrame, length: int = 200) -> DataFrame:
     the same or another row, is removed. Null texts are empty. An empty table gives an empty one.
     """
     base, spans = repeated_spans(docs, length)
-    both = base.join(spans, ["key", "tag"], "left").select("key", "text", "spans")
+    both = base.join(spans, ["key", "tag"], "left").select("doc_id", "text", "spans")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-    names = ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 rows = []
                 some = batch.slice(begin, 512)
-                for key, text, found in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), some.column(2).to_pylist(), strict=True):
+                for doc, text, found in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), some.column(2).to_pylist(), strict=True):
                     kept, runs = _without(text, found)
-                    rows.append((key, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+                    rows.append((doc, len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    out = both.mapInArrow(run, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.select(F.when(F.col("key") != F.lit(-(1 << 63)), F.col("key")).alias("doc_id"), *names[1:])
+    return both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -235,3 +235,20 @@ def test_expectation_maximisation_finds_accuracies():
     assert abs(share - 0.7) < 0.05 and np.abs(table[:, 1, 1] - accuracy).max() < 0.05
     assert np.mean([(posterior[p] > 0.5) == t for p, t in zip(patterns, truth, strict=True)]) > 0.95
     assert quality.unpattern(quality.pattern((1, -1, 0, 1, 0, 0, -1, 1, 1, 0))) == [2, 0, 1, 2, 1, 1, 0, 2, 2, 1]
+
+
+def test_deduplicated_keeps_each_component(docs):
+    texts = [prose(60) for _ in range(12)]
+    rows = [(None, t, "s") for t in texts[:6]] + [(7, t, "s") for t in texts[6:9]] + [(8, texts[9], "s"), (9, texts[9], "s"), (9, texts[10], "s")] + [(None, texts[11], "s")] * 3
+    kept = [(r.doc_id, r.text) for r in simhash.deduplicated(docs(rows)).collect()]
+    expected = [(None, t) for t in texts[:6]] + [(7, t) for t in texts[6:9]] + [(8, texts[9]), (9, texts[10]), (None, texts[11])]
+    assert collections.Counter(kept) == collections.Counter(expected)
+
+
+def test_suffix_dedup_tells_texts_without_ids_apart(docs):
+    rng = random.Random(11)
+    rows = [(None if i % 2 else 1, " ".join(rng.choices(VOCABULARY, k=rng.randint(5, 40))) + PASSAGE, "s") for i in range(2000)]
+    found = suffix_dedup.removal(docs(rows)).collect()
+    assert collections.Counter(tuple(r) for r in found) == reference_removal(rows)
+    cut = suffix_dedup.cut_documents(docs(rows)).collect()
+    assert collections.Counter(hashlib.sha256(r.text.encode()).hexdigest() for r in cut) == collections.Counter(r[4] for r in reference_removal(rows).elements())
