@@ -252,3 +252,14 @@ def test_suffix_dedup_tells_texts_without_ids_apart(docs):
     assert collections.Counter(tuple(r) for r in found) == reference_removal(rows)
     cut = suffix_dedup.cut_documents(docs(rows)).collect()
     assert collections.Counter(hashlib.sha256(r.text.encode()).hexdigest() for r in cut) == collections.Counter(r[4] for r in reference_removal(rows).elements())
+
+
+def test_function_words_of_long_texts_are_all_counted():
+    at = quality.LABELLERS.index("function_words")
+    for n in (3998, 4000, 4002, 20_000):
+        assert quality.votes("word the " * (n // 2))[at] == 1 and quality.votes("the word " * (n // 2))[at] == 1
+        assert quality.votes(("THE " + "word " * 19) * (n // 20))[at] == 0
+    few = ["word"] * 4001
+    few[1:4001:2] = ["the"] * 39 + ["word"] * 1961
+    assert quality.votes(" ".join(few))[at] == -1 and quality.votes(" ".join(few[:3999]))[at] == -1
+    assert quality.shape("x" * 64 + "%") == "x%" and quality.shape("ab" * 500 + "9" * 500 + "!") == "x9!"
