@@ -15,11 +15,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct pages of a host from which one template is deduced.
-GROUP = 64
+from .common import settle
+
+#: Distinct pages of a host from which one skeleton is deduced; rows that wait for a group's end at most, copies included.
+GROUP, WAITING = 64, 65_536
 #: Elements that end a block, that stand alone, that hold no readable text, that are closed by a following one.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -212,8 +215,17 @@ def _slot(skeleton: list[str], where: dict[str, int], element: int) -> int:
     return lo
 
 
-def main_texts(sources: list[str]) -> list[str]:
-    """Main text of each page of a group; equal pages count once in the deduction."""
+def token(page: Page, element: int, text: str) -> int:
+    """A block's path and text as a long."""
+    path = page.paths[element] if element >= 0 else ""
+    return xxhash.xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def main_texts(sources: list[str], constants: set[int] | None = None) -> list[str]:
+    """Main text of each page of a group; equal pages count once in the deduction.
+
+    constants are the tokens that the template of the whole host holds; without them those of the group are taken.
+    """
     distinct = {s: None for s in sources}
     for s in distinct:
         distinct[s] = parse(s)
@@ -229,7 +241,10 @@ def main_texts(sources: list[str]) -> list[str]:
         for element, text, linked, _ in page.blocks:
             m = mark[element] if element >= 0 else 0
             slot = _slot(skeleton, place, element)
-            constant = m != 2 and len(pages) > 2 and ((page.paths[element] if element >= 0 else ""), text) in fixed
+            if constants is None:
+                constant = m != 2 and len(pages) > 2 and ((page.paths[element] if element >= 0 else ""), text) in fixed
+            else:
+                constant = m != 2 and token(page, element, text) in constants
             own.append((slot, m, constant, text))
             if m != 1 and not constant:
                 slots[slot][0 if m == 2 else 1] += len(text)
@@ -246,36 +261,69 @@ def main_texts(sources: list[str]) -> list[str]:
     return [texts[s] for s in sources]
 
 
+def host_constants(rows: DataFrame) -> DataFrame:
+    """rows (host, html) -> (host, constants): tokens that 3 distinct pages and 0.6 of all distinct ones of the host hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, pages, tokens = [], [], []
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                source = source.as_py() or ""
+                page = parse(source)
+                own = [None, *{token(page, element, text) for element, text, _, _ in page.blocks}]
+                hosts += [host] * len(own)
+                pages += [xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass")) - (1 << 63)] * len(own)
+                tokens += own
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, type=pa.string()), pa.array(pages, type=pa.int64()), pa.array(tokens, type=pa.int64())], names=["host", "page", "token"])
+
+    held = rows.select("host", "html").mapInArrow(run, "host string, page long, token long").distinct()
+    counted = settle(held.groupBy("host", "token").agg(F.count(F.lit(1)).alias("n")).where("token is null or n >= 3"), "tokens")
+    sizes = counted.where("token is null").select("host", F.col("n").alias("pages"))
+    often = counted.where("token is not null").join(sizes, "host").where("n >= 0.6D * pages")
+    return often.groupBy("host").agg(F.collect_list("token").alias("constants"))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each row of pages (page_id, url, html).
 
-    Null html is an empty page, whose text is empty; a null url is a host of its own; rows may repeat. Pages are dealt by
-    ranges of (host, a hash of the row), so a host with many pages lies in many tasks, and each task holds one group at a
-    time. An empty table gives an empty one.
+    Null html is an empty page, whose text is empty; a null url is a host of its own; rows may repeat. Template texts are
+    counted over all distinct pages of a host. Pages are dealt by ranges of (host, 10 bits of a hash of the row), so a host
+    with many pages lies in many tasks; a row with the host's constants precedes each such part, and each task holds one
+    group at a time. An empty table gives an empty one.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select("page_id", "url", host.alias("host"), F.xxhash64("page_id", "url").alias("at"), "html")
+    at = F.xxhash64("page_id", "url")
+    rows = pages.select("page_id", "url", host.alias("host"), F.shiftrightunsigned(at, 54).alias("part"), at.alias("at"), "html", F.lit(None).cast("array<long>").alias("constants"))
     names, kinds = ["page_id", "url", "text", "n_chars"], [pa.int64(), pa.string(), pa.string(), pa.int64()]
+    before = rows.select("host", "part").distinct().join(host_constants(rows), "host")
+    before = before.select(F.lit(None).cast(rows.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("url"), "host", "part", F.lit(None).cast("long").alias("at"), F.lit(None).cast("string").alias("html"), "constants")
 
-    def solve(group: list[tuple]) -> pa.RecordBatch:
-        texts = main_texts([source or "" for _, _, source in group])
-        columns = [[g[0] for g in group], [g[1] for g in group], texts, [len(t) for t in texts]]
-        return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    def solve(group: list[tuple], sources: dict[str, int], constants: set[int]) -> Iterator[pa.RecordBatch]:
+        texts = main_texts(list(sources), constants)
+        for begin in range(0, len(group), 4 * GROUP):
+            some = group[begin : begin + 4 * GROUP]
+            own = [texts[g[2]] for g in some]
+            columns = [[g[0] for g in some], [g[1] for g in some], own, [len(t) for t in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, now, seen = [], None, set()
+        group, sources, now, constants = [], {}, None, set()
         for batch in batches:
-            columns = [batch.column(i) for i in range(4)]
+            columns = [batch.column(i) for i in range(5)]
             for i in range(batch.num_rows):
-                page, url, of, source = (c[i].as_py() for c in columns)
-                if group and (of != now or len(seen) >= GROUP or len(group) >= 4 * GROUP):
-                    yield solve(group)
-                    group, seen = [], set()
-                now = of
-                seen.add(hash(source))
-                group.append((page, url, source))
+                page, url, of, source, found = (c[i].as_py() for c in columns)
+                source = source or ""
+                if group and (of != now or len(group) >= WAITING or found is None and len(sources) >= GROUP and source not in sources):
+                    yield from solve(group, sources, constants)
+                    group, sources = [], {}
+                if of != now:
+                    now, constants = of, set()
+                if found is not None:
+                    constants = constants or set(found)
+                    continue
+                group.append((page, url, sources.setdefault(source, len(sources))))
         if group:
-            yield solve(group)
+            yield from solve(group, sources, constants)
 
-    dealt = rows.repartitionByRange("host", "at").sortWithinPartitions("host", "at").select("page_id", "url", "host", "html")
+    dealt = rows.unionByName(before).repartitionByRange("host", "part").sortWithinPartitions("host", "part", F.col("constants").isNull(), "at").select("page_id", "url", "host", "html", "constants")
     return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long")

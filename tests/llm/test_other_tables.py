@@ -149,3 +149,15 @@ def test_best_branches(spark):
     for r in sorted(paths, key=lambda r: r.depth):
         by.setdefault((r.key, r.leaf), []).append(r.node)
     assert by == {("t", 3): [0, 2, 3], ("t", 4): [0, 1, 4], ("u", 0): [0]}
+
+
+def test_constants_are_those_of_the_whole_host(spark):
+    plain = lambda i: f"<body><div class=top>Welcome to the site</div><div class=text><p>Own words {i} and {i * 7}</p></div><div class=end>All rights</div></body>"
+    rows = [(i, "http://a.b/x", plain(i)) for i in range(65)] + [(1000 + i, "http://c.d/", plain(0)) for i in range(300)] + [(2000 + i, "http://c.d/", plain(i)) for i in range(1, 4)]
+    rows += [(3000, "http://e.f/", plain(0)), (3001, "http://e.f/", plain(1))]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_template.extract(table).collect()}
+    own = lambda i: f"Own words {i} and {i * 7}"
+    whole = lambda i: f"Welcome to the site\n{own(i)}\nAll rights"
+    expected = {i: own(i) for i in range(65)} | {1000 + i: own(0) for i in range(300)} | {2000 + i: own(i) for i in range(1, 4)} | {3000: whole(0), 3001: whole(1)}
+    assert out == expected
