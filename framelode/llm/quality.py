@@ -7,8 +7,8 @@ weak label. A linear scorer over hashed features of words learns the posteriors
 
 from __future__ import annotations
 
+import math
 import operator
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Common short words of four languages: fixed values.
 STOPWORDS = frozenset(
@@ -31,33 +32,79 @@ SYMBOLS = "%#&$*^~|=<>{}\\_@+"
 LABELLERS = ("symbols", "pipes", "capitals", "shouting", "echo", "variety", "lines", "function_words", "punctuation", "word_length")
 
 
-def votes(text: str) -> tuple[int, ...]:
-    """One vote a labeller: 1 good, -1 bad, 0 none. A text without words gets bad votes only from those that see it."""
+def shape(word: str) -> str:
+    """Kinds of characters of a word, runs as one: Xx, x., X!, |, x%."""
+    kinds = ("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
+    out = []
+    for k in kinds:
+        if not out or out[-1] != k:
+            out.append(k)
+    return "".join(out)
+
+
+class Facts(dict):
+    """What labellers and scorer need of a word, as one number: BITS of its hash, BITS of its shape's hash, whether it is
+    upper case, a function word, ends in punctuation, and its length. Words are remembered up to a bound."""
+
+    MOST, LONGEST = 200_000, 64
+
+    def __missing__(self, word: str) -> int:
+        lower, where = word.lower(), (1 << BITS) - 1
+        fact = zlib.crc32(lower.encode("utf-8", "surrogatepass")) & where
+        fact |= (zlib.crc32(shape(word).encode("utf-8", "surrogatepass"), 7) & where) << BITS
+        fact |= word.isupper() << 2 * BITS | (lower in STOPWORDS) << 2 * BITS + 1 | (word[-1] in ".,;:!?") << 2 * BITS + 2 | len(word) << 2 * BITS + 3
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = fact
+        return fact
+
+
+def measured(text: str, facts: Facts) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
+    """Votes, feature numbers and feature values of a text, from one pass over its words.
+
+    A vote is 1 for good, -1 for bad, 0 for none; of a text without words only those labellers vote that see it. Features
+    are shares of words and of their shapes, a constant, the shares of echoes, of distinct words and of line ends.
+    """
     words = text.split()
-    n, size = len(words), max(1, len(text))
+    n = len(words)
+    counts = Counter(words)
+    fact = np.fromiter(map(facts.__getitem__, counts), dtype=np.int64, count=len(counts))
+    times = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
+    echo = sum(map(operator.eq, words, words[1:])) / max(1, n)
+    variety = len(counts) / max(1, n)
+    where = (1 << BITS) - 1
+    at, of = np.unique(np.concatenate([fact & where, fact >> BITS & where]), return_inverse=True)
+    value = np.bincount(of, weights=np.concatenate([times, times]), minlength=len(at)) / max(1, n)
+    at = np.concatenate([at, (1 << BITS) + np.arange(4)])
+    value = np.concatenate([value, [1.0, echo, variety, min(1.0, text.count("\n") / max(1, n))]])
     if not n:
-        return (0, 0, 0, 0, 0, -1, 0, -1, -1, -1)
+        return (0, 0, 0, 0, 0, -1, 0, -1, -1, -1), at, value
+    share = lambda bit: int(times @ (fact >> 2 * BITS + bit & 1)) / n
     between = lambda x, good, bad: 1 if x <= good else -1 if x >= bad else 0
-    symbols = sum(text.count(c) for c in SYMBOLS)
-    counts = Counter(words)
-    echo = sum(map(operator.eq, words, words[1:]))
+    symbols = sum(map(text.count, SYMBOLS))
     lines = [x for x in text.split("\n") if x]
-    common = sum(k for w, k in counts.items() if w.lower() in STOPWORDS) / n
-    ended = sum(w[-1] in ".,;:!?" for w in counts) / len(counts)
-    mean = sum(map(len, words)) / n
-    capitals = sum(map(str.isupper, words)) / n
-    return (
+    different = len(set(lines))
+    common = share(1)
+    ended = int((fact >> 2 * BITS + 2 & 1).sum()) / len(counts)
+    mean = int(times @ (fact >> 2 * BITS + 3)) / n
+    cast = (
         between(symbols / n, 0.02, 0.25),
         between(text.count("|") / n, 0.0, 0.2),
-        between(capitals, 0.1, 0.35),
+        between(share(0), 0.1, 0.35),
         between(text.count("!!") / n, 0.0, 0.1),
-        between(echo / n, 0.03, 0.3),
-        1 if len(counts) / n > 0.35 else -1 if n >= 40 and len(counts) / n < 0.15 else 0,
-        0 if len(lines) < 4 else -1 if len(set(lines)) < 0.5 * len(lines) else 1 if len(set(lines)) == len(lines) else 0,
+        between(echo, 0.03, 0.3),
+        1 if variety > 0.35 else -1 if n >= 40 and variety < 0.15 else 0,
+        0 if len(lines) < 4 else -1 if different < 0.5 * len(lines) else 1 if different == len(lines) else 0,
         1 if common > 0.06 else -1 if n >= 40 and common < 0.01 else 0,
         1 if 0.02 <= ended <= 0.5 else -1 if n >= 40 and (ended < 0.01 or ended > 0.8) else 0,
         1 if 2.5 <= mean <= 9.5 else -1 if mean > 14 or n >= 40 and mean < 2 else 0,
     )
+    return cast, at, value
+
+
+def votes(text: str) -> tuple[int, ...]:
+    return measured(text, Facts())[0]
 
 
 def pattern(v: tuple[int, ...]) -> int:
@@ -104,118 +151,109 @@ def expectation_maximisation(histogram: dict[int, int], rounds: int = 200) -> tu
     return table, float(share), dict(zip(keys, post.tolist(), strict=True))
 
 
-def shape(word: str) -> str:
-    """Kinds of characters of a word, runs as one: Xx, x., X!, |, x%."""
-    kinds = ("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
-    out = []
-    for k in kinds:
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
-
-
-class Hasher:
-    """Feature numbers of words, remembered up to a bound."""
-
-    def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
-
-    def of(self, word: str) -> tuple[int, int]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            where = (1 << BITS) - 1
-            found = self.known[word] = (zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) & where, zlib.crc32(shape(word).encode("utf-8", "surrogatepass"), 7) & where)
-        return found
-
-    def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers and values: shares of words and of their shapes, of echoes and of kinds, and a constant."""
-        words = text.split()
-        counts = Counter(words)
-        n = max(1, len(words))
-        at = np.fromiter((i for w in counts for i in self.of(w)), dtype=np.int64, count=2 * len(counts))
-        value = np.repeat(np.fromiter(counts.values(), dtype=float, count=len(counts)), 2) / n
-        echo = sum(map(operator.eq, words, words[1:])) / n
-        extra = [(1 << BITS) + k for k in range(4)]
-        return np.concatenate([at, extra]), np.concatenate([value, [1.0, echo, len(counts) / n, min(1.0, text.count("\n") / n)]])
+def scored(at: np.ndarray, value: np.ndarray, weights: np.ndarray) -> float:
+    return float(1 / (1 + np.exp(-np.clip(weights[at] @ value, -30, 30))))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 30, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
-    """Weights of a logistic scorer of posteriors, by adaptive gradient steps in a fixed order."""
+    """Weights of a logistic scorer of posteriors, by adaptive gradient steps in a fixed order; a row's numbers are distinct."""
     weights, seen = np.zeros((1 << BITS) + 4), np.full((1 << BITS) + 4, 1e-8)
     order = np.random.default_rng(9).permutation(len(rows))
     for _ in range(epochs):
         for i in order:
             at, value, target = rows[i]
-            p = 1 / (1 + np.exp(-np.clip(weights[at] @ value, -30, 30)))
-            step = (p - target) * value + decay * weights[at]
-            np.add.at(seen, at, step * step)
-            np.add.at(weights, at, -rate * step / np.sqrt(seen[at]))
+            own = weights[at]
+            p = 1 / (1 + math.exp(-min(30.0, max(-30.0, float(own @ value)))))
+            step = (p - target) * value + decay * own
+            seen[at] += step * step
+            weights[at] = own - rate * step / np.sqrt(seen[at])
     return weights
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs (doc_id, text and others) with posterior, score and keep added; see the columns ADDED.
-
-    posterior is the weak label's probability of good, score the linear scorer's; keep is score >= KEEP. A null text is
-    an empty one, for which the scorer isn't asked: posterior and score are those of its votes. Votes of all
-    documents are counted; the scorer is fitted on the `sample` rows with the least hashes of id and text, or all if there are
-    fewer. Rows may repeat, other columns are kept, columns of the added names are replaced. An empty table gives an empty one.
-    """
-    docs = docs.drop(*(c for c in docs.columns if c in ("posterior", "score", "keep")))
+def pattern_counts(docs: DataFrame) -> dict[int, int]:
+    """How many texts have each pattern of votes; 3 ** 10 patterns at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        facts, found = Facts(), Counter()
         for batch in batches:
-            found = Counter(pattern(votes(t.as_py() or "")) for t in batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), type=pa.int64()), pa.array(list(found.values()), type=pa.int64())], names=["pattern", "n"])
+            found.update(pattern(measured(t.as_py() or "", facts)[0]) for t in batch.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), type=pa.int64()), pa.array(list(found.values()), type=pa.int64())], names=["pattern", "n"])
+
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+    return {r["pattern"]: r["n"] for r in counted}
+
 
-    counted = docs.select("text").mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    _, share, posterior = expectation_maximisation({r["pattern"]: r["n"] for r in counted})
-    total = sum(r["n"] for r in counted)
-    # a share of the hash's range that holds about twice the sample; then the least hashes of it
+def fitted(docs: DataFrame, posterior: dict[int, float], share: float, total: int, sample: int) -> np.ndarray:
+    """Weights of the scorer, fitted on the `sample` texts with the least hashes of id and text, or all if there are fewer.
+
+    Features of about twice as many texts, a fixed share of the hash's range, are made where the texts lie; those of the
+    sample come to one task, whose only result is the weights.
+    """
     hashed = F.shiftrightunsigned(F.xxhash64(F.lit(9), "doc_id", "text"), 1)
     range_end = ((1 << 63) - 1) * min(total, 2 * sample) // max(1, total)
-    chosen = docs.select("text", hashed.alias("_h")).where((F.col("_h") <= range_end) & (F.length("text") > 0)).orderBy("_h").limit(sample)
+    chosen = docs.select(hashed.alias("h"), F.col("text").cast("string").alias("text")).where((F.col("h") <= range_end) & (F.length("text") > 0))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        facts = Facts()
         for batch in batches:
             rows = []
-            for text in batch.column(0).to_pylist():
-                at, value = hasher.features(text)
-                rows.append((at.astype(np.int32), value.astype(np.float32), posterior.get(pattern(votes(text)), share)))
+            for text in batch.column(1).to_pylist():
+                cast, at, value = measured(text, facts)
+                rows.append((at.astype(np.int32), value.astype(np.float32), posterior.get(pattern(cast), share)))
             columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.list_(pa.int32())), pa.array(columns[1], type=pa.list_(pa.float32())), pa.array(columns[2], type=pa.float64())], names=["at", "value", "target"])
-
-    # the sample stays in Arrow's buffers, of which rows are slices
-    rows = []
-    for batch in chosen.mapInArrow(prepare, "at array<int>, value array<float>, target double").toArrow().to_batches():
-        bounds = batch.column(0).offsets.to_numpy()
-        at, value = batch.column(0).values.to_numpy(), batch.column(1).values.to_numpy()
-        rows += [(at[a:b], value[a:b], t) for a, b, t in zip(bounds[:-1], bounds[1:], batch.column(2).to_numpy(), strict=True)]
-    weights = fit(rows)
-    names = [*docs.columns, "posterior", "score", "keep"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], type=pa.list_(pa.int32())), pa.array(columns[1], type=pa.list_(pa.float32())), pa.array(columns[2], type=pa.float64())], names=["h", "at", "value", "target"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            bounds = batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py()
+            at, value = batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy()
+            rows += [(at[a:b], value[a:b], t) for a, b, t in zip(bounds[:-1], bounds[1:], batch.column(3).to_numpy(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([fit(rows)], type=pa.list_(pa.float64()))], names=["weights"])
+
+    found = chosen.mapInArrow(prepare, "h long, at array<int>, value array<float>, target double").orderBy("h").limit(sample).coalesce(1).mapInArrow(solve, "weights array<double>").first()
+    return np.array(found["weights"]) if found else fit([])
+
+
+def judged(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """row (a struct of all columns of docs), posterior, score and keep of each row; see classify()."""
+    histogram = pattern_counts(docs)
+    _, share, posterior = expectation_maximisation(histogram)
+    weights = fitted(docs, posterior, share, sum(histogram.values()), sample)
+    sent = docs.sparkSession.sparkContext.broadcast((posterior, weights))
     text_at = docs.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        facts = Facts()
+        posterior, weights = sent.value
         for batch in batches:
             post, score = [], []
-            for text in batch.column(text_at):
+            for text in batch.column(0).field(text_at):
                 text = text.as_py() or ""
-                p = posterior.get(pattern(votes(text)), share)
+                cast, at, value = measured(text, facts)
+                p = posterior.get(pattern(cast), share)
                 post.append(p)
-                if text.strip():
-                    at, value = hasher.features(text)
-                    p = 1 / (1 + float(np.exp(-np.clip(weights[at] @ value, -30, 30))))
-                score.append(p)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(post, type=pa.float64()), pa.array(score, type=pa.float64()), pa.array([s >= KEEP for s in score], type=pa.bool_())], names=names)
+                score.append(scored(at, value, weights) if text.strip() else p)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(post, type=pa.float64()), pa.array(score, type=pa.float64()), pa.array([s >= KEEP for s in score], type=pa.bool_())], names=["row", "posterior", "score", "keep"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(judge, f"{schema}, posterior double, score double, keep boolean")
+    rows = docs.select(F.struct("*").alias("row"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
+    return rows.mapInArrow(judge, schema)
+
+
+def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs (doc_id, text and others) with posterior, score and keep added.
+
+    posterior is the weak label's probability of good, score the linear scorer's; keep is score >= KEEP. A null text is
+    an empty one, for which the scorer isn't asked: posterior and score are those of its votes. Votes of all documents are
+    counted over whole texts; the scorer is fitted on `sample` of them. Rows may repeat, ids may be null, and a
+    word may be as long as its text. Other columns are kept, columns of the added names are replaced; good_documents()
+    keeps these too. An empty table gives an empty one.
+    """
+    out = judged(docs.drop(*(c for c in docs.columns if c in ("posterior", "score", "keep"))), sample)
+    return out.select("row.*", "posterior", "score", "keep")
 
 
-def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows that are kept, columns as in docs."""
-    return classify(docs).where("keep").select(*docs.columns)
+def good_documents(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows that are kept, columns as in docs: a user's columns posterior, score or keep stay as they are."""
+    return judged(docs, sample).where("keep").select("row.*")
