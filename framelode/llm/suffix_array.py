@@ -2,11 +2,13 @@
 
 The induction goes bucket by bucket: all suffixes that a bucket holds put their predecessors into the later buckets in
 one step, in order; only predecessors in the same bucket need another round. So the work is linear and is done on
-whole arrays.
+whole arrays; strings of names, to which the recursion goes on, are a third of the text or less.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 
 
@@ -85,20 +87,56 @@ def _induce(t: np.ndarray, up: np.ndarray, lms: np.ndarray, sigma: int) -> np.nd
     return sa
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of a string of names, by ranks of prefixes of doubling length."""
-    n, rank, step = len(names), names.astype(np.int64), 1
-    while True:
-        second = np.zeros(n, dtype=np.int64)
-        second[:-step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = new
-        if new[-1] == n - 1 or step >= n:
-            return order
-        step *= 2
+def _names_sorted(t: list[int], sigma: int) -> list[int]:
+    """Suffix array of a string of names that ends with its only 0, by the same induction element by element.
+
+    A string of names has about as many buckets as elements, so steps by buckets on whole arrays would gain nothing here.
+    """
+    n = len(t)
+    if n == 1:
+        return [0]
+    up = bytearray(n)
+    up[-1] = 1
+    for i in range(n - 2, -1, -1):
+        up[i] = t[i] < t[i + 1] or t[i] == t[i + 1] and up[i + 1]
+    lms = [i for i in range(1, n) if up[i] and not up[i - 1]]
+    counts = [0] * sigma
+    for c in t:
+        counts[c] += 1
+    ends = list(accumulate(counts))
+    starts = [e - k for e, k in zip(ends, counts, strict=True)]
+
+    def induced(seeds: list[int]) -> list[int]:
+        sa = [-1] * n
+        tails = ends.copy()
+        for i in reversed(seeds):
+            tails[t[i]] -= 1
+            sa[tails[t[i]]] = i
+        heads = starts.copy()
+        for j in range(n):
+            i = sa[j] - 1
+            if i >= 0 and not up[i]:
+                sa[heads[t[i]]] = i
+                heads[t[i]] += 1
+        tails = ends.copy()
+        for j in range(n - 1, -1, -1):
+            i = sa[j] - 1
+            if i >= 0 and up[i]:
+                tails[t[i]] -= 1
+                sa[tails[t[i]]] = i
+        return sa
+
+    following = dict(zip(lms, [*lms[1:], n - 1], strict=True))
+    ordered = [i for i in induced(lms) if i in following]
+    names, last, piece = {}, -1, None
+    for i in ordered:
+        own = t[i : following[i] + 1]
+        if own != piece:
+            last, piece = last + 1, own
+        names[i] = last
+    if last + 1 < len(lms):
+        ordered = [lms[k] for k in _names_sorted([names[i] for i in lms], last + 1)]
+    return induced(ordered)
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
@@ -135,7 +173,7 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     if named[-1] == len(lms) - 1:
         return _induce(t, up, ordered, sigma)
     # the string of names ends with the name 0, which is the end mark's own
-    order = suffix_array(names, int(named[-1]) + 1) if named[-1] < 1024 else _by_doubling(names)
+    order = np.array(_names_sorted(names.tolist(), int(named[-1]) + 1))
     return _induce(t, up, lms[order], sigma)
 
 

@@ -1,10 +1,14 @@
 """Removal of repeated passages by suffix arrays of shards.
 
 A string of LENGTH bytes that occurs twice has the same minimiser, the least of the hashes of its GRAM-byte strings, at
-the same place in both. So each text is cut into contexts, runs of starts whose strings share a minimiser, and contexts
-are grouped by it: only groups of two or more go on. Of each group equal contexts are settled as they stand (all their
-strings repeat), and one of each kind goes, with its bytes, to a shard whose suffix array is induced; its permuted
+the same place in both. So each text is cut into contexts, runs of starts whose strings share a minimiser: only
+minimisers that stand at two places go on. Equal contexts are settled as they stand (all their strings repeat), and one of
+each kind of a minimiser with several kinds goes, with its bytes, to a shard whose suffix array is induced; its permuted
 common prefixes say which other strings repeat.
+
+A text is known by 128 bits of hashes, and rows with equal texts are one text: it goes whole, and stands for its copies.
+A minimiser that very many texts share is never one group: equal contexts are combined where texts are read, minimisers
+and kinds are counted by partial aggregation, and rows meet these counts in joins whose large side can be split.
 """
 
 from __future__ import annotations
@@ -21,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import settle
 from .suffix_array import permuted_lcp, suffix_array, words_of
 
-#: Bytes of a minimiser; bytes of text hashed at a time; bytes of a shard's suffix array.
-GRAM, CHUNK, SHARD = 64, 1 << 19, 1 << 20
-#: Bits of a packed place: start of the minimiser 31, starts before it 8, starts in all 8, tag of the text 16.
+#: Bytes of a minimiser; bytes of text hashed at a time; bytes of a shard's suffix array; contexts combined at a time.
+GRAM, CHUNK, SHARD, HELD = 64, 1 << 19, 1 << 20, 1 << 18
+#: A place is packed as the start of the minimiser, and in 8 bits each the starts before it and the starts in all.
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -96,12 +100,14 @@ def _prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _minimisers(texts: DataFrame, length: int) -> DataFrame:
-    """(gram, ctx, key, loc) for each context of each text: hash of its minimiser, of its bytes, the row's key, and place.
+    """Contexts of texts (k1, k2, text), equal texts of a task once: (gram, ctx, k1, k2, loc, settled).
 
-    texts: key, tag, text. Short texts are hashed together, long ones in chunks that overlap by length - 1 bytes.
+    gram and ctx are hashes of the minimiser and of the context's bytes, loc is its place. Of equal contexts of a batch one
+    keeps its gram; the others are settled and have a null one. Short texts are hashed together, long ones in chunks
+    that overlap by length - 1 bytes.
     """
 
-    def solve(texts: list[bytes], keys: list[int], tags: list[int], begin: int) -> pa.RecordBatch:
+    def hashed(texts: list[bytes], keys: list[tuple[int, int]], begin: int) -> np.ndarray:
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         at, first, last, h = contexts(data, offsets, length)
@@ -109,98 +115,107 @@ def _minimisers(texts: DataFrame, length: int) -> DataFrame:
         with np.errstate(over="ignore"):
             ctx = _mix((sums[last + length] - sums[first]) * back[first] + (at - first).astype(np.uint64))
         text = np.searchsorted(offsets, first, side="right") - 1
-        loc = (at - offsets[text] + begin) << 32 | (at - first) << 24 | (last - first) << 16 | np.array(tags, dtype=np.int64)[text]
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(np.array(keys, dtype=np.int64)[text]), pa.array(loc)], names=["gram", "ctx", "key", "loc"])
+        loc = (at - offsets[text] + begin) << 16 | (at - first) << 8 | (last - first)
+        own = np.array(keys, dtype=np.int64)[text]
+        return np.stack([h.view(np.int64), ctx.view(np.int64), own[:, 0], own[:, 1], loc])
+
+    def combined(found: list[np.ndarray]) -> pa.RecordBatch:
+        gram, ctx, k1, k2, loc = np.concatenate(found, axis=1)
+        order = np.lexsort((ctx, gram))
+        gram, ctx, k1, k2, loc = (x[order] for x in (gram, ctx, k1, k2, loc))
+        same = (gram[1:] == gram[:-1]) & (ctx[1:] == ctx[:-1])
+        later = np.concatenate([[False], same])
+        return pa.RecordBatch.from_arrays([pa.array(gram, mask=later), pa.array(ctx, mask=later), pa.array(k1), pa.array(k2), pa.array(loc), pa.array(later | np.concatenate([same, [False]]))], names=["gram", "ctx", "k1", "k2", "loc", "settled"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, found, rows = set(), [], 0
         for batch in batches:
-            held: list[tuple[bytes, int, int]] = []
-            size = 0
-            for key, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+            texts, keys, size = [], [], 0
+            for k1, k2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+                if (k1, k2) in known:
+                    continue
+                known.add((k1, k2))
                 text = text.as_py()
                 if len(text) > CHUNK:
-                    for begin in range(0, len(text) - length + 1, CHUNK):
-                        yield solve([text[begin : begin + CHUNK + length - 1]], [key], [tag], begin)
-                    continue
-                held.append((text, key, tag))
-                size += len(text)
+                    found += [hashed([text[begin : begin + CHUNK + length - 1]], [(k1, k2)], begin) for begin in range(0, len(text) - length + 1, CHUNK)]
+                    rows += sum(x.shape[1] for x in found[-(-(-(len(text) - length + 1) // CHUNK)) :])
+                else:
+                    texts.append(text)
+                    keys.append((k1, k2))
+                    size += len(text)
                 if size > CHUNK:
-                    yield solve(*(list(c) for c in zip(*held, strict=True)), 0)
-                    held, size = [], 0
-            if held:
-                yield solve(*(list(c) for c in zip(*held, strict=True)), 0)
+                    found.append(hashed(texts, keys, 0))
+                    rows += found[-1].shape[1]
+                    texts, keys, size = [], [], 0
+                if rows > HELD:
+                    yield combined(found)
+                    found, rows = [], 0
+            if texts:
+                found.append(hashed(texts, keys, 0))
+                rows += found[-1].shape[1]
+        if found:
+            yield combined(found)
 
-    return texts.mapInArrow(run, "gram long, ctx long, key long, loc long")
+    return texts.mapInArrow(run, "gram long, ctx long, k1 long, k2 long, loc long, settled boolean")
 
 
 def _unpack(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at = loc >> 32
-    first = at - (loc >> 24 & 255)
-    return at, first, first + (loc >> 16 & 255)
-
-
-def _repeated(found: DataFrame, length: int) -> DataFrame:
-    """(key, tag, lo, hi, loc): spans of contexts that occur twice; and, loc not null, one context of each kind of a group
-    with several kinds, for the suffix arrays (gram, weight > 1 if it is settled)."""
-
-    def solve(gram: np.ndarray, ctx: np.ndarray, key: np.ndarray, loc: np.ndarray) -> pa.RecordBatch:
-        new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-        new_ctx = new_gram | np.concatenate([[True], ctx[1:] != ctx[:-1]])
-        group, kind = np.cumsum(new_gram) - 1, np.cumsum(new_ctx) - 1
-        kinds = np.bincount(group[new_ctx])
-        copies = np.bincount(kind)
-        settled = copies[kind] > 1
-        asked = new_ctx & (kinds[group] > 1)
-        _, first, last = _unpack(loc)
-        tag = loc & 0xFFFF
-        rows = np.flatnonzero(settled | asked)
-        none = ~asked[rows]
-        lo = np.where(settled, first, -1)[rows]
-        return pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(tag[rows]), pa.array(lo), pa.array((last + length)[rows]), pa.array(loc[rows], mask=none), pa.array(settled[rows])], names=["key", "tag", "lo", "hi", "loc", "settled"])
+    at = loc >> 16
+    first = at - (loc >> 8 & 255)
+    return at, first, first + (loc & 255)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            now = [batch.column(i).to_numpy() for i in range(4)]
-            g = now[0]
-            if not len(g):
-                continue
-            if (held[0][0][0] if held else g[0]) != g[-1]:
-                last = int(np.searchsorted(g, g[-1]))
-                yield solve(*(np.concatenate([*(h[i] for h in held), now[i][:last]]) for i in range(4)))
-                held = [[c[last:] for c in now]]
-            else:
-                held.append(now)
-        if held:
-            yield solve(*(np.concatenate([h[i] for h in held]) for i in range(4)))
-
-    return found.repartition("gram").sortWithinPartitions("gram", "ctx").mapInArrow(run, "key long, tag long, lo long, hi long, loc long, settled boolean")
+
+def _spans(contexts: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, lo, hi) of contexts all of whose strings repeat."""
+    first = F.shiftright("loc", 16) - F.shiftright("loc", 8).bitwiseAND(F.lit(255))
+    return contexts.select("k1", "k2", first.alias("lo"), (first + F.col("loc").bitwiseAND(F.lit(255)) + length).alias("hi"))
+
+
+def _repeated(found: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans of contexts that occur twice, and (k1, k2, loc, settled) of one context of each kind of a minimiser with several.
+
+    A context's place is compared by a hash of 64 bits among those of one minimiser. Both aggregations are partial and
+    hold four longs a group; the rows with a common minimiser may be split in the joins.
+    """
+    named = found.where("gram is not null").withColumn("place", F.xxhash64("k1", "k2", "loc"))
+    edges = lambda c: (F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"))
+    grams = named.groupBy("gram").agg(*edges("ctx"), *edges("place")).where("place_min <> place_max")
+    live = settle(named.join(grams.select(F.col("gram").alias("of"), (F.col("ctx_min") != F.col("ctx_max")).alias("mixed")), F.col("gram") == F.col("of")).drop("of"), "live")
+    mixed = live.where("mixed")
+    kinds = mixed.groupBy("gram", "ctx").agg(*edges("place"), F.max("settled").alias("known"))
+    kinds = kinds.select(F.col("gram").alias("of"), F.col("ctx").alias("kind"), F.col("place_min").alias("one"), ((F.col("place_min") != F.col("place_max")) | F.col("known")).alias("twice"))
+    kinds = settle(mixed.join(kinds, (F.col("gram") == F.col("of")) & (F.col("ctx") == F.col("kind"))).select("k1", "k2", "loc", "settled", "twice", (F.col("place") == F.col("one")).alias("asked")), "kinds")
+    spans = _spans(found.where("gram is null or settled"), length).unionByName(_spans(live.where("not mixed and not settled"), length)).unionByName(_spans(kinds.where("twice and not settled"), length))
+    return spans, kinds.where("asked").select("k1", "k2", "loc", F.col("twice").alias("settled")).distinct()
 
 
 def _asked_bytes(asked: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
-    """asked (key, tag, text, locs: array of loc and settled) -> (side, ctx, key, tag, first, settled): bytes of contexts.
+    """asked (k1, k2, text, locs: array of loc and settled) -> (side, ctx, k1, k2, first, settled): bytes of contexts.
 
     A context is cut in two: starts whose strings hold half of the other bytes before the minimiser, and the rest, which
     hold half of them after it. side is a hash of these bytes and the minimiser, so that a common minimiser with many
-    surroundings isn't one group.
+    surroundings isn't one group. Rows with one text follow each other, and the first of them is taken.
     """
     half = (length - gram) // 2
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["side", "ctx", "key", "tag", "first", "settled"])
+        return pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["side", "ctx", "k1", "k2", "first", "settled"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
         for batch in batches:
             out, size = [], 0
-            for key, tag, text, locs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), batch.column(3), strict=True):
-                text = text.as_py()
+            for k1, k2, text, locs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if (k1, k2) == now:
+                    continue
+                now, text = (k1, k2), text.as_py().encode("utf-8", "surrogatepass")
                 for x in locs.as_py():
                     at, first, last = (int(v) for v in _unpack(np.int64(x["loc"])))
                     for lo, hi, common in ((first, min(last, at - half), slice(at - half, at + gram)), (max(first, at - half + 1), last, slice(at, at + length - half))):
                         if lo <= hi:
                             side = xxhash.xxh64_intdigest(text[common]) - (1 << 63)
-                            out.append((side, text[lo : hi + length], key, tag, lo, x["settled"]))
+                            out.append((side, text[lo : hi + length], k1, k2, lo, x["settled"]))
                             size += hi + length - lo
                 if size > 1 << 22:
                     yield packed(out)
@@ -208,7 +223,7 @@ def _asked_bytes(asked: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
             if out:
                 yield packed(out)
 
-    return asked.mapInArrow(run, "side long, ctx binary, key long, tag long, first long, settled boolean")
+    return asked.mapInArrow(run, "side long, ctx binary, k1 long, k2 long, first long, settled boolean")
 
 
 def repeats_in_shard(shard: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,50 +254,53 @@ def repeats_in_shard(shard: list[bytes], length: int) -> tuple[np.ndarray, np.nd
 
 
 def _from_shards(pieces: DataFrame, length: int) -> DataFrame:
-    """(key, tag, lo, hi) of what the suffix arrays find in contexts grouped by side.
+    """(k1, k2, lo, hi) of what the suffix arrays find in contexts grouped by side.
 
-    Groups follow each other in a partition and are gathered into shards of SHARD bytes; equal contexts of a group are
-    settled and one of them goes on, and a group of one kind needs no array. A group stays in one shard.
+    Groups follow each other in a partition and are gathered into shards of SHARD bytes; equal contexts of a group, at
+    different places, are settled and one of them goes on, and a group of one kind needs no array. A group stays in one shard.
     """
 
     def solve(shard: list[tuple[bytes, list[tuple[int, int, int]]]]) -> list[tuple[int, int, int, int]]:
         out = []
         for which, lo, hi in zip(*(x.tolist() for x in repeats_in_shard([c for c, _ in shard], length)), strict=True):
-            out += [(key, tag, first + lo, first + hi + length) for key, tag, first in shard[which][1]]
+            out += [(k1, k2, first + lo, first + hi + length) for k1, k2, first in shard[which][1]]
         return out
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)], names=["key", "tag", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows, strict=True)], names=["k1", "k2", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, size, side, group = [], 0, None, []
+        shard, size, side, group, place = [], 0, None, [], None
         for batch in batches:
             out = []
-            for s, ctx, key, tag, first, settled in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for s, ctx, k1, k2, first, settled in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if s != side:
                     if len(group) > 1:
                         shard += group
-                        size += sum(len(c) for c, _, _ in group)
+                        size += sum(len(c) for c, _ in group)
                         if size > SHARD:
-                            out += solve([(c, w) for c, w, _ in shard])
+                            out += solve(shard)
                             shard, size = [], 0
-                    side, group = s, []
+                    side, group, place = s, [], None
                 if group and group[-1][0] == ctx:
-                    c, waiting, n = group[-1]
-                    out += [(k, g, f, f + len(c)) for k, g, f in waiting]
+                    if (k1, k2, first) == place:
+                        continue
+                    c, waiting = group[-1]
+                    out += [(*w, w[2] + len(c)) for w in waiting]
                     if not settled:
-                        out.append((key, tag, first, first + len(ctx)))
-                    group[-1] = (c, [], n + 1)
+                        out.append((k1, k2, first, first + len(ctx)))
+                    group[-1] = (c, [])
                 else:
-                    group.append((ctx, [] if settled else [(key, tag, first)], 1))
+                    group.append((ctx, [] if settled else [(k1, k2, first)]))
+                place = (k1, k2, first)
             if out:
                 yield packed(out)
         if len(group) > 1:
             shard += group
-        if shard and (out := solve([(c, w) for c, w, _ in shard])):
+        if shard and (out := solve(shard)):
             yield packed(out)
 
-    return pieces.repartition("side").sortWithinPartitions("side", "ctx").mapInArrow(run, "key long, tag long, lo long, hi long")
+    return pieces.repartition("side").sortWithinPartitions("side", "ctx", "k1", "k2", "first").mapInArrow(run, "k1 long, k2 long, lo long, hi long")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -296,26 +314,27 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _row_key() -> tuple[Column, Column]:
-    """key, 64 bits of a hash of id and text, and tag, 16 bits of another one of the text."""
+def _key() -> tuple[Column, Column]:
+    """128 bits of hashes of a text, null as empty."""
     text = F.coalesce("text", F.lit(""))
-    return F.xxhash64("doc_id", text), F.xxhash64(F.lit(10), text).bitwiseAND(F.lit(0xFFFF))
+    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(10), text).alias("k2")
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataFrame]:
-    """The rows of docs with doc_id, key, tag and text (null as empty); and all found spans (key, tag, spans), by row.
+    """The rows of docs with doc_id, k1, k2 and text (null as empty); and all found spans (k1, k2, spans), by text.
 
-    See _row_key: rows with one id, or none, but different texts stay apart. Equal rows share their spans.
+    Ids play no part: rows with one id, or none, stay apart if their texts differ, and equal texts share their spans.
     """
-    key, tag = _row_key()
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), tag.alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
-    found = settle(_repeated(_minimisers(base.select("key", "tag", "text").where(F.octet_length("text") >= length), length), length), "repeats")
-    asked = found.where("loc is not null").groupBy("key", "tag").agg(F.collect_list(F.struct("loc", "settled")).alias("locs"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_key(), F.coalesce("text", F.lit("")).alias("text"))
+    size = F.octet_length("text")
+    found = settle(_minimisers(base.select("k1", "k2", "text").where(size >= length), length), "contexts")
+    spans, asked = _repeated(found, length)
+    asked = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("loc", "settled")).alias("locs"))
     # with doc_id, though unused, the exchange of texts is the same as that of the join with the spans
-    pieces = _asked_bytes(base.join(asked, ["key", "tag"]).select("key", "tag", "text", "locs", "doc_id"), length)
-    late = _from_shards(pieces, length)
-    spans = found.where("lo >= 0").select("key", "tag", "lo", "hi").unionByName(late)
-    return base, spans.groupBy("key", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    pieces = _asked_bytes(base.join(asked, ["k1", "k2"]).sortWithinPartitions("k1", "k2").select("k1", "k2", "text", "locs", "doc_id"), length)
+    copies = base.where(size >= length).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max(size.cast("long")).alias("hi")).where("n > 1")
+    spans = spans.unionByName(_from_shards(pieces, length)).unionByName(copies.select("k1", "k2", F.lit(0).cast("long").alias("lo"), "hi"))
+    return base, spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def _without(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
@@ -332,28 +351,27 @@ def cut_documents(docs: DataFrame, length: int = 200) -> DataFrame:
 
     What is left of a character that was cut is left out; a null text stays null. A text of which nothing is left is empty.
     """
-    base, spans = repeated_spans(docs, length)
-    key, tag = _row_key()
-    keyed = docs.select(key.alias("_key"), tag.alias("_tag"), F.struct("*").alias("_row"))
-    both = keyed.join(spans.select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), F.col("spans").alias("_spans")), ["_key", "_tag"], "left").select("_row.*", F.col("_spans").alias("_found_spans"))
+    _, spans = repeated_spans(docs, length)
+    both = docs.select(*_key(), F.struct("*").alias("row")).join(spans, ["k1", "k2"], "left").select("row", "spans")
     at = docs.columns.index("text")
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 some = batch.slice(begin, 512)
+                rows = some.column(0)
+                columns = [rows.field(i) for i in range(rows.type.num_fields)]
                 texts = []
-                for text, found in zip(some.column(at), some.column(some.num_columns - 1), strict=True):
+                for text, found in zip(columns[at], some.column(1), strict=True):
                     said, found = text.as_py(), found.as_py()
                     texts.append(_without(said.encode("utf-8", "surrogatepass"), found)[0].decode("utf-8", "ignore") if found else said)
-                columns = list(some.columns[:-1])
                 columns[at] = pa.array(texts, type=columns[at].type)
-                yield pa.RecordBatch.from_arrays(columns, names=list(docs_names))
+                if counted is not None:
+                    columns[counted] = pa.array([None if t is None else len(t) for t in texts], type=pa.int64()).cast(columns[counted].type)
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(rows.type))], names=["row"])
 
-    docs_names = tuple(docs.columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = both.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return both.mapInArrow(run, both.select("row").schema).select("row.*")
 
 
 def removal(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -363,7 +381,7 @@ def removal(docs: DataFrame, length: int = 200) -> DataFrame:
     the same or another row, is removed. Null texts are empty. An empty table gives an empty one.
     """
     base, spans = repeated_spans(docs, length)
-    both = base.join(spans, ["key", "tag"], "left").select("doc_id", "text", "spans")
+    both = base.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
