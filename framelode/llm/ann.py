@@ -2,8 +2,9 @@
 
 Centroids of a bounded sample are the heads of posting lists; every vector goes to the lists of its nearest head and of
 further ones about as near, unless a head lies nearer to one chosen before than the vector does. A graph of the
-heads, held in memory, is searched for the heads near a query, and those whose distance is within a ratio of the least
-are probed. Lists are read in blocks of bounded size, so a long list is the work of many tasks.
+heads, held in memory, is searched for the heads near a query, and all those are probed whose distance is within a ratio of
+that of the fifth one: the ratio alone decides how many. Lists meet queries block by block, both of bounded size, so a
+long or popular list is the work of many tasks.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ from .common import settle
 
 #: Vectors that centroids are fitted on, at most; vectors a list should hold; heads, at most.
 SAMPLE, LIST_SIZE, MOST_HEADS = 32_768, 48, 8192
-#: Copies of a boundary vector; how much farther a head may be (squared distances) for a copy, and for a probe than the
-#: fifth head; lists probed at least; and at most, as a number or, where it is more, as a share of all lists.
-REPLICAS, COPY_RATIO, PROBE_RATIO, FEWEST, MOST, SHARE = 4, 1.25, 1.5, 64, 144, 1 / 7
-#: Neighbours of a head in the graph, heads kept in a search beyond the probes, and vectors of a list in one block.
-DEGREE, BEAM, BLOCK = 16, 48, 512
+#: Copies of a boundary vector; how much farther a head may be (squared distances) for a copy; and for a probe than the
+#: fifth nearest head.
+REPLICAS, COPY_RATIO, PROBE_RATIO = 4, 1.25, 1.3
+#: Neighbours of a head in the graph, heads that a search begins with, heads followed in one step of it, vectors of a list
+#: and queries of a list in one block.
+DEGREE, BEAM, STEP, BLOCK, ASKED = 16, 64, 8, 512, 4096
+#: Products by BLAS are off by less than this; what lies as near to the last one chosen is compared exactly.
+SLACK = 1e-12
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -80,9 +84,11 @@ def head_graph(c: np.ndarray, degree: int = DEGREE) -> np.ndarray:
 
 
 def graph_search(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """The beam of heads found near each query, nearest first, with squared distances: best-first over the graph, all queries at once."""
+    """The beam of heads found near each query, nearest first, with squared distances: best-first over the graph, all
+    queries at once, the STEP best heads of each that aren't followed yet at a time."""
     n, k = len(q), len(c)
     beam = min(beam, k)
+    step = min(STEP, beam)
     entries = np.linspace(0, k - 1, min(k, 32)).astype(np.int64)
     ids = np.full((n, beam), -1, dtype=np.int64)
     dist = np.full((n, beam), np.inf, dtype=np.float32)
@@ -92,26 +98,48 @@ def graph_search(q: np.ndarray, c: np.ndarray, graph: np.ndarray, beam: int) ->
     def merge(rows: np.ndarray, new: np.ndarray, d: np.ndarray) -> None:
         all_ids = np.concatenate([ids[rows], new], axis=1)
         all_d = np.concatenate([dist[rows], d], axis=1)
-        all_done = np.concatenate([done[rows], np.zeros(new.shape, dtype=bool)], axis=1)
+        all_done = np.concatenate([done[rows], np.isinf(d)], axis=1)
         order = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
         ids[rows], dist[rows], done[rows] = (np.take_along_axis(a, order, axis=1) for a in (all_ids, all_d, all_done))
 
     seen[:, entries] = True
     merge(np.arange(n), np.tile(entries, (n, 1)), 2 - 2 * q @ c[entries].T)
     while True:
-        open_d = np.where(done | (ids < 0), np.inf, dist)
-        best = np.argmin(open_d, axis=1)
-        rows = np.flatnonzero(np.isfinite(open_d[np.arange(n), best]))
+        open_d = np.where(done, np.inf, dist)
+        best = np.argpartition(open_d, step - 1, axis=1)[:, :step]
+        rows = np.flatnonzero(np.isfinite(open_d.min(axis=1)))
         if not len(rows):
-            return ids, dist
-        done[rows, best[rows]] = True
-        new = graph[ids[rows, best[rows]]].astype(np.int64)
-        d = 2 - 2 * np.einsum("nd,nkd->nk", q[rows], c[new])
-        d = np.where(seen[rows[:, None], new], np.inf, d).astype(np.float32)
-        seen[rows[:, None], new] = True
+            return np.where(np.isinf(dist), -1, ids), dist
+        best = best[rows]
+        live = np.isfinite(open_d[rows[:, None], best])
+        done[rows[:, None], best] = True
+        new = np.where(live[:, :, None], graph[np.maximum(ids[rows[:, None], best], 0)], -1).reshape(len(rows), -1).astype(np.int64)
+        new.sort(axis=1)
+        again = (new < 0) | np.concatenate([np.zeros((len(rows), 1), dtype=bool), new[:, 1:] == new[:, :-1]], axis=1)
+        new = np.maximum(new, 0)
+        again |= seen[rows[:, None], new]
+        d = np.where(again, np.inf, 2 - 2 * np.einsum("nd,nkd->nk", q[rows], c[new])).astype(np.float32)
+        fresh, at = np.nonzero(~again)
+        seen[rows[fresh], new[fresh, at]] = True
         merge(rows, new, d)
 
 
+def near_heads(q: np.ndarray, c: np.ndarray, graph: np.ndarray, ratio: float = PROBE_RATIO) -> tuple[np.ndarray, np.ndarray]:
+    """(row, head) of the heads within ratio times the distance of the fifth nearest one, however many; the beam widens
+    for the queries whose last head found is still within."""
+    rows, out, beam = np.arange(len(q)), [], BEAM
+    while len(rows):
+        ids, d = graph_search(q[rows], c, graph, beam)
+        limit = ratio * np.maximum(d[:, min(4, d.shape[1] - 1)], 1e-6)
+        limit = np.where(np.isfinite(limit), limit, np.inf)[:, None]
+        within = (d <= limit) & (ids >= 0)
+        full = within[:, -1] if beam < len(c) else np.zeros(len(rows), dtype=bool)
+        at, place = np.nonzero(within & ~full[:, None])
+        out.append((rows[at], ids[at, place]))
+        rows, beam = rows[full], 4 * beam
+    return np.concatenate([r for r, _ in out] or [np.empty(0, np.int64)]), np.concatenate([h for _, h in out] or [np.empty(0, np.int64)])
+
+
 def chosen_lists(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) of each vector: its nearest head, and up to REPLICAS - 1 further ones within COPY_RATIO."""
     d = 2 - 2 * x @ c.T
@@ -132,12 +160,17 @@ def chosen_lists(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def valid(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """Rows whose vector has numbers only, isn't zero and has the commonest length (of equally common ones the least)."""
+    """Rows whose vector has numbers only, isn't zero and has the commonest length (of equally common ones the least).
+
+    Vectors are scaled by a power of two, which changes no digit, so that their squares neither vanish nor overflow.
+    """
     good = F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = vectors.where(good).withColumn("_size", F.size("embedding"))
     found = rows.groupBy("_size").count().orderBy(F.desc("count"), "_size").first()
     size = found["_size"] if found else 0
-    return rows.where(F.col("_size") == size).drop("_size"), size
+    largest = F.array_max(F.transform("embedding", F.abs))
+    scale = F.pow(F.lit(2.0), -F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), F.floor(F.log2(largest)).cast("double"))))
+    return rows.where(F.col("_size") == size).withColumn("_scale", scale).select("vec_id", F.transform("embedding", lambda v: v * F.col("_scale")).alias("embedding")), size
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -154,14 +187,37 @@ def build(rows: DataFrame, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return c, head_graph(c)
 
 
-def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot product of each pair of rows, summed from the first component on: the same value wherever a pair meets."""
+    total = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        total += a[:, j] * b[:, j]
+    return total
+
+
+def best_of_block(asks: np.ndarray, x: np.ndarray, ids: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of asks, id, cosine) of the `keep` nearest rows of x to each row of asks, ties to the smaller id."""
+    norm_q, norm_x = np.sqrt(_in_order(asks, asks)), np.sqrt(_in_order(x, x))
+    score = (asks @ x.T) / (norm_q[:, None] * norm_x)
+    last = np.partition(score, -min(keep, len(x)), axis=1)[:, -min(keep, len(x))]
+    row, at = np.nonzero(score >= last[:, None] - SLACK)
+    exact = _in_order(asks[row], x[at]) / (norm_q[row] * norm_x[at])
+    order = np.lexsort((ids[at], -exact, row))
+    row, at, exact = row[order], at[order], exact[order]
+    begin = np.searchsorted(row, np.arange(len(asks)))
+    first = np.arange(len(row)) - begin[row] < keep
+    return row[first], ids[at[first]], exact[first]
+
+
+def search(vectors: DataFrame, is_query, k: int = 5, ratio: float = PROBE_RATIO) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by cosine found for each row for which is_query(vec_id) holds.
 
     vectors: vec_id, embedding. A query's own row is no candidate of it; equal scores are ordered by vec_id. Vectors that
-    are null, zero, of another length than most, or hold what isn't a finite number take no part; with fewer candidates
-    than k all that the probed lists hold are returned. Equal vectors are one entry with their k + 1 least ids, so a vector that
-    many rows share is no long list; a null vec_id takes no part; rows that repeat both id and vector count once. Heads and graph are
-    of bounded size (MOST_HEADS) and go to every task; an empty table gives an empty result.
+    are null, zero, of another length than most, or hold what isn't a finite number take no part, however small or large
+    others are; with fewer candidates than k all that the probed lists hold are returned. An infinite ratio probes all
+    lists and is exact. Equal vectors are one entry with their k + 1 least ids, so a vector that many rows share is no
+    long list; a null vec_id takes no part; rows that repeat both id and vector count once. Heads and graph are of
+    bounded size (MOST_HEADS) and go to every task; an empty table gives an empty result.
     """
     rows, size = valid(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where("vec_id is not null"))
     least = F.row_number().over(W.partitionBy("embedding").orderBy("vec_id"))
@@ -177,59 +233,48 @@ def search(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 some = batch.slice(at, 2048)
                 rows, lists = chosen_lists(_unit(_matrix(some.column(1), size)).astype(np.float32), heads)
-                taken = some.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(lists), taken.column(0), taken.column(1)], names=["list", "entry", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(lists), some.column(0).take(pa.array(rows))], names=["list", "entry"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads, links = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                most = max(MOST, int(len(heads) * SHARE))
-                ids, d = graph_search(_unit(_matrix(some.column(1), size)).astype(np.float32), heads, links, most + BEAM)
-                fifth = d[:, min(4, d.shape[1] - 1)][:, None]
-                near = (d <= PROBE_RATIO * fifth) & (np.arange(ids.shape[1]) < most) | (np.arange(ids.shape[1]) < FEWEST)
-                near &= ids >= 0
-                rows, place = np.nonzero(near)
-                taken = some.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows, place]), taken.column(0), taken.column(1)], names=["list", "query", "embedding"])
-
-    posted = settle(entries.select("entry", F.col("embedding").cast("array<float>")).mapInArrow(post, "list long, entry long, embedding array<float>"), "postings")
-    # each query's vector once, whatever the number of its ids
+                x = _unit(_matrix(some.column(1), size)).astype(np.float32)
+                if np.isinf(ratio):
+                    rows, lists = (v.ravel() for v in np.indices((len(x), len(heads))))
+                else:
+                    rows, lists = near_heads(x, heads, links, ratio)
+                yield pa.RecordBatch.from_arrays([pa.array(lists), some.column(0).take(pa.array(rows))], names=["list", "query"])
+
+    # lists and probes are pairs of numbers; vectors join them when both are dealt into blocks
+    posted = settle(entries.select("entry", "embedding").mapInArrow(post, "list long, entry long"), "postings")
     asked = rows.where(is_query(F.col("vec_id"))).select("embedding").distinct().join(entries.select("embedding", "entry"), "embedding").select(F.col("entry").alias("query"), "embedding")
-    probes = asked.mapInArrow(probe, "list long, query long, embedding array<double>")
-    sizes = settle(posted.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "list-sizes")
-    again = sizes.select(F.col("list").alias("of"), F.col("blocks").alias("parts"))
-    left = posted.join(sizes, "list").select("list", F.pmod(F.xxhash64("entry"), F.col("blocks")).alias("block"), "entry", "embedding")
-    right = probes.join(again, F.col("list") == F.col("of")).select("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"), "query", "embedding")
+    asked = settle(asked, "asked")
+    probes = settle(asked.mapInArrow(probe, "list long, query long"), "probes")
+    parts = lambda t, per, name: t.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / per).alias(name))
+    sizes = settle(parts(posted, BLOCK, "blocks").join(parts(probes, ASKED, "turns"), "list"), "list-sizes").withColumnRenamed("list", "of")
+    spread = lambda t, own, other, item: t.join(sizes, F.col("list") == F.col("of")).select("list", F.pmod(F.xxhash64(item), F.col(own[0])).alias(own[1]), F.explode(F.sequence(F.lit(0).cast("long"), F.col(other[0]) - 1)).alias(other[1]), item)
+    left = spread(posted, ("blocks", "block"), ("turns", "turn"), "entry").join(entries.select("entry", "embedding"), "entry").select("list", "block", "turn", "entry", "embedding")
+    right = spread(probes, ("turns", "turn"), ("blocks", "block"), "query").join(asked, "query").select("list", "block", "turn", "query", "embedding")
 
     def meet(key: tuple, lists: pa.Table, queries: pa.Table) -> pa.Table:
-        if not lists.num_rows or not queries.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, ids = _matrix(lists.column("embedding").combine_chunks(), size), lists.column("entry").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        x, ids = x[order], ids[order]
-        norms = np.linalg.norm(x, axis=1)
-        asks, names = _matrix(queries.column("embedding").combine_chunks(), size), queries.column("query").to_numpy()
-        out = [[], [], []]
-        for at in range(0, len(asks), 256):
-            q = asks[at : at + 256]
-            score = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * norms)
-            top = np.argsort(-score, axis=1, kind="stable")[:, : k + 1]
-            out[0].append(np.repeat(names[at : at + 256], top.shape[1]))
-            out[1].append(ids[top].ravel())
-            out[2].append(np.take_along_axis(score, top, axis=1).ravel())
-        return pa.table({"query": np.concatenate(out[0]), "entry": np.concatenate(out[1]), "score": np.concatenate(out[2])})
-
-    met = left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInArrow(meet, "query long, entry long, score double")
-    # an entry may come from several lists; its exact score is computed anew below, so that it is the same for all of them
-    found = met.groupBy("query", "entry").agg(F.max("score").alias("near"))
-    best = found.withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("near"), "entry"))).where(F.col("_r") <= 2 * k + 2)
-    vector = entries.select(F.col("entry").alias("query"), F.col("embedding").alias("a"))
-    other = entries.select("entry", F.col("embedding").alias("b"), "ids")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    scored = best.join(vector, "query").join(other, "entry").select("query", "ids", (dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))).alias("score"))
-    single = scored.withColumn("vec_id", F.explode("ids")).select("query", "vec_id", "score")
+        out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        if lists.num_rows and queries.num_rows:
+            x, ids = _matrix(lists.column("embedding").combine_chunks(), size), lists.column("entry").to_numpy()
+            asks, names = _matrix(queries.column("embedding").combine_chunks(), size), queries.column("query").to_numpy()
+            for at in range(0, len(asks), 256):
+                row, entry, score = best_of_block(asks[at : at + 256], x, ids, k + 1)
+                for column, found in zip(out, (names[at : at + 256][row], entry, score), strict=True):
+                    column.append(found)
+        return pa.table(dict(zip(("query", "entry", "score"), map(np.concatenate, out), strict=True)))
+
+    keys = ["list", "block", "turn"]
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query long, entry long, score double")
+    # an entry may come from several lists, with the same score
+    found = met.groupBy("query", "entry").agg(F.max("score").alias("score"))
+    best = found.withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("_r") <= k + 1)
+    single = best.join(entries.select("entry", "ids"), "entry").select("query", F.explode("ids").alias("vec_id"), "score")
     top = single.withColumn("_r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("_r") <= k + 1)
     # back to all ids of a query's vector, each without itself
     named = rows.where(is_query(F.col("vec_id"))).distinct().join(entries.select("embedding", F.col("entry").alias("query")), "embedding").select(F.col("vec_id").alias("query_id"), "query")
