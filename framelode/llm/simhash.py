@@ -1,17 +1,22 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-64-bit fingerprints within `radius` bits are linked and linked ones form components. Correlated bits are grouped into
-partitions; a partition of threshold t is compared by its values with t bits masked out, in every way. If the sum of
-(t + 1) over partitions is radius + 1, two fingerprints within the radius agree in a masked value of some partition.
-Dynamic programming over estimated candidate counts chooses bounds and thresholds, which may differ and may be -1 (a
-partition that isn't probed).
+Correlated bits of the fingerprints are grouped into partitions; a partition of threshold t is compared by its values with
+t bits masked out, in every way, so it finds what differs in at most t of its bits. Dynamic programming over estimated
+candidate counts chooses bounds and thresholds, which may differ and may be -1 (a partition that isn't probed); what meets
+is verified.
+
+near_duplicates() links 64-bit fingerprints within a radius: the sum of (t + 1) over partitions is radius + 1, so each such
+pair agrees in a masked value of some partition. duplicates_by_similarity() links texts by the Jaccard similarity of their
+distinct shingles. Such pairs differ in a share of bits that follows from the similarity, about 0.15 at 0.8: of 64 bits ten,
+for which no set of partitions is both complete and cheap. So its fingerprints have 512 bits, the sum is one of log misses
+of a pair just at the bound, and links are verified on the shingles themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -23,44 +28,99 @@ from pyspark.sql import Window as W
 from .common import settle
 from .components import components
 
-#: Bits of the blocks that partitions are made of; cost of a signature row and of a candidate pair in the program below.
+#: Bits of the blocks that partitions are made of; cost of a signature row and of a candidate pair in the programs below.
 BLOCK, ROW_COST, PAIR_COST = 4, 1.0, 0.01
 #: Groups of signatures up to this size are compared pair by pair, larger ones by a search that drops what it has reached.
 SMALL = 24
+#: Longs of a fingerprint of texts that are linked by similarity, and those of them that go with a signature; share of pairs
+#: just at the bound that may have no candidate; standard deviations beyond the bits that such a pair is expected to differ in.
+LONGS, SENT, MISS, DEVIATIONS = 8, 2, 0.003, 3.5
+#: Odd constants that make further longs of a shingle's hash.
+SPREAD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """SimHash of the word shingles of a text; A-Z are lower-cased, repeats count, no words give 0."""
+def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; A-Z are lower-cased, fewer words than width are one shingle."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], dtype=np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-width] + 1]).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], dtype=np.uint64)
-    n, ones = len(hashes), np.zeros(64, dtype=np.int64)
-    for at in range(0, n, 65536):
-        ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)), dtype=np.uint64, count=len(starts))
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """hashes (shingles, longs): a bit is 1 if it is set in over half of the rows; without rows all are 0."""
+    n, longs = hashes.shape
+    ones = np.zeros(64 * longs, dtype=np.int64)
+    for at in range(0, n, 255 * 64):
+        bits = np.unpackbits(np.ascontiguousarray(hashes[at : at + 255 * 64]).view(np.uint8), bitorder="little").reshape(-1, 64 * longs)
+        # sums of up to 255 rows fit in a byte
+        for k in range(0, len(bits), 255):
+            ones += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > n, bitorder="little").view(np.int64)
+
 
+def widened(hashes: np.ndarray, longs: int) -> np.ndarray:
+    """(shingles, longs): the hashes, and for each further long the hashes mixed with a constant of its own."""
+    with np.errstate(over="ignore"):
+        x = (hashes ^ (hashes >> np.uint64(32)))[:, None] * SPREAD[: longs - 1]
+        x = (x ^ (x >> np.uint64(29))) * SPREAD[-1]
+    return np.concatenate([hashes[:, None], x ^ (x >> np.uint64(32))], axis=1)
 
-def fingerprints(docs: DataFrame, width: int = 4, key: Column | None = None) -> DataFrame:
-    """doc_id, key (a long; null if not given) and fp (the 64 bits as a long) of each row."""
+
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    """SimHash of the word shingles of a text, repeats included; no words give 0."""
+    return int(majority(shingle_hashes(text, width)[:, None])[0]) & (1 << 64) - 1
+
+
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
+    """doc_id and fp (the 64 bits as a long) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t, width) for t in batch.column(2).cast(pa.binary()).to_pylist()), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "key", "fp"])
+            prints = [majority(shingle_hashes(t.as_py(), width)[:, None]) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(prints or [np.empty(0, np.int64)]))], names=["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
-    key = F.lit(None).cast("long") if key is None else key
-    return docs.select(F.col("doc_id").cast("long"), key.alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long")
+
+def wide_fingerprints(docs: DataFrame, width: int, longs: int = LONGS) -> DataFrame:
+    """doc_id, k1, k2 (128 bits of hashes of the text) and f0, f1 ...: the majority bits of the distinct shingles of each row.
+
+    The longs after the first are majorities of the shingles' hashes, mixed with a constant of their own.
+    """
+    names = ["doc_id", "k1", "k2", *(f"f{i}" for i in range(longs))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [majority(widened(np.unique(shingle_hashes(t.as_py(), width)), longs)) for t in batch.column(3).cast(pa.binary())]
+            prints = np.array(rows, dtype=np.int64).reshape(-1, longs)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(np.ascontiguousarray(prints[:, i])) for i in range(longs))], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), *text_key(), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def text_key() -> tuple[Column, Column]:
+    """128 bits of hashes of a text; a null text has a key of its own."""
+    return F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(2), "text", F.length("text")).alias("k2")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
-    return np.unpackbits(fps.astype(np.int64).view(np.uint8), bitorder="little").reshape(-1, 64)
+    """(rows, longs) as (rows, bits)."""
+    return np.unpackbits(np.ascontiguousarray(fps, dtype=np.int64).view(np.uint8), bitorder="little").reshape(len(fps), -1)
+
+
+def _columns(table: DataFrame) -> list[str]:
+    return [c for c in table.columns if c == "fp" or c[0] == "f" and c[1:].isdigit()]
+
+
+def _stacked(batch: pa.RecordBatch, first: int = 0) -> np.ndarray:
+    return np.stack([c.to_numpy() for c in batch.columns[first:]], axis=1) if batch.num_rows else np.empty((0, batch.num_columns - first), np.int64)
 
 
 def _summed(table: DataFrame, count: Callable[[np.ndarray], np.ndarray], cells: int) -> np.ndarray:
@@ -69,41 +129,43 @@ def _summed(table: DataFrame, count: Callable[[np.ndarray], np.ndarray], cells:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells, dtype=np.int64)
         for batch in batches:
-            fps = batch.column(0).to_numpy()
-            for at in range(0, len(fps), 100_000):
-                total += count(fps[at : at + 100_000])
+            fps = _stacked(batch)
+            for at in range(0, len(fps), 16_384):
+                total += count(fps[at : at + 16_384])
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
     out = np.zeros(cells, dtype=np.int64)
-    for r in table.select("fp").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[r["cell"]] = r["n"]
+    found = table.select(*_columns(table)).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
-def bit_order(distinct: DataFrame) -> list[int]:
-    """The 64 bits in a chain in which each is followed by the free one that correlates most with it."""
+def bit_order(distinct: DataFrame) -> tuple[list[int], int]:
+    """All bits in a chain in which each is followed by the free one that correlates most with it; and the number of rows."""
+    bits = 64 * len(_columns(distinct))
 
     def count(fps: np.ndarray) -> np.ndarray:
         x = _bits(fps).astype(np.float32)
-        return np.rint(x.T @ x).astype(np.int64).ravel()
+        return np.append(np.rint(x.T @ x).astype(np.int64).ravel(), len(fps))
 
-    both = _summed(distinct, count, 4096).reshape(64, 64).astype(float)
-    n = max(1.0, float(distinct.count()))
+    found = _summed(distinct, count, bits * bits + 1)
+    both, n = found[:-1].reshape(bits, bits).astype(float), max(1.0, float(found[-1]))
     p = np.diag(both) / n
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     r = np.abs(both / n - np.outer(p, p)) / np.outer(spread, spread)
     np.fill_diagonal(r, -1)
     chain = [int(np.unravel_index(np.argmax(r), r.shape)[0])]
-    while len(chain) < 64:
-        free = [j for j in range(64) if j not in chain]
-        chain.append(max(free, key=lambda j: (r[chain[-1], j], -j)))
-    return chain
+    free = np.ones(bits, dtype=bool)
+    for _ in range(bits - 1):
+        free[chain[-1]] = False
+        chain.append(int(np.argmax(np.where(free, r[chain[-1]], -2))))
+    return chain, int(found[-1])
 
 
 def block_distances(distinct: DataFrame, chain: list[int], radius: int) -> np.ndarray:
     """For each block of the chain, the share of pairs of all fingerprints that differ in 0, 1 ... radius of its bits."""
-    blocks, values = 64 // BLOCK, 1 << BLOCK
+    blocks, values = len(chain) // BLOCK, 1 << BLOCK
     weight = 1 << np.arange(BLOCK)
 
     def count(fps: np.ndarray) -> np.ndarray:
@@ -116,86 +178,155 @@ def block_distances(distinct: DataFrame, chain: list[int], radius: int) -> np.nd
     return np.array([[float(x @ ((apart == d) @ x)) for d in range(radius + 1)] for x in h])
 
 
+def _costs(distances: np.ndarray, n: int, most: int) -> dict[tuple[int, int, int], float]:
+    """Cost of each run of blocks (first, end) with threshold t, 0 to most and 3.
+
+    It has C(bits, t) signatures a fingerprint, and for each pair that differs in d <= t of its bits C(bits - d, t - d)
+    comparisons. A run has 32 bits at most.
+    """
+    out = {}
+    for first in range(len(distances)):
+        within = np.zeros(distances.shape[1])
+        within[0] = 1.0
+        for end in range(first + 1, min(len(distances), first + 32 // BLOCK) + 1):
+            within = np.convolve(within, distances[end - 1])[: distances.shape[1]]
+            bits = BLOCK * (end - first)
+            for t in range(min(most, 3) + 1):
+                pairs = sum(within[d] * comb(bits - d, t - d) for d in range(t + 1))
+                out[first, end, t] = ROW_COST * n * comb(bits, t) + PAIR_COST * n * n / 2 * pairs
+    return out
+
+
 def allocate(distances: np.ndarray, n: int, radius: int) -> list[tuple[int, int, int]]:
-    """(first block, end block, threshold) of each probed partition: the least cost of rows and candidate pairs.
+    """(first block, end block, threshold) of each probed partition, such that all pairs within the radius meet, at least cost.
 
-    A run of blocks with threshold t costs C(bits, t) signatures a fingerprint, and for each pair that differs in d <= t
-    of its bits C(bits - d, t - d) comparisons. The program runs over block bounds and over what is used of radius + 1.
+    The program runs over block bounds and over what is used of radius + 1.
     """
     blocks = len(distances)
+    cost = _costs(distances, n, radius)
     best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for end in range(1, blocks + 1):
         for first in range(end):
-            within = np.zeros(radius + 1)
-            within[0] = 1.0
-            for d in distances[first:end]:
-                within = np.convolve(within, d)[: radius + 1]
-            bits = BLOCK * (end - first)
             for used in range(radius + 2):
                 if (first, used) not in best:
                     continue
+                old = best[first, used]
                 for t in range(-1, radius + 1 - used):
-                    if t > 3 or bits > 32 and t >= 0:
+                    if t >= 0 and (first, end, t) not in cost:
                         continue
-                    cost = 0.0 if t < 0 else ROW_COST * n * comb(bits, t) + PAIR_COST * n * n / 2 * sum(within[d] * comb(bits - d, t - d) for d in range(t + 1))
-                    old = best[first, used]
-                    new = (old[0] + cost, (*old[1], (first, end, t)) if t >= 0 else old[1])
+                    new = (old[0] + (cost[first, end, t] if t >= 0 else 0.0), (*old[1], (first, end, t)) if t >= 0 else old[1])
                     if new[0] < best.get((end, used + t + 1), (np.inf,))[0]:
                         best[end, used + t + 1] = new
     return list(best[blocks, radius + 1][1])
 
 
-def signatures(distinct: DataFrame, chain: list[int], parts: list[tuple[int, int, int]]) -> DataFrame:
-    """(key, fp): for each partition and each set of masked bits, the remaining value, tagged with both."""
+def allocate_for(distances: np.ndarray, n: int, apart: float, miss: float = MISS, units: int = 64) -> list[tuple[int, int, int]]:
+    """As allocate(), for pairs that differ in each bit with probability apart: all but a share `miss` of them meet.
+
+    A partition misses such a pair with the probability of more than t differing bits; the program runs over block bounds
+    and over what is used of -log(miss), in `units` steps, partitions counting in whole steps.
+    """
+    blocks, step = len(distances), -log(miss) / units
+    cost = _costs(distances, n, 2)
+    gain = {}
+    for bits in range(BLOCK, 33, BLOCK):
+        for t in range(3):
+            found = sum(comb(bits, d) * apart**d * (1 - apart) ** (bits - d) for d in range(t + 1))
+            gain[bits, t] = min(units, int(-log(max(1e-12, 1 - found)) / step))
+    best = np.full((blocks + 1, units + 1), np.inf)
+    best[0, 0] = 0.0
+    came: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for end in range(1, blocks + 1):
+        best[end] = best[end - 1]
+        for used in range(units + 1):
+            came[end, used] = (end - 1, used, -1)
+        for first in range(max(0, end - 32 // BLOCK), end):
+            for t in range(3):
+                own, plus = gain[BLOCK * (end - first), t], cost[first, end, t]
+                for used in np.flatnonzero(np.isfinite(best[first])).tolist():
+                    to = min(units, used + own)
+                    if own and best[first, used] + plus < best[end, to]:
+                        best[end, to] = best[first, used] + plus
+                        came[end, to] = (first, used, t)
+    out, at = [], (blocks, int(np.flatnonzero(np.isfinite(best[blocks]))[-1]))
+    while at[0]:
+        first, used, t = came[at]
+        if t >= 0:
+            out.append((first, at[0], t))
+        at = (first, used)
+    return out[::-1]
+
+
+def signatures(distinct: DataFrame, chain: list[int], parts: list[tuple[int, int, int]], sent: int = 1) -> DataFrame:
+    """(key, node, first longs): for each partition and each set of masked bits, the remaining value, tagged with both."""
     plans = []
     for number, (first, end, t) in enumerate(parts):
         bits = chain[first * BLOCK : end * BLOCK]
         masks = [np.int64((1 << len(bits)) - 1 - sum(1 << i for i in m)) for m in combinations(range(len(bits)), t)]
         plans.append((number, bits, masks))
+    names = _columns(distinct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy()
-            bits = _bits(fps).astype(np.int64)
+            bits = _bits(_stacked(batch, 1)).astype(np.int64)
             for number, own, masks in plans:
                 value = bits[:, own] @ (np.int64(1) << np.arange(len(own), dtype=np.int64))
                 for k, mask in enumerate(masks):
-                    key = (value & mask) | np.int64((number << 20 | k) << 36)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps)], names=["key", "fp"])
+                    key = (value & mask) | np.int64((number << 16 | k) << 32)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns[: 1 + sent]], names=["key", "node", *names[:sent]])
 
-    return distinct.select("fp").mapInArrow(run, "key long, fp long")
+    return distinct.select("node", *names).mapInArrow(run, ", ".join(f"{c} long" for c in ("key", "node", *names[:sent])))
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= radius
+    return np.bitwise_count((a ^ b).view(np.uint64)).sum(axis=-1) <= radius
 
 
-def spanning_links(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that connect what lies within the radius in one group, by breadth-first search over the not yet reached."""
-    a, b, rest = [], [], fps
+def spanning_links(nodes: np.ndarray, fps: np.ndarray, radius: int, more: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links that connect what lies within the radius in one group, by breadth-first search over the not yet reached.
+
+    With more, for links that are still to be verified: all of up to SMALL connected members, and of further ones also
+    those that connect what lies within half of the radius.
+    """
+    a, b, rest = [], [], np.arange(len(nodes))
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            x = queue.pop()
-            near = _near(rest, x, radius)
+        at = 0
+        while at < len(queue) and len(rest):
+            x = queue[at]
+            at += 1
+            near = _near(fps[rest], fps[x], radius)
             if near.any():
                 found, rest = rest[near], rest[~near]
-                a.append(np.full(len(found), x))
-                b.append(found)
-                queue.extend(found)
+                a.append(np.full(len(found), nodes[x]))
+                b.append(nodes[found])
+                queue.extend(found.tolist())
+        if more and 2 < len(queue) <= SMALL:
+            own = np.array(queue)
+            i, j = np.triu_indices(len(own), 1)
+            near = _near(fps[own[i]], fps[own[j]], radius)
+            a.append(nodes[own[i[near]]])
+            b.append(nodes[own[j[near]]])
+        elif more and len(queue) > SMALL:
+            own = np.array(queue)
+            x, y = spanning_links(nodes[own], fps[own], radius // 2)
+            a += x
+            b += y
     return a, b
 
 
-def near_links(signed: DataFrame, radius: int) -> DataFrame:
-    """(a, b): links within the radius, enough of them to connect all that each group of equal keys connects."""
+def near_links(signed: DataFrame, radius: int, more: bool = False) -> DataFrame:
+    """(a, b): links of nodes within the radius, enough of them to connect all that each group of equal keys connects."""
 
-    def solve(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def solve(columns: list[np.ndarray]) -> pa.RecordBatch:
+        keys, nodes, fps = columns[0], columns[1], np.stack(columns[2:], axis=1)
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
         starts = np.flatnonzero(new)
         sizes = np.diff(np.concatenate([starts, [len(keys)]]))
         a, b = [], []
         for at in np.flatnonzero(sizes > SMALL):
-            x, y = spanning_links(fps[starts[at] : starts[at] + sizes[at]], radius)
+            own = slice(starts[at], starts[at] + sizes[at])
+            x, y = spanning_links(nodes[own], fps[own], radius, more)
             a += x
             b += y
         left = sizes[np.cumsum(new) - 1]
@@ -204,42 +335,34 @@ def near_links(signed: DataFrame, radius: int) -> DataFrame:
         step = 1
         while len(at):
             near = _near(fps[at], fps[at + step], radius)
-            a.append(fps[at[near]])
-            b.append(fps[at[near] + step])
+            a.append(nodes[at[near]])
+            b.append(nodes[at[near] + step])
             step += 1
             at = at[left[at] >= step]
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
         keep = a != b
         pairs = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = [], []
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            now = [c.to_numpy() for c in batch.columns]
+            k = now[0]
             if not len(k):
                 continue
-            if (keys[0][0] if keys else k[0]) != k[-1]:
+            if (held[0][0][0] if held else k[0]) != k[-1]:
                 last = int(np.searchsorted(k, k[-1]))  # the last group may go on in the next batch
-                yield solve(np.concatenate([*keys, k[:last]]), np.concatenate([*fps, f[:last]]))
-                keys, fps = [k[last:]], [f[last:]]
+                yield solve([np.concatenate([*(h[i] for h in held), now[i][:last]]) for i in range(len(now))])
+                held = [[c[last:] for c in now]]
             else:
-                keys, fps = [*keys, k], [*fps, f]
-        if keys:
-            yield solve(np.concatenate(keys), np.concatenate(fps))
+                held.append(now)
+        if held:
+            yield solve([np.concatenate([h[i] for h in held]) for i in range(len(held[0]))])
 
     return signed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def _rooted(prints: DataFrame, radius: int) -> DataFrame:
-    """fp, least (doc_id) and root, which is equal in a component, of each distinct fingerprint."""
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    chain = bit_order(distinct)
-    parts = allocate(block_distances(distinct, chain, radius), distinct.count(), radius)
-    linked = components(near_links(signatures(distinct, chain, parts), radius))
-    return distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-
-
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp (long) and component_id of each row of docs.
 
@@ -248,26 +371,81 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     gives an empty one. Copies share a fingerprint and are one node; a group of near copies is connected by a search
     that gives one link for each member and key, not by all its pairs.
     """
-    prints = settle(fingerprints(docs, width).drop("key"), "prints")
-    of_node = _rooted(prints, radius)
+    prints = settle(fingerprints(docs, width), "prints")
+    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "distinct")
+    chain, n = bit_order(distinct)
+    parts = allocate(block_distances(distinct, chain, radius), n, radius)
+    linked = components(near_links(signatures(distinct, chain, parts), radius))
+    of_node = distinct.join(linked.withColumnRenamed("node", "of"), F.col("fp") == F.col("of"), "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = of_node.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = settle(of_node.join(of_root, "root").select("fp", "component_id"), "nodes")
     return prints.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """One row of docs for each component: one with the least id, null ids last, whatever ids other components have.
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node and hashes (the distinct ones, sorted) of the texts of wanted (node, k1, k2); copies of a text give one row."""
 
-    Rows are told apart by id and a hash of 64 bits of id and text; of rows with equal ids and texts the first in the order
-    of their columns stays.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            nodes, sets = [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if node != now:
+                    now = node
+                    nodes.append(node)
+                    sets.append(np.unique(shingle_hashes((text.as_py() or "").encode("utf-8", "surrogatepass"), width)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, type=pa.int64()), pa.array(sets, type=pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    texts = docs.select(*text_key(), "text").join(wanted, ["k1", "k2"])
+    return texts.sortWithinPartitions("k1", "k2").select("node", "text").mapInArrow(run, "node long, hashes array<long>")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts have at least this Jaccard similarity of distinct shingles; nodes: node, k1, k2."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+    wanted = nodes.join(ends, F.col("node") == F.col("of"), "left_semi").select("node", "k1", "k2")
+    # a hot copy's rows may be split over tasks, each of which gives its set
+    sets = settle(_shingle_sets(docs, wanted, width), "shingles").dropDuplicates(["node"])
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
+    both = links.join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(common >= similarity * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b")
+
+
+def duplicates_by_similarity(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, k1, k2 and root of each distinct (id, text) that stands for its near-duplicates: the one with the least id.
+
+    Texts of at least this Jaccard similarity of distinct shingles of `width` words are linked, and linked ones are one
+    group; see the module's text for how they are found. Texts of equal fingerprints are taken as equal. A null text has
+    no words, and texts without words are one group. Null ids come last; of equal ids the least hash of the text.
+    """
+    prints = settle(wide_fingerprints(docs, width), "prints")
+    longs = _columns(prints)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("first")
+    nodes = prints.groupBy(*longs).agg(first).select(F.monotonically_increasing_id().alias("node"), *longs, "first")
+    nodes = settle(nodes, "nodes")
+    cosine = 2 * similarity / (1 + similarity)
+    apart = acos(cosine) / pi
+    bits = 64 * SENT
+    radius = int(bits * apart + DEVIATIONS * sqrt(bits * apart * (1 - apart)))
+    chain, n = bit_order(nodes)
+    parts = allocate_for(block_distances(nodes, chain, 2), n, apart)
+    links = settle(near_links(signatures(nodes, chain, parts, SENT), radius, more=True).distinct(), "candidates")
+    keys = nodes.select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
+    linked = components(similar_links(docs, keys, links, width, similarity))
+    rooted = nodes.select("node", "first").join(linked.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), "first")
+    return rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.k1", "first.k2", "root")
+
+
+def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of docs for each group of near-duplicates, columns as in docs; see duplicates_by_similarity().
+
+    Rows are told apart by id and text, so that texts under one id, or none, are judged one by one; of rows that agree in
+    both, the first in the order of their columns stays. An empty table gives an empty one.
     """
-    key = F.xxhash64("doc_id", "text")
-    prints = settle(fingerprints(docs, width, key), "prints")
-    first = lambda c: F.min(c).alias("first")
-    of_fp = prints.groupBy("fp").agg(first(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")))
-    kept = _rooted(prints, radius).select("fp", "root").join(of_fp, "fp").groupBy("root").agg(first("first"))
-    kept = settle(kept.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_kept")), "kept")
-    rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), key.alias("_key"), F.struct("*").alias("_row"))
-    rows = rows.join(kept, (rows["_key"] == kept["_kept"]) & rows["_doc"].eqNullSafe(kept["_id"]), "left_semi")
-    order = [F.col(f"_row.{c}") for c in docs.columns if c != "doc_id" and not docs.schema[c].dataType.simpleString().startswith("map")]
-    return rows.withColumn("_at", F.row_number().over(W.partitionBy("_doc", "_key").orderBy(*order or [F.lit(0)]))).where("_at = 1").select("_row.*")
+    kept = settle(duplicates_by_similarity(docs, width, similarity), "kept").select("k1", "k2", F.col("doc_id").alias("id"), F.col("doc_id").isNull().alias("none"))
+    rows = docs.select(*text_key(), F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
+    # one exchange by the text's key serves the join and the window
+    met = rows.join(kept.withColumnsRenamed({"id": "_id"}), ["k1", "k2"]).where((F.col("id") == F.col("_id")) | (F.col("none") & F.col("id").isNull()))
+    order = [F.col(f"row.`{c}`") for c in docs.columns if c != "doc_id" and not docs.schema[c].dataType.simpleString().startswith(("map", "variant"))]
+    return met.withColumn("at", F.row_number().over(W.partitionBy("k1", "k2", "id").orderBy(*order or [F.lit(0)]))).where("at = 1").select("row.*")
