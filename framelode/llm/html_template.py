@@ -1,16 +1,17 @@
 """Main text of web pages by template deduction.
 
-Pages of a host are taken in groups. Tokens are element paths and texts at their paths; tokens with equal vectors of
-occurrences over the pages of a group are an equivalence class. The class that occurs once in every page, as far as its
-order agrees in all pages, is the template's skeleton; the other classes that occur in one slot of it only are nested
-there. What the slots hold is the pages' own content, and of the slots those in the article's place are extracted.
+Tokens are element paths, and texts at their paths. Over all distinct pages of a host, tokens with equal vectors of
+occurrences are an equivalence class; a vector is known by its hashes of page and count, combined bit by bit. The class
+that occurs once in every page is the template's skeleton; the others, which occur on some pages or several times, are
+nested in it. The text that follows a token of a class is a slot: slots that hold the same texts again and again, or links,
+belong to the template, and a nested class of such slots goes as a whole. What the other slots hold is the pages' own.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Distinct pages of a host from which one skeleton is deduced; rows that wait for a group's end at most, copies included.
-GROUP, WAITING = 64, 65_536
+#: Distinct pages of its host that a text recurs on, and a path is judged from, at least; share of its host's pages that a
+#: path is judged from; share of recurring or linked characters over which a slot or class belongs to the template; share of
+#: pages from which a text does so wherever it stands.
+RECURS, JUDGED, MOSTLY, CONSTANT = 3, 0.01, 0.5, 0.6
 #: Elements that end a block, that stand alone, that hold no readable text, that are closed by a following one.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,51 +36,82 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 ASIDE = frozenset("head nav footer aside form menu dialog button select fieldset datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CUES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promoted promotion banner menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars widget widgets related recommended share sharing social cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond response responses discussion disqus footer masthead copyright disclaimer skip toolbar pagination pager".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promoted promotion banner menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars widget widgets related recommended share sharing social cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond response responses discussion disqus footer masthead copyright disclaimer skip toolbar pagination pager feedback".split()
 )
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Words of class or id that say nothing of what an element holds: the word before them does.
+PLAIN = frozenset("area bar block body bottom box button buttons center col column container content feed form group grid header heading holder icon icons inner item items left link links list main panel post posts right row section slot text title top unit wrap wrapper zone".split())
+ATTRIBUTES = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+""")
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][-\w:.]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def hashed(*parts: str | int) -> int:
+    """A long that stands for parts."""
+    return xxhash.xxh64_intdigest("\0".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 @dataclass
 class Page:
-    """Elements as (parent, path, flag), and blocks as (element, text, characters in links) in the order of the page."""
+    """Elements as parent, name, path (a long that stands for names and classes from the root on) and flag, and blocks as
+    (element, text, characters in links) in the order of the page."""
 
     parents: list[int] = field(default_factory=list)
     names: list[str] = field(default_factory=list)
-    paths: list[str] = field(default_factory=list)
+    paths: list[int] = field(default_factory=list)
     flags: list[int] = field(default_factory=list)
-    blocks: list[tuple[int, str, int, int]] = field(default_factory=list)
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)
+
+    def path(self, element: int) -> int:
+        return self.paths[element] if element >= 0 else 0
+
+
+def cued(tokens: list[str], cues: frozenset) -> bool:
+    """Whether one of the tokens names a cue: by its last word that isn't a plain one, so a share-price is no share."""
+    for t in tokens:
+        words = [w.lower() for w in WORDS.findall(t) if len(w) > 1 and not w.isdigit()]
+        while len(words) > 1 and words[-1] in PLAIN:
+            words.pop()
+        if words and words[-1] in cues:
+            return True
+    return False
+
+
+#: Marks of an article element that isn't the page's own.
+OTHERS = frozenset("comment comments reply related sponsored advert ad".split())
 
 
 def _flag(name: str, rest: str) -> tuple[str, int]:
     """The class as it stands in a path, and 1 if element, role or words of class and id mark it, 2 if it is the article's place."""
     found = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(rest)} if rest.strip(" /") else {}
     label = f".{'.'.join(sorted(found['class'].split()))}" if found.get("class") else ""
+    tokens = f"{found.get('class', '')} {found.get('id', '')}".split()
     if name in ("article", "main") or found.get("role", "").lower() in ("main", "article"):
-        words = {w.lower() for w in WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-        return label, 1 if words & {"comment", "comments", "reply", "related", "sponsored", "advert", "ad"} else 2
+        return label, 1 if cued(tokens, OTHERS) else 2
     if name in ASIDE or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
         return label, 1
-    words = {w.lower() for w in WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    return label, 3 if words & CUES else 4 if name == "header" or words & {"header"} else 0
+    return label, 3 if cued(tokens, CUES) else 4 if name == "header" or any("header" in WORDS.findall(t.lower()) for t in tokens) else 0
 
 
 def parse(source: str) -> Page:
-    """Elements and text blocks of a page, whatever its markup is like; scripts, styles and comments are left out."""
+    """Elements and text blocks of a page, whatever its markup is like; scripts, styles and comments are left out.
+
+    The work is in proportion to the page: what has no end (a quote, a comment, an element without text of its own) is
+    searched for once. After a tag that doesn't end because of a quote, tags end at their first ">".
+    """
     page = Page()
     stack: list[tuple[str, int]] = []
+    opened: Counter = Counter()
     parts: list[str] = []
-    linked, links, at = 0, 0, 0
-    text_at = -1
+    linked, at, text_at = 0, 0, -1
+    strict, endless = True, set()
 
     def flush() -> None:
         nonlocal parts, linked, text_at
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                page.blocks.append((text_at, text, linked, len(page.parents)))
+                page.blocks.append((text_at, text, linked))
             parts, linked, text_at = [], 0, -1
 
     def say(raw: str) -> None:
@@ -85,17 +119,30 @@ def parse(source: str) -> Page:
         if raw:
             said = html.unescape(raw) if "&" in raw else raw
             parts.append(said)
-            if links:
+            if opened["a"]:
                 linked += len(said)
             if text_at < 0 and not said.isspace():
                 text_at = stack[-1][1] if stack else -1
 
     def pop_to(depth: int) -> None:
-        nonlocal links
         while len(stack) > depth:
-            name, _ = stack.pop()
-            if name == "a":
-                links -= 1
+            opened[stack.pop()[0]] -= 1
+
+    def close(names: set[str], scopes: set[str] = frozenset()) -> None:
+        """Close the innermost open element of these names, unless one of scopes is inside of it."""
+        if any(opened[n] for n in names):
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] in scopes:
+                    return
+                if stack[depth][0] in names:
+                    return pop_to(depth)
+
+    def after(mark: str, begin: int) -> int:
+        """Where the next mark ends, or -1."""
+        found = -1 if mark in endless else source.find(mark, begin)
+        if found < 0:
+            endless.add(mark)
+        return found + len(mark) if found >= 0 else -1
 
     end = len(source)
     while at < end:
@@ -104,42 +151,46 @@ def parse(source: str) -> Page:
             say(source[at:])
             break
         say(source[at:begin])
-        m = TAG.match(source, begin)
+        m = NAME.match(source, begin + 1)
         if not m:
-            say("<")
-            at = begin + 1
-            continue
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
-        if not name:
+            if source.startswith("<!--", begin):
+                at = after("-->", begin + 4)
+                at = end if at < 0 else at
+                continue
+            stop = after("]]>", begin) if source.startswith("<![CDATA[", begin) else -1
+            if stop < 0 and source[begin + 1 : begin + 2] in ("!", "?"):
+                stop = after(">", begin)
+            if stop < 0:
+                say("<")
+            at = stop if stop >= 0 else begin + 1
             continue
-        closing, rest = (m["close"] if m["name"] else m["close2"]), (m["rest"] if m["name"] else m["rest2"]) or ""
-        if closing:
+        stop = ATTRIBUTES.match(source, m.end()).end() if strict else -1
+        if stop < 0 or source[stop : stop + 1] != ">":
+            strict = False
+            stop = after(">", m.end()) - 1
+            if stop < 0:
+                say("<")
+                at = begin + 1
+                continue
+        at, name, rest = stop + 1, m[2].lower(), source[m.end() : stop]
+        if m[1]:
             if name in BLOCKS:
                 flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    pop_to(depth)
-                    break
+            close({name})
             continue
         if name == "br":
             parts.append(" ")
             continue
         if name in BLOCKS:
             flush()
-            if any(n == "p" for n, _ in stack):  # a block ends an open paragraph
-                depth = max(i for i, (n, _) in enumerate(stack) if n == "p")
-                pop_to(depth)
+            close({"p"})  # a block ends an open paragraph
         if name in CLOSES:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in SCOPES[name]:
-                    break
-                if stack[depth][0] in CLOSES[name]:
-                    pop_to(depth)
-                    break
+            close(CLOSES[name], SCOPES[name])
         if name in RAW:
-            close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(source, at)
-            at = close.end() if close else (end if name in ("script", "style") else at)
+            found = None if name in endless else re.compile(rf"</{name}\s*+>", re.IGNORECASE).search(source, at)
+            if not found:
+                endless.add(name)
+            at = found.end() if found else (end if name in ("script", "style") else at)
             continue
         if name in VOID or rest.endswith("/") and name not in BLOCKS:
             continue
@@ -147,10 +198,10 @@ def parse(source: str) -> Page:
         parent = stack[-1][1] if stack else -1
         page.parents.append(parent)
         page.names.append(name)
-        page.paths.append((page.paths[parent] + "/" if parent >= 0 else "") + name + label)
+        page.paths.append(hashed(page.path(parent), name + label))
         page.flags.append(flag)
         stack.append((name, len(page.parents) - 1))
-        links += name == "a"
+        opened[name] += 1
     flush()
     return page
 
@@ -174,156 +225,113 @@ def judged(page: Page) -> list[int]:
     return out
 
 
-def deduce(pages: list[Page]) -> tuple[list[str], dict[int, list[list[str]]], set[tuple[str, str]]]:
-    """Skeleton, classes nested in its slots, and texts that belong to the template, of the pages of a group."""
-    n = len(pages)
-    counts: dict[object, Counter] = defaultdict(Counter)
-    for k, page in enumerate(pages):
-        for path in page.paths:
-            counts[path][k] += 1
-        for element, text, _, _ in page.blocks:
-            counts[page.paths[element] if element >= 0 else "", text][k] += 1
-    classes: dict[tuple, list] = defaultdict(list)
-    for token, vector in counts.items():
-        classes[tuple(sorted(vector.items()))].append(token)
-    once = [t for t in classes.get(tuple((k, 1) for k in range(n)), []) if isinstance(t, str)]
-    where = [{path: i for i, path in enumerate(page.paths)} for page in pages]
-    skeleton: list[str] = []
-    for path in sorted(once, key=lambda p: where[0][p]):
-        if not skeleton or all(w[skeleton[-1]] < w[path] for w in where):
-            skeleton.append(path)
-    nested: dict[int, list[list[str]]] = defaultdict(list)
-    for vector, tokens in classes.items():
-        paths = [t for t in tokens if isinstance(t, str)]
-        if len(vector) > 1 and paths and any(c > 1 for _, c in vector) or len(vector) < n and len(vector) > 1 and paths:
-            slots = {_slot(skeleton, where[k], i) for k, _ in vector for i, p in enumerate(pages[k].paths) if p in paths}
-            if len(slots) == 1:
-                nested[slots.pop()].append(paths)
-    fixed = {t for t, v in counts.items() if not isinstance(t, str) and len(v) >= max(3, 0.6 * n)}
-    return skeleton, nested, fixed
-
-
-def _slot(skeleton: list[str], where: dict[str, int], element: int) -> int:
-    """Number of the skeleton's tokens that stand at or before an element of a page."""
-    lo, hi = 0, len(skeleton)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if where[skeleton[mid]] <= element:
-            lo = mid + 1
-        else:
-            hi = mid
-    return lo
-
-
-def token(page: Page, element: int, text: str) -> int:
-    """A block's path and text as a long."""
-    path = page.paths[element] if element >= 0 else ""
-    return xxhash.xxh64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+def tokens(page: Page) -> list[tuple[int, int | None, int, int, int]]:
+    """(path, text or None, times, characters, linked ones) of the tokens of a page; path 0 stands for the page itself."""
+    out = [(0, None, 1, 0, 0), *((path, None, n, 0, 0) for path, n in Counter(page.paths).items() if path)]
+    texts: dict[tuple[int, int], list[int]] = {}
+    for element, text, linked in page.blocks:
+        own = texts.setdefault((page.path(element), hashed(text)), [0, 0, 0])
+        own[0] += 1
+        own[1] += len(text)
+        own[2] += linked
+    return out + [(*key, *own) for key, own in texts.items()]
 
 
-def main_texts(sources: list[str], constants: set[int] | None = None) -> list[str]:
-    """Main text of each page of a group; equal pages count once in the deduction.
+def classes(rows: DataFrame) -> DataFrame:
+    """rows (host, html) -> host (a long), path, text (null: the path itself), pages, most, vector, chars, linked, total.
 
-    constants are the tokens that the template of the whole host holds; without them those of the group are taken.
+    Tokens with equal vectors are one class: the vector combines hashes of page and count over the distinct pages.
+    total is the number of distinct pages of the host, and most the largest count on one page.
     """
-    distinct = {s: None for s in sources}
-    for s in distinct:
-        distinct[s] = parse(s)
-    pages = list(distinct.values())
-    skeleton, _, fixed = deduce(pages)
-    marks = [judged(p) for p in pages]
-    where = [{path: i for i, path in enumerate(page.paths)} for page in pages]
-    # content of each slot over the group: characters in the article's place, and of other text, not linked and not fixed
-    slots: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0])
-    rows = []
-    for page, mark, place in zip(pages, marks, where, strict=True):
-        own = []
-        for element, text, linked, _ in page.blocks:
-            m = mark[element] if element >= 0 else 0
-            slot = _slot(skeleton, place, element)
-            if constants is None:
-                constant = m != 2 and len(pages) > 2 and ((page.paths[element] if element >= 0 else ""), text) in fixed
-            else:
-                constant = m != 2 and token(page, element, text) in constants
-            own.append((slot, m, constant, text))
-            if m != 1 and not constant:
-                slots[slot][0 if m == 2 else 1] += len(text)
-                slots[slot][2] += linked
-        rows.append(own)
-    linky = {s for s, (a, b, c) in slots.items() if c > 0.5 * (a + b)}
-    texts = {}
-    for source, own in zip(distinct, rows, strict=True):
-        if any(m == 2 for _, m, _, _ in own):
-            chosen = [t for _, m, _, t in own if m == 2]
-        else:
-            chosen = [t for s, m, constant, t in own if m == 0 and not constant and s not in linky]
-        texts[source] = "\n".join(chosen)
-    return [texts[s] for s in sources]
-
-
-def host_constants(rows: DataFrame) -> DataFrame:
-    """rows (host, html) -> (host, constants): tokens that 3 distinct pages and 0.6 of all distinct ones of the host hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, pages, tokens = [], [], []
+            out: list[tuple] = []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 source = source.as_py() or ""
-                page = parse(source)
-                own = [None, *{token(page, element, text) for element, text, _, _ in page.blocks}]
-                hosts += [host] * len(own)
-                pages += [xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass")) - (1 << 63)] * len(own)
-                tokens += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, type=pa.string()), pa.array(pages, type=pa.int64()), pa.array(tokens, type=pa.int64())], names=["host", "page", "token"])
+                key = xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass")) - (1 << 63)
+                out += [(host, key, *t) for t in tokens(parse(source))]
+                if len(out) > 50_000:
+                    yield packed(out)
+                    out = []
+            if out:
+                yield packed(out)
+
+    names = ["host", "page", "path", "text", "times", "chars", "linked"]
+    packed = lambda out: pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=names)
+    seen = rows.select("host", "html").mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct()
+    whole = lambda c: F.sum(c).alias(c)
+    counted = seen.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("pages"), F.max("times").alias("most"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"), whole("chars"), whole("linked"))
+    counted = settle(counted, "tokens")
+    sizes = counted.where("path = 0 and text is null").select(F.col("host").alias("of"), F.col("pages").alias("total"))
+    return counted.join(sizes, F.col("host") == F.col("of")).drop("of")
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """rows (host, html) -> host, slots and constants: paths whose slots belong to the template, and hashes of path and text.
+
+    A host's arrays are bounded by the size of its pages: what they hold occurs on a share of them at least.
+    """
+    found = classes(rows)
+    often = F.col("text").isNotNull() & (F.col("pages") >= RECURS)
+    constants = found.where(often & (F.col("pages") >= CONSTANT * F.col("total"))).groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("constants"))
+    amount = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    texts = F.col("text").isNotNull()
+    own = lambda c: F.max(F.when(~texts, F.col(c))).alias(c)
+    slots = found.where("path <> 0").groupBy("host", "path").agg(own("pages"), own("most"), own("vector"), F.max("total").alias("total"), amount("chars", "chars"), amount(F.when(often, F.col("chars")), "recurring"), amount("linked", "linked"))
+    slots = slots.where((F.col("pages") >= RECURS) & (F.col("pages") >= JUDGED * F.col("total")))
+    mostly = lambda chars, part: F.col(part) > MOSTLY * F.col(chars)
+    # the skeleton's slots are judged one by one, those of a nested class together too
+    nested = slots.where("pages < total or most > 1").groupBy("host", "vector").agg(F.sum("chars").alias("all"), F.sum("recurring").alias("of_it"))
+    nested = nested.where(mostly("all", "of_it")).select(F.col("host").alias("at"), F.col("vector").alias("kind"))
+    both = slots.join(nested, (F.col("host") == F.col("at")) & (F.col("vector") == F.col("kind")), "left")
+    fixed = both.where(F.col("kind").isNotNull() | mostly("chars", "recurring") | mostly("chars", "linked")).groupBy("host").agg(F.collect_set("path").alias("slots"))
+    return fixed.join(constants, "host", "full_outer")
+
+
+def content(page: Page, slots: set[int], constants: set[tuple[int, int]]) -> str:
+    """The page's text: the blocks in the article's place, if it has one; else those of slots that aren't the template's.
+
+    Elements, roles and words of class or id that mark what isn't the article are left out in either case.
+    """
+    marks = judged(page)
+    mark = lambda element: marks[element] if element >= 0 else 0
+    chosen = [text for element, text, _ in page.blocks if mark(element) == 2]
+    if not chosen:
+        chosen = [text for element, text, _ in page.blocks if mark(element) == 0 and page.path(element) not in slots and (page.path(element), hashed(text)) not in constants]
+    return "\n".join(chosen)
+
 
-    held = rows.select("host", "html").mapInArrow(run, "host string, page long, token long").distinct()
-    counted = settle(held.groupBy("host", "token").agg(F.count(F.lit(1)).alias("n")).where("token is null or n >= 3"), "tokens")
-    sizes = counted.where("token is null").select("host", F.col("n").alias("pages"))
-    often = counted.where("token is not null").join(sizes, "host").where("n >= 0.6D * pages")
-    return often.groupBy("host").agg(F.collect_list("token").alias("constants"))
+def main_text(source: str | None) -> str:
+    """Text of a page of which no other page of its host is known."""
+    return content(parse(source or ""), set(), set())
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each row of pages (page_id, url, html).
 
-    Null html is an empty page, whose text is empty; a null url is a host of its own; rows may repeat. Template texts are
-    counted over all distinct pages of a host. Pages are dealt by ranges of (host, 10 bits of a hash of the row), so a host
-    with many pages lies in many tasks; a row with the host's constants precedes each such part, and each task holds one
-    group at a time. An empty table gives an empty one.
+    Null html is an empty page, whose text is empty; a null url is a host of its own; rows may repeat. The template of a
+    host comes from all its distinct pages by partial aggregation, so results depend neither on how rows are dealt nor on
+    copies; pages meet it in a join by host, whose large side may be split. A text that stands in an article's place is
+    never judged by the template, however often it recurs. An empty table gives an empty one.
     """
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit(""))
-    at = F.xxhash64("page_id", "url")
-    rows = pages.select("page_id", "url", host.alias("host"), F.shiftrightunsigned(at, 54).alias("part"), at.alias("at"), "html", F.lit(None).cast("array<long>").alias("constants"))
-    names, kinds = ["page_id", "url", "text", "n_chars"], [pa.int64(), pa.string(), pa.string(), pa.int64()]
-    before = rows.select("host", "part").distinct().join(host_constants(rows), "host")
-    before = before.select(F.lit(None).cast(rows.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("url"), "host", "part", F.lit(None).cast("long").alias("at"), F.lit(None).cast("string").alias("html"), "constants")
-
-    def solve(group: list[tuple], sources: dict[str, int], constants: set[int]) -> Iterator[pa.RecordBatch]:
-        texts = main_texts(list(sources), constants)
-        for begin in range(0, len(group), 4 * GROUP):
-            some = group[begin : begin + 4 * GROUP]
-            own = [texts[g[2]] for g in some]
-            columns = [[g[0] for g in some], [g[1] for g in some], own, [len(t) for t in own]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=names)
+    host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit("")))
+    rows = pages.select("page_id", "url", host.alias("host"), "html")
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, sources, now, constants = [], {}, None, set()
+        now, slots, constants = None, set(), set()
         for batch in batches:
-            columns = [batch.column(i) for i in range(5)]
-            for i in range(batch.num_rows):
-                page, url, of, source, found = (c[i].as_py() for c in columns)
-                source = source or ""
-                if group and (of != now or len(group) >= WAITING or found is None and len(sources) >= GROUP and source not in sources):
-                    yield from solve(group, sources, constants)
-                    group, sources = [], {}
-                if of != now:
-                    now, constants = of, set()
-                if found is not None:
-                    constants = constants or set(found)
-                    continue
-                group.append((page, url, sources.setdefault(source, len(sources))))
-        if group:
-            yield from solve(group, sources, constants)
-
-    dealt = rows.unionByName(before).repartitionByRange("host", "part").sortWithinPartitions("host", "part", F.col("constants").isNull(), "at").select("page_id", "url", "host", "html", "constants")
-    return dealt.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+            for begin in range(0, batch.num_rows, 256):
+                some = batch.slice(begin, 256)
+                texts = []
+                for host, source, found, fixed in zip(some.column(2).to_pylist(), some.column(3), some.column(4), some.column(5), strict=True):
+                    if host != now:
+                        now, slots = host, set(found.as_py() or [])
+                        constants = {(c["path"], c["text"]) for c in fixed.as_py() or []}
+                    texts.append(content(parse(source.as_py() or ""), slots, constants))
+                columns = [some.column(0), some.column(1), texts, [len(t) for t in texts]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "text", "n_chars"])
+
+    met = rows.join(templates(rows), "host", "left").select("page_id", "url", "host", "html", "slots", "constants")
+    return met.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

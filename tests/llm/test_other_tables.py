@@ -1,7 +1,9 @@
 """Operators over pages, vectors, urls and conversations."""
 
+import collections
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -27,18 +29,56 @@ CASES = [
 
 def test_main_text():
     for body, expected in CASES:
-        assert html_template.main_texts([page("T", body)]) == [f"T\n{expected}"]
-    assert html_template.main_texts([""]) == [""]
-    assert html_template.main_texts(["plain < text &eacute;"]) == ["plain < text é"]
-
-
-def test_template_without_article():
-    sources = [f"<body><div class=top>Welcome to the site</div><div class=text><p>Own words {i} and {i * 7}</p></div><div class=end>All rights</div></body>" for i in range(6)]
-    assert html_template.main_texts(sources) == [f"Own words {i} and {i * 7}" for i in range(6)]
-    skeleton, nested, fixed = html_template.deduce([html_template.parse(s) for s in sources])
-    assert len(skeleton) >= 4 and any("Welcome" in t for _, t in fixed)
-    lists = [html_template.parse("<ul>" + "<li>a" * (i + 2) + "</ul><p>end") for i in range(4)]
-    assert any(["ul/li"] in c for c in html_template.deduce(lists)[1].values())
+        assert html_template.main_text(page("T", body)) == f"T\n{expected}"
+    assert html_template.main_text("") == html_template.main_text(None) == ""
+    assert html_template.main_text("plain < text &eacute;") == "plain < text é"
+
+
+def test_marks_are_the_names_of_elements_not_any_word_of_them():
+    for name, kept in (("share-price", True), ("notice-of-motion", True), ("user-feedback", False), ("cookie-notice", False), ("ad-slot", False), ("readerComments", False), ("sidebar_left", False)):
+        assert html_template.main_text(f'<article><p>a</p><div class="{name}">b</div></article>') == ("a\nb" if kept else "a"), name
+
+
+@pytest.mark.parametrize("source", ['<b x="' * 170_000, "<div>" * 100_000 + "x", "<svg>a" * 150_000, "<![CDATA[" * 100_000, "<div>" * 20_000 + "</x>" * 200_000, "<a" + " " * 1_000_000 + ">x", "<ul>" + "<div>" * 3000 + "<li>x" * 30_000, "<!--" * 200_000], ids=["quotes", "levels", "raw", "cdata", "closing", "spaces", "items", "comments"])
+def test_hostile_pages_take_linear_time(source):
+    began = time.process_time()
+    html_template.main_text(source)
+    assert time.process_time() - began < 20
+
+
+def test_classes_are_brute_force(spark):
+    rng = random.Random(6)
+    sources = ["<body><div class=top>Hi</div>" + "".join(f"<ul>{'<li>a' * rng.randint(1, 3)}</ul>" if rng.random() < 0.5 else f"<p>t{rng.randint(0, 5)}<i>x</i>" for _ in range(rng.randint(0, 3))) + "</body>" for _ in range(40)]
+    rows = [(1, s) for s in sources] + [(1, sources[0])] * 5 + [(2, sources[3]), (2, None)]
+    found = collections.defaultdict(set)
+    for r in html_template.classes(spark.createDataFrame(rows, "host long, html string")).collect():
+        found[r.host, r.vector].add((r.path, r.text))
+    expected = set()
+    for host in (1, 2):
+        vectors = collections.defaultdict(dict)
+        for k, s in enumerate({s or "" for h, s in rows if h == host}):
+            for path, text, times, _, _ in html_template.tokens(html_template.parse(s)):
+                vectors[path, text][k] = times
+        same = collections.defaultdict(set)
+        for token, vector in vectors.items():
+            same[tuple(sorted(vector.items()))].add(token)
+        expected |= {(host, frozenset(v)) for v in same.values()}
+    assert {(host, frozenset(v)) for (host, _), v in found.items()} == expected
+
+
+def test_template_decides_where_no_article_is_marked(spark):
+    def source(i):
+        offer = f"<div class=deal><h3>Offer of the week, number {i % 3}</h3><p>Now {i}</p></div>" if i % 2 else ""
+        links = "".join(f"<a href=/{k}>Read {i * 7 + k}</a> " for k in range(4))
+        return f"<body><div class=top>Welcome to the site</div>{offer}<div class=text><p>Own words {i} and {i * 7}</p><p>More of {i}</p></div><div class=more>{links}</div><div class=end>All rights</div></body>"
+
+    rows = [(i, f"http://h{i % 3}.x/", source(i)) for i in range(600)] + [(1000 + i, "http://h1.x/", source(1)) for i in range(400)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    # an offer's name recurs, and is most of the text of its nested class; its price doesn't and goes with the class
+    expected = {i: f"Own words {k} and {k * 7}\nMore of {k}" for i, k in [(i, i) for i in range(600)] + [(1000 + i, 1) for i in range(400)]}
+    few = {r.page_id: r.text for r in html_template.extract(table.repartition(4)).collect()}
+    many = {r.page_id: r.text for r in html_template.extract(table.repartition(61, "page_id")).collect()}
+    assert few == many == expected
 
 
 def test_extract_pages(spark):
