@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from .common import running_total, settle
 
 #: Marks of a turn. A text holds none of them: a backslash goes into each "<|", one more where there are some already.
 START, END = "<|im_start|>", "<|im_end|>"
-#: Characters of formatted text after which a conversation goes on in a further part.
+#: Characters of formatted text after which a part ends. Parts are the only form of a conversation: in order, they are its text.
 PART_CHARS = 4_000_000
 
 
@@ -52,25 +53,29 @@ def best_paths(nodes: DataFrame, branches: int = 1, most_levels: int = 40) -> Da
     """(key, leaf, node, depth) of the nodes on the best root-to-leaf paths of each tree.
 
     nodes: key, node, parent (null at a root), score. Self-joins double the ancestor known of each node, so a path of n
-    nodes takes log2(n) rounds; each round is written to the shared folder. Leaves are ranked by the sum of scores on
-    their path, then by depth, then by node; the first `branches` of a tree are chosen and their paths enumerated by
-    the ancestors of the rounds, the longest jump first. A parent that doesn't exist makes its child a root.
+    nodes takes log2(n) rounds; each round is written to the shared folder, and only trees in which a node's root isn't
+    reached yet go on to the next. Leaves are ranked by the sum of scores on their path, then by depth, then by node; the
+    first `branches` of a tree are chosen and their paths enumerated by the ancestors of the rounds, the longest jump
+    first. A parent that doesn't exist makes its child a root.
     """
     known = nodes.select("key", F.col("node").alias("parent"), F.lit(True).alias("_there"))
     plain = nodes.select("key", "node", "parent", "score").join(known, ["key", "parent"], "left")
-    live = settle(plain.select("key", "node", F.when(F.col("_there"), F.col("parent")).alias("up"), "score", F.lit(0).cast("long").alias("far")), "jump")
-    # live holds the nodes whose ancestor is known but isn't the root; the others are done and no longer joined
-    done, jumps = live.where("up is null"), []
-    live = live.where("up is not null")
-    while live.limit(1).count():
+    now = settle(plain.select("key", "node", F.when(F.col("_there"), F.col("parent")).alias("up"), "score", F.lit(0).cast("long").alias("far")), "jump")
+    jumps, ended = [], []
+    while True:
+        going = settle(now.where("up is not null").select("key").distinct(), "going")
+        if going.isEmpty():
+            ended.append(now)
+            break
         if len(jumps) >= most_levels:
             raise ValueError("a reply tree has a cycle")
-        jumps.append(live)
-        above = live.unionByName(done).select("key", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("far").alias("_far"))
-        reach = F.lit(1 << (len(jumps) - 1)).cast("long")
-        met = live.join(above, ["key", "up"])
-        step = settle(met.select("key", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_score")).alias("score"), (reach + F.col("_far")).alias("far")), "jump")
-        done, live = done.unionByName(step.where("up is null")), step.where("up is not null")
+        reach = F.lit(1 << len(jumps)).cast("long")
+        jumps.append(now.where("up is not null"))
+        ended.append(now.join(going, "key", "left_anti"))
+        above = now.select("key", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("far").alias("_far"))
+        met = now.join(going, "key", "left_semi").join(above, ["key", "up"], "left")
+        now = settle(met.select("key", "node", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"), F.when(F.col("up").isNull(), F.col("far")).otherwise(reach + F.col("_far")).alias("far")), "jump")
+    done = reduce(DataFrame.unionByName, ended)
     leaves = done.join(jumps[0].select("key", F.col("up").alias("node")).distinct(), ["key", "node"], "left_anti") if jumps else done
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.col("score").desc(), F.col("far").desc(), "node"))
     paths = leaves.withColumn("_rank", rank).where(F.col("_rank") <= branches).select("key", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("below"))
