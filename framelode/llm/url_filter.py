@@ -26,6 +26,10 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return lower_ascii(F.coalesce(F.regexp_extract(url, parts, 1), F.lit(""))), F.coalesce(F.regexp_extract(url, parts, 2), F.lit(""))
 
 
+def label_count(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule and verdict of each row of pages.
 
@@ -33,23 +37,22 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     (characters of host and path together) wins; of equally long ones the one with the longer host, of equal rules one
     that blocks. No rule: null and the default verdict. A null url has an empty host and path, and repeated or null
     page_ids are judged row by row.
-    Each url is expanded into all suffixes of its host and, for each length of a rule's path, one prefix of its path; the
-    lengths are as many as the rules have, at most as long as the longest. The first aggregation is partial and
+    Each url is expanded into one suffix of its host for each number of labels that a rule's host has and, for each length
+    of a rule's path, one prefix of its path; so a host of very many labels costs no more than another. The first aggregation is partial and
     finds all expressions of a row in one task, so one row a page is shuffled. Rules over BROADCAST_ROWS are joined by shuffle, where
     AQE splits hot prefixes.
     """
     rules = rules.select(lower_ascii(F.col("rule_host")).alias("rule_host"), "rule_path", "rule_verdict").where("rule_host is not null and rule_path is not null")
-    shape = rules.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length("rule_path"))).alias("lengths")).first()
+    shape = rules.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length("rule_path"))).alias("lengths"), F.array_sort(F.collect_set(label_count(F.col("rule_host")))).alias("labels")).first()
     digest = lambda h, p: F.sha2(F.concat(h, F.lit("\x00"), p), 256)
     keyed = rules.withColumn("_full", digest(F.col("rule_host"), F.col("rule_path"))).withColumn("_short", F.substring("_full", 1, PREFIX))
     keyed = F.broadcast(keyed) if shape["n"] <= BROADCAST_ROWS else keyed
 
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("_row"))
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.array_compact(F.array(*[F.when(label_count(F.col("host")) >= n, F.substring_index("host", ".", -n)) for n in shape["labels"]])) if shape["labels"] else F.array().cast("array<string>")
     prefixes = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in shape["lengths"]])) if shape["lengths"] else F.array().cast("array<string>")
-    parts = rows.withColumn("_suffix", F.explode(suffixes)).withColumn("_prefix", F.explode_outer(prefixes))
+    parts = rows.withColumn("_suffix", F.explode_outer(suffixes)).withColumn("_prefix", F.explode_outer(prefixes))
     parts = parts.withColumn("_digest", digest(F.col("_suffix"), F.col("_prefix")))
     met = parts.join(keyed, (F.substring("_digest", 1, PREFIX) == F.col("_short")) & (F.col("_digest") == F.col("_full")), "left")
     rank = F.when(F.col("rule_host").isNotNull(), F.struct((F.length("rule_host") + F.length("rule_path")).alias("a"), F.length("rule_host").alias("b"), (F.col("rule_verdict") == "block").alias("c"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")))

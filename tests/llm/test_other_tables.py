@@ -117,6 +117,15 @@ def test_url_filter(spark):
     assert rng
 
 
+def test_hosts_of_many_labels_are_expanded_by_the_rules(spark):
+    rows = [(1, "http://" + "a." * 200_000 + "example.org/es/x"), (2, "http://" + "." * 50_000 + "com/de/"), (3, "http://org/")]
+    table = spark.createDataFrame(rows, "page_id long, url string")
+    out = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(table, url_filter.rules_table(spark)).collect()}
+    assert out == {1: ("example.org/es/", "block"), 2: ("com/de/", "block"), 3: ("org/", "allow")}
+    none = url_filter.rules_table(spark).limit(0)
+    assert {r.verdict for r in url_filter.judge(table, none).collect()} == {"allow"}
+
+
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (9, 10), (10, 11), (11, 9), (5, 5)] + [(100 + i, 101 + i) for i in range(40)] + [(-7, 9)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
