@@ -80,6 +80,16 @@ def removed_keys(doc: Column, keys: tuple[str, ...]) -> Column:
     return _mapped(count, "int")(doc)
 
 
+def matching_values(doc: Column, values: tuple[str, ...]) -> Column:
+    """How many strings of the document, at any depth, are one of values."""
+    def count(value) -> int:
+        if isinstance(value, dict):
+            return sum(map(count, value.values()))
+        return sum(map(count, value)) if isinstance(value, list) else int(isinstance(value, str) and value in values)
+
+    return _mapped(lambda t: count(parsed(t)), "int")(doc)
+
+
 def prohibited_keys(doc: Column, tokens: tuple[str, ...]) -> Column:
     """Paths of keys, at any depth, that contain one of the tokens."""
     def find(text):
@@ -102,18 +112,18 @@ def remap_digests(doc: Column, table: dict[str, str]) -> Column:
     return _mapped(lambda t: None if (v := parsed(t)) is None else canonical(swap(v)), "string")(doc)
 
 
+FENCE = re.compile(r"`{3,}[ \t]*\w*")
+
+
 def first_object(text: str | None) -> str | None:
-    """The first JSON object in free text, without code fences; None if there is none."""
-    bare = re.sub(r"```(?:json)?\s*|```", "", text or "", flags=re.IGNORECASE).strip()
-    decoder, at = json.JSONDecoder(), bare.find("{")
-    while at >= 0:
+    """The first JSON object in free text, None if there is none. Marks of code fences (three backticks and a word) don't count."""
+    said = FENCE.sub(" ", text or "")
+    for brace in re.finditer(r"\{", said):
         try:
-            value, _ = decoder.raw_decode(bare, at)
-            if isinstance(value, dict):
-                return canonical(value)
+            value = json.JSONDecoder().raw_decode(said, brace.start())[0]
         except ValueError:
-            pass
-        at = bare.find("{", at + 1)
+            continue
+        return canonical(value)
     return None
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import jsondoc as J
+
 
 def init_labels(records: DataFrame, existing: DataFrame, key: str, blank: dict[str, Column]) -> DataFrame:
     """Blank labels of the records that have none yet."""
@@ -120,3 +122,22 @@ def snapshots_equal(before: DataFrame, after: DataFrame) -> DataFrame:
 def root_schema(listing: DataFrame, root: str, path: str, schema: str) -> DataFrame:
     """The schema of each root's first label in path order, which decides for the root."""
     return listing.groupBy(root).agg(F.min_by(schema, path).alias(schema), F.count(F.lit(1)).alias("labels"))
+
+
+def recovered_groups(expected: DataFrame, listing: DataFrame, group: str, key: str) -> DataFrame:
+    """group, recovered (its listing is exactly what is expected, repeats included) and the number expected."""
+    left, right = expected.select(group, key), listing.select(group, key)
+    differ = left.exceptAll(right).select(group).unionByName(right.exceptAll(left).select(group)).distinct().withColumn("_differs", F.lit(True))
+    sizes = expected.groupBy(group).agg(F.count(F.lit(1)).alias("expected"))
+    return sizes.join(differ, group, "left").select(group, F.col("_differs").isNull().alias("recovered"), "expected")
+
+
+def stripped(docs: DataFrame, doc: str, keys: tuple[str, ...], anchors: tuple[str, ...], unknown: tuple[str, ...], migrated: dict[str, str]) -> DataFrame:
+    """docs with doc (without the keys, its references to cleaned documents migrated), removed and remapped counts, and
+    other_change: whether anything but the keys, the anchors and these references differs, which must not be."""
+    clean = J.without_keys(F.col(doc), keys, anchors, unknown)
+    out = docs.select("*", clean.alias("_clean"), J.removed_keys(F.col(doc), keys).alias("removed"))
+    out = out.withColumn("doc", J.remap_digests(F.col("_clean"), migrated)).withColumn("remapped", J.matching_values(F.col("_clean"), tuple(migrated)))
+    # the same cleaning of the result, and of the source with the migration undone, must agree
+    again = J.without_keys(J.remap_digests(F.col("doc"), {v: k for k, v in migrated.items()}), keys, anchors, unknown)
+    return out.withColumn("other_change", ~again.eqNullSafe(F.col("_clean"))).drop("_clean")

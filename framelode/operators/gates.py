@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .matching import hamming_pairs, hamming_semi, range_window
+
 
 def gate_cascade(df: DataFrame, rules: list[tuple[str, Column]], reason: str = "reason") -> DataFrame:
     """df with the name of the first rule that fails, null for kept rows. A rule whose value is null fails."""
@@ -89,3 +93,54 @@ def consecutive_groups(df: DataFrame, group: str, sample: str, frame: str, posit
     frames = F.transform(ordered, lambda s: s[frame])
     n = F.count(F.lit(1))
     return df.groupBy(group).agg((F.max(frame) - F.min(frame) + 1 == n).alias("dense"), (frames == F.array_sort(frames)).alias("in_order"), (F.count_distinct(sample) == n).alias("unique"), n.alias("frames"))
+
+
+def manifest_problems(assignment: DataFrame, records: DataFrame, group: str, split: str, sha: str, leakage: dict[str, int], splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """problem, value and n of every rule that a manifest breaks; an empty table is a sound manifest.
+
+    assignment: group, split (a row for each place in which a group is listed). A group has one split, a record has a known
+    group and split that agree, a digest is 64 lower-case digits and occurs once, and declared leakage is 0.
+    """
+    n = F.count(F.lit(1)).alias("n")
+    found = lambda rows, problem, value: rows.groupBy(F.col(value).cast("string").alias("value")).agg(n).select(F.lit(problem).alias("problem"), "value", "n")
+    known = assignment.select(F.col(group).alias("_g"), F.col(split).alias("_s")).distinct()
+    twice = known.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    of_group = F.col(group) == F.col("_g")
+    valid = records.where(F.col(split).isin(*splits))
+    declared = records.sparkSession.createDataFrame([("declared leakage", k, v) for k, v in sorted(leakage.items()) if v], "problem string, value string, n long")
+    parts = [
+        found(twice, "group in two splits", "_g"),
+        found(records.join(known.select("_g").distinct(), of_group, "left_anti"), "unassigned group", group),
+        found(records.where(~F.col(split).isin(*splits)), "unknown split", split),
+        found(valid.join(known.select("_g").distinct(), of_group, "left_semi").join(known, of_group & (F.col(split) == F.col("_s")), "left_anti"), "split disagrees", group),
+        found(records.where(~F.col(sha).rlike("^[0-9a-f]{64}$")), "not a digest", sha),
+        found(records, "digest twice", sha).where("n > 1"),
+    ]
+    return reduce(DataFrame.unionByName, parts, declared)
+
+
+def staged_problems(staged: DataFrame, images: DataFrame, reference: DataFrame, key: str, video: str, frame: str, sha: str, bits: str, window: int, radius: int, across_videos: bool = True) -> DataFrame:
+    """problem and n: how many staged samples break each rule, 0 where none does.
+
+    Each label has an image whose digest is the declared one; no sample lies within `window` frames of a reference frame of
+    its video, has a provenance or an image that another or the reference has, or lies within `radius` bits of a
+    reference image or of another staged one (across_videos: of another video). Near images are found by bands.
+    """
+    of = images.select(F.col(key).alias("_k"), F.col(sha).alias("_sha"))
+    paired = staged.join(of, F.col(key) == F.col("_k"), "left")
+    near = hamming_pairs(staged.select(key, video, bits), staged.select(key, video, bits), bits, radius)
+    other = near.where((F.col(f"a.{key}") != F.col(f"b.{key}")) & ((F.col(f"a.{video}") != F.col(f"b.{video}")) if across_videos else F.lit(True)))
+    repeated = lambda *c: staged.groupBy(*c).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.sum("_n").alias("n"))
+    counted = lambda rows: rows.agg(F.count(F.lit(1)).alias("n"))
+    parts = {
+        "image missing": counted(paired.where("_k is null")),
+        "hash mismatch": counted(paired.where(F.col(sha) != F.col("_sha"))),
+        "provenance overlap": counted(range_window(staged, reference, video, frame, window)),
+        "provenance twice": repeated(video, frame),
+        "image overlap": counted(staged.join(reference.select(sha).distinct(), sha, "left_semi")),
+        "image twice": repeated(sha),
+        "near reference": counted(hamming_semi(staged, reference, bits, radius)),
+        "near another": other.select(F.col(f"a.{key}")).distinct().agg(F.count(F.lit(1)).alias("n")),
+    }
+    rows = [c.select(F.lit(k).alias("problem"), F.coalesce("n", F.lit(0)).cast("long").alias("n")) for k, c in parts.items()]
+    return reduce(DataFrame.unionByName, rows)

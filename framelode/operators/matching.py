@@ -74,6 +74,15 @@ def hamming_semi(left: DataFrame, right: DataFrame, value: str, radius: int, how
     return left.join(found, left[value] == found["_found"], how)
 
 
+def hamming_pairs(left: DataFrame, right: DataFrame, value: str, radius: int) -> DataFrame:
+    """Pairs of rows (structs a and b) whose 64-bit patterns lie within radius bits, each once."""
+    banded = lambda df, name: df.select(F.struct(*df.columns).alias(name), F.explode(bands(F.col(value), radius + 1)).alias(f"_{name}"))
+    met = banded(left, "a").join(banded(right, "b"), F.col("_a") == F.col("_b"))
+    first = F.array_min(F.transform(F.filter(F.arrays_zip(bands(F.col(f"a.{value}"), radius + 1).alias("x"), bands(F.col(f"b.{value}"), radius + 1).alias("y")), lambda p: p["x"] == p["y"]), lambda p: p["x"]["number"]))
+    # a pair that shares several bands counts at the first of them
+    return met.where((F.bit_count(F.col(f"a.{value}").bitwiseXOR(F.col(f"b.{value}"))) <= radius) & (F.col("_a.number") == first)).select("a", "b")
+
+
 def manifest_diff(baseline: DataFrame, rebuilt: DataFrame, key: str, group: str, split: str) -> DataFrame:
     """status of each key of two manifests: same, moved (another split), regrouped (another group), missing, new."""
     a = baseline.select(key, F.col(group).alias("_ga"), F.col(split).alias("_sa"), F.lit(True).alias("_a"))

@@ -98,7 +98,7 @@ def promotion_gate(both: DataFrame, group: str) -> DataFrame:
 def ordered_digest(df: DataFrame, content: Column, order: list[str]) -> DataFrame:
     """SHA-256 over rows' digests in order, and its first 12 digits as an id.
 
-    Only digests are gathered: rows are reduced to 64 digits, digests of runs of rows to one, and these to the last.
+    The digests of all rows, 64 digits each, are gathered in one task: for the few thousand files of a snapshot.
     """
     rows = df.select(F.sha2(content, 256).alias("d"), F.struct(*order).alias("o"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda s: s["d"]), "")
@@ -110,6 +110,16 @@ def top_rows(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataF
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
+def hard_negative_loss(df: DataFrame, group: str, loss: str, key: str, least: int = 64, share: float = 0.001) -> DataFrame:
+    """group and the mean of its largest losses: max(least, share) of its rows, all if there are fewer.
+
+    Groups are counted by partial aggregation; ranks are those of one group's window, of which the count cuts the tail off.
+    """
+    sizes = df.groupBy(group).agg(F.greatest(F.lit(least), F.floor(F.lit(share) * F.count(F.lit(1)))).alias("_most"))
+    ranked = df.withColumn("_rank", F.row_number().over(W.partitionBy(group).orderBy(F.col(loss).desc(), key)))
+    return ranked.join(sizes, group).where(F.col("_rank") <= F.col("_most")).groupBy(group).agg(F.avg(loss).alias("loss"))
+
+
 def linspace_rows(total: Column, n: int) -> Column:
     """n row numbers spread evenly over 0 .. total - 1, cut to whole numbers."""
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * (total - 1) / max(1, n - 1)).cast("long")))

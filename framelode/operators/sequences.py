@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.geometry import bbox_center, bbox_diagonal, distance
 
-def ordered(group: str = "grp", frame: str = "frame"):
-    return W.partitionBy(group).orderBy(frame)
+
+def ordered(group: str = "grp", frame: str = "frame", backward: bool = False):
+    return W.partitionBy(group).orderBy(F.desc(frame) if backward else frame)
 
 
 def islands(df: DataFrame, condition: Column, group: str = "grp", frame: str = "frame") -> DataFrame:
@@ -97,14 +99,24 @@ def transition_latency(df: DataFrame, target: str, prediction: str, group: str =
 def motion_errors(df: DataFrame, tx: str, ty: str, px: str, py: str, group: str = "grp", frame: str = "frame", resets: bool = True) -> DataFrame:
     """df with velocity and acceleration errors: distances between target's and prediction's first and second differences.
 
-    A row without one of the two resets both. With resets a group is on its own; without, as in the reports this follows, the
-    row before in the order of (group, frame) counts whatever its group, which needs one task for the whole order.
+    A row without one of the two resets both. With resets a group is on its own; without, the rows before in the order of
+    (group, frame) count whatever their group: the last two rows of what precedes each group come from a window over one row
+    a group, and join the group's first two.
     """
-    w = ordered(group, frame) if resets else W.orderBy(group, frame)
+    w = ordered(group, frame)
     valid = F.col(tx).isNotNull() & F.col(ty).isNotNull() & F.col(px).isNotNull() & F.col(py).isNotNull()
     df = df.withColumn("_dx", F.when(valid, F.col(px) - F.col(tx))).withColumn("_dy", F.when(valid, F.col(py) - F.col(ty)))
-    one = lambda c: F.lag(c, 1).over(w)
-    two = lambda c: F.lag(c, 2).over(w)
+    if resets:
+        one = lambda c: F.lag(c, 1).over(w)
+        two = lambda c: F.lag(c, 2).over(w)
+    else:
+        numbered = df.withColumn("_n", F.row_number().over(w)).withColumn("_back", F.row_number().over(ordered(group, frame, True)))
+        ends = numbered.where("_back <= 2").groupBy(F.col(group).alias("_of")).agg(*[F.max(F.when(F.col("_back") == k, F.struct("_dx", "_dy"))).alias(f"_e{k}") for k in (1, 2)])
+        order = W.orderBy("_of")
+        before = ends.select("_of", F.lag("_e1").over(order).alias("_p1"), F.coalesce(F.lag("_e2").over(order), F.lag("_e1", 2).over(order)).alias("_p2"))
+        df = numbered.join(before, F.col(group) == F.col("_of"))
+        one = lambda c: F.when(F.col("_n") == 1, F.col(f"_p1.{c}")).otherwise(F.lag(c, 1).over(w))
+        two = lambda c: F.when(F.col("_n") == 1, F.col(f"_p2.{c}")).when(F.col("_n") == 2, F.col(f"_p1.{c}")).otherwise(F.lag(c, 2).over(w))
     # differences of the errors are errors of the differences
     vx, vy = F.col("_dx") - one("_dx"), F.col("_dy") - one("_dy")
     ax, ay = F.col("_dx") - 2 * one("_dx") + two("_dx"), F.col("_dy") - 2 * one("_dy") + two("_dy")
@@ -218,3 +230,14 @@ def context_frames(anchors: DataFrame, offsets: list[int], last: DataFrame, grou
     inside = around.join(last, group).where((F.col("context") >= 0) & (F.col("context") <= F.col("last_frame")))
     other = inside.join(anchors.select(group, F.col(frame).alias("context")), [group, "context"], "left_anti")
     return other.groupBy(group, "context").agg(F.min(frame).alias("anchor"))
+
+
+def temporal_pick(df: DataFrame, frame: str, det: str, box: Column, confidence: str, before: Column, preferred: Column) -> DataFrame:
+    """frame and the detection that is followed: a preferred one, the surest if there are several; else, with a box before, that
+    with the best log confidence less 1.5 times its distance in diagonals, of those not over two diagonals away; else the surest."""
+    far = distance(bbox_center(box), bbox_center(before)) / F.greatest(F.lit(1.0), bbox_diagonal(before), bbox_diagonal(box))
+    several = F.count(F.lit(1)).over(W.partitionBy(frame)) > 1
+    rows = df.withColumn("_far", far).withColumn("_several", several).withColumn("_mine", preferred)
+    near = F.when(~F.col("_mine") & F.col("_several") & (F.col("_far") <= 2), F.bround(F.log(F.greatest(F.col(confidence), F.lit(1e-6))) - 1.5 * F.col("_far"), 9))
+    rank = F.struct(F.col("_mine"), near.isNotNull(), F.coalesce(near, F.col(confidence)), F.col(confidence), -F.col(det))
+    return rows.groupBy(frame).agg(F.max_by(det, rank).alias(det))

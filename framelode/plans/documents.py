@@ -17,7 +17,7 @@ from ..scratch import scratch_dir
 from ..sources import files
 from ..streaming import stateful, windows
 from . import sequences
-from .tables import BOXES, FRAMES, SAMPLES, boxes, frames, read, samples, split_of
+from .tables import BOXES, FRAMES, SAMPLES, SPLIT, boxes, frames, read, samples, split_of
 
 Q: dict = {}
 
@@ -42,23 +42,21 @@ def src_collect_files(spark, sf_dir):
     return files.collect_files(spark, f"{sf_dir}/region.parquet", [".parquet"]).agg((F.count(F.lit(1)) >= 1).alias("found"))
 
 
-@query("src_json_object", "SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 'not an object' END AS reason, CASE WHEN user_id % 4 <> 0 THEN user_id END AS k FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 20)")
+@query("src_json_object", "SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 'not an object' END AS reason, CASE WHEN user_id % 4 <> 0 THEN user_id END AS k FROM (SELECT DISTINCT user_id FROM events)")
 def src_json_object(spark, sf_dir):
     """Documents are written one a file, then scanned; those that aren't one object carry a reason."""
     base = fresh(spark, "objects")
-    users = read(spark, sf_dir, "events").select("user_id").distinct().where("user_id < 20")
+    users = read(spark, sf_dir, "events").select("user_id").distinct()
     text = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("["), "user_id", F.lit("]"))).otherwise(F.concat(F.lit('{"k": '), "user_id", F.lit("}")))
     users.select(text.alias("value"), F.concat(F.lit("u"), "user_id").alias("name")).repartition("name").write.partitionBy("name").text(base)
-    found = spark.read.option("wholetext", "true").text(base).select("name", "value")
-    ok = F.trim("value").startswith("{")
-    doc = F.from_json("value", "k long")
-    return found.select(F.substring("name", 2, 9).cast("long").alias("user_id"), F.when(~ok, "not an object").alias("reason"), F.when(ok, doc["k"]).alias("k"))
+    found = files.json_objects(spark, base, T.StructType.fromDDL("k long"), "*.txt")
+    return found.select(F.regexp_extract("path", r"name=u(\d+)/", 1).cast("long").alias("user_id"), "reason", F.col("doc.k").alias("k"))
 
 
-@query("src_jsonl_strict", "SELECT event_id, user_id FROM events WHERE event_id % 10 = 0")
+@query("src_jsonl_strict", "SELECT event_id, user_id FROM events")
 def src_jsonl_strict(spark, sf_dir):
     base = fresh(spark, "lines")
-    rows = read(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id", "user_id")
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id")
     rows.select(F.explode(F.array(F.to_json(F.struct("event_id", "user_id")), F.lit("  "))).alias("value")).write.text(base)
     return files.json_lines_strict(spark, base, T.StructType.fromDDL("event_id long, user_id long"))
 
@@ -89,9 +87,9 @@ def src_video_list(spark, sf_dir):
     return files.video_list(spark, lines)
 
 
-@query("src_group_frames", f"WITH {FRAMES} SELECT CAST(grp AS VARCHAR) AS group_id, CAST(frame AS INTEGER) AS position, frame AS frame_index, event_type FROM frames WHERE grp < 20")
+@query("src_group_frames", f"WITH {FRAMES} SELECT CAST(grp AS VARCHAR) AS group_id, CAST(frame AS INTEGER) AS position, frame AS frame_index, event_type FROM frames")
 def src_group_frames(spark, sf_dir):
-    e = frames(spark, sf_dir).where("grp < 20")
+    e = frames(spark, sf_dir)
     key = F.concat_ws("/", "grp", "frame")
     groups = e.groupBy(F.col("grp").cast("string").alias("group_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", key.alias("k")))), lambda s: F.struct(s["k"].alias("sample_key"), s["frame"].alias("frame_index"))).alias("frames"))
     found = files.group_frames(groups, e.select(key.alias("sample_key"), "event_type"), "sample_key")
@@ -118,12 +116,12 @@ def src_config(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, value string")
 
 
-@query("sink_jsonl_append", "SELECT event_id FROM events WHERE event_id < 200")
+@query("sink_jsonl_append", "SELECT event_id FROM events")
 def sink_jsonl_append(spark, sf_dir):
     base = fresh(spark, "log")
     e = read(spark, sf_dir, "events").select("event_id")
-    files.append_json_lines(e.where("event_id < 100"), base)
-    files.append_json_lines(e.where("event_id >= 100 and event_id < 200"), base)
+    files.append_json_lines(e.where("event_id % 3 = 0"), base)
+    files.append_json_lines(e.where("event_id % 3 <> 0"), base)
     return spark.read.schema("event_id long").json(base)
 
 
@@ -179,7 +177,11 @@ def prj_clean_nested(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", J.without_keys(nested(), ("pose",), ("anchor",), ("left_hand", "right_hand")).alias("doc"), J.removed_keys(nested(), ("pose",)).alias("removed"))
 
 
-Q["doc_strip_pose"] = Q["prj_clean_nested"]
+@query("doc_strip_pose", """SELECT event_id, '{"a":{"k":' || json_extract_string(props, '$.k') || '},"b":[{"anchor":"unknown","hand_pose":2}],"was":"seen"}' AS doc, 2 AS removed, 1 AS remapped, false AS other_change FROM events""")
+def doc_strip_pose(spark, sf_dir):
+    """Pose fields go, digests of what was cleaned are migrated, and nothing else may change."""
+    docs = read(spark, sf_dir, "events").select("event_id", F.concat(F.substring(nested(), 1, F.length(nested()) - 1), F.lit(', "was": "view"}')).alias("before"))
+    return D.stripped(docs, "before", ("pose",), ("anchor",), ("left_hand", "right_hand"), {"view": "seen"}).select("event_id", "doc", "removed", "remapped", "other_change")
 
 
 @query("prj_prohibited_keys", "SELECT event_id, 'a.pose,b[0].hand_pose,pose' AS keys FROM events")
@@ -228,10 +230,24 @@ def val_groups_consecutive(spark, sf_dir):
     return found.select("grp", "dense", "in_order", F.col("unique").alias("unique"), "frames")
 
 
-@query("val_manifest", f"WITH {SAMPLES} SELECT sha, count(DISTINCT source) AS groups FROM samples GROUP BY sha HAVING count(DISTINCT source) > 1")
+@query("val_manifest", f"""WITH {SAMPLES}, a AS (SELECT DISTINCT source, {SPLIT} AS split FROM documents WHERE source <> 'src3' UNION SELECT 'src4', 'test'),
+r AS (SELECT doc_id, source, CASE WHEN doc_id % 50 = 1 THEN 'holdout' WHEN doc_id % 40 = 2 THEN 'val' ELSE {SPLIT} END AS split, CASE WHEN doc_id % 60 = 3 THEN upper(sha) ELSE sha END AS sha FROM samples),
+t AS (SELECT source FROM a GROUP BY source HAVING count(*) > 1), h AS (SELECT sha FROM r GROUP BY sha HAVING count(*) > 1)
+SELECT 'group in two splits' AS problem, source AS value, count(*) AS n FROM t GROUP BY ALL
+UNION ALL SELECT 'unassigned group', source, count(*) FROM r WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.source = r.source) GROUP BY ALL
+UNION ALL SELECT 'unknown split', split, count(*) FROM r WHERE split NOT IN ('train', 'val', 'test') GROUP BY ALL
+UNION ALL SELECT 'split disagrees', source, count(*) FROM r WHERE split IN ('train', 'val', 'test') AND EXISTS (SELECT 1 FROM a WHERE a.source = r.source) AND NOT EXISTS (SELECT 1 FROM a WHERE a.source = r.source AND a.split = r.split) GROUP BY ALL
+UNION ALL SELECT 'not a digest', sha, count(*) FROM r WHERE NOT regexp_full_match(sha, '[0-9a-f]{{64}}') GROUP BY ALL
+UNION ALL SELECT 'digest twice', sha, count(*) FROM r JOIN h USING (sha) GROUP BY ALL
+UNION ALL SELECT 'declared leakage', 'source_group_overlap_count', 2""")
 def val_manifest(spark, sf_dir):
-    """Hashes that two groups share, which no manifest may have."""
-    return samples(spark, sf_dir).groupBy("sha").agg(F.count_distinct("source").alias("groups")).where("groups > 1")
+    """A manifest with faults of each kind: which rule each breaks, and how often."""
+    s = samples(spark, sf_dir)
+    assignment = s.where("source <> 'src3'").select("source", split_of(F.col("source")).alias("split")).distinct()
+    assignment = assignment.unionByName(assignment.limit(0).unionByName(spark.range(1).select(F.lit("src4").alias("source"), F.lit("test").alias("split")))).distinct()
+    split = F.when(F.col("doc_id") % 50 == 1, "holdout").when(F.col("doc_id") % 40 == 2, "val").otherwise(split_of(F.col("source")))
+    records = s.select("doc_id", "source", split.alias("split"), F.when(F.col("doc_id") % 60 == 3, F.upper("sha")).otherwise(F.col("sha")).alias("sha"))
+    return gates.manifest_problems(assignment, records, "source", "split", "sha", {"source_group_overlap_count": 2, "image_sha256_overlap_count": 0})
 
 
 @query("doc_init_label", "SELECT doc_id, source AS source_group, 1 AS revision, 'blank' AS status FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -334,7 +350,14 @@ def val_protected_state(spark, sf_dir):
     return D.protected_state(s.where("doc_id % 13 <> 0"), listing, read(spark, sf_dir, "labels"), "doc_id", "sha")
 
 
-Q["val_recover_source"] = Q["val_protected_state"]
+@query("val_recover_source", f"""WITH {FRAMES}, e AS (SELECT grp, frame FROM frames WHERE frame % 2 = 0), l AS (SELECT grp, frame FROM frames WHERE frame % 2 = 0 AND NOT (grp % 5 = 1 AND frame = 4) UNION ALL SELECT grp, 1000000 FROM frames WHERE grp % 7 = 2 AND frame = 0),
+d AS (SELECT grp FROM (SELECT * FROM e EXCEPT ALL SELECT * FROM l) UNION SELECT grp FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM e)) SELECT grp, grp NOT IN (SELECT grp FROM d) AS recovered, count(*) AS expected FROM e GROUP BY grp""")
+def val_recover_source(spark, sf_dir):
+    """Provenance is rebuilt for the groups whose listing is exactly what is expected, no frame missing and none besides."""
+    e = frames(spark, sf_dir).select("grp", "frame")
+    expected = e.where("frame % 2 = 0")
+    listing = expected.where("not (grp % 5 = 1 and frame = 4)").unionByName(e.where("grp % 7 = 2 and frame = 0").select("grp", F.lit(1000000).cast("long").alias("frame")))
+    return D.recovered_groups(expected, listing, "grp", "frame")
 
 
 @query("val_unchanged", "SELECT doc_id, lang, side AS missing_in FROM (SELECT doc_id, lang, unnest(['after', 'before']) AS side FROM documents WHERE doc_id % 100 = 0) WHERE side = 'after' UNION ALL SELECT doc_id, 'xx', 'before' FROM documents WHERE doc_id % 100 = 0")
@@ -344,10 +367,27 @@ def val_unchanged(spark, sf_dir):
     return D.snapshots_equal(d, after)
 
 
-@query("val_staged", f"WITH {SAMPLES} SELECT doc_id FROM samples s WHERE doc_id >= 800 AND EXISTS (SELECT 1 FROM samples r WHERE r.doc_id < 800 AND r.sha = s.sha)")
+STAGED = """s AS (SELECT event_id, grp AS video, frame, xor(CAST('0x' || left(sha256(CAST(event_id // 3 AS VARCHAR)), 15) AS BIGINT), (1 << CAST(event_id % 3 AS INTEGER)) - 1) AS bits, sha256(CAST(event_id // 2 AS VARCHAR)) AS sha FROM frames),
+r AS (SELECT * FROM s WHERE event_id % 7 = 0), n AS (SELECT * FROM s WHERE event_id % 7 <> 0), i AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'x' ELSE sha END AS sha FROM n WHERE event_id % 13 <> 0)"""
+
+
+@query("val_staged", f"""WITH {FRAMES}, {STAGED}
+SELECT 'image missing' AS problem, count(*) AS n FROM n WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.event_id = n.event_id)
+UNION ALL SELECT 'hash mismatch', count(*) FROM n JOIN i USING (event_id) WHERE n.sha <> i.sha
+UNION ALL SELECT 'provenance overlap', count(*) FROM n WHERE EXISTS (SELECT 1 FROM r WHERE r.video = n.video AND abs(r.frame - n.frame) <= 1)
+UNION ALL SELECT 'provenance twice', 0
+UNION ALL SELECT 'image overlap', count(*) FROM n WHERE EXISTS (SELECT 1 FROM r WHERE r.sha = n.sha)
+UNION ALL SELECT 'image twice', count(*) FROM n WHERE sha IN (SELECT sha FROM n GROUP BY sha HAVING count(*) > 1)
+UNION ALL SELECT 'near reference', count(*) FROM n WHERE EXISTS (SELECT 1 FROM r WHERE bit_count(xor(r.bits, n.bits)) <= 1)
+UNION ALL SELECT 'near another', count(*) FROM n WHERE EXISTS (SELECT 1 FROM n o WHERE o.event_id <> n.event_id AND o.video <> n.video AND bit_count(xor(o.bits, n.bits)) <= 1)""")
 def val_staged(spark, sf_dir):
-    s = samples(spark, sf_dir).select("doc_id", "sha")
-    return s.where("doc_id >= 800").join(s.where("doc_id < 800").select("sha"), "sha", "left_semi").select("doc_id")
+    """How many staged samples break each rule: pairing, hash, provenance within a window, equal and near images."""
+    base = F.conv(F.substring(F.sha2(F.floor(F.col("event_id") / 3).cast("string"), 256), 1, 15), 16, 10).cast("long")
+    bits = base.bitwiseXOR((F.pow(F.lit(2.0), F.col("event_id") % 3) - 1).cast("long"))
+    s = frames(spark, sf_dir).select("event_id", F.col("grp").alias("video"), "frame", bits.alias("bits"), F.sha2(F.floor(F.col("event_id") / 2).cast("string"), 256).alias("sha"))
+    staged, reference = s.where("event_id % 7 <> 0"), s.where("event_id % 7 = 0")
+    images = staged.where("event_id % 13 <> 0").select("event_id", F.when(F.col("event_id") % 11 == 0, "x").otherwise(F.col("sha")).alias("sha"))
+    return gates.staged_problems(staged, images, reference, "event_id", "video", "frame", "sha", "bits", 1, 1)
 
 
 @query("win_cross_source_conflict", f"WITH {SAMPLES}, r AS (SELECT doc_id, row_number() OVER (PARTITION BY sha ORDER BY source, doc_id) AS n FROM samples) SELECT doc_id, n = 1 AS accepted FROM r")
@@ -429,16 +469,21 @@ def st_gate_latch(spark, sf_dir):
 
 @query("st_track_identity")
 def st_track_identity(spark, sf_dir):
-    rows = lambda s, d: boxes(s, d).where("frame < 2000").groupBy((F.col("frame") % 50).alias("grp"), "frame").agg(F.array_sort(F.collect_list(F.struct("det", "x1", "y1", "x2", "y2", "conf", "cls"))).alias("found"))
+    rows = lambda s, d: boxes(s, d).groupBy((F.col("frame") % 50).alias("grp"), "frame").agg(F.array_sort(F.collect_list(F.struct("det", "x1", "y1", "x2", "y2", "conf", "cls"))).alias("found"))
     return stateful.drain(stateful.track_identity(streamed(spark, sf_dir, rows, "found")), "tracks")
 
 
-Q["st_frame_loop"] = Q["st_track_identity"]
+@query("st_frame_loop")
+def st_frame_loop(spark, sf_dir):
+    """The whole state of a video's loop in one key: track, gaps, label at an adaptive cadence, and the gate."""
+    return stateful.drain(stateful.frame_loop(streamed(spark, sf_dir, sequences.observations, "observations")), "loop")
 
 
-@query("st_append_reviews", f"WITH {FRAMES} SELECT grp AS run_id, frame, CASE WHEN frame % 3 = 0 THEN 'rejected' ELSE 'appended' END AS status FROM frames WHERE grp < 30")
+@query("st_append_reviews", f"WITH {FRAMES} SELECT grp AS run_id, frame, CASE WHEN frame % 3 = 0 THEN 'rejected' ELSE 'appended' END AS status FROM frames")
 def st_append_reviews(spark, sf_dir):
-    e = frames(spark, sf_dir).where("grp < 30").select(F.col("grp").alias("run_id"), "frame", F.sha2("event_type", 256).alias("digest"))
-    events = e.withColumn("digest", F.when(F.col("frame") % 3 == 0, "stale").otherwise(F.col("digest"))).withColumn("decision", F.lit("ok"))
-    good, stale = stateful.append_reviews(events, e)
-    return good.select("run_id", "frame", F.lit("appended").alias("status")).unionByName(stale.select("run_id", "frame", F.lit("rejected").alias("status")))
+    """A stream of audit events against the rows as they are: what is bound is appended to a log, the rest to another."""
+    bindings = lambda s, d: frames(s, d).select(F.col("grp").alias("run_id"), "frame", F.sha2("event_type", 256).alias("digest"))
+    said = lambda s, d: bindings(s, d).withColumn("digest", F.when(F.col("frame") % 3 == 0, "stale").otherwise(F.col("digest"))).withColumn("decision", F.lit("ok"))
+    good, stale = stateful.append_reviews(streamed(spark, sf_dir, said, "reviews"), bindings(spark, sf_dir))
+    log = lambda rows, status: stateful.drain(rows, status).select("run_id", "frame", F.lit(status).alias("status"))
+    return log(good, "appended").unionByName(log(stale, "rejected"))

@@ -24,11 +24,11 @@ def query(name: str, sql: str | None = None):
 
 
 @query("join_pred_left", f"""WITH {FRAMES}, p AS (SELECT frame, max(event_id) AS event_id FROM frames GROUP BY frame), l AS (SELECT p.frame, e.event_type AS predicted FROM p JOIN events e USING (event_id))
-SELECT f.grp, f.frame, f.event_type, l.predicted FROM frames f LEFT JOIN l USING (frame) WHERE f.grp < 50""")
+SELECT f.grp, f.frame, f.event_type, l.predicted FROM frames f LEFT JOIN l USING (frame)""")
 def join_pred_left(spark, sf_dir):
     e = frames(spark, sf_dir)
     predictions = e.select("frame", F.col("event_type").alias("predicted"), F.col("event_id").alias("line"))
-    return matching.prediction_left_join(e.where("grp < 50").select("grp", "frame", "event_type"), predictions, "frame", "line").select("grp", "frame", "event_type", "predicted")
+    return matching.prediction_left_join(e.select("grp", "frame", "event_type"), predictions, "frame", "line").select("grp", "frame", "event_type", "predicted")
 
 
 @query("join_review_map", f"WITH {SAMPLES} SELECT doc_id, quality IS NOT NULL AS reviewed, coalesce(quality = 1 AND n_chars % 2 = 0, false) AS valid FROM samples")
@@ -99,23 +99,25 @@ def join_range_window(spark, sf_dir):
     return matching.range_window(o.where("o_orderkey % 3 <> 0"), o.where("o_orderkey % 3 = 0"), "o_custkey", "day", 30).select("o_orderkey")
 
 
-HASHES = "h AS (SELECT event_id, event_id * 40503 % 65536 AS v FROM events)"
+#: Patterns of 60 bits; of five that share their first bits the others differ from that of the reference side by 1 to 4 bits.
+HASHES = "h AS (SELECT event_id, xor(CAST('0x' || left(sha256(CAST(event_id // 5 AS VARCHAR)), 15) AS BIGINT), (1 << CAST(event_id % 5 AS INTEGER)) - 1) AS v FROM events)"
 
 
 def _hashes(spark, sf_dir):
-    return read(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 40503 % 65536).alias("v"))
+    base = F.conv(F.substring(F.sha2(F.floor(F.col("event_id") / 5).cast("string"), 256), 1, 15), 16, 10).cast("long")
+    return read(spark, sf_dir, "events").select("event_id", base.bitwiseXOR((F.pow(F.lit(2.0), F.col("event_id") % 5) - 1).cast("long")).alias("v"))
 
 
-@query("join_hamming_semi", f"WITH {HASHES} SELECT a.event_id FROM h a WHERE a.event_id % 10 <> 0 AND EXISTS (SELECT 1 FROM h b WHERE b.event_id % 500 = 0 AND bit_count(xor(a.v, b.v)) <= 2)")
+@query("join_hamming_semi", f"WITH {HASHES} SELECT a.event_id FROM h a WHERE a.event_id % 5 <> 0 AND EXISTS (SELECT 1 FROM h b WHERE b.event_id % 5 = 0 AND bit_count(xor(a.v, b.v)) <= 2)")
 def join_hamming_semi(spark, sf_dir):
     h = _hashes(spark, sf_dir)
-    return matching.hamming_semi(h.where("event_id % 10 <> 0"), h.where("event_id % 500 = 0"), "v", 2).select("event_id")
+    return matching.hamming_semi(h.where("event_id % 5 <> 0"), h.where("event_id % 5 = 0"), "v", 2).select("event_id")
 
 
-@query("join_hamming_anti", f"WITH {HASHES} SELECT a.event_id FROM h a WHERE a.event_id % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM h b WHERE b.event_id % 500 = 0 AND a.v = b.v)")
+@query("join_hamming_anti", f"WITH {HASHES} SELECT a.event_id FROM h a WHERE a.event_id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM h b WHERE b.event_id % 5 = 0 AND bit_count(xor(a.v, b.v)) <= 3)")
 def join_hamming_anti(spark, sf_dir):
     h = _hashes(spark, sf_dir)
-    return matching.hamming_semi(h.where("event_id % 10 <> 0"), h.where("event_id % 500 = 0"), "v", 0, "left_anti").select("event_id")
+    return matching.hamming_semi(h.where("event_id % 5 <> 0"), h.where("event_id % 5 = 0"), "v", 3, "left_anti").select("event_id")
 
 
 MANIFESTS = f"{SAMPLES}, b AS (SELECT sha, min(source) AS source, min(doc_id) AS doc_id FROM samples GROUP BY sha), o AS (SELECT sha, source, {SPLIT} AS split FROM b WHERE doc_id < 900), n AS (SELECT sha, CASE WHEN doc_id % 50 = 0 THEN 'src99' ELSE source END AS source, CASE WHEN doc_id % 30 = 1 THEN 'test' ELSE {SPLIT} END AS split FROM b WHERE doc_id >= 50)"
@@ -146,7 +148,7 @@ def set_intersect_lineage(spark, sf_dir):
 
 @query("set_except_unreviewed", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1")
 def set_except_unreviewed(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id").exceptAll(read(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+    return read(spark, sf_dir, "documents").select("doc_id").subtract(read(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
 
 
 @query("set_new_train_groups", "SELECT DISTINCT source FROM documents WHERE CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) >= 15")

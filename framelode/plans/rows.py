@@ -193,10 +193,9 @@ def fn_is_sha256(spark, sf_dir):
     return samples(spark, sf_dir).select("doc_id", S.is_sha256(F.when(F.col("doc_id") % 2 == 0, F.col("sha")).otherwise(F.substring("sha", 1, 63))).alias("ok"))
 
 
-@query("prj_safe_name", "SELECT doc_id, regexp_replace(regexp_replace(left(text, 20), '[^\\p{L}\\p{N}_.-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g') AS name FROM documents WHERE regexp_matches(left(text, 20), '[\\p{L}\\p{N}_]')")
+@query("prj_safe_name", "SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(text, '[^\\p{L}\\p{N}_.-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), ''), 'unknown') AS name FROM documents")
 def prj_safe_name(spark, sf_dir):
-    head = F.substring("text", 1, 20)
-    return read(spark, sf_dir, "documents").where(head.rlike(r"[\p{L}\p{N}_]")).select("doc_id", S.safe_name(head).alias("name"))
+    return read(spark, sf_dir, "documents").select("doc_id", S.safe_name(F.col("text")).alias("name"))
 
 
 @query("prj_clean_id", "SELECT event_id, 'user' || CAST(user_id AS VARCHAR) || '-' || event_type AS name FROM events")
@@ -370,7 +369,7 @@ def masks(spark, sf_dir):
     """8 x 8 masks of the signs of vectors."""
     bit = F.transform("embedding", lambda v: (v > 0).cast("int"))
     rows = F.array(*[F.slice(bit, 8 * i + 1, 8) for i in range(8)])
-    return read(spark, sf_dir, "embeddings").where("size(embedding) = 64 and vec_id < 400").select("vec_id", "embedding", rows.alias("mask"))
+    return read(spark, sf_dir, "embeddings").where("size(embedding) = 64").select("vec_id", "embedding", rows.alias("mask"))
 
 
 @query("flt_small_components")
@@ -393,7 +392,8 @@ def fn_mask_support(spark, sf_dir):
     return pairs(spark, sf_dir).select("frame", "det", F.bround(R.mask_support(line, F.array(corners)), 6).alias("share"))
 
 
-@query("fn_descriptor", "SELECT vec_id, round_even(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) / list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))), 6) AS square FROM embeddings")
+@query("fn_descriptor", "WITH n AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings), l AS (SELECT *, sqrt(list_sum(list_transform(e, lambda v: v * v))) AS size FROM n) SELECT vec_id, i AS place, round_even(CASE WHEN size > 0 THEN e[i] / size ELSE 0 END, 6) AS value FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM l)")
 def fn_descriptor(spark, sf_dir):
     d = read(spark, sf_dir, "embeddings").select("vec_id", R.descriptor(F.col("embedding").cast("array<double>")).alias("d"))
-    return d.select("vec_id", F.bround(F.aggregate("d", F.lit(0.0), lambda s, v: s + v * v), 6).alias("square"))
+    flat = d.select("vec_id", F.posexplode("d").alias("place", "value"))
+    return flat.select("vec_id", (F.col("place") + 1).cast("long").alias("place"), F.bround("value", 6).alias("value"))

@@ -96,9 +96,18 @@ def points(spark, sf_dir):
 
 
 @query("win_motion", f"""WITH {FRAMES}, {XY}, d AS (SELECT grp, frame, CASE WHEN px IS NOT NULL THEN px - x END AS dx, CASE WHEN px IS NOT NULL THEN py - y END AS dy FROM xy),
-l AS (SELECT *, lag(dx) OVER w AS dx1, lag(dy) OVER w AS dy1, lag(dx, 2) OVER w AS dx2, lag(dy, 2) OVER w AS dy2 FROM d WINDOW w AS (PARTITION BY grp ORDER BY frame))
+l AS (SELECT *, lag(dx) OVER w AS dx1, lag(dy) OVER w AS dy1, lag(dx, 2) OVER w AS dx2, lag(dy, 2) OVER w AS dy2 FROM d WINDOW w AS (ORDER BY grp, frame))
 SELECT grp, frame, round_even(sqrt(pow(dx - dx1, 2) + pow(dy - dy1, 2)), 5) AS velocity_error, round_even(sqrt(pow(dx - 2 * dx1 + dx2, 2) + pow(dy - 2 * dy1 + dy2, 2)), 5) AS acceleration_error FROM l""")
 def win_motion(spark, sf_dir):
+    """Motion goes on from one group to the next, as rows follow in the order of (group, frame)."""
+    m = S.motion_errors(points(spark, sf_dir), "x", "y", "px", "py", resets=False)
+    return m.select("grp", "frame", F.bround("velocity_error", 5).alias("velocity_error"), F.bround("acceleration_error", 5).alias("acceleration_error"))
+
+
+@query("win_motion_per_group", f"""WITH {FRAMES}, {XY}, d AS (SELECT grp, frame, CASE WHEN px IS NOT NULL THEN px - x END AS dx, CASE WHEN px IS NOT NULL THEN py - y END AS dy FROM xy),
+l AS (SELECT *, lag(dx) OVER w AS dx1, lag(dy) OVER w AS dy1, lag(dx, 2) OVER w AS dx2, lag(dy, 2) OVER w AS dy2 FROM d WINDOW w AS (PARTITION BY grp ORDER BY frame))
+SELECT grp, frame, round_even(sqrt(pow(dx - dx1, 2) + pow(dy - dy1, 2)), 5) AS velocity_error, round_even(sqrt(pow(dx - 2 * dx1 + dx2, 2) + pow(dy - 2 * dy1 + dy2, 2)), 5) AS acceleration_error FROM l""")
+def win_motion_per_group(spark, sf_dir):
     m = S.motion_errors(points(spark, sf_dir), "x", "y", "px", "py")
     return m.select("grp", "frame", F.bround("velocity_error", 5).alias("velocity_error"), F.bround("acceleration_error", 5).alias("acceleration_error"))
 
@@ -221,7 +230,24 @@ def win_track_carry(spark, sf_dir):
     return folds.fold(stream, "grp", "frame", lambda: None, step, "grp long, frame long, track long, source string, carried boolean")
 
 
-Q["topk_temporal_pick"] = (win_track_carry, None)
+def observations(spark, sf_dir):
+    """Frames of 50 videos with what was detected, probabilities of labels and a share of foreground."""
+    found = F.array_sort(F.collect_list(F.struct("det", "x1", "y1", "x2", "y2", "conf", "cls")))
+    b = boxes(spark, sf_dir).groupBy("frame").agg(found.alias("found"), F.avg("conf").alias("conf"))
+    return b.select((F.col("frame") % 50).alias("grp"), "frame", F.filter("found", lambda d: (d["cls"] == 0) | (F.col("frame") % 9 > 2)).alias("found"), F.array(F.col("conf") + 0.2, F.when(F.col("frame") % 7 == 0, 1.5).otherwise(0.3), F.lit(0.1)).alias("probs"), (F.col("conf") / 10).alias("ratio"))
+
+
+@query("topk_temporal_pick", f"""WITH {BOXES}, t AS (SELECT frame, frame % 50 AS grp, arg_max({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}, (conf, -det)) AS top FROM boxes GROUP BY frame), p AS (SELECT frame, lag(top) OVER (PARTITION BY grp ORDER BY frame) AS was FROM t),
+d AS (SELECT frame, det, conf, cls, sqrt(pow((x1 + x2) / 2 - (was.x1 + was.x2) / 2, 2) + pow((y1 + y2) / 2 - (was.y1 + was.y2) / 2, 2)) / greatest(1.0, sqrt(pow(was.x2 - was.x1, 2) + pow(was.y2 - was.y1, 2)), sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))) AS far, count(*) OVER (PARTITION BY frame) AS n FROM boxes JOIN p USING (frame)),
+s AS (SELECT *, CASE WHEN n > 1 AND far <= 2 THEN round_even(ln(greatest(conf, 1e-6)) - 1.5 * far, 9) END AS score FROM d)
+SELECT frame, arg_max(det, (frame % 4 = 0 AND cls = 1, CASE WHEN frame % 4 = 0 AND cls = 1 THEN conf END IS NOT NULL, CASE WHEN frame % 4 = 0 AND cls = 1 THEN NULL ELSE score END IS NOT NULL, coalesce(CASE WHEN frame % 4 = 0 AND cls = 1 THEN NULL ELSE score END, conf), conf, -det)) AS det FROM s GROUP BY frame""")
+def topk_temporal_pick(spark, sf_dir):
+    """The preferred track, where a frame has one; else the best by confidence and nearness to the frame before; else the surest."""
+    b = boxes(spark, sf_dir)
+    top = b.groupBy("frame").agg(F.max_by(F.array("x1", "y1", "x2", "y2"), F.struct("conf", -F.col("det"))).alias("top"))
+    was = F.lag("top").over(W.partitionBy(F.col("frame") % 50).orderBy("frame"))
+    rows = b.join(top.select("frame", was.alias("was")), "frame").withColumn("preferred", (F.col("frame") % 4 == 0) & (F.col("cls") == 1))
+    return S.temporal_pick(rows, "frame", "det", F.array("x1", "y1", "x2", "y2"), "conf", F.col("was"), F.col("preferred"))
 
 
 @query("topk_nms")
@@ -280,13 +306,12 @@ def topk_person(spark, sf_dir):
     return boxes(spark, sf_dir).groupBy("frame").agg(F.max_by("det", F.struct(score, -F.col("det"))).alias("det"))
 
 
-@query("topk_hard_negative", "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n FROM events) SELECT user_id, round_even(avg(value), 6) AS loss FROM r WHERE n <= 16 GROUP BY user_id")
+@query("topk_hard_negative", "WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS m FROM events) SELECT user_id, round_even(avg(value), 6) AS loss FROM r WHERE n <= greatest(64, floor(0.001 * m)) GROUP BY user_id")
 def topk_hard_negative(spark, sf_dir):
-    top = reports.top_rows(read(spark, sf_dir, "events"), ["user_id"], [F.col("value").desc(), F.col("event_id")], 16)
-    return top.groupBy("user_id").agg(F.bround(F.avg("value"), 6).alias("loss"))
+    return reports.hard_negative_loss(read(spark, sf_dir, "events"), "user_id", "value", "event_id").select("user_id", F.bround("loss", 6).alias("loss"))
 
 
-@query("lim_linspace", f"""WITH {FRAMES}, m AS (SELECT grp, count(*) AS n FROM frames GROUP BY grp) SELECT DISTINCT f.grp, f.frame FROM frames f JOIN m USING (grp), range(8) r(i) WHERE f.frame = CAST(floor(i * (n - 1) / 7) AS BIGINT)""")
+@query("lim_linspace", f"""WITH {FRAMES}, m AS (SELECT grp, count(*) AS n FROM frames GROUP BY grp) SELECT DISTINCT grp, unnest(list_transform(range(8), lambda i: CAST(floor(i * (n - 1) / 7) AS BIGINT))) AS frame FROM m""")
 def lim_linspace(spark, sf_dir):
     n = frames(spark, sf_dir).groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     return n.select("grp", F.explode(reports.linspace_rows(F.col("n"), 8)).alias("frame"))

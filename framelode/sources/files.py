@@ -17,9 +17,9 @@ def collect_files(spark: SparkSession, root: str, suffixes: list[str], recursive
     return files.where(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*[s.lower() for s in suffixes]))
 
 
-def json_objects(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+def json_objects(spark: SparkSession, root: str, schema: T.StructType, names: str = "*.json") -> DataFrame:
     """One row a file: path, doc (null if the file isn't one object) and reason."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(root).select(F.col("_metadata.file_path").alias("path"), "value")
     doc = F.from_json("value", schema, {"mode": "PERMISSIVE"})
     is_object = F.trim("value").startswith("{") & F.get_json_object("value", "$").isNotNull()
     return text.select("path", F.when(is_object, doc).alias("doc"), F.when(~F.coalesce(is_object, F.lit(False)), "not an object").alias("reason"))

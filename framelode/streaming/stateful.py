@@ -87,6 +87,30 @@ def track_identity(df: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     return keyed_fold(df, "grp", "frame", step, "grp long, frame long, track long, source string, carried boolean", timeout_ms)
 
 
+LOOP = "grp long, frame long, track long, source string, carried boolean, missing_streak long, label string, observed boolean, fires boolean, latched boolean"
+
+
+def loop_step(state: list | None, row: dict, interval: int = 10, burst: int = 2, window: int = 12, confidence_below: float = 0.3, ratio_above: float = 0.018) -> tuple[list, dict]:
+    """One frame of a video's loop: the track that is followed and how long it is gone, the label at its adaptive cadence, and
+    the latch of the gate over the last frames. row: grp, frame, found (detections), probs, ratio."""
+    track, seen, gate, latched, gone = state or [None, None, [], False, 0]
+    found = [{"box": [float(d[c]) for c in ("x1", "y1", "x2", "y2")], "conf": float(d["conf"]), "track": int(d["cls"])} for d in row["found"]]
+    track, chosen = folds.pick(track, found)
+    one = chosen["chosen"]
+    gone = 0 if one else gone + 1
+    seen, said = folds.observe(seen, [float(p) for p in row["probs"]], interval, burst, 4, 0.6)
+    gate = [*gate, [one is not None and chosen["source"] == "preferred_track", float(one["conf"]) if one else 0.0, float(row["ratio"])]][-window:]
+    n = len(gate)
+    fires = n == window and not any(g[0] for g in gate) and sum(g[1] for g in gate) / n < confidence_below and sum(g[2] for g in gate) / n > ratio_above
+    out = {"grp": row["grp"], "frame": row["frame"], "track": one and one["track"], "source": chosen["source"], "carried": chosen["carried"], "missing_streak": gone, "label": said["label"], "observed": said["observed"], "fires": fires, "latched": latched}
+    return [track, seen, gate, latched or fires, gone], out
+
+
+def frame_loop(df: DataFrame, timeout_ms: int | None = None) -> DataFrame:
+    """loop_step over a stream (grp, frame, found, probs, ratio)."""
+    return keyed_fold(df, "grp", "frame", loop_step, LOOP, timeout_ms)
+
+
 def append_reviews(events: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Audit events (run_id, frame, digest, decision) that are bound to the rows as they are, to be appended; and stale ones."""
     now = bindings.select("run_id", "frame", bindings["digest"].alias("_digest"))
