@@ -447,14 +447,14 @@ def st_watermark(spark, sf_dir):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("st_orientation")
+@query("st_orientation", sequences.SMOOTHED)
 def st_orientation(spark, sf_dir):
     from .sequences import probabilities
 
     return stateful.drain(stateful.smoothed(streamed(spark, sf_dir, probabilities, "probabilities")), "smoothed")
 
 
-@query("st_cadence")
+@query("st_cadence", sequences.CADENCE)
 def st_cadence(spark, sf_dir):
     from .sequences import probabilities
 
@@ -467,7 +467,7 @@ def st_gate_latch(spark, sf_dir):
     return stateful.drain(stateful.gate_latch(streamed(spark, sf_dir, rows, "gate"), confidence_below=0.1), "gate")
 
 
-@query("st_track_identity")
+@query("st_track_identity", sequences.FOLLOWED)
 def st_track_identity(spark, sf_dir):
     rows = lambda s, d: boxes(s, d).groupBy((F.col("frame") % 50).alias("grp"), "frame").agg(F.array_sort(F.collect_list(F.struct("det", "x1", "y1", "x2", "y2", "conf", "cls"))).alias("found"))
     return stateful.drain(stateful.track_identity(streamed(spark, sf_dir, rows, "found")), "tracks")

@@ -198,7 +198,28 @@ def probabilities(spark, sf_dir):
     return e.select("grp", "frame", F.array(a, b, F.lit(0.1)).alias("probs"))
 
 
-@query("win_ema_hysteresis")
+#: Each frame's probabilities as shares, with the label of the largest.
+SHARES = f"""{FRAMES}, shares AS (SELECT grp, frame, [a / (a + b + c), b / (a + b + c), c / (a + b + c)] AS p, CASE WHEN a >= b AND a >= c THEN 1 WHEN b >= c THEN 2 ELSE 3 END AS raw
+  FROM (SELECT grp, frame, value / 100 + 0.2 AS a, CAST(CASE WHEN event_type = 'error' THEN 1.5 ELSE 0.3 END AS DOUBLE) AS b, CAST(0.1 AS DOUBLE) AS c FROM frames))"""
+#: One observation of the smoothed label: what follows from the state (m, label, cand, n) and the shares p.
+OBSERVED = """SELECT *, CASE WHEN sure THEN 'strong_switched' WHEN moved THEN 'confirmed_switched' WHEN leader <> label THEN 'pending' ELSE 'stable' END AS said FROM (
+  SELECT *, leader <> label AND (sure OR c >= 3 AND e[leader] - e[label] >= 0.05) AS moved FROM (
+    SELECT *, CASE WHEN leader = cand THEN n + 1 ELSE 1 END AS c, leader <> label AND raw = leader AND p[leader] >= 0.9 AND p[leader] - p[label] >= 0.2 AS sure FROM (
+      SELECT *, CASE WHEN e[1] >= e[2] AND e[1] >= e[3] THEN 1 WHEN e[2] >= e[3] THEN 2 ELSE 3 END AS leader FROM ({})))) """
+SMOOTHED = f"""WITH RECURSIVE {SHARES}, s AS (SELECT grp, frame, p AS m, raw AS label, -1 AS cand, 0 AS n, 'initialized' AS status, raw FROM shares WHERE frame = 0
+  UNION ALL SELECT grp, frame, e, CASE WHEN moved THEN leader ELSE label END, CASE WHEN moved OR leader = label THEN -1 ELSE leader END, CASE WHEN moved OR leader = label THEN 0 ELSE c END, said, raw
+  FROM ({OBSERVED.format("SELECT x.grp, x.frame, x.p, x.raw, [0.6 * m[i] + 0.4 * p[i] for i in [1, 2, 3]] AS e, label, cand, n FROM s JOIN shares x ON x.grp = s.grp AND x.frame = s.frame + 1")}))
+SELECT grp, frame, ['normal', 'horizontal', 'other'][label] AS label, round_even(m[label], 6) AS confidence, ['normal', 'horizontal', 'other'][raw] AS raw_label, status FROM s"""
+#: The same where only some frames are observed: nxt is the next of them, k the settled ones in a row.
+CADENCE = f"""WITH RECURSIVE {SHARES}, s AS (SELECT grp, frame, p AS m, raw AS label, -1 AS cand, 0 AS n, frame + 2 AS nxt, 0 AS k, true AS observed, true AS burst FROM shares WHERE frame = 0
+  UNION ALL SELECT grp, frame, CASE WHEN o THEN e ELSE m END, CASE WHEN o AND moved THEN leader ELSE label END, CASE WHEN NOT o THEN cand WHEN moved OR leader = label THEN -1 ELSE leader END, CASE WHEN NOT o THEN n WHEN moved OR leader = label THEN 0 ELSE c END,
+    CASE WHEN NOT o THEN nxt WHEN q < 4 THEN frame + 2 ELSE frame + 10 END, q, o, o AND q < 4
+  FROM (SELECT *, CASE WHEN NOT o THEN k WHEN raw <> (CASE WHEN moved THEN leader ELSE label END) OR round_even(p[raw], 6) < 0.6 OR said <> 'stable' THEN 0 ELSE k + 1 END AS q
+    FROM ({OBSERVED.format("SELECT x.grp, x.frame, x.p, x.raw, [0.6 * m[i] + 0.4 * p[i] for i in [1, 2, 3]] AS e, m, label, cand, n, nxt, k, x.frame >= nxt AS o FROM s JOIN shares x ON x.grp = s.grp AND x.frame = s.frame + 1")})))
+SELECT grp, frame, ['normal', 'horizontal', 'other'][label] AS label, observed, burst FROM s"""
+
+
+@query("win_ema_hysteresis", SMOOTHED)
 def win_ema_hysteresis(spark, sf_dir):
     return folds.smoothed(probabilities(spark, sf_dir))
 
@@ -213,12 +234,31 @@ def win_ema(spark, sf_dir):
     return e.select("grp", "frame", F.bround("ema", 5).alias("ema"))
 
 
-@query("win_adaptive_cadence")
+@query("win_adaptive_cadence", CADENCE)
 def win_adaptive_cadence(spark, sf_dir):
     return folds.cadence(probabilities(spark, sf_dir), interval=10, burst=2)
 
 
-@query("win_track_carry")
+#: Overlap of q and b; boxes of a frame by falling confidence, each kept unless one kept before overlaps it; and the kept ones as a list.
+OVERLAP = "greatest(0, least(q.x2, b.x2) - greatest(q.x1, b.x1)) * greatest(0, least(q.y2, b.y2) - greatest(q.y1, b.y1))"
+OVERLAP = f"({OVERLAP}) / ((q.x2 - q.x1) * (q.y2 - q.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - {OVERLAP})"
+KEPT = f"""{BOXES}, ranked AS (SELECT frame, {{'det': det, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf, 'track': cls}} AS b, row_number() OVER (PARTITION BY frame ORDER BY conf DESC, det) AS k FROM boxes),
+steps AS (SELECT frame, k, [b] AS kept FROM ranked WHERE k = 1 UNION ALL SELECT r.frame, r.k, CASE WHEN len(list_filter(kept, lambda q: {OVERLAP} >= 0.35)) > 0 THEN kept ELSE list_append(kept, b) END FROM steps s JOIN ranked r ON r.frame = s.frame AND r.k = s.k + 1),
+kept AS (SELECT frame, arg_max(kept, k) AS kept FROM steps GROUP BY frame)"""
+#: The track that is followed from frame to frame of a group: state is track, box and whether the box can be trusted.
+FAR = "sqrt(pow((d.x1 + d.x2) / 2 - (box.x1 + box.x2) / 2, 2) + pow((d.y1 + d.y2) / 2 - (box.y1 + box.y2) / 2, 2)) / greatest(1.0, sqrt(pow(box.x2 - box.x1, 2) + pow(box.y2 - box.y1, 2)), sqrt(pow(d.x2 - d.x1, 2) + pow(d.y2 - d.y1, 2)))"
+FOLLOWED = f"""WITH RECURSIVE {KEPT}, o AS (SELECT frame, frame % 50 AS grp, kept, row_number() OVER (PARTITION BY frame % 50 ORDER BY frame) AS n FROM kept),
+t AS (SELECT grp, frame, n, kept[1] AS box, kept[1].track AS track, len(kept) = 1 AS trusted, 'confidence' AS source, false AS carried FROM o WHERE n = 1
+  UNION ALL SELECT grp, frame, n, d, CASE WHEN carry THEN track ELSE d.track END, one OR source <> 'confidence', source, carry FROM (
+    SELECT *, one AND d.track <> track AND {FAR} <= 2 AS carry FROM (
+      SELECT grp, frame, n, box, track, len(kept) = 1 AS one, CASE WHEN same > 0 THEN 'preferred_track' WHEN best > 0 THEN 'temporal_motion' ELSE 'confidence' END AS source, kept[CASE WHEN same > 0 THEN same WHEN best > 0 THEN best ELSE 1 END] AS d FROM (
+        SELECT o.grp, o.frame, o.n, o.kept, t.box, t.track, coalesce(list_position([d.track for d in o.kept], t.track), 0) AS same,
+          CASE WHEN len(o.kept) > 1 AND trusted THEN coalesce(-(list_sort([{{'s': ln(greatest(d.conf, 1e-6)) - 1.5 * ({FAR}), 'i': -d.i}} for d in list_transform(o.kept, lambda x, i: {{'x1': x.x1, 'y1': x.y1, 'x2': x.x2, 'y2': x.y2, 'conf': x.conf, 'i': i}}) if {FAR} <= 2], 'DESC')[1].i), 0) ELSE 0 END AS best
+        FROM t JOIN o ON o.grp = t.grp AND o.n = t.n + 1))))
+SELECT grp, frame, track, source, carried FROM t"""
+
+
+@query("win_track_carry", FOLLOWED)
 def win_track_carry(spark, sf_dir):
     def step(state, row):
         found = [{"box": [d["x1"], d["y1"], d["x2"], d["y2"]], "conf": d["conf"], "track": d["cls"]} for d in row["found"]]
@@ -250,7 +290,7 @@ def topk_temporal_pick(spark, sf_dir):
     return S.temporal_pick(rows, "frame", "det", F.array("x1", "y1", "x2", "y2"), "conf", F.col("was"), F.col("preferred"))
 
 
-@query("topk_nms")
+@query("topk_nms", f"WITH RECURSIVE {KEPT} SELECT frame, d.det AS det FROM (SELECT frame, unnest(kept) AS d FROM kept)")
 def topk_nms(spark, sf_dir):
     """Detections that stay: boxes of a frame by falling confidence, folded over an array of at most a frame's boxes."""
     from ..functions.geometry import bbox_iou
@@ -262,7 +302,11 @@ def topk_nms(spark, sf_dir):
     return b.select("frame", F.explode(kept).alias("d")).select("frame", F.col("d.det").alias("det"))
 
 
-@query("join_iou_greedy")
+@query("join_iou_greedy", f"""WITH RECURSIVE {BOXES}, p AS (SELECT q.frame, q.det AS i, b.det AS j, {OVERLAP} AS iou FROM boxes q JOIN boxes b ON b.frame = q.frame AND b.cls = q.cls AND q.det % 2 = 1 AND b.det % 2 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY iou DESC, i DESC, j DESC) AS k FROM p WHERE iou >= 0.1),
+s AS (SELECT frame, k, i, j, iou, true AS taken, [i] AS left_, [j] AS right_ FROM r WHERE k = 1 UNION ALL SELECT r.frame, r.k, r.i, r.j, r.iou, free, CASE WHEN free THEN list_append(left_, r.i) ELSE left_ END, CASE WHEN free THEN list_append(right_, r.j) ELSE right_ END
+  FROM (SELECT r.*, left_, right_, NOT list_contains(left_, r.i) AND NOT list_contains(right_, r.j) AS free FROM s JOIN r ON r.frame = s.frame AND r.k = s.k + 1) r)
+SELECT frame, i AS det, j AS track, round_even(iou, 6) AS iou FROM s WHERE taken""")
 def join_iou_greedy(spark, sf_dir):
     """Odd and even detections of a frame as detections and tracks, matched one to one."""
     import pandas as pd
