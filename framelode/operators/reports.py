@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -71,6 +73,131 @@ def best_threshold(table: DataFrame) -> DataFrame:
     return table.agg(F.max_by("threshold", F.struct("f1", -F.col("fp"), -F.abs(F.col("threshold") - 0.5), -F.col("i"))).alias("threshold"), F.max("f1").alias("f1"))
 
 
+def threshold_report(pixels: DataFrame, image: str, score: Column, target: Column, near_score: Column, near_target: Column, thresholds: list[float]) -> DataFrame:
+    """Pixel, tolerant and image-level metrics at each threshold, rounded as in reports: one row a threshold.
+
+    pixels: a row a pixel; near_score is the largest score within the tolerance, near_target whether a target lies within it.
+    All counts are of values that reach a threshold, so rows are counted by how many thresholds they reach and these counts,
+    as few as thresholds, are summed up; images are one row each before that.
+    """
+    limits = F.array(*[F.lit(t) for t in thresholds])
+    reach = lambda v: F.aggregate(limits, F.lit(0), lambda n, t: n + F.when(v >= t, 1).otherwise(0))
+    rows = pixels.select(F.col(image).alias("image"), reach(score).alias("own"), reach(near_score).alias("near"), target.alias("target"), near_target.alias("beside"))
+    images = rows.groupBy("image").agg(F.max("own").alias("own"), F.bool_or("target").alias("target"), F.count_if("target").alias("pixels"))
+    names = ("tp", "fp", "tolerant_p", "tolerant_t", "image_tp", "image_fp", "negative")
+    zero = {n: F.lit(0).cast("long") for n in names}
+    counted = lambda df, key, **found: df.groupBy(F.col(key).alias("reached")).agg(*[found.get(n, F.max(zero[n])).alias(n) for n in names])
+    parts = [
+        counted(rows, "own", tp=F.count_if("target"), fp=F.count_if(~F.col("target")), tolerant_p=F.count_if("beside")),
+        counted(rows.where("target"), "near", tolerant_t=F.count(F.lit(1))),
+        counted(images, "own", image_tp=F.count_if("target"), image_fp=F.count_if(~F.col("target"))),
+        counted(rows.join(images.where("not target").select("image"), "image", "left_semi"), "own", negative=F.count(F.lit(1))),
+    ]
+    sums = reduce(DataFrame.unionByName, parts)
+    totals = images.agg(F.sum("pixels").alias("targets"), F.count_if("target").alias("positive"), F.count_if(~F.col("target")).alias("empty"))
+    table = pixels.sparkSession.range(1).select(F.posexplode(limits).alias("i", "threshold"))
+    # either side has as many rows as there are thresholds, or one
+    over = F.col("reached") > F.col("i")
+    found = table.join(F.broadcast(sums)).groupBy("i", "threshold").agg(*[F.sum(F.when(over, F.col(n)).otherwise(0)).alias(n) for n in names]).join(F.broadcast(totals))
+    c = {n: F.col(n) for n in (*names, "targets", "positive", "empty")}
+    p, r, _ = prf(c["tp"], c["fp"], c["targets"] - c["tp"])
+    tp_, tr_ = ratio(c["tolerant_p"], c["tp"] + c["fp"]), ratio(c["tolerant_t"], c["targets"])
+    ip, ir, if_ = prf(c["image_tp"], c["image_fp"], c["positive"] - c["image_tp"])
+    six = {"precision": p, "recall": r, "iou": ratio(c["tp"], c["targets"] + c["fp"]), "dice": ratio(2 * c["tp"], c["targets"] + c["tp"] + c["fp"]), "tolerant_precision": tp_, "tolerant_recall": tr_, "tolerant_f1": ratio(2 * tp_ * tr_, tp_ + tr_), "image_precision": ip, "image_recall": ir, "image_f1": if_}
+    return found.select("i", F.bround("threshold", 4).alias("threshold"), *[F.bround(v, 6).alias(k) for k, v in six.items()], F.bround(ratio(c["negative"], c["empty"]), 3).alias("negative_pixels"))
+
+
+def select_threshold(report: DataFrame) -> DataFrame:
+    """The row of a threshold_report with the best balanced F1 of tolerant and image-level F1, then image-level F1, fewest pixels
+    on negative images, tolerant F1, Dice, nearness to 0.5; of equal ones the first."""
+    balanced = ratio(2 * F.col("tolerant_f1") * F.col("image_f1"), F.col("tolerant_f1") + F.col("image_f1"))
+    key = F.struct(balanced.alias("a"), "image_f1", -F.col("negative_pixels"), "tolerant_f1", "dice", -F.abs(F.col("threshold") - 0.5), -F.col("i"))
+    return report.agg(F.max_by(F.struct(*report.columns), key).alias("best")).select("best.*")
+
+
+def label_summary(df: DataFrame, label: str, raw: str, confidence: str, order: str, *by: str) -> DataFrame:
+    """Of each group: the commonest label (of equally common ones that seen first), rows, switches of the label and of the raw
+    one between neighbours, and the mean confidence of the rows of the commonest label, to six decimals."""
+    w = W.partitionBy(*by).orderBy(order)
+    moved = lambda c: (F.lag(c).over(w) != F.col(c)).cast("long")
+    rows = df.withColumn("_moved", moved(label)).withColumn("_raw", moved(raw))
+    parts = rows.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.sum(confidence).alias("sure"), F.sum("_moved").alias("switches"), F.sum("_raw").alias("raw_switches"))
+    best = F.max_by(F.struct(F.col(label).alias("label"), "n", "sure"), F.struct("n", -F.col("first"))).alias("best")
+    out = parts.groupBy(*by).agg(best, F.sum("n").alias("rows"), F.coalesce(F.sum("switches"), F.lit(0)).alias("switches"), F.coalesce(F.sum("raw_switches"), F.lit(0)).alias("raw_switches"))
+    return out.select(*by, F.col("best.label").alias("mode"), "rows", "switches", "raw_switches", F.bround(F.col("best.sure") / F.col("best.n"), 6).alias("mean_confidence"))
+
+
+def sequence_scores(df: DataFrame, target: str, prediction: str, group: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """(accuracy, macro recall, switches) over all groups, and accuracy by group."""
+    hit = (F.col(target) == F.col(prediction)).cast("long")
+    moved = (F.lag(prediction).over(W.partitionBy(group).orderBy(order)) != F.col(prediction)).cast("long")
+    rows = df.select(group, target, hit.alias("hit"), moved.alias("moved"))
+    parts = rows.groupBy(group, target).agg(F.sum("hit").alias("hit"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("moved"), F.lit(0)).alias("moved"))
+    recall = parts.groupBy(target).agg((F.sum("hit") / F.sum("n")).alias("recall")).agg(F.avg("recall").alias("macro_recall"))
+    whole = parts.agg((F.sum("hit") / F.sum("n")).alias("accuracy"), F.sum("moved").alias("switches"))
+    # one row on either side
+    return whole.join(F.broadcast(recall)), parts.groupBy(group).agg((F.sum("hit") / F.sum("n")).alias("accuracy"))
+
+
+def promotion(baseline: tuple[DataFrame, DataFrame], candidate: tuple[DataFrame, DataFrame], group: str) -> DataFrame:
+    """Whether a candidate may replace a baseline: accuracy and macro recall not less, no more switches, no group less accurate."""
+    named = lambda df, mark: df.withColumnsRenamed({c: f"{c}_{mark}" for c in df.columns if c != group})
+    both = named(baseline[0], "b").join(F.broadcast(named(candidate[0], "c")))
+    groups = named(baseline[1], "b").join(named(candidate[1], "c"), group, "left")
+    every = groups.agg(F.coalesce(F.bool_and(F.coalesce(F.col("accuracy_c") >= F.col("accuracy_b"), F.lit(False))), F.lit(True)).alias("every_group"))
+    parts = both.select((F.col("accuracy_c") >= F.col("accuracy_b")).alias("accuracy"), (F.col("macro_recall_c") >= F.col("macro_recall_b")).alias("macro_recall"), (F.col("switches_c") <= F.col("switches_b")).alias("switches")).join(F.broadcast(every))
+    return parts.withColumn("passed", F.col("accuracy") & F.col("macro_recall") & F.col("switches") & F.col("every_group"))
+
+
+def registry(runs: DataFrame, files: DataFrame, weights: DataFrame, priority: tuple[str, ...], defaults: dict[str, str]) -> DataFrame:
+    """model_id, task, weights, metrics_file, roles, warnings and complete of each run, and of weights without one.
+
+    runs: model_id, task, weights (null: the run's own path), dataset. files: path of what exists. weights: model_id, path.
+    The metrics file is the first of `priority` that exists; roles are the names whose default is the run's weights.
+    """
+    there = files.select("path").distinct()
+    named = runs.withColumn("weights", F.coalesce("weights", F.concat("model_id", F.lit("/weights/best.pt"))))
+    exists = lambda df, of, mark: df.join(there.select(F.col("path").alias(of), F.lit(True).alias(mark)), of, "left")
+    candidates = named.select("model_id", F.posexplode(F.array(*[F.concat("model_id", F.lit(f"/{n}")) for n in priority])).alias("rank", "path")).join(there, "path", "left_semi")
+    metrics = candidates.groupBy("model_id").agg(F.min_by("path", "rank").alias("metrics_file"))
+    rows = exists(exists(named, "weights", "_w"), "dataset", "_d").join(metrics, "model_id", "left")
+    warnings = F.array_compact(F.array(F.when(F.col("_w").isNull(), "best_weights_missing"), F.when(F.col("_d").isNull(), "dataset_manifest_missing"), F.when(F.col("metrics_file").isNull(), "independent_test_metrics_missing")))
+    found = rows.select("model_id", "task", "weights", F.coalesce("metrics_file", F.lit("")).alias("metrics_file"), warnings.alias("warnings"))
+    orphans = weights.join(named.select(F.col("weights").alias("path")), "path", "left_anti").select("model_id", F.lit("unknown").alias("task"), F.col("path").alias("weights"), F.lit("").alias("metrics_file"), F.array(F.lit("run_manifest_missing")).alias("warnings"))
+    roles = F.array_compact(F.array(*[F.when(F.col("weights") == path, name) for name, path in defaults.items()]))
+    return found.unionByName(orphans).withColumn("roles", roles).withColumn("complete", F.size("warnings") == 0)
+
+
+def review_rows(df: DataFrame, group: str, frame: str, signature: list[str], flags: str, priority: tuple[str, ...], worst: str, ratio_of: Column, always: Column, most: int) -> DataFrame:
+    """Rows of each group for a review sheet of at most `most`: all of a small group; else the first, the last, the first with
+    each priority flag and the one with the worst ratio among rows flagged `worst`; then rows where the signature changes or
+    `always` holds, spread evenly if they are too many; then rows spread evenly over the group until the sheet is full.
+    """
+    w = W.partitionBy(group).orderBy(frame)
+    rows = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_sig", F.struct(*signature)).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(group)))
+    has = lambda f: F.array_contains(flags, f)
+    first_of = [F.coalesce(F.min(F.when(has(f), F.col("_i"))).over(W.partitionBy(group)) == F.col("_i"), F.lit(False)) for f in priority]
+    most_ratio = F.max(F.when(has(worst), F.struct(ratio_of.alias("r"), (-F.col("_i")).alias("i")))).over(W.partitionBy(group))
+    is_worst = F.coalesce(F.lit(0) - most_ratio["i"] == F.col("_i"), F.lit(False))
+    prior = (F.col("_i") == 0) | (F.col("_i") == F.col("_n") - 1) | is_worst | reduce(lambda a, b: a | b, first_of)
+    changed = ~F.coalesce(F.lag("_sig").over(w).eqNullSafe(F.col("_sig")), F.lit(False)) | F.coalesce(always, F.lit(False))
+    rows = rows.withColumn("_prior", prior).withColumn("_event", changed & ~prior)
+    any_flag = reduce(lambda a, b: a | b, [has(f) for f in priority])
+    order = F.when(has(worst), 0).when(any_flag, 1).otherwise(2)
+    # priority rows, if even they are too many, by kind and place
+    rows = rows.withColumn("_rank", F.when(F.col("_prior"), F.row_number().over(W.partitionBy(group, "_prior").orderBy(order, "_i")))).withColumn("_kept", F.coalesce(F.col("_rank") <= most, F.lit(False)))
+    left = F.greatest(F.lit(0), F.lit(most) - F.count_if(F.col("_kept")).over(W.partitionBy(group)))
+    rows = rows.withColumn("_left", left).withColumn("_events", F.count_if("_event").over(W.partitionBy(group))).withColumn("_e", F.when(F.col("_event"), F.row_number().over(W.partitionBy(group, "_event").orderBy("_i")) - 1))
+    spread = lambda at, total, n: F.when(n == 1, at == 0).otherwise(F.floor(F.ceil(at * (n - 1) / (total - 1)) * (total - 1) / (n - 1)) == at)
+    taken = F.col("_event") & (F.col("_left") > 0) & ((F.col("_events") <= F.col("_left")) | spread(F.col("_e"), F.col("_events"), F.col("_left")))
+    rows = rows.withColumn("_kept", F.col("_kept") | F.coalesce(taken, F.lit(False)))
+    even = ~F.col("_kept") & spread(F.col("_i"), F.col("_n"), F.lit(most))
+    room = F.lit(most) - F.count_if(F.col("_kept")).over(W.partitionBy(group))
+    rows = rows.withColumn("_even", even).withColumn("_room", room).withColumn("_u", F.row_number().over(W.partitionBy(group, "_even").orderBy("_i")))
+    chosen = (F.col("_n") <= most) | F.col("_kept") | F.col("_even") & (F.col("_u") <= F.col("_room"))
+    return rows.where(chosen).select(*df.columns)
+
+
 def mode_label(df: DataFrame, label: str, order: str, *by: str) -> DataFrame:
     """The commonest label of a group, of equally common ones that seen first, with its count and the number of labels."""
     counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))

@@ -313,6 +313,28 @@ def agg_presence_prf(spark, sf_dir):
     return reports.presence(e, F.col("t"), F.col("value") > 20, "user_id")
 
 
+#: Boxes as the pixels of a line a frame, with the largest score and any target within one pixel; then the metrics of a report.
+PIXELS = f"{BOXES}, px AS (SELECT frame, conf, cls = 1 AS t, greatest(coalesce(lag(conf) OVER w, conf), conf, coalesce(lead(conf) OVER w, conf)) AS nc, cls = 1 OR coalesce(lag(cls) OVER w = 1, false) OR coalesce(lead(cls) OVER w = 1, false) AS nt FROM boxes WHERE frame % 5 <> 0 OR cls = 0 WINDOW w AS (PARTITION BY frame ORDER BY det))"
+REPORT = """im AS (SELECT frame, bool_or(t) AS t, max(conf) AS conf FROM px GROUP BY frame), pc AS (SELECT i, threshold, count(*) FILTER (WHERE conf >= threshold AND t) AS tp, count(*) FILTER (WHERE conf >= threshold AND NOT t) AS fp, count(*) FILTER (WHERE t) AS targets, count(*) FILTER (WHERE conf >= threshold AND nt) AS tolp, count(*) FILTER (WHERE nc >= threshold AND t) AS tolt FROM lim, px GROUP BY ALL),
+ic AS (SELECT i, count(*) FILTER (WHERE conf >= threshold AND t) AS itp, count(*) FILTER (WHERE conf >= threshold AND NOT t) AS ifp, count(*) FILTER (WHERE t) AS pos, count(*) FILTER (WHERE NOT t) AS neg FROM lim, im GROUP BY ALL), nc AS (SELECT i, count(*) FILTER (WHERE px.conf >= threshold) AS npx FROM lim, px JOIN im USING (frame) WHERE NOT im.t GROUP BY ALL),
+q AS (SELECT *, coalesce(tolp / nullif(tp + fp, 0), 0) AS tpr, coalesce(tolt / nullif(targets, 0), 0) AS trc, coalesce(itp / nullif(itp + ifp, 0), 0) AS ipr, coalesce(itp / nullif(pos, 0), 0) AS irc FROM pc JOIN ic USING (i) LEFT JOIN nc USING (i)),
+report AS (SELECT i, round_even(threshold, 4) AS threshold, round_even(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round_even(coalesce(tp / nullif(targets, 0), 0), 6) AS recall, round_even(coalesce(tp / nullif(targets + fp, 0), 0), 6) AS iou, round_even(coalesce(2 * tp / nullif(targets + tp + fp, 0), 0), 6) AS dice,
+  round_even(tpr, 6) AS tolerant_precision, round_even(trc, 6) AS tolerant_recall, round_even(coalesce(2 * tpr * trc / nullif(tpr + trc, 0), 0), 6) AS tolerant_f1, round_even(ipr, 6) AS image_precision, round_even(irc, 6) AS image_recall, round_even(coalesce(2 * ipr * irc / nullif(ipr + irc, 0), 0), 6) AS image_f1, round_even(coalesce(coalesce(npx, 0) / nullif(neg, 0), 0), 3) AS negative_pixels FROM q)"""
+
+
+def _report(spark, sf_dir, thresholds):
+    w = W.partitionBy("frame").orderBy("det")
+    b = boxes(spark, sf_dir).where("frame % 5 <> 0 or cls = 0").withColumn("t", F.col("cls") == 1)
+    beside = lambda c: F.greatest(F.coalesce(F.lag(c).over(w), F.col(c)), F.col(c), F.coalesce(F.lead(c).over(w), F.col(c)))
+    px = b.withColumn("nc", beside("conf")).withColumn("nt", beside("t"))
+    return reports.threshold_report(px, "frame", F.col("conf"), F.col("t"), F.col("nc"), F.col("nt"), thresholds)
+
+
+@query("agg_pixel_report", f"WITH {PIXELS}, lim AS (SELECT 0 AS i, CAST(0.5 AS DOUBLE) AS threshold), {REPORT} SELECT * EXCLUDE (i) FROM report")
+def agg_pixel_report(spark, sf_dir):
+    return _report(spark, sf_dir, [0.5]).drop("i")
+
+
 @query("agg_pixel_prf", f"""WITH {BOXES}, i AS (SELECT frame, sum(floor(x1)) AS tp, sum(floor(y1)) AS fp, sum(cls) AS fn FROM boxes GROUP BY frame), s AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM i)
 SELECT round_even(tp / (tp + fp + fn), 6) AS iou, round_even(2 * tp / (2 * tp + fp + fn), 6) AS dice FROM s""")
 def agg_pixel_prf(spark, sf_dir):
@@ -321,10 +343,17 @@ def agg_pixel_prf(spark, sf_dir):
     return s.select(F.bround(reports.ratio(tp, tp + fp + fn), 6).alias("iou"), F.bround(reports.ratio(2 * tp, 2 * tp + fp + fn), 6).alias("dice"))
 
 
-@query("agg_threshold_select", """WITH t AS (SELECT i, 0.15 + i * 0.0245 AS threshold FROM range(35) r(i)), c AS (SELECT i, threshold, count(*) FILTER (WHERE event_type = 'purchase' AND value / 100 >= threshold) AS tp, count(*) FILTER (WHERE event_type <> 'purchase' AND value / 100 >= threshold) AS fp, count(*) FILTER (WHERE event_type = 'purchase' AND value / 100 < threshold) AS fn FROM t, events GROUP BY ALL),
+@query("agg_threshold_select", f"""WITH {PIXELS}, lim AS (SELECT i, CAST(0.15 AS DOUBLE) + i * CAST(0.845 AS DOUBLE) / 34 AS threshold FROM range(35) r(i)), {REPORT}
+SELECT * EXCLUDE (i) FROM report ORDER BY coalesce(2 * tolerant_f1 * image_f1 / nullif(tolerant_f1 + image_f1, 0), 0) DESC, image_f1 DESC, negative_pixels, tolerant_f1 DESC, dice DESC, abs(threshold - 0.5), i LIMIT 1""")
+def agg_threshold_select(spark, sf_dir):
+    """35 thresholds between 0.15 and 0.995, the best by the whole key of a report."""
+    return reports.select_threshold(_report(spark, sf_dir, [0.15 + i * 0.845 / 34 for i in range(35)])).drop("i")
+
+
+@query("agg_threshold_f1", """WITH t AS (SELECT i, 0.15 + i * 0.0245 AS threshold FROM range(35) r(i)), c AS (SELECT i, threshold, count(*) FILTER (WHERE event_type = 'purchase' AND value / 100 >= threshold) AS tp, count(*) FILTER (WHERE event_type <> 'purchase' AND value / 100 >= threshold) AS fp, count(*) FILTER (WHERE event_type = 'purchase' AND value / 100 < threshold) AS fn FROM t, events GROUP BY ALL),
 f AS (SELECT *, CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END AS f1 FROM c)
 SELECT round_even(threshold, 6) AS threshold, round_even(f1, 6) AS f1 FROM f ORDER BY f.f1 DESC, fp, abs(f.threshold - 0.5), i LIMIT 1""")
-def agg_threshold_select(spark, sf_dir):
+def agg_threshold_f1(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     table = reports.threshold_table(e, F.col("value") / 100, F.col("event_type") == "purchase", [0.15 + i * 0.0245 for i in range(35)])
     return reports.best_threshold(table).select(F.bround("threshold", 6).alias("threshold"), F.bround("f1", 6).alias("f1"))
@@ -379,8 +408,16 @@ def agg_flag_counts(spark, sf_dir):
     return reports.flag_counts(read(spark, sf_dir, "lineitem").select(flags.alias("flags")), "flags")
 
 
-@query("agg_orientation_summary", f"""WITH {FRAMES}, c AS (SELECT grp, event_type, count(*) AS n, min(frame) AS first FROM frames GROUP BY ALL) SELECT grp, arg_max(event_type, (n, -first)) AS mode, max(n) AS n, count(*) AS labels FROM c GROUP BY grp""")
+@query("agg_orientation_summary", f"""WITH {FRAMES}, r AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'view' ELSE event_type END AS raw FROM frames), k AS (SELECT *, lag(event_type) OVER w <> event_type AS moved, lag(raw) OVER w <> raw AS raw_moved FROM r WINDOW w AS (PARTITION BY grp ORDER BY frame)),
+c AS (SELECT grp, event_type, count(*) AS n, min(frame) AS first, sum(value) AS s FROM k GROUP BY ALL), m AS (SELECT grp, arg_max({{'l': event_type, 's': s, 'n': n}}, (n, -first)) AS best FROM c GROUP BY grp)
+SELECT grp, best.l AS mode, count(*) AS rows, count(*) FILTER (WHERE moved) AS switches, count(*) FILTER (WHERE raw_moved) AS raw_switches, round_even(best.s / best.n, 6) AS mean_confidence FROM k JOIN m USING (grp) GROUP BY grp, best""")
 def agg_orientation_summary(spark, sf_dir):
+    e = frames(spark, sf_dir).withColumn("raw", F.when(F.col("event_id") % 3 == 0, "view").otherwise(F.col("event_type")))
+    return reports.label_summary(e, "event_type", "raw", "value", "frame", "grp")
+
+
+@query("agg_orientation_mode", f"""WITH {FRAMES}, c AS (SELECT grp, event_type, count(*) AS n, min(frame) AS first FROM frames GROUP BY ALL) SELECT grp, arg_max(event_type, (n, -first)) AS mode, max(n) AS n, count(*) AS labels FROM c GROUP BY grp""")
+def agg_orientation_mode(spark, sf_dir):
     return reports.mode_label(frames(spark, sf_dir), "event_type", "frame", "grp")
 
 
@@ -410,9 +447,26 @@ def agg_view_counts(spark, sf_dir):
     return f.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("n") > 0).alias("positive"), F.count_if(F.col("n") == 0).alias("negative"), F.sum("n").alias("instances"))
 
 
-@query("agg_registry", """SELECT c.c_custkey AS run, n.n_name AS dataset, coalesce(max(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), max(o_totalprice) FILTER (WHERE o_orderstatus = 'O')) AS metric, CASE WHEN count(o_orderkey) = 0 THEN 'no metrics' ELSE '' END AS warnings
-FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY ALL""")
+@query("agg_registry", """WITH runs AS (SELECT 'run' || c_custkey AS model_id, CASE WHEN c_custkey % 2 = 0 THEN 'detection' ELSE 'string' END AS task, CASE WHEN c_custkey % 5 = 0 THEN 'pool/w' || c_custkey ELSE 'run' || c_custkey || '/weights/best.pt' END AS weights, c_nationkey FROM customer WHERE c_custkey % 7 <> 0),
+m AS (SELECT model_id, CASE WHEN CAST(substr(model_id, 4) AS BIGINT) % 3 = 0 THEN model_id || '/current.json' WHEN CAST(substr(model_id, 4) AS BIGINT) % 4 <> 0 THEN model_id || '/test.json' ELSE '' END AS metrics_file FROM runs)
+SELECT model_id, task, weights, metrics_file, array_to_string(list_filter([CASE WHEN CAST(substr(model_id, 4) AS BIGINT) % 11 = 0 THEN 'best_weights_missing' END, CASE WHEN c_nationkey = 3 THEN 'dataset_manifest_missing' END, CASE WHEN metrics_file = '' THEN 'independent_test_metrics_missing' END], lambda x: x IS NOT NULL), ',') AS warnings, CASE WHEN weights = 'pool/w10' THEN 'default_detector' ELSE '' END AS roles,
+  CAST(substr(model_id, 4) AS BIGINT) % 11 <> 0 AND c_nationkey <> 3 AND metrics_file <> '' AS complete FROM runs JOIN m USING (model_id)
+UNION ALL SELECT 'run' || c_custkey, 'unknown', 'run' || c_custkey || '/weights/best.pt', '', 'run_manifest_missing', '', false FROM customer WHERE c_custkey % 7 = 0""")
 def agg_registry(spark, sf_dir):
+    """Runs with the first metrics file that exists, roles and warnings; weights without a run are listed too."""
+    c = read(spark, sf_dir, "customer").select(F.concat(F.lit("run"), "c_custkey").alias("model_id"), "c_custkey", "c_nationkey")
+    own = F.concat("model_id", F.lit("/weights/best.pt"))
+    runs = c.where("c_custkey % 7 <> 0").select("model_id", F.when(F.col("c_custkey") % 2 == 0, "detection").otherwise("string").alias("task"), F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("pool/w"), "c_custkey")).alias("weights"), F.concat(F.lit("set"), "c_nationkey").alias("dataset"))
+    weights = c.where("c_custkey % 5 <> 0 or c_custkey % 7 = 0").select("model_id", own.alias("path"))
+    path = lambda where, p: c.where(where).select(p.alias("path"))
+    files = path("c_custkey % 11 <> 0", F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("pool/w"), "c_custkey")).otherwise(own)).unionByName(path("c_custkey % 3 = 0", F.concat("model_id", F.lit("/current.json")))).unionByName(path("c_custkey % 4 <> 0", F.concat("model_id", F.lit("/test.json")))).unionByName(path("c_nationkey <> 3", F.concat(F.lit("set"), "c_nationkey")))
+    found = reports.registry(runs, files, weights, ("current.json", "test.json"), {"default_detector": "pool/w10"})
+    return found.withColumn("warnings", F.array_join("warnings", ",")).withColumn("roles", F.array_join("roles", ","))
+
+
+@query("agg_run_metrics", """SELECT c.c_custkey AS run, n.n_name AS dataset, coalesce(max(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), max(o_totalprice) FILTER (WHERE o_orderstatus = 'O')) AS metric, CASE WHEN count(o_orderkey) = 0 THEN 'no metrics' ELSE '' END AS warnings
+FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY ALL""")
+def agg_run_metrics(spark, sf_dir):
     c, n, o = (read(spark, sf_dir, t) for t in ("customer", "nation", "orders"))
     metrics = o.groupBy("o_custkey").agg(F.coalesce(F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))), F.max(F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice")))).alias("metric"), F.lit(True).alias("there"))
     runs = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left").join(metrics, c["c_custkey"] == metrics["o_custkey"], "left")
@@ -420,8 +474,21 @@ def agg_registry(spark, sf_dir):
     return runs.select(F.col("c_custkey").alias("run"), F.col("n_name").alias("dataset"), "metric", warnings.alias("warnings"))
 
 
-@query("agg_promotion_gate", """WITH g AS (SELECT user_id, count(*) FILTER (WHERE value > 20) AS bh, count(*) FILTER (WHERE event_id % 2 = 0) AS ch FROM events GROUP BY user_id) SELECT bool_and(ch >= bh) AS every_group, sum(ch) >= sum(bh) AS overall, count(*) FILTER (WHERE ch < bh) AS worse_groups FROM g""")
+GATE = f"""{FRAMES}, k AS (SELECT grp, event_type AS target, coalesce(lag(event_type) OVER w, 'none') AS b, CASE WHEN frame % 3 = 0 THEN event_type ELSE coalesce(lag(event_type) OVER w, 'none') END AS c FROM frames WINDOW w AS (PARTITION BY grp ORDER BY frame)), o AS (SELECT f.grp, f.frame, f.target, f.b, f.c, lag(f.b) OVER w AS b0, lag(f.c) OVER w AS c0 FROM (SELECT grp, frame, event_type AS target, coalesce(lag(event_type) OVER v, 'none') AS b, CASE WHEN frame % 3 = 0 THEN event_type ELSE coalesce(lag(event_type) OVER v, 'none') END AS c FROM frames WINDOW v AS (PARTITION BY grp ORDER BY frame)) f WINDOW w AS (PARTITION BY f.grp ORDER BY f.frame))"""
+
+
+@query("agg_promotion_gate", f"""WITH {GATE}, r AS (SELECT target, avg(CAST(target = b AS INTEGER)) AS rb, avg(CAST(target = c AS INTEGER)) AS rc FROM o GROUP BY target), g AS (SELECT grp, avg(CAST(target = b AS INTEGER)) AS ab, avg(CAST(target = c AS INTEGER)) AS ac FROM o GROUP BY grp),
+v AS (SELECT (SELECT avg(CAST(target = c AS INTEGER)) >= avg(CAST(target = b AS INTEGER)) FROM o) AS accuracy, (SELECT avg(rc) >= avg(rb) FROM r) AS macro_recall, (SELECT count(*) FILTER (WHERE c <> c0) <= count(*) FILTER (WHERE b <> b0) FROM o) AS switches, (SELECT bool_and(ac >= ab) FROM g) AS every_group)
+SELECT *, accuracy AND macro_recall AND switches AND every_group AS passed FROM v""")
 def agg_promotion_gate(spark, sf_dir):
+    before = F.coalesce(F.lag("event_type").over(W.partitionBy("grp").orderBy("frame")), F.lit("none"))
+    e = frames(spark, sf_dir).withColumn("b", before).withColumn("c", F.when(F.col("frame") % 3 == 0, F.col("event_type")).otherwise(F.col("b")))
+    scores = lambda prediction: reports.sequence_scores(e, "event_type", prediction, "grp", "frame")
+    return reports.promotion(scores("b"), scores("c"), "grp")
+
+
+@query("agg_promotion_groups", """WITH g AS (SELECT user_id, count(*) FILTER (WHERE value > 20) AS bh, count(*) FILTER (WHERE event_id % 2 = 0) AS ch FROM events GROUP BY user_id) SELECT bool_and(ch >= bh) AS every_group, sum(ch) >= sum(bh) AS overall, count(*) FILTER (WHERE ch < bh) AS worse_groups FROM g""")
+def agg_promotion_groups(spark, sf_dir):
     g = read(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("value") > 20).alias("baseline_hits"), F.count_if(F.col("event_id") % 2 == 0).alias("candidate_hits"))
     return reports.promotion_gate(g.withColumn("baseline", F.col("baseline_hits")).withColumn("candidate", F.col("candidate_hits")), "user_id")
 

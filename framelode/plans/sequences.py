@@ -177,9 +177,20 @@ def win_propagate_edit(spark, sf_dir):
     return S.propagate_edit(e.select("grp", "frame", "event_type"), edits, "event_type")
 
 
-@query("win_event_sampling", f"""WITH {FRAMES}, k AS (SELECT *, value > 20 AS big FROM frames), c AS (SELECT *, lag(big) OVER w AS b0, lag(event_type = 'error') OVER w AS e0, row_number() OVER w AS n, lead(1) OVER w AS nx FROM k WINDOW w AS (PARTITION BY grp ORDER BY frame))
-SELECT grp, frame FROM c WHERE n = 1 OR nx IS NULL OR big <> b0 OR (event_type = 'error') <> e0""")
+@query("win_event_sampling", f"""WITH {FRAMES}, k AS (SELECT grp, frame, event_type, value, frame AS i, count(*) OVER (PARTITION BY grp) AS n, event_type = 'error' AS bad, value > 150 AS far, event_id % 17 = 0 AS again, lag(event_type IN ('click', 'view')) OVER w IS NOT DISTINCT FROM (event_type IN ('click', 'view')) AND lag(event_type = 'error') OVER w IS NOT DISTINCT FROM (event_type = 'error') AS same FROM frames WINDOW w AS (PARTITION BY grp ORDER BY frame)),
+p AS (SELECT *, i = 0 OR i = n - 1 OR coalesce(i = min(CASE WHEN bad THEN i END) OVER (PARTITION BY grp), false) OR coalesce(i = min(CASE WHEN far THEN i END) OVER (PARTITION BY grp), false) OR coalesce(i = arg_max(i, CASE WHEN far THEN (value, -i) END) OVER (PARTITION BY grp), false) AS prior FROM k),
+e AS (SELECT *, NOT prior AND (NOT same OR again) AS event FROM p), c AS (SELECT *, 24 - count(*) FILTER (WHERE prior) OVER (PARTITION BY grp) AS room, count(*) FILTER (WHERE event) OVER (PARTITION BY grp) AS events, CASE WHEN event THEN row_number() OVER (PARTITION BY grp, event ORDER BY i) - 1 END AS pos FROM e),
+t AS (SELECT *, prior OR event AND (events <= room OR list_contains([CAST(floor(j * (events - 1) / (room - 1)) AS BIGINT) for j in range(room)], pos)) AS kept FROM c), u AS (SELECT *, NOT kept AND list_contains([CAST(floor(j * (n - 1) / 23) AS BIGINT) for j in range(24)], i) AS evenly, 24 - count(*) FILTER (WHERE kept) OVER (PARTITION BY grp) AS spare FROM t),
+v AS (SELECT *, row_number() OVER (PARTITION BY grp, evenly ORDER BY i) AS place FROM u) SELECT grp, frame FROM v WHERE n <= 24 OR kept OR evenly AND place <= spare""")
 def win_event_sampling(spark, sf_dir):
+    """At most 24 rows a group: priority rows, then changes, then an even spread."""
+    e = frames(spark, sf_dir).withColumn("flags", F.array_compact(F.array(F.when(F.col("event_type") == "error", "bad"), F.when(F.col("value") > 150, "far")))).withColumn("seen", F.col("event_type").isin("click", "view")).withColumn("bad", F.col("event_type") == "error")
+    return reports.review_rows(e, "grp", "frame", ["seen", "bad"], "flags", ("bad", "far"), "far", F.col("value"), F.col("event_id") % 17 == 0, 24).select("grp", "frame")
+
+
+@query("win_signature_events", f"""WITH {FRAMES}, k AS (SELECT *, value > 20 AS big FROM frames), c AS (SELECT *, lag(big) OVER w AS b0, lag(event_type = 'error') OVER w AS e0, row_number() OVER w AS n, lead(1) OVER w AS nx FROM k WINDOW w AS (PARTITION BY grp ORDER BY frame))
+SELECT grp, frame FROM c WHERE n = 1 OR nx IS NULL OR big <> b0 OR (event_type = 'error') <> e0""")
+def win_signature_events(spark, sf_dir):
     e = frames(spark, sf_dir).withColumn("big", F.col("value") > 20).withColumn("bad", F.col("event_type") == "error")
     return S.signature_events(e, ["big", "bad"]).select("grp", "frame")
 
