@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,24 +133,102 @@ def coordinate_transform(points: Column, frame: Column, width: Column, height: C
 def resample(points: np.ndarray, spacing: float) -> np.ndarray:
     """Points at even steps of arc length, at most `spacing` apart and two at least; one for a line without length."""
     points = np.asarray(points, dtype=np.float32).reshape(-1, 2)
-    if len(points) < 2:
-        return points
-    along = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(points, axis=0).T))])
-    if along[-1] <= 1e-6:
-        return points[:1]
-    at = np.linspace(0, along[-1], max(2, int(np.ceil(along[-1] / max(0.25, spacing))) + 1))
-    return np.column_stack([np.interp(at, along, points[:, 0]), np.interp(at, along, points[:, 1])]).astype(np.float32)
-
-
-def _sampled(lines, spacing: float) -> np.ndarray:
-    found = [resample(np.array([list(p) for p in line], dtype=np.float32), spacing) for line in ([] if lines is None else lines) if len(line)]
-    return np.concatenate(found) if found else np.empty((0, 2), np.float32)
-
-
-def _nearest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if not len(a) or not len(b):
-        return np.full(len(a), np.inf)
-    return np.concatenate([np.sqrt(((a[i : i + 1024, None] - b[None]) ** 2).sum(axis=2)).min(axis=1) for i in range(0, len(a), 1024)])
+    return resampled(points, np.zeros(len(points), dtype=np.int64), spacing)[0]
+
+
+def resampled(points: np.ndarray, line: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarray]:
+    """The samples of many lines at once, with the line of each. points: (n, 2) floats; line: the line of each, not falling."""
+    points = points.astype(np.float32)
+    if not len(points):
+        return points, line
+    names, first, size = np.unique(line, return_index=True, return_counts=True)
+    own = np.repeat(np.arange(len(names)), size)
+    place = np.arange(len(points)) - first[own]
+    step = np.zeros(len(points), dtype=np.float32)
+    step[1:] = np.where(place[1:] > 0, np.hypot(*np.diff(points, axis=0).T), 0)
+    along = np.zeros(len(points), dtype=np.float32)
+    for k in range(1, int(size.max())):  # sums go along a line in single precision, all lines at once
+        at = first[size > k] + k
+        along[at] = along[at - 1] + step[at]
+    along = along.astype(np.float64)
+    total = along[first + size - 1]
+    count = np.where(total > 1e-6, np.maximum(2, np.ceil(total / max(0.25, spacing)).astype(np.int64) + 1), 1)
+    of = np.repeat(np.arange(len(names)), count)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    last = k == count[of] - 1
+    at = np.where(last, total[of], k * (total / np.maximum(1, count - 1))[of])
+    at = np.where(count[of] == 1, 0.0, at)
+    # the segment of each sample: places along the lines, each scaled to 1, one line after the other
+    scale = np.maximum(total, 1e-6)
+    right = np.searchsorted(along / scale[own] * 0.5 + own, at / scale[of] * 0.5 + of, side="right")
+    low = np.clip(right - 1, first[of], np.maximum(first[of], first[of] + size[of] - 2))
+    high = np.minimum(low + 1, first[of] + size[of] - 1)
+    width = along[high] - along[low]
+    share = np.where(width > 0, (at - along[low]) / np.where(width > 0, width, 1), 0.0)[:, None]
+    found = points[low].astype(np.float64) + (points[high].astype(np.float64) - points[low]) * share
+    found = np.where((last & (count[of] > 1))[:, None], points[first[of] + size[of] - 1], found)
+    return found.astype(np.float32), names[of]
+
+
+def _samples(lines: pa.Array, spacing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of all polylines of all rows of an array of rows of lines of points, and the row of each."""
+    row_of_line = pc.list_parent_indices(lines).to_numpy()
+    flat = pc.list_flatten(lines)
+    points = pc.list_flatten(flat)
+    xy = pc.list_flatten(points).to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, 2)
+    at, line = resampled(xy, pc.list_parent_indices(flat).to_numpy(), spacing)
+    return at, row_of_line[line] if len(line) else line
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, rows_a: np.ndarray, rows_b: np.ndarray, n: int, cells: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """For each point of a, and of b, the distance to the nearest of the other side in its row, infinite without one.
+
+    Rows of like size are compared together, filled up to the largest of them, in blocks of about `cells` distances.
+    """
+    na, nb = np.bincount(rows_a, minlength=n), np.bincount(rows_b, minlength=n)
+    sa, sb = np.cumsum(na) - na, np.cumsum(nb) - nb
+    da, db = np.full(len(a), np.inf, dtype=np.float32), np.full(len(b), np.inf, dtype=np.float32)
+    order = np.flatnonzero((na > 0) & (nb > 0))
+    order = order[np.lexsort((nb[order], na[order]))]
+    at = 0
+    while at < len(order):
+        take = max(1, min(len(order) - at, cells // max(1, int(na[order[at]]) * int(nb[order[at]]))))
+        own = order[at : at + take]
+        while len(own) > 1 and int(na[own].max()) * int(nb[own].max()) * len(own) > 2 * cells:
+            own = own[: len(own) // 2]
+        at += len(own)
+        ka, kb = np.arange(na[own].max()), np.arange(nb[own].max())
+        ia, ib = sa[own][:, None] + ka, sb[own][:, None] + kb
+        va, vb = ka < na[own][:, None], kb < nb[own][:, None]
+        pa_, pb_ = a[np.where(va, ia, 0)], b[np.where(vb, ib, 0)]
+        block = max(1, 2 * cells // max(1, len(own) * len(kb)))
+        best_b = np.full(ib.shape, np.inf, dtype=np.float32)
+        for lo in range(0, len(ka), block):
+            part = pa_[:, lo : lo + block]
+            far = (part[:, :, None, 0] - pb_[:, None, :, 0]) ** 2
+            far += (part[:, :, None, 1] - pb_[:, None, :, 1]) ** 2
+            far[~va[:, lo : lo + block]] = np.inf
+            np.minimum(best_b, far.min(axis=1), out=best_b)
+            far.transpose(0, 2, 1)[~vb] = np.inf
+            near = np.sqrt(far.min(axis=2))
+            inside = va[:, lo : lo + block]
+            da[ia[:, lo : lo + block][inside]] = near[inside]
+        db[ib[vb]] = np.sqrt(best_b[vb])
+    return da, db
+
+
+def _percentile(values: np.ndarray, rows: np.ndarray, sizes: np.ndarray, q: float) -> np.ndarray:
+    """Percentile of each row's values, between neighbours by proportion; nan for a row without values."""
+    order = np.lexsort((values, rows))
+    ordered, starts = values[order].astype(np.float64), np.cumsum(sizes) - sizes
+    at = q * np.maximum(0, sizes - 1)
+    low = np.floor(at).astype(np.int64)
+    out = np.full(len(sizes), np.nan)
+    has = sizes > 0
+    a, b = ordered[(starts + low)[has]], ordered[(starts + np.minimum(low + 1, sizes - 1))[has]]
+    with np.errstate(invalid="ignore"):
+        out[has] = np.where(a == b, a, a + (b - a) * (at - low)[has])
+    return out
 
 
 CENTERLINE = "target_samples int, prediction_samples int, chamfer double, hd95 double, tolerances array<struct<tolerance:double,target_hits:int,prediction_hits:int,precision:double,recall:double,f1:double>>"
@@ -161,21 +240,28 @@ def centerline_metrics(target: Column, prediction: Column, tolerances: tuple[flo
 
     @F.arrow_udf(CENTERLINE)
     def measure(t: pa.Array, p: pa.Array) -> pa.Array:
-        rows = []
-        for a, b in zip(t.to_pylist(), p.to_pylist(), strict=True):
-            a, b = _sampled(a, spacing), _sampled(b, spacing)
-            da, db = _nearest(a, b), _nearest(b, a)
-            both = np.concatenate([da, db])
-            finite = np.isfinite(both).any()
-            per = []
-            for tol in tolerances:
-                ha, hb = int((da <= tol).sum()), int((db <= tol).sum())
-                precision, recall = hb / len(b) if len(b) else 0.0, ha / len(a) if len(a) else 0.0
-                f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
-                per.append({"tolerance": tol, "target_hits": ha, "prediction_hits": hb, "precision": round(precision, 6), "recall": round(recall, 6), "f1": round(f1, 6)})
-            rows.append({"target_samples": len(a), "prediction_samples": len(b), "chamfer": round(float(both.mean()), 4) if finite else None, "hd95": round(float(np.percentile(both, 95)), 4) if finite else None, "tolerances": per})
-        per = pa.struct([("tolerance", pa.float64()), ("target_hits", pa.int32()), ("prediction_hits", pa.int32()), ("precision", pa.float64()), ("recall", pa.float64()), ("f1", pa.float64())])
-        return pa.array(rows, type=pa.struct([("target_samples", pa.int32()), ("prediction_samples", pa.int32()), ("chamfer", pa.float64()), ("hd95", pa.float64()), ("tolerances", pa.list_(per))]))
+        n = len(t)
+        (a, ra), (b, rb) = _samples(t, spacing), _samples(p, spacing)
+        da, db = _nearest(a, b, ra, rb, n)
+        na, nb = np.bincount(ra, minlength=n), np.bincount(rb, minlength=n)
+        rows, both = np.concatenate([ra, rb]), np.concatenate([da, db])
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.bincount(rows, weights=both, minlength=n) / (na + nb)
+            hd95 = _percentile(both, rows, na + nb, 0.95)
+            finite = np.bincount(rows, weights=np.isfinite(both), minlength=n) > 0
+        per = []
+        for tol in tolerances:
+            ha, hb = np.bincount(ra, weights=da <= tol, minlength=n), np.bincount(rb, weights=db <= tol, minlength=n)
+            precision, recall = hb / np.maximum(1, nb), ha / np.maximum(1, na)
+            f1 = np.where(precision + recall > 0, 2 * precision * recall / np.where(precision + recall > 0, precision + recall, 1), 0.0)
+            per.append([np.full(n, tol), ha.astype(np.int32), hb.astype(np.int32), np.round(precision, 6), np.round(recall, 6), np.round(f1, 6)])
+        # the tolerances of a row follow each other
+        columns = [pa.array(np.stack([q[k] for q in per], axis=1).ravel()) for k in range(6)]
+        kinds = [pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
+        flat = pa.StructArray.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names=["tolerance", "target_hits", "prediction_hits", "precision", "recall", "f1"])
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(tolerances), type=pa.int32()), flat)
+        shown = lambda v: pa.array(np.round(v, 4), mask=~finite)
+        return pa.StructArray.from_arrays([pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), shown(mean), shown(hd95), listed], names=["target_samples", "prediction_samples", "chamfer", "hd95", "tolerances"])
 
     return measure(target, prediction)
 
@@ -185,6 +271,10 @@ def sample_polylines(lines: Column, spacing: float = 2.0) -> Column:
 
     @F.arrow_udf("array<array<double>>")
     def sample(a: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else _sampled(v, spacing).astype(float).tolist() for v in a.to_pylist()], type=pa.list_(pa.list_(pa.float64())))
+        at, row = _samples(a, spacing)
+        ends = np.cumsum(np.bincount(row, minlength=len(a)))
+        points = pa.ListArray.from_arrays(pa.array(2 * np.arange(len(at) + 1), type=pa.int32()), pa.array(at.astype(np.float64).ravel()))
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), type=pa.int32()), points)
+        return pc.if_else(a.is_valid(), listed, pa.scalar(None, listed.type)) if a.null_count else listed
 
     return sample(lines)
