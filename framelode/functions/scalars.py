@@ -107,3 +107,27 @@ def linear_blend(a: Column, b: Column, alpha: float) -> Column:
 def caption(label: Column, confidence: Column, flags: Column) -> Column:
     """One line of a review: label, confidence and flags."""
     return F.concat_ws(" | ", label, F.format_string("%.2f", confidence), F.when(F.size(flags) > 0, F.array_join(F.array_sort(flags), ",")))
+
+
+#: Names of metrics in files and in summaries: fixed values.
+METRIC_NAMES = {
+    "metrics/precision(B)": "box_precision",
+    "metrics/recall(B)": "box_recall",
+    "metrics/mAP50(B)": "map50",
+    "metrics/mAP50-95(B)": "map50_95",
+    "metrics/precision(M)": "mask_precision",
+    "metrics/recall(M)": "mask_recall",
+    "metrics/mAP50(M)": "mask_map50",
+    "metrics/mAP50-95(M)": "mask_map50_95",
+    "metrics/accuracy_top1": "top1_accuracy",
+    "metrics/accuracy_top5": "top5_accuracy",
+}
+#: Names that are the same in both.
+METRIC_KEPT = ("map50", "map50_95", "negative_mean_false_positive_pixels", "macro_recall")
+
+
+def metric_summary(metrics: Column) -> Column:
+    """A map of metrics under the names of summaries, ordered by them, without nulls and without metrics of other names."""
+    names = F.create_map(*[F.lit(v) for pair in (METRIC_NAMES | {n: n for n in METRIC_KEPT}).items() for v in pair])
+    entries = F.filter(F.map_entries(metrics), lambda e: e["value"].isNotNull() & F.map_contains_key(names, e["key"]))
+    return F.map_from_entries(F.array_sort(F.transform(entries, lambda e: F.struct(F.element_at(names, e["key"]).alias("key"), e["value"].alias("value")))))

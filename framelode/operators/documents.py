@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import jsondoc as J
+from ..functions.geometry import point_box_distance
 
 
 def init_labels(records: DataFrame, existing: DataFrame, key: str, blank: dict[str, Column]) -> DataFrame:
@@ -141,3 +142,75 @@ def stripped(docs: DataFrame, doc: str, keys: tuple[str, ...], anchors: tuple[st
     # the same cleaning of the result, and of the source with the migration undone, must agree
     again = J.without_keys(J.remap_digests(F.col("doc"), {v: k for k, v in migrated.items()}), keys, anchors, unknown)
     return out.withColumn("other_change", ~again.eqNullSafe(F.col("_clean"))).drop("_clean")
+
+
+#: Values that label documents may have: fixed values.
+ANCHORS = ("yoyo", "finger", "free", "image_edge", "unknown")
+EVIDENCE = ("observed", "temporal", "inferred")
+VISIBILITY = ("visible", "partial", "not_visible", "uncertain")
+ORIENTATIONS = ("normal", "horizontal", "other", "not_applicable", "unknown")
+
+
+def _to_2d(p: Column, size: Column) -> Column:
+    """A point in pixels as 0..999 of the image, to three decimals."""
+    return F.array(F.bround(p[0] / size[0] * 999.0, 3), F.bround(p[1] / size[1] * 999.0, 3))
+
+
+def _box_2d(b: Column, size: Column) -> Column:
+    return F.when(b.isNotNull(), F.concat(_to_2d(F.slice(b, 1, 2), size), _to_2d(F.slice(b, 3, 2), size)))
+
+
+def upgraded(docs: DataFrame, version: str, known: tuple[str, ...]) -> DataFrame:
+    """Label documents of the schema before in the present one. Documents of other versions stop the query.
+
+    docs: schema_version, image_size, visibility, box, strokes, string_path (topology, paths of points_pixel, anchors and edges).
+    What isn't visible becomes uncertain; normalised copies are made anew; an anchor at the toy is kept only near its
+    box, unknown anchors and kinds of evidence get their default, and renamed evidence its new name. No other column is added.
+    """
+    size = F.col("image_size")
+    near = F.greatest(F.lit(8.0), 0.08 * F.sqrt(size[0] * size[0] + size[1] * size[1]))
+    uncertain = lambda c: F.when(c == "not_visible", "uncertain").otherwise(c)
+
+    def anchor(name: Column, p: Column) -> Column:
+        far = F.col("box").isNull() | p.isNull() | (point_box_distance(p, F.col("box")) > near)
+        return F.when(~F.coalesce(name, F.lit("unknown")).isin(*ANCHORS) | ((name == "yoyo") & far), "unknown").otherwise(F.coalesce(name, F.lit("unknown")))
+
+    def evidence(e: Column) -> Column:
+        low = F.lower(F.coalesce(e, F.lit("")))
+        return F.when(low == "reviewed", "observed").when(low == "propagated", "temporal").when(low.isin(*EVIDENCE), low).otherwise("inferred")
+
+    path = lambda p: F.struct(p["points_pixel"].alias("points_pixel"), F.transform(p["points_pixel"], lambda q: _to_2d(q, size)).alias("points_2d"), anchor(p["start_anchor"], F.get(p["points_pixel"], F.lit(0))).alias("start_anchor"), anchor(p["end_anchor"], F.try_element_at(p["points_pixel"], F.lit(-1))).alias("end_anchor"), F.transform(p["edges"], lambda e: F.struct(evidence(e["evidence"]).alias("evidence"), e["confidence"].alias("confidence"))).alias("edges"))
+    checked = F.when(F.col("schema_version").isin(*known), F.lit(version)).otherwise(F.raise_error(F.concat(F.lit("unsupported schema "), F.coalesce("schema_version", F.lit("none")))))
+    out = docs.withColumns({"schema_version": checked, "visibility": uncertain(F.col("visibility")), "box_2d": _box_2d(F.col("box"), size), "strokes_2d": F.transform("strokes", lambda s: F.transform(s, lambda p: _to_2d(p, size)))})
+    return out.withColumn("string_path", F.struct(uncertain(F.col("string_path.topology")).alias("topology"), F.transform("string_path.paths", path).alias("paths")))
+
+
+def normalized_candidates(candidates: DataFrame) -> DataFrame:
+    """Candidates as documents may have them: values out of the lists become the default, boxes and strokes are in pixels to
+    three decimals with normalised copies, a scene without a trick has no orientation, and an invisible string no strokes.
+
+    candidates: string_visibility, scene, orientation, box (pixels) or box_2d (0..999), strokes, bad_case, image_size.
+    """
+    size = F.col("image_size")
+    listed = lambda c, values, default: F.when(F.lower(c).isin(*values), F.lower(c)).otherwise(default)
+    visibility = listed(F.col("string_visibility"), VISIBILITY, "uncertain")
+    orientation = F.when(F.lower("scene") == "non_trick", "not_applicable").otherwise(listed(F.col("orientation"), ORIENTATIONS, "unknown"))
+    three = lambda a: F.transform(a, lambda v: F.bround(v, 3))
+    from_2d = F.transform("box_2d", lambda v, i: F.bround(v / 999.0 * size[(i % 2).cast("int")], 3))
+    box = F.coalesce(three(F.col("box")), from_2d)
+    strokes = F.filter(F.transform("strokes", lambda s: F.transform(s, three)), lambda s: F.size(s) >= 2)
+    hidden = visibility == "not_visible"
+    said = F.array_sort(F.array_distinct(F.filter(F.transform("bad_case", lambda b: F.trim(b)), lambda b: b != "")))
+    out = candidates.withColumns({"_v": visibility, "_o": orientation, "_b": box, "_s": F.when(~hidden & (F.size(strokes) > 0), strokes), "_c": F.when(hidden, F.array_union(said, F.array(F.lit("string_not_visible")))).otherwise(said)})
+    out = out.withColumns({"string_visibility": F.col("_v"), "orientation": F.col("_o"), "box": F.col("_b"), "box_2d": _box_2d(F.col("_b"), size), "strokes": F.col("_s"), "strokes_2d": F.transform("_s", lambda s: F.transform(s, lambda p: _to_2d(p, size))), "bad_case": F.col("_c")})
+    return out.drop("_v", "_o", "_b", "_s", "_c")
+
+
+def imported(docs: DataFrame, dataset: str, sample: str, reviewer: Column, at: Column) -> DataFrame:
+    """docs with a person's approval appended to reviews, review statuses set (an approved string stays so), and review_import:
+    where the approval comes from and what the status was."""
+    one = F.struct(reviewer.alias("reviewer"), F.lit("human-workbench").alias("model"), F.lit("approve").alias("decision"), at.alias("at"))
+    was = F.coalesce("string_review_status", F.lit(""))
+    source = F.struct(F.col(dataset).alias("dataset"), F.col(sample).alias("sample"), F.lit(True).alias("confirmed"), at.alias("confirmed_at"), reviewer.alias("reviewer"), was.alias("original_string_status"))
+    none = F.filter(F.array(one), lambda _: F.lit(False))
+    return docs.withColumns({"review_import": source, "reviews": F.array_append(F.coalesce("reviews", none), one), "review_status": F.lit("reviewed"), "string_review_status": F.when(F.lower(was).isin("approved", "reviewed"), was).otherwise("reviewed")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -83,6 +85,28 @@ def hamming_pairs(left: DataFrame, right: DataFrame, value: str, radius: int) ->
     return met.where((F.bit_count(F.col(f"a.{value}").bitwiseXOR(F.col(f"b.{value}"))) <= radius) & (F.col("_a.number") == first)).select("a", "b")
 
 
+def confirmed(samples: DataFrame, reviews: DataFrame, key: str, ok: str) -> DataFrame:
+    """key and status of every sample: exported, rejected or unreviewed; and of reviews without a sample: unknown key, which an
+    export must not go on with."""
+    both = samples.select(key, F.lit(True).alias("_sample")).join(reviews.select(key, F.col(ok).alias("_ok"), F.lit(True).alias("_review")), key, "full")
+    status = F.when(F.col("_sample").isNull(), "unknown key").when(F.col("_review").isNull(), "unreviewed").when(F.col("_ok"), "exported").otherwise("rejected")
+    return both.select(key, status.alias("status"))
+
+
+def strict_problems(baseline: DataFrame, rebuilt: DataFrame, key: str, group: str, split: str, ratios: dict[str, float], most: float, train: str = "train") -> DataFrame:
+    """rule and n: keys that come into, leave or move between evaluation splits, change their group or are gone, and splits whose
+    share of the rebuilt manifest is more than `most` off its ratio."""
+    a = baseline.select(key, F.col(group).alias("_ga"), F.col(split).alias("_sa"))
+    b = rebuilt.select(key, F.col(group).alias("_gb"), F.col(split).alias("_sb"))
+    evaluated = lambda c: F.coalesce(F.col(c) != train, F.lit(False))
+    off = [F.count_if(F.col("_sb") == s).alias(f"_n_{s}") for s in ratios]
+    one = a.join(b, key, "full").agg(F.count_if((evaluated("_sa") | evaluated("_sb")) & ~F.col("_sa").eqNullSafe(F.col("_sb"))).alias("evaluation changed"), F.count_if(F.col("_ga") != F.col("_gb")).alias("regrouped"), F.count_if(F.col("_sb").isNull()).alias("missing"), F.count("_sb").alias("_n"), *off)
+    far = [F.when(F.abs(F.coalesce(F.col(f"_n_{s}") / F.nullif(F.col("_n"), F.lit(0)), F.lit(0.0)) - r) > most, 1).otherwise(0) for s, r in ratios.items()]
+    one = one.withColumn("ratio", reduce(lambda x, y: x + y, far).cast("long"))
+    rules = ("evaluation changed", "regrouped", "missing", "ratio")
+    return one.select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in rules])))
+
+
 def manifest_diff(baseline: DataFrame, rebuilt: DataFrame, key: str, group: str, split: str) -> DataFrame:
     """status of each key of two manifests: same, moved (another split), regrouped (another group), missing, new."""
     a = baseline.select(key, F.col(group).alias("_ga"), F.col(split).alias("_sa"), F.lit(True).alias("_a"))

@@ -55,6 +55,31 @@ def centerline_pool(df: DataFrame, tolerances: str = "tolerances", *by: str) ->
     return sums.select(*by, "tolerance", F.bround(p, 6).alias("precision"), F.bround(r, 6).alias("recall"), F.bround(ratio(2 * p * r, p + r), 6).alias("f1"))
 
 
+def centerline_macro(df: DataFrame, *by: str) -> DataFrame:
+    """Mean chamfer and 95th percentile over frames that have them, to four decimals, and how many have."""
+    return df.groupBy(*by).agg(F.bround(F.avg("chamfer"), 4).alias("chamfer"), F.bround(F.avg("hd95"), 4).alias("hd95"), F.count("chamfer").alias("frames"))
+
+
+def conditional_counts(df: DataFrame, sets: list[list[str]], counts: dict[str, Column], sums: dict[str, Column]) -> DataFrame:
+    """Rows, conditional counts and sums over several groupings in one pass; columns that a grouping leaves out are null."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    return df.groupingSets(sets, *keys).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in counts.items()], *[F.sum(c).alias(k) for k, c in sums.items()])
+
+
+def source_inventory(roots: DataFrame, labels: DataFrame, root: str, label: str, included: str) -> DataFrame:
+    """root, labels discovered below it, and of those for which it is the first root by name the ones included and excluded.
+
+    A label is met with the roots that are folders above it: one row for each of its folders, joined by equality.
+    """
+    parts = F.split(label, "/")
+    above = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts) - 1)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    met = labels.select(label, included, F.explode(above).alias(root)).join(roots.select(root), root)
+    first = met.groupBy(label, included).agg(F.min(root).alias(root)).groupBy(root).agg(F.count_if(included).alias("included"), F.count_if(~F.col(included)).alias("excluded"))
+    found = met.groupBy(root).agg(F.count(F.lit(1)).alias("discovered"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return roots.select(root).join(found, root, "left").join(first, root, "left").select(root, zero("discovered"), zero("included"), zero("excluded"))
+
+
 def threshold_table(df: DataFrame, score: Column, target: Column, thresholds: list[float]) -> DataFrame:
     """tp, fp, fn and f1 at each threshold, in one pass: rows are counted by the number of thresholds they reach, then summed up."""
     limits = F.array(*[F.lit(t) for t in thresholds])

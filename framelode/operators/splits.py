@@ -111,3 +111,28 @@ def oversample(df: DataFrame, label: str, order: str) -> DataFrame:
 def frames_per_source(df: DataFrame, index: Column, total: int, sources: int) -> DataFrame:
     """How many of total frames each of the numbered sources gets: the first ones get the remainder."""
     return df.withColumn("frames", F.lit(total // sources) + F.when(index < total % sources, 1).otherwise(0))
+
+
+def negative_weight(negative: Column, weight: float) -> Column:
+    """weight for rows without a target, 1 for the others."""
+    return F.when(negative, weight).otherwise(1.0)
+
+
+def weighted_draw(df: DataFrame, key: str, weight: str, seed: int) -> DataFrame:
+    """key and times: as many draws as rows, with replacement, by weight.
+
+    Row i of the draw falls on a point of the total weight, and the row whose share of it holds the point is drawn. Shares are
+    running sums over runs of rows, 4096 runs by a hash of the key, and the points that fall into a run are counted there, so
+    no task holds more than a run. Reruns with one seed agree.
+    """
+    runs = 4096
+    rows = df.withColumn("_run", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(runs)))
+    sums = rows.groupBy("_run").agg(F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_n"))
+    # one row a run: 4096 at most
+    edges = sums.select("_run", (F.sum("_w").over(W.orderBy("_run")) - F.col("_w")).alias("_start"), F.sum("_w").over(W.partitionBy()).alias("_total"), F.sum("_n").over(W.partitionBy()).alias("_draws"))
+    inside = W.partitionBy("_run").orderBy(F.xxhash64(F.lit(seed + 1), key), key)
+    placed = rows.join(F.broadcast(edges), "_run").withColumn("_end", F.col("_start") + F.sum(weight).over(inside)).withColumn("_begin", F.col("_end") - F.col(weight))
+    # point i of the draw is (i + u) / draws of the total, u one number from the seed: a systematic sample
+    u = random.Random(seed).random()
+    before = lambda c: F.ceil(F.col(c) / F.col("_total") * F.col("_draws") - u)
+    return placed.select(key, (before("_end") - before("_begin")).cast("long").alias("times")).where("times > 0")

@@ -209,6 +209,37 @@ def prj_patch_ops(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", J.apply_patch(base, patch).alias("doc"))
 
 
+#: Boxes as label documents of the old schema: a box, a stroke, a path with anchors and edges.
+def _old_labels(spark, sf_dir):
+    corner = lambda x, y: F.array(F.col(x), F.col(y))
+    edge = lambda e: F.struct(e.alias("evidence"), F.col("conf").alias("confidence"))
+    points = F.array(corner("x1", "y1"), corner("x2", "y2"))
+    path = F.struct(points.alias("points_pixel"), F.when(F.col("det") % 3 == 0, "left_hand").otherwise("yoyo").alias("start_anchor"), F.when(F.col("cls") == 1, "yoyo").otherwise("free").alias("end_anchor"), F.array(edge(F.when(F.col("det") % 2 == 0, "Reviewed").otherwise("propagated")), edge(F.when(F.col("cls") == 1, "temporal").otherwise("guess"))).alias("edges"))
+    b = boxes(spark, sf_dir)
+    box = F.when(F.col("conf") > 0.2, F.array("x1", "y1", "x2", "y2"))
+    return b.select("frame", "det", F.lit("v4").alias("schema_version"), F.array(F.lit(640), F.lit(360)).alias("image_size"), F.when(F.col("det") % 4 == 0, "not_visible").otherwise("visible").alias("visibility"), box.alias("box"), F.array(points).alias("strokes"), F.struct(F.when(F.col("det") % 5 == 0, "not_visible").otherwise("open").alias("topology"), F.array(path).alias("paths")).alias("string_path"))
+
+
+@query("prj_upgrade_document", f"""WITH {BOXES}, a AS (SELECT *, CASE WHEN conf > 0.2 THEN sqrt(pow(greatest(x1 - x2, 0, 0), 2)) END AS inside, greatest(8.0, 0.08 * sqrt(640.0 * 640 + 360.0 * 360)) AS near FROM boxes)
+SELECT frame, det, 'v5' AS schema_version, CASE WHEN det % 4 = 0 THEN 'uncertain' ELSE 'visible' END AS visibility, CASE WHEN conf > 0.2 THEN round_even(x1 / 640 * 999, 3) END AS nx, CASE WHEN conf > 0.2 THEN round_even(y2 / 360 * 999, 3) END AS ny, round_even(x2 / 640 * 999, 3) AS sx, CASE WHEN det % 5 = 0 THEN 'uncertain' ELSE 'open' END AS topology,
+  CASE WHEN det % 3 = 0 OR conf <= 0.2 THEN 'unknown' ELSE 'yoyo' END AS start_anchor, CASE WHEN cls = 1 AND conf <= 0.2 THEN 'unknown' WHEN cls = 1 THEN 'yoyo' ELSE 'free' END AS end_anchor, CASE WHEN det % 2 = 0 THEN 'observed' ELSE 'temporal' END || ',' || CASE WHEN cls = 1 THEN 'temporal' ELSE 'inferred' END AS evidence FROM a""")
+def prj_upgrade_document(spark, sf_dir):
+    new = D.upgraded(_old_labels(spark, sf_dir), "v5", ("v4", "v5"))
+    p = F.col("string_path.paths")[0]
+    return new.select("frame", "det", "schema_version", "visibility", F.col("box_2d")[0].alias("nx"), F.col("box_2d")[3].alias("ny"), F.col("strokes_2d")[0][1][0].alias("sx"), F.col("string_path.topology").alias("topology"), p["start_anchor"].alias("start_anchor"), p["end_anchor"].alias("end_anchor"), F.array_join(F.transform(p["edges"], lambda e: e["evidence"]), ",").alias("evidence"))
+
+
+@query("prj_normalize_document", f"""WITH {BOXES} SELECT frame, det, CASE WHEN det % 3 = 0 THEN 'not_visible' WHEN det % 3 = 1 THEN 'visible' ELSE 'uncertain' END AS string_visibility, CASE WHEN cls = 0 THEN 'not_applicable' WHEN det % 2 = 0 THEN 'horizontal' ELSE 'unknown' END AS orientation, CASE WHEN conf > 0.5 THEN round_even(x1, 3) ELSE round_even(x1 / 999 * 640, 3) END AS px, CASE WHEN conf > 0.5 THEN round_even(round_even(x1, 3) / 640 * 999, 3) ELSE round_even(round_even(x1 / 999 * 640, 3) / 640 * 999, 3) END AS nx,
+  CASE WHEN det % 3 <> 0 THEN 1 END AS strokes, CASE WHEN det % 3 = 0 THEN 'blurred,string_not_visible' ELSE 'blurred' END AS bad_case FROM boxes""")
+def prj_normalize_document(spark, sf_dir):
+    """Candidates with values out of the lists, boxes in pixels or normalised, and strokes that an invisible string can't have."""
+    said = F.when(F.col("det") % 3 == 0, "NOT_VISIBLE").when(F.col("det") % 3 == 1, "Visible").otherwise("perhaps")
+    corners = F.array("x1", "y1", "x2", "y2")
+    c = boxes(spark, sf_dir).select("frame", "det", said.alias("string_visibility"), F.when(F.col("cls") == 0, "non_trick").otherwise("trick").alias("scene"), F.when(F.col("det") % 2 == 0, "Horizontal").otherwise("upside").alias("orientation"), F.when(F.col("conf") > 0.5, corners).alias("box"), F.when(F.col("conf") <= 0.5, corners).alias("box_2d"), F.array(F.array(F.array("x1", "y1"), F.array("x2", "y2"))).alias("strokes"), F.array(F.lit(" blurred "), F.lit("blurred"), F.lit("")).alias("bad_case"), F.array(F.lit(640), F.lit(360)).alias("image_size"))
+    n = D.normalized_candidates(c)
+    return n.select("frame", "det", "string_visibility", "orientation", F.col("box")[0].alias("px"), F.col("box_2d")[0].alias("nx"), F.when(F.col("strokes").isNotNull(), F.size("strokes")).alias("strokes"), F.array_join("bad_case", ",").alias("bad_case"))
+
+
 @query("prj_upgrade_v5", "SELECT event_id, CASE WHEN event_type = 'click' THEN 'observed' WHEN event_type = 'view' THEN 'temporal' ELSE 'inferred' END AS evidence, 'v5' AS schema_version FROM events")
 def prj_upgrade_v5(spark, sf_dir):
     old = F.array(F.struct(F.when(F.col("event_type") == "click", "reviewed").when(F.col("event_type") == "view", "propagated").otherwise(F.col("event_type")).alias("evidence")))
@@ -286,6 +317,16 @@ def doc_review_upsert(spark, sf_dir):
     return D.upsert_reviews(old, gone.unionByName(new), "doc_id", "at").select("doc_id")
 
 
+@query("doc_import_provenance", f"""WITH {SAMPLES} SELECT doc_id, 'reviewed' AS review_status, CASE WHEN toxic = 1 THEN 'approved' ELSE 'reviewed' END AS string_review_status, CASE WHEN quality = 1 THEN 2 ELSE 1 END AS reviews, 'human-workbench' AS model, source || '/' || doc_id AS imported_from, CASE WHEN toxic = 1 THEN 'approved' ELSE 'draft' END AS was FROM samples WHERE quality IS NOT NULL""")
+def doc_import_provenance(spark, sf_dir):
+    """A confirmed sample's document gets one more approval, its statuses, and where all that comes from."""
+    s = samples(spark, sf_dir).where("quality is not null")
+    one = F.struct(F.lit("critic").alias("reviewer"), F.lit("vlm").alias("model"), F.lit("approve").alias("decision"), F.lit("2024").alias("at"))
+    docs = s.select("doc_id", F.when(F.col("toxic") == 1, "approved").otherwise("draft").alias("string_review_status"), F.when(F.col("quality") == 1, F.array(one)).alias("reviews"), F.col("source").alias("dataset"), F.col("doc_id").cast("string").alias("sample"))
+    out = D.imported(docs, "dataset", "sample", F.lit("anna"), F.lit("2025-01-01"))
+    return out.select("doc_id", "review_status", "string_review_status", F.size("reviews").alias("reviews"), F.element_at("reviews", -1)["model"].alias("model"), F.concat_ws("/", "review_import.dataset", "review_import.sample").alias("imported_from"), F.col("review_import.original_string_status").alias("was"))
+
+
 @query("doc_import_stamp", "SELECT doc_id, 'approved' AS status, CASE WHEN quality = 1 THEN 2 ELSE 1 END AS reviews FROM labels")
 def doc_import_stamp(spark, sf_dir):
     one = lambda who: F.struct(F.lit(who).alias("reviewer"), F.lit("approve").alias("decision"))

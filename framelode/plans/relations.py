@@ -39,6 +39,14 @@ def join_review_map(spark, sf_dir):
     return both.select("doc_id", F.col("confirmed").isNotNull().alias("reviewed"), gates.revision_valid(F.col("confirmed"), F.col("size"), F.lit(0), F.col("now"), F.lit(0)).alias("valid"))
 
 
+@query("join_confirmed_checked", "SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'exported' WHEN l.doc_id IS NULL THEN 'unreviewed' ELSE 'rejected' END AS status FROM documents d LEFT JOIN labels l USING (doc_id) UNION ALL SELECT doc_id + 1000000000, 'unknown key' FROM labels WHERE doc_id % 20 = 0")
+def join_confirmed_checked(spark, sf_dir):
+    """Reviews of samples that don't exist are named beside what is exported, rejected and not reviewed."""
+    l = read(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("confirmed"))
+    strangers = l.where("doc_id % 20 = 0").withColumn("doc_id", F.col("doc_id") + 1000000000)
+    return matching.confirmed(read(spark, sf_dir, "documents").select("doc_id"), l.unionByName(strangers), "doc_id", "confirmed")
+
+
 @query("join_confirmed_inner", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unreviewed' WHEN l.quality = 1 THEN 'exported' ELSE 'rejected' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)")
 def join_confirmed_inner(spark, sf_dir):
     d, l = read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels")
@@ -134,6 +142,14 @@ def set_diff_manifest(spark, sf_dir):
     return matching.manifest_diff(*_manifests(spark, sf_dir), "sha", "source", "split")
 
 
+@query("set_diff_strict", f"""WITH {MANIFESTS}, f AS (SELECT coalesce(o.sha, n.sha) AS sha, o.source AS os, n.source AS ns, o.split AS op, n.split AS np FROM o FULL JOIN n ON o.sha = n.sha), c AS (SELECT np AS split, count(*) / (SELECT count(*) FROM n) AS share FROM f WHERE np IS NOT NULL GROUP BY np)
+SELECT 'evaluation changed' AS rule, count(*) FILTER (WHERE (op IN ('val', 'test') OR np IN ('val', 'test')) AND op IS DISTINCT FROM np) AS n FROM f UNION ALL SELECT 'regrouped', count(*) FILTER (WHERE os <> ns) FROM f UNION ALL SELECT 'missing', count(*) FILTER (WHERE np IS NULL) FROM f
+UNION ALL SELECT 'ratio', count(*) FILTER (WHERE abs(coalesce(share, 0) - ratio) > 0.05) FROM (VALUES ('train', 0.7), ('val', 0.2), ('test', 0.1)) v(split, ratio) LEFT JOIN c USING (split)""")
+def set_diff_strict(spark, sf_dir):
+    """What strict evaluation forbids of a rebuilt manifest, and splits whose share is off its ratio."""
+    return matching.strict_problems(*_manifests(spark, sf_dir), "sha", "source", "split", RATIOS, 0.05)
+
+
 @query("set_union_dedup_merge", f"WITH {SAMPLES} SELECT 'sha' AS key, sha AS value, count(*) AS n FROM samples GROUP BY sha HAVING count(*) > 1")
 def set_union_dedup_merge(spark, sf_dir):
     s = samples(spark, sf_dir).select("doc_id", "sha")
@@ -246,7 +262,7 @@ def sp_assignment_score(spark, sf_dir):
 
 @query("sp_random_search")
 def sp_random_search(spark, sf_dir):
-    return splits.random_search(splits.long_features(_features(spark, sf_dir), "source"), "source", RATIOS, seed=7, attempts=300)
+    return splits.random_search(splits.long_features(_features(spark, sf_dir), "source"), "source", RATIOS, seed=7)
 
 
 @query("sp_quotas", "SELECT count(DISTINCT source) >= 3 AS enough FROM documents")
@@ -278,7 +294,15 @@ def sp_oversample_minority(spark, sf_dir):
 
 @query("sp_neg_weight", f"WITH {SAMPLES} SELECT doc_id, CASE WHEN coalesce(quality, 0) = 0 THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM samples")
 def sp_neg_weight(spark, sf_dir):
-    return samples(spark, sf_dir).select("doc_id", F.when(F.coalesce("quality", F.lit(0)) == 0, 0.25).otherwise(1.0).alias("weight"))
+    return samples(spark, sf_dir).select("doc_id", splits.negative_weight(F.coalesce("quality", F.lit(0)) == 0, 0.25).alias("weight"))
+
+
+@query("sp_weighted_draw", f"WITH {SAMPLES} SELECT count(*) AS draws, true AS from_all FROM samples")
+def sp_weighted_draw(spark, sf_dir):
+    """As many rows as there are, drawn with replacement by weight; that every draw is a row is what can be stated."""
+    s = samples(spark, sf_dir).select("doc_id", splits.negative_weight(F.coalesce("quality", F.lit(0)) == 0, 0.25).alias("weight"))
+    drawn = splits.weighted_draw(s, "doc_id", "weight", seed=3)
+    return drawn.agg(F.sum("times").alias("draws"), F.bool_and(F.col("times") > 0).alias("from_all"))
 
 
 @query("sp_frames_per_source", "WITH s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)) SELECT source, CAST(115 // n + CASE WHEN i < 115 % n THEN 1 ELSE 0 END AS INTEGER) AS frames FROM s")
@@ -292,15 +316,23 @@ def sp_frames_per_source(spark, sf_dir):
 # aggregates
 
 
-@query("agg_split_counts", "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY GROUPING SETS ((source), (lang), ())")
+@query("agg_split_counts", f"""WITH {SAMPLES}, r AS (SELECT *, {SPLIT} AS split FROM samples) SELECT split, source, lang, count(*) AS n, count(*) FILTER (WHERE quality IS NOT NULL) AS reviewed, count(*) FILTER (WHERE toxic = 1) AS toxic, count(*) FILTER (WHERE n_chars >= 1000) AS long, CAST(sum(n_chars) AS BIGINT) AS chars
+FROM r GROUP BY GROUPING SETS ((split), (source), (lang), (split, lang), ())""")
 def agg_split_counts(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupingSets([["source"], ["lang"], []], "source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    """Counts by split, by source, by language, by split and the language found there, and over all, in one pass."""
+    rows = samples(spark, sf_dir).withColumn("split", split_of(F.col("source")))
+    return reports.conditional_counts(rows, [["split"], ["source"], ["lang"], ["split", "lang"], []], {"reviewed": F.col("quality").isNotNull(), "toxic": F.col("toxic") == 1, "long": F.col("n_chars") >= 1000}, {"chars": F.col("n_chars")})
 
 
-@query("agg_source_inventory", f"WITH {SAMPLES} SELECT source, count(*) AS discovered, count(quality) AS included, count(*) - count(quality) AS excluded FROM samples GROUP BY source")
+@query("agg_source_inventory", f"""WITH {SAMPLES}, l AS (SELECT '/' || lang || '/' || source || '/labels/' || doc_id AS label, quality FROM samples), r AS (SELECT DISTINCT '/' || lang AS root FROM documents UNION SELECT DISTINCT '/' || lang || '/' || source FROM documents WHERE doc_id % 2 = 0),
+f AS (SELECT label, quality, min(root) AS root FROM l JOIN r ON starts_with(label, root || '/') GROUP BY ALL) SELECT r.root, (SELECT count(*) FROM l WHERE starts_with(label, r.root || '/')) AS discovered, count(f.label) FILTER (WHERE quality IS NOT NULL) AS included, count(f.label) FILTER (WHERE quality IS NULL) AS excluded FROM r LEFT JOIN f USING (root) GROUP BY r.root""")
 def agg_source_inventory(spark, sf_dir):
-    n = F.count(F.lit(1))
-    return samples(spark, sf_dir).groupBy("source").agg(n.alias("discovered"), F.count("quality").alias("included"), (n - F.count("quality")).alias("excluded"))
+    """Roots, some of them within others: a label counts as found for each root that contains it, and as in or out for the first."""
+    s = samples(spark, sf_dir)
+    folder = F.concat(F.lit("/"), "lang", F.lit("/"), "source")
+    roots = s.select(F.concat(F.lit("/"), "lang").alias("root")).unionByName(s.where("doc_id % 2 = 0").select(folder.alias("root"))).distinct()
+    labels = s.select(F.concat(folder, F.lit("/labels/"), "doc_id").alias("label"), F.col("quality").isNotNull().alias("included"))
+    return reports.source_inventory(roots, labels, "root", "label", "included")
 
 
 PRF = """round_even(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round_even(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round_even(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)) ELSE 0 END, 6) AS f1"""
@@ -387,6 +419,16 @@ def agg_localization(spark, sf_dir):
     return r.select(*[F.bround(c, 6 if "error" not in c else 4).alias(c) for c in r.columns])
 
 
+@query("agg_centerline_macro")
+def agg_centerline_macro(spark, sf_dir):
+    """Means over frames, which count alike, of the distances that are known."""
+    from .rows import polylines
+
+    moved = F.transform("line", lambda p: F.array(p[0] + 3, p[1]))
+    m = polylines(spark, sf_dir).select(G.centerline_metrics(F.array("line"), F.array(moved)).alias("m")).select("m.*")
+    return reports.centerline_macro(m)
+
+
 @query("agg_centerline_pool")
 def agg_centerline_pool(spark, sf_dir):
     from .rows import polylines
