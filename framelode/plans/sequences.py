@@ -329,11 +329,11 @@ def join_iou_greedy(spark, sf_dir):
                 d, t = [x for x in found if x["det"] % 2], [x for x in found if not x["det"] % 2]
                 four = lambda x: [x["x1"], x["y1"], x["x2"], x["y2"]]
                 for i, j, overlap in folds.match([four(x) for x in d], [four(x) for x in t], lambda i, j: d[i]["cls"] == t[j]["cls"]):  # noqa: B023
-                    rows.append((frame, d[i]["det"], t[j]["det"], round(overlap, 6)))
+                    rows.append((frame, d[i]["det"], t[j]["det"], overlap))
             yield pd.DataFrame(rows, columns=["frame", "det", "track", "iou"])
 
     b = boxes(spark, sf_dir).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("det", "x1", "y1", "x2", "y2", "cls"))).alias("found"))
-    return b.mapInPandas(run, "frame long, det long, track long, iou double")
+    return b.mapInPandas(run, "frame long, det long, track long, iou double").withColumn("iou", F.bround("iou", 6))
 
 
 @query("win_greedy_stratum")
