@@ -22,7 +22,7 @@ RATE, MULTIPLE = 16000, 192
 FRAME, HOP, FFT, MELS, POOL = 200, 80, 256, 16, 4
 #: A segment begins at a frame over the upper level and ends at one under the lower, in log energy over the median.
 UPPER, LOWER = 0.35, 0.1
-#: Frames worked on at a time: a long payload needs no more memory than this.
+#: Frames worked on at a time.
 BLOCK_FRAMES = 4096
 
 
@@ -70,28 +70,41 @@ def from_wav(media: bytes) -> bytes:
     raise ValueError("no samples")
 
 
-def resample(x: np.ndarray) -> np.ndarray:
-    """Half the rate: even samples through the even taps, odd ones through the odd taps, zeros beyond the ends."""
-    half = len(TAPS) // 2
-    padded = np.concatenate([np.zeros(half), x, np.zeros(half + len(x) % 2)])
-    even, odd = padded[0::2], padded[1::2]
-    n = (len(x) + 1) // 2
-    out = np.zeros(n)
+def resample(x: np.ndarray, lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Half the rate: even samples through the even taps, odd ones through the odd taps, zeros beyond the ends.
+
+    lo and hi choose some of the results; only the samples that these need are read.
+    """
+    half, n = len(TAPS) // 2, (len(x) + 1) // 2
+    hi = n if hi is None else min(hi, n)
+    first, last = 2 * lo - half, 2 * (hi - 1) + half
+    own = np.concatenate([np.zeros(max(0, -first)), x[max(0, first) : last].astype(np.float64), np.zeros(max(0, last - max(len(x), first)))])
+    even, odd = own[0::2], own[1::2]
+    out = np.zeros(max(0, hi - lo))
     for k in range(half):
-        out += TAPS[2 * k] * even[k : k + n] + TAPS[2 * k + 1] * odd[k : k + n]
+        out += TAPS[2 * k] * even[k : k + len(out)] + TAPS[2 * k + 1] * odd[k : k + len(out)]
     return out
 
 
 def log_mel(samples: bytes) -> np.ndarray:
-    """(frames, MELS) log-mel energies; the last frame is filled up with zeros, so there is one at least."""
-    x = resample((np.frombuffer(samples, dtype=np.uint8).astype(np.float64) - 128) / 128)
-    frames = max(1, -(-(len(x) - FRAME) // HOP) + 1)
-    x = np.concatenate([x, np.zeros(max(0, (frames - 1) * HOP + FRAME - len(x)))])
-    view = np.lib.stride_tricks.as_strided(x, (frames, FRAME), (x.strides[0] * HOP, x.strides[0]))
+    """(frames, MELS) log-mel energies; the last frame is filled up with zeros, so there is one at least.
+
+    Samples are resampled and transformed BLOCK_FRAMES frames at a time, so a long payload needs its own bytes and less than as
+    many again for the energies.
+    """
+    raw = np.frombuffer(samples, dtype=np.uint8)
+    n = (len(raw) + 1) // 2
+    frames = max(1, -(-(n - FRAME) // HOP) + 1)
     out = np.empty((frames, MELS))
     for at in range(0, frames, BLOCK_FRAMES):
-        power = np.abs(np.fft.rfft(view[at : at + BLOCK_FRAMES] * WINDOW, FFT)) ** 2
-        out[at : at + BLOCK_FRAMES] = np.log(power @ BANDS + 1e-6)
+        some = min(BLOCK_FRAMES, frames - at)
+        lo, hi = at * HOP, (at + some - 1) * HOP + FRAME
+        begin, end = max(0, 2 * lo - len(TAPS)), 2 * hi + len(TAPS)
+        x = resample((raw[begin:end].astype(np.float64) - 128) / 128, lo - begin // 2, min(hi, n) - begin // 2)
+        x = np.concatenate([x, np.zeros(hi - lo - len(x))])
+        view = np.lib.stride_tricks.as_strided(x, (some, FRAME), (x.strides[0] * HOP, x.strides[0]))
+        power = np.abs(np.fft.rfft(view * WINDOW, FFT)) ** 2
+        out[at : at + some] = np.log(power @ BANDS + 1e-6)
     return out
 
 
@@ -143,7 +156,10 @@ def read_tensors(stored: bytes) -> np.ndarray:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media: each text, a null one as empty, padded and written as a WAV file."""
+    """doc_id, n_bytes and media: each text, a null one as empty, padded and written as a WAV file.
+
+    Ids may be null or repeat, and rows go through one by one. WAV counts bytes in 32 bits; a string of Spark is shorter.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
