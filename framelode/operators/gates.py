@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import point_box_distance
 from .matching import hamming_pairs, hamming_semi, range_window
 
 
@@ -144,3 +145,79 @@ def staged_problems(staged: DataFrame, images: DataFrame, reference: DataFrame,
     }
     rows = [c.select(F.lit(k).alias("problem"), F.coalesce("n", F.lit(0)).cast("long").alias("n")) for k, c in parts.items()]
     return reduce(DataFrame.unionByName, rows)
+
+
+#: Values that label documents may have, and roles whose approval a label needs: fixed values.
+ROLES, SCENES = ("anchor", "temporal_context"), ("trick", "non_trick", "unknown")
+STRING_VISIBILITY, ORIENTATIONS = ("visible", "partial", "not_visible", "uncertain"), ("normal", "horizontal", "other", "not_applicable", "unknown")
+PATH_ANCHORS, EVIDENCE, ACCEPTED = ("yoyo", "unknown"), ("observed", "temporal", "inferred"), ("approved", "reviewed")
+CRITICS = ("geometry-critic", "semantic-critic")
+
+
+def label_rules(version: str) -> list[tuple[str, Column]]:
+    """(name, whether it holds) of every rule of a label document, for collect_failures.
+
+    Columns: schema_version, source_video, source_group, video_id, sequence_id, source_video_sha256, sampling_manifest_sha256,
+    image_sha256, frame_index, timestamp_s, sampling_role, anchor_frame_index, image_size, string_visibility, scene_label,
+    trick_orientation, box, strokes, masks, paths (points, start_anchor, end_anchor, edges of from, to, evidence, confidence),
+    string_review_status, approvals (current ones: reviewer, role) and min_approvals. A rule about what is null fails.
+    """
+    c, none = F.col, F.lit(False)
+    held = lambda x: F.coalesce(x, none)
+    digest = lambda n: held(c(n).rlike("^[0-9a-f]{64}$"))
+    text = lambda n: held(F.trim(c(n)) != "")
+    every = lambda a, f: F.coalesce(F.forall(a, lambda x: F.coalesce(f(x), none)), F.lit(True))
+    size = lambda a: F.coalesce(F.size(a), F.lit(0))
+    near = F.greatest(F.lit(8.0), 0.08 * F.sqrt(c("image_size")[0] * c("image_size")[0] + c("image_size")[1] * c("image_size")[1]))
+    geometry = (size("strokes") > 0) | (size("masks") > 0)
+    shown = held(c("string_visibility").isin("visible", "partial"))
+    edges = F.flatten(F.transform("paths", lambda p: p["edges"]))
+    observed = F.coalesce(F.exists(edges, lambda e: e["evidence"] == "observed"), none)
+    accepted = held(c("string_review_status").isin(*ACCEPTED))
+    anchored = lambda name, p: (name != "yoyo") | p.isNull() | (c("box").isNotNull() & (point_box_distance(p, c("box")) <= near))
+    points = lambda lines, least: every(lines, lambda s: (F.size(s) >= least) & F.forall(s, lambda p: (p[0] >= 0) & (p[1] >= 0) & (p[0] <= c("image_size")[0]) & (p[1] <= c("image_size")[1])))
+    return [
+        ("schema", held(c("schema_version") == version)),
+        ("names", text("source_video") & text("source_group") & text("video_id") & text("sequence_id")),
+        ("video_id", held(c("video_id") == c("source_group"))),
+        ("digests", digest("source_video_sha256") & digest("sampling_manifest_sha256") & digest("image_sha256")),
+        ("frame_index", held(c("frame_index") >= 0)),
+        ("timestamp", held((c("timestamp_s") >= 0) & (c("timestamp_s") < float("inf")))),
+        ("role", held(c("sampling_role").isin(*ROLES))),
+        ("anchor_frame", held(c("anchor_frame_index") >= 0) & held((c("sampling_role") != "anchor") | (c("frame_index") == c("anchor_frame_index")))),
+        ("image_size", held((F.size("image_size") == 2) & (c("image_size")[0] > 0) & (c("image_size")[1] > 0))),
+        ("values", held(c("string_visibility").isin(*STRING_VISIBILITY)) & held(c("scene_label").isin(*SCENES)) & held(c("trick_orientation").isin(*ORIENTATIONS))),
+        ("strokes", points("strokes", 2)),
+        ("masks", points("masks", 3)),
+        ("geometry_missing", ~shown | geometry),
+        ("geometry_kept", ~held(c("string_visibility") == "not_visible") | ~geometry),
+        ("anchors", every("paths", lambda p: p["start_anchor"].isin(*PATH_ANCHORS) & p["end_anchor"].isin(*PATH_ANCHORS))),
+        ("anchor_far", every("paths", lambda p: anchored(p["start_anchor"], F.get(p["points"], F.lit(0))) & anchored(p["end_anchor"], F.try_element_at(p["points"], F.lit(-1))))),
+        ("edges", every("paths", lambda p: (F.size(p["edges"]) == F.greatest(F.lit(0), F.size(p["points"]) - 1)) & F.forall(F.transform(p["edges"], lambda e, i: (e["from"] == i) & (e["to"] == i + 1)), lambda ok: F.coalesce(ok, none)))),
+        ("evidence", every(edges, lambda e: e["evidence"].isin(*EVIDENCE) & (e["confidence"] >= 0) & (e["confidence"] <= 1))),
+        ("observed_without_geometry", ~observed | geometry),
+        ("path_missing", ~shown | (size("paths") > 0)),
+        ("nothing_observed", ~shown | observed),
+        ("approved_uncertain", ~accepted | ~held(c("string_visibility") == "uncertain")),
+        ("approvals", ~accepted | (size("approvals") >= F.greatest(F.lit(1), F.coalesce("min_approvals", F.lit(2))))),
+        ("critics", ~accepted | (F.greatest(F.lit(1), F.coalesce("min_approvals", F.lit(2))) < 2) | (F.size(F.array_intersect(F.coalesce(F.transform("approvals", lambda a: a["role"]), F.array().cast("array<string>")), F.array(*map(F.lit, CRITICS)))) == len(CRITICS))),
+    ]
+
+
+def export_reasons(labels: DataFrame, errors: Column, required: Column) -> DataFrame:
+    """labels with reasons: the errors of the rules, a status that isn't accepted, and too few current approvals. None: exported."""
+    status = F.when(~F.coalesce(F.col("string_review_status").isin(*ACCEPTED), F.lit(False)), F.concat(F.lit("status="), F.coalesce("string_review_status", F.lit("none"))))
+    n = F.coalesce(F.size("approvals"), F.lit(0))
+    few = F.when(n < required, F.concat(F.lit("approvals="), n.cast("string"), F.lit(" requires="), required.cast("string")))
+    return labels.withColumn("reasons", F.array_sort(F.array_distinct(F.concat(errors, F.array_compact(F.array(status, few))))))
+
+
+def without_conflicts(labels: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """labels, unless the collection has conflicts (a table of kind and value): then the first of them stops the query.
+
+    One row says whether there are any, so the labels aren't shuffled for it.
+    """
+    first = conflicts.agg(F.min(F.concat_ws(" ", "kind", F.col("value").cast("string"))).alias("_conflict"))
+    checked = labels.join(F.broadcast(first))
+    ok = F.when(F.col("_conflict").isNotNull(), F.raise_error(F.concat(F.lit("leakage in the collection: "), F.col("_conflict"))).cast("boolean")).otherwise(F.lit(True))
+    return checked.where(ok).drop("_conflict")

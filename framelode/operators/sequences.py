@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.geometry import bbox_center, bbox_diagonal, distance
+from ..functions.geometry import bbox_center, bbox_diagonal, bbox_iou, distance
 
 
 def ordered(group: str = "grp", frame: str = "frame", backward: bool = False):
@@ -241,3 +241,23 @@ def temporal_pick(df: DataFrame, frame: str, det: str, box: Column, confidence:
     near = F.when(~F.col("_mine") & F.col("_several") & (F.col("_far") <= 2), F.bround(F.log(F.greatest(F.col(confidence), F.lit(1e-6))) - 1.5 * F.col("_far"), 9))
     rank = F.struct(F.col("_mine"), near.isNotNull(), F.coalesce(near, F.col(confidence)), F.col(confidence), -F.col(det))
     return rows.groupBy(frame).agg(F.max_by(det, rank).alias(det))
+
+
+def person_pick(df: DataFrame, frame: str, person: str, box: Column, confidence: Column, wrist: Column, before: Column, width: int, height: int) -> DataFrame:
+    """frame, the person chosen and whether by continuity.
+
+    Among persons that overlap the box before (0.05) or whose centre is within 0.12 diagonals of it, the best by overlap, then
+    nearness, then cold-start score; if there are none, the best by this score: 0.45 of the area and 0.20 of the height,
+    relative to the frame's largest, 0.25 of the pose's confidence, 0.10 of the nearness of a wrist to the toy.
+    """
+    diag = float((width * width + height * height) ** 0.5)
+    rows = df.withColumn("_b", box).withColumn("_w", F.greatest(F.lit(0.0), F.col("_b")[2] - F.col("_b")[0])).withColumn("_h", F.greatest(F.lit(0.0), F.col("_b")[3] - F.col("_b")[1]))
+    most = lambda c: F.greatest(F.lit(1.0), F.max(c).over(W.partitionBy(frame)))
+    area = F.col("_w") * F.col("_h")
+    near_toy = F.greatest(F.lit(0.0), 1 - F.coalesce(wrist, F.lit(diag)) / diag)
+    rows = rows.withColumn("_cold", F.bround(0.45 * area / most(area) + 0.25 * F.least(F.lit(1.0), confidence) + 0.20 * F.col("_h") / most("_h") + 0.10 * near_toy, 9))
+    rows = rows.withColumn("_iou", bbox_iou(F.col("_b"), before)).withColumn("_far", distance(bbox_center(F.col("_b")), bbox_center(before)))
+    near = F.coalesce((F.col("_iou") >= 0.05) | (F.col("_far") / diag <= 0.12), F.lit(False)) & before.isNotNull()
+    rows = rows.withColumn("_near", near)
+    rank = F.struct("_near", F.when(F.col("_near"), F.bround("_iou", 9)).otherwise(F.col("_cold")).alias("a"), F.when(F.col("_near"), -F.bround("_far", 9)).otherwise(0.0).alias("b"), "_cold", -F.col(person))
+    return rows.groupBy(frame).agg(F.max_by(person, rank).alias(person), F.bool_or("_near").alias("temporal"))

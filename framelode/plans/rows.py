@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from ..functions import geometry as G
 from ..functions import raster as R
 from ..functions import scalars as S
-from ..operators import gates
+from ..operators import gates, reports
 from .tables import BOXES, SAMPLES, box, boxes, read, samples
 
 Q: dict = {}
@@ -271,6 +271,47 @@ def prj_sample_flags(spark, sf_dir):
     return boxes(spark, sf_dir).select("frame", "det", G.bbox_valid(b).alias("has_box"), F.coalesce(F.when(F.col("conf") > 0.5, "visible").isin("visible", "partial"), F.lit(False)).alias("has_string"))
 
 
+def _labels(spark, sf_dir):
+    """Boxes as label documents, each with some faults."""
+    d, f, c = F.col("det"), F.col("frame"), F.col("conf")
+    corner = lambda x, y: F.array(F.col(x), F.col(y))
+    line = F.array(corner("x1", "y1"), corner("x2", "y2"))
+    edge = F.struct(F.lit(0).alias("from"), F.when(f % 13 == 0, 2).otherwise(1).alias("to"), F.when(F.col("cls") == 1, "observed").when(d % 4 == 0, "guess").otherwise("temporal").alias("evidence"), (c * 1.2).alias("confidence"))
+    path = F.struct(line.alias("points"), F.when(d == 3, "finger").otherwise("yoyo").alias("start_anchor"), F.lit("unknown").alias("end_anchor"), F.array(edge).alias("edges"))
+    one = lambda role: F.struct(F.lit("r").alias("reviewer"), F.lit(role).alias("role"))
+    sha = F.sha2(f.cast("string"), 256)
+    visibility = F.when(d == 1, "visible").when(d == 2, "not_visible").when(d == 3, "uncertain").when(d == 4, "partial").otherwise("gone")
+    return boxes(spark, sf_dir).select(
+        "frame", "det", F.when(f % 11 == 0, "v4").otherwise("v5").alias("schema_version"), F.lit("a.mp4").alias("source_video"), F.concat(F.lit("g"), (f % 9).cast("string")).alias("source_group"), F.concat(F.lit("g"), (F.when(f % 17 == 0, 0).otherwise(f) % 9).cast("string")).alias("video_id"), F.when(f % 19 == 0, " ").otherwise("s1").alias("sequence_id"),
+        sha.alias("source_video_sha256"), F.when(f % 23 == 0, F.upper(sha)).otherwise(sha).alias("sampling_manifest_sha256"), sha.alias("image_sha256"), (d - 2).alias("frame_index"), F.when(f % 29 == 0, F.lit(None)).otherwise(c).alias("timestamp_s"), F.when(d % 2 == 0, "anchor").otherwise("temporal_context").alias("sampling_role"), F.lit(0).cast("long").alias("anchor_frame_index"), F.array(F.lit(80), F.lit(360)).alias("image_size"),
+        visibility.alias("string_visibility"), F.lit("trick").alias("scene_label"), F.lit("normal").alias("trick_orientation"), F.when(c > 0.2, F.array("x1", "y1", "x2", "y2")).alias("box"), F.when(d != 4, F.array(line)).alias("strokes"), F.when(d == 5, F.array(line)).alias("masks"), F.when(d < 6, F.array(path)).alias("paths"),
+        F.when(f % 2 == 0, "approved").otherwise("draft").alias("string_review_status"), F.when(f % 3 == 0, F.array(one("geometry-critic"), one("semantic-critic"))).when(f % 3 == 1, F.array(one("geometry-critic"))).alias("approvals"), F.when(f % 5 == 0, 1).otherwise(2).alias("min_approvals"),
+    )
+
+
+#: The faults of these documents by rule.
+FAULTS = """array_to_string(list_filter([CASE WHEN frame % 11 = 0 THEN 'schema' END, CASE WHEN frame % 19 = 0 THEN 'names' END, CASE WHEN frame % 17 = 0 AND frame % 9 <> 0 THEN 'video_id' END, CASE WHEN frame % 23 = 0 THEN 'digests' END, CASE WHEN det < 2 THEN 'frame_index' END, CASE WHEN frame % 29 = 0 THEN 'timestamp' END,
+  CASE WHEN det % 2 = 0 AND det <> 2 THEN 'anchor_frame' END, CASE WHEN det > 4 THEN 'values' END, CASE WHEN det <> 4 AND x2 > 80 THEN 'strokes' END, CASE WHEN det = 5 THEN 'masks' END, CASE WHEN det = 4 THEN 'geometry_missing' END, CASE WHEN det = 2 THEN 'geometry_kept' END, CASE WHEN det = 3 THEN 'anchors' END,
+  CASE WHEN det < 6 AND det <> 3 AND conf <= 0.2 THEN 'anchor_far' END, CASE WHEN det < 6 AND frame % 13 = 0 THEN 'edges' END, CASE WHEN det < 6 AND (cls <> 1 AND det % 4 = 0 OR conf * 1.2 > 1) THEN 'evidence' END, CASE WHEN det = 4 AND cls = 1 THEN 'observed_without_geometry' END, CASE WHEN det IN (1, 4) AND cls <> 1 THEN 'nothing_observed' END,
+  CASE WHEN frame % 2 = 0 AND det = 3 THEN 'approved_uncertain' END, CASE WHEN frame % 2 = 0 AND (frame % 3 = 2 OR frame % 3 = 1 AND frame % 5 <> 0) THEN 'approvals' END, CASE WHEN frame % 2 = 0 AND frame % 5 <> 0 AND frame % 3 <> 0 THEN 'critics' END{}], lambda x: x IS NOT NULL), ',')"""
+
+
+@query("val_label_document", f"WITH {BOXES} SELECT frame, det, array_to_string(list_sort(string_split({FAULTS.format('')}, ',')), ',') AS errors FROM boxes")
+def val_label_document(spark, sf_dir):
+    found = gates.collect_failures(_labels(spark, sf_dir), gates.label_rules("v5"))
+    return found.select("frame", "det", F.array_join("errors", ",").alias("errors"))
+
+
+@query("doc_export_labels", f"""WITH {BOXES}, e AS (SELECT frame, det, {FAULTS.format(", CASE WHEN frame % 2 = 1 THEN 'status=draft' END, CASE WHEN frame % 3 = 1 AND frame % 5 <> 0 THEN 'approvals=1 requires=2' WHEN frame % 3 = 2 AND frame % 5 = 0 THEN 'approvals=0 requires=1' WHEN frame % 3 = 2 THEN 'approvals=0 requires=2' END")} AS r FROM boxes)
+SELECT frame, det, r = '' AS exported, array_to_string(list_sort(list_distinct(string_split(r, ','))), ',') AS reasons FROM e""")
+def doc_export_labels(spark, sf_dir):
+    """What is exported and why the rest isn't; a conflict in the collection would stop it all."""
+    labels = gates.collect_failures(_labels(spark, sf_dir), gates.label_rules("v5"))
+    none = reports.collection_conflicts(labels.select(F.lit("").alias("sha"), "source_group", "source_video").limit(0), "sha", "source_group", "source_video")
+    out = gates.without_conflicts(gates.export_reasons(labels, F.col("errors"), F.col("min_approvals")), none)
+    return out.select("frame", "det", (F.size("reasons") == 0).alias("exported"), F.array_join("reasons", ",").alias("reasons"))
+
+
 @query("val_label", f"WITH {BOXES} SELECT frame, det, array_to_string(list_filter([CASE WHEN conf > 0.8 THEN 'confidence' END, CASE WHEN x1 > 50 THEN 'outside' END, CASE WHEN (x2 - x1) < 25 THEN 'small' END], lambda x: x IS NOT NULL), ',') AS errors FROM boxes")
 def val_label(spark, sf_dir):
     rules = [("small", F.col("x2") - F.col("x1") >= 25), ("confidence", F.col("conf") <= 0.8), ("outside", F.col("x1") <= 50)]

@@ -355,6 +355,19 @@ def topk_components(spark, sf_dir):
     return reports.top_rows(d, ["lang"], [F.col("n_chars").desc(), F.col("doc_id")], 8).select("lang", "doc_id", "rank")
 
 
+@query("topk_person_temporal", f"""WITH {BOXES}, t AS (SELECT frame, arg_max({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}, (conf, -det)) AS top FROM boxes GROUP BY frame), p AS (SELECT frame, CASE WHEN frame % 3 <> 0 THEN lag(top) OVER (PARTITION BY frame % 50 ORDER BY frame) END AS q FROM t),
+d AS (SELECT b.*, q, (x2 - x1) * (y2 - y1) AS area, y2 - y1 AS high, sqrt(pow((x1 + x2) / 2 - (q.x1 + q.x2) / 2, 2) + pow((y1 + y2) / 2 - (q.y1 + q.y2) / 2, 2)) AS apart, {OVERLAP} AS iou FROM boxes b JOIN p USING (frame)),
+s AS (SELECT *, round_even(0.45 * area / greatest(1.0, max(area) OVER w) + 0.25 * least(1.0, conf) + 0.20 * high / greatest(1.0, max(high) OVER w) + 0.10 * greatest(0.0, 1 - (40 + 10 * det) / sqrt(640.0 * 640 + 360.0 * 360)), 9) AS cold, coalesce(iou >= 0.05 OR apart / sqrt(640.0 * 640 + 360.0 * 360) <= 0.12, false) AS near FROM d WINDOW w AS (PARTITION BY frame))
+SELECT frame, arg_max(det, (near, CASE WHEN near THEN round_even(iou, 9) ELSE cold END, CASE WHEN near THEN -round_even(apart, 9) ELSE 0 END, cold, -det)) AS det, bool_or(near) AS temporal FROM s GROUP BY frame""")
+def topk_person_temporal(spark, sf_dir):
+    """The person who was followed, by overlap, then nearness, then the score of a cold start; without one near, by that score."""
+    b = boxes(spark, sf_dir)
+    top = b.groupBy("frame").agg(F.max_by(F.array("x1", "y1", "x2", "y2"), F.struct("conf", -F.col("det"))).alias("top"))
+    was = F.when(F.col("frame") % 3 != 0, F.lag("top").over(W.partitionBy(F.col("frame") % 50).orderBy("frame")))
+    rows = b.join(top.select("frame", was.alias("was")), "frame").withColumn("wrist", (F.lit(40) + 10 * F.col("det")).cast("double"))
+    return S.person_pick(rows, "frame", "det", F.array("x1", "y1", "x2", "y2"), F.col("conf"), F.col("wrist"), F.col("was"), 640, 360)
+
+
 @query("topk_person", f"WITH {BOXES} SELECT frame, arg_max(det, (round_even(0.45 * conf + 0.25 * (x1 / 60) + 0.20 * (y1 / 40) + 0.10 * cls, 9), -det)) AS det FROM boxes GROUP BY frame")
 def topk_person(spark, sf_dir):
     score = F.bround(0.45 * F.col("conf") + 0.25 * (F.col("x1") / 60) + 0.20 * (F.col("y1") / 40) + 0.10 * F.col("cls"), 9)

@@ -73,3 +73,13 @@ def test_nothing_else_imports_the_training_data_operators():
 def test_entry():
     entry = importlib.import_module("__spark_entry__")
     assert set(entry.oracle_sql()) <= set(entry.queries()) and set(catalogue.queries()) <= set(entry.queries())
+
+
+def test_frame_loop_is_its_batch_fold(spark):
+    from framelode.operators import folds
+    from framelode.plans import sequences
+    from framelode.streaming import stateful
+
+    batch = folds.fold(sequences.observations(spark, DATA), "grp", "frame", lambda: None, stateful.loop_step, stateful.LOOP)
+    stream = catalogue.queries()["st_frame_loop"](spark, DATA)
+    assert sorted(map(repr, batch.collect())) == sorted(map(repr, stream.select(*batch.columns).collect()))

@@ -174,3 +174,15 @@ def test_masks():
     path = raster.longest_path(mask)
     assert {tuple(path[0]), tuple(path[-1])} == {(1.0, 1.0), (7.0, 3.0)} and len(path) == 7
     assert raster.inside(np.array([[1, 1], [5, 5]]), np.array([[0, 0], [2, 0], [2, 2], [0, 2]])).tolist() == [True, False]
+
+
+def test_conflicts_stop_an_export(spark):
+    from pyspark.errors import PySparkException
+
+    from framelode.operators import gates
+
+    labels = spark.range(3)
+    none = spark.createDataFrame([], "kind string, value string")
+    assert gates.without_conflicts(labels, none).count() == 3
+    with pytest.raises(PySparkException, match="leakage"):
+        gates.without_conflicts(labels, spark.createDataFrame([("image in groups", "x")], "kind string, value string")).collect()
