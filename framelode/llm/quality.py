@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import operator
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,79 +33,102 @@ SYMBOLS = "%#&$*^~|=<>{}\\_@+"
 LABELLERS = ("symbols", "pipes", "capitals", "shouting", "echo", "variety", "lines", "function_words", "punctuation", "word_length")
 
 
+class Kinds(dict):
+    """Kinds of characters: X, x, 9, or the character itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = kind = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+        return kind
+
+
+KINDS, RUNS = Kinds(), re.compile(r"(.)\1+", re.DOTALL)
+
+
 def shape(word: str) -> str:
     """Kinds of characters of a word, runs as one: Xx, x., X!, |, x%."""
-    kinds = ("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
-    out = []
-    for k in kinds:
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
+    return "x" if word.islower() and word.isalpha() else RUNS.sub(r"\1", word.translate(KINDS))
+
 
+#: Feature number of the commonest shape.
+LOWER = zlib.crc32(b"x", 7) & (1 << BITS) - 1
 
-class Facts(dict):
-    """What labellers and scorer need of a word, as one number: BITS of its hash, BITS of its shape's hash, whether it is
-    upper case, a function word, ends in punctuation, and its length. Words are remembered up to a bound."""
+
+class Slots(dict):
+    """Feature numbers of a word and of its shape, as one number; words are remembered up to a bound."""
 
     MOST, LONGEST = 200_000, 64
 
     def __missing__(self, word: str) -> int:
-        lower, where = word.lower(), (1 << BITS) - 1
-        fact = zlib.crc32(lower.encode("utf-8", "surrogatepass")) & where
-        fact |= (zlib.crc32(shape(word).encode("utf-8", "surrogatepass"), 7) & where) << BITS
-        fact |= word.isupper() << 2 * BITS | (lower in STOPWORDS) << 2 * BITS + 1 | (word[-1] in ".,;:!?") << 2 * BITS + 2 | len(word) << 2 * BITS + 3
+        where = (1 << BITS) - 1
+        kind = shape(word)
+        other = LOWER if kind == "x" else zlib.crc32(kind.encode("utf-8", "surrogatepass"), 7) & where
+        slots = zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) & where | other << BITS
         if len(word) <= self.LONGEST:
             if len(self) >= self.MOST:
                 self.clear()
-            self[word] = fact
-        return fact
-
-
-def measured(text: str, facts: Facts) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
-    """Votes, feature numbers and feature values of a text, from one pass over its words.
-
-    A vote is 1 for good, -1 for bad, 0 for none; of a text without words only those labellers vote that see it. Features
-    are shares of words and of their shapes, a constant, the shares of echoes, of distinct words and of line ends.
-    """
-    words = text.split()
-    n = len(words)
-    counts = Counter(words)
-    fact = np.fromiter(map(facts.__getitem__, counts), dtype=np.int64, count=len(counts))
-    times = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-    echo = sum(map(operator.eq, words, words[1:])) / max(1, n)
-    variety = len(counts) / max(1, n)
-    where = (1 << BITS) - 1
-    at, of = np.unique(np.concatenate([fact & where, fact >> BITS & where]), return_inverse=True)
-    value = np.bincount(of, weights=np.concatenate([times, times]), minlength=len(at)) / max(1, n)
-    at = np.concatenate([at, (1 << BITS) + np.arange(4)])
-    value = np.concatenate([value, [1.0, echo, variety, min(1.0, text.count("\n") / max(1, n))]])
-    if not n:
-        return (0, 0, 0, 0, 0, -1, 0, -1, -1, -1), at, value
-    share = lambda bit: int(times @ (fact >> 2 * BITS + bit & 1)) / n
-    between = lambda x, good, bad: 1 if x <= good else -1 if x >= bad else 0
-    symbols = sum(map(text.count, SYMBOLS))
-    lines = [x for x in text.split("\n") if x]
-    different = len(set(lines))
-    common = share(1)
-    ended = int((fact >> 2 * BITS + 2 & 1).sum()) / len(counts)
-    mean = int(times @ (fact >> 2 * BITS + 3)) / n
-    cast = (
-        between(symbols / n, 0.02, 0.25),
-        between(text.count("|") / n, 0.0, 0.2),
-        between(share(0), 0.1, 0.35),
-        between(text.count("!!") / n, 0.0, 0.1),
-        between(echo, 0.03, 0.3),
-        1 if variety > 0.35 else -1 if n >= 40 and variety < 0.15 else 0,
-        0 if len(lines) < 4 else -1 if different < 0.5 * len(lines) else 1 if different == len(lines) else 0,
-        1 if common > 0.06 else -1 if n >= 40 and common < 0.01 else 0,
-        1 if 0.02 <= ended <= 0.5 else -1 if n >= 40 and (ended < 0.01 or ended > 0.8) else 0,
-        1 if 2.5 <= mean <= 9.5 else -1 if mean > 14 or n >= 40 and mean < 2 else 0,
-    )
-    return cast, at, value
+            self[word] = slots
+        return slots
+
+
+class Measured:
+    """A text, its words and their counts, from which both votes and features are taken."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.words = text, text.split()
+        self.n, self.counts = len(self.words), Counter(self.words)
+        self.echo = sum(map(operator.eq, self.words, self.words[1:])) / max(1, self.n)
+        self.variety = len(self.counts) / max(1, self.n)
+
+    def votes(self) -> tuple[int, ...]:
+        """One vote a labeller: 1 good, -1 bad, 0 none. Of a text without words only those labellers vote that see it."""
+        n, text, counts, variety = self.n, self.text, self.counts, self.variety
+        if not n:
+            return (0, 0, 0, 0, 0, -1, 0, -1, -1, -1)
+        between = lambda x, good, bad: 1 if x <= good else -1 if x >= bad else 0
+        lines = [x for x in text.split("\n") if x]
+        different = len(set(lines))
+        common = sum(k for w, k in counts.items() if w.lower() in STOPWORDS) / n
+        ended = sum(w[-1] in ".,;:!?" for w in counts) / len(counts)
+        mean = sum(map(len, self.words)) / n
+        return (
+            between(sum(map(text.count, SYMBOLS)) / n, 0.02, 0.25),
+            between(text.count("|") / n, 0.0, 0.2),
+            between(sum(map(str.isupper, self.words)) / n, 0.1, 0.35),
+            between(text.count("!!") / n, 0.0, 0.1),
+            between(self.echo, 0.03, 0.3),
+            1 if variety > 0.35 else -1 if n >= 40 and variety < 0.15 else 0,
+            0 if len(lines) < 4 else -1 if different < 0.5 * len(lines) else 1 if different == len(lines) else 0,
+            1 if common > 0.06 else -1 if n >= 40 and common < 0.01 else 0,
+            1 if 0.02 <= ended <= 0.5 else -1 if n >= 40 and (ended < 0.01 or ended > 0.8) else 0,
+            1 if 2.5 <= mean <= 9.5 else -1 if mean > 14 or n >= 40 and mean < 2 else 0,
+        )
+
+    def slots(self, known: Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature numbers of the distinct words and of their shapes, and how often each occurs."""
+        both = np.fromiter(map(known.__getitem__, self.counts), dtype=np.int64, count=len(self.counts))
+        return both & (1 << BITS) - 1, both >> BITS, np.fromiter(self.counts.values(), dtype=np.int64, count=len(self.counts))
+
+    def extra(self) -> list[float]:
+        """Features beside words: a constant, the shares of echoes, of distinct words and of line ends."""
+        return [1.0, self.echo, self.variety, min(1.0, self.text.count("\n") / max(1, self.n))]
+
+    def features(self, known: Slots) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct feature numbers and their values, shares of the words."""
+        words, shapes, times = self.slots(known)
+        at, of = np.unique(np.concatenate([words, shapes]), return_inverse=True)
+        value = np.bincount(of, weights=np.concatenate([times, times]), minlength=len(at)) / max(1, self.n)
+        return np.concatenate([at, (1 << BITS) + np.arange(4)]), np.concatenate([value, self.extra()])
+
+    def score(self, known: Slots, weights: np.ndarray) -> float:
+        """What the scorer says of the features, without listing them."""
+        words, shapes, times = self.slots(known)
+        total = float((weights[words] + weights[shapes]) @ times) / max(1, self.n) + float(weights[1 << BITS :] @ self.extra())
+        return 1 / (1 + math.exp(-min(30.0, max(-30.0, total))))
 
 
 def votes(text: str) -> tuple[int, ...]:
-    return measured(text, Facts())[0]
+    return Measured(text).votes()
 
 
 def pattern(v: tuple[int, ...]) -> int:
@@ -151,10 +175,6 @@ def expectation_maximisation(histogram: dict[int, int], rounds: int = 200) -> tu
     return table, float(share), dict(zip(keys, post.tolist(), strict=True))
 
 
-def scored(at: np.ndarray, value: np.ndarray, weights: np.ndarray) -> float:
-    return float(1 / (1 + np.exp(-np.clip(weights[at] @ value, -30, 30))))
-
-
 def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 30, rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
     """Weights of a logistic scorer of posteriors, by adaptive gradient steps in a fixed order; a row's numbers are distinct."""
     weights, seen = np.zeros((1 << BITS) + 4), np.full((1 << BITS) + 4, 1e-8)
@@ -174,9 +194,9 @@ def pattern_counts(docs: DataFrame) -> dict[int, int]:
     """How many texts have each pattern of votes; 3 ** 10 patterns at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        facts, found = Facts(), Counter()
+        found = Counter()
         for batch in batches:
-            found.update(pattern(measured(t.as_py() or "", facts)[0]) for t in batch.column(0))
+            found.update(pattern(votes(t.as_py() or "")) for t in batch.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(list(found), type=pa.int64()), pa.array(list(found.values()), type=pa.int64())], names=["pattern", "n"])
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
@@ -194,12 +214,13 @@ def fitted(docs: DataFrame, posterior: dict[int, float], share: float, total: in
     chosen = docs.select(hashed.alias("h"), F.col("text").cast("string").alias("text")).where((F.col("h") <= range_end) & (F.length("text") > 0))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        facts = Facts()
+        known = Slots()
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                cast, at, value = measured(text, facts)
-                rows.append((at.astype(np.int32), value.astype(np.float32), posterior.get(pattern(cast), share)))
+                m = Measured(text)
+                at, value = m.features(known)
+                rows.append((at.astype(np.int32), value.astype(np.float32), posterior.get(pattern(m.votes()), share)))
             columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], type=pa.list_(pa.int32())), pa.array(columns[1], type=pa.list_(pa.float32())), pa.array(columns[2], type=pa.float64())], names=["h", "at", "value", "target"])
 
@@ -224,16 +245,16 @@ def judged(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     text_at = docs.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        facts = Facts()
+        known = Slots()
         posterior, weights = sent.value
         for batch in batches:
             post, score = [], []
             for text in batch.column(0).field(text_at):
                 text = text.as_py() or ""
-                cast, at, value = measured(text, facts)
-                p = posterior.get(pattern(cast), share)
+                m = Measured(text)
+                p = posterior.get(pattern(m.votes()), share)
                 post.append(p)
-                score.append(scored(at, value, weights) if text.strip() else p)
+                score.append(m.score(known, weights) if m.n else p)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(post, type=pa.float64()), pa.array(score, type=pa.float64()), pa.array([s >= KEEP for s in score], type=pa.bool_())], names=["row", "posterior", "score", "keep"])
 
     rows = docs.select(F.struct("*").alias("row"))
