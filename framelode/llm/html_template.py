@@ -238,10 +238,10 @@ def tokens(page: Page) -> list[tuple[int, int | None, int, int, int]]:
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """rows (host, html) -> host (a long), path, text (null: the path itself), pages, most, vector, chars, linked, total.
+    """rows (host, html) -> host (a long), path, text (null: the path itself), pages, most, vector, chars, linked.
 
-    Tokens with equal vectors are one class: the vector combines hashes of page and count over the distinct pages.
-    total is the number of distinct pages of the host, and most the largest count on one page.
+    Tokens with equal vectors are one class: the vector combines hashes of page and count over the distinct pages. pages
+    are the distinct pages that hold the token, and most is the largest count on one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,25 +261,27 @@ def classes(rows: DataFrame) -> DataFrame:
     packed = lambda out: pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out, strict=True)], names=names)
     seen = rows.select("host", "html").mapInArrow(run, ", ".join(f"{n} long" for n in names)).distinct()
     whole = lambda c: F.sum(c).alias(c)
-    counted = seen.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("pages"), F.max("times").alias("most"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"), whole("chars"), whole("linked"))
-    counted = settle(counted, "tokens")
-    sizes = counted.where("path = 0 and text is null").select(F.col("host").alias("of"), F.col("pages").alias("total"))
-    return counted.join(sizes, F.col("host") == F.col("of")).drop("of")
+    return seen.groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("pages"), F.max("times").alias("most"), F.bit_xor(F.xxhash64("page", "times")).alias("vector"), whole("chars"), whole("linked"))
 
 
 def templates(rows: DataFrame) -> DataFrame:
     """rows (host, html) -> host, slots and constants: paths whose slots belong to the template, and hashes of path and text.
 
-    A host's arrays are bounded by the size of its pages: what they hold occurs on a share of them at least.
+    Texts that don't recur are summed up by path before anything is written or meets the host's number of pages, so that a
+    host with very many pages is a few rows for each of its paths. A host's arrays are bounded by the size of its pages: what
+    they hold occurs on a share of them at least.
     """
-    found = classes(rows)
-    often = F.col("text").isNotNull() & (F.col("pages") >= RECURS)
-    constants = found.where(often & (F.col("pages") >= CONSTANT * F.col("total"))).groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("constants"))
+    often, whole = F.col("pages") >= RECURS, F.col("text").isNull()
+    few = classes(rows).select("host", "path", whole.alias("own"), F.when(often, F.col("text")).alias("text"), "pages", "most", "vector", "chars", "linked")
+    few = few.groupBy("host", "path", "own", "text").agg(*[F.max(c).alias(c) for c in ("pages", "most", "vector")], *[F.sum(c).alias(c) for c in ("chars", "linked")])
+    found = settle(few, "tokens")
+    sizes = found.where("own and path = 0").select(F.col("host").alias("of"), F.col("pages").alias("total"))
+    sized = lambda df: df.join(sizes, F.col("host") == F.col("of")).drop("of")
+    constants = sized(found.where("text is not null")).where(F.col("pages") >= CONSTANT * F.col("total")).groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("constants"))
     amount = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
-    texts = F.col("text").isNotNull()
-    own = lambda c: F.max(F.when(~texts, F.col(c))).alias(c)
-    slots = found.where("path <> 0").groupBy("host", "path").agg(own("pages"), own("most"), own("vector"), F.max("total").alias("total"), amount("chars", "chars"), amount(F.when(often, F.col("chars")), "recurring"), amount("linked", "linked"))
-    slots = slots.where((F.col("pages") >= RECURS) & (F.col("pages") >= JUDGED * F.col("total")))
+    of_path = lambda c: F.max(F.when(F.col("own"), F.col(c))).alias(c)
+    slots = found.where("path <> 0").groupBy("host", "path").agg(of_path("pages"), of_path("most"), of_path("vector"), amount("chars", "chars"), amount(F.when(F.col("text").isNotNull(), F.col("chars")), "recurring"), amount("linked", "linked"))
+    slots = sized(slots.where(F.col("pages") >= RECURS)).where(F.col("pages") >= JUDGED * F.col("total"))
     mostly = lambda chars, part: F.col(part) > MOSTLY * F.col(chars)
     # the skeleton's slots are judged one by one, those of a nested class together too
     nested = slots.where("pages < total or most > 1").groupBy("host", "vector").agg(F.sum("chars").alias("all"), F.sum("recurring").alias("of_it"))
