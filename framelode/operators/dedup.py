@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import settle
+
 
 def latest_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row a key: the greatest of the order's columns, null before all. The window's group limit drops losers before the shuffle."""
@@ -42,3 +44,34 @@ def cached_digests(files: DataFrame, cache: DataFrame, content: Column, key: lis
     known = cache.select(*key, F.col("digest").alias("_digest"))
     both = files.join(known, key, "left")
     return both.withColumn("reused", F.col("_digest").isNotNull()).withColumn("digest", F.coalesce("_digest", F.sha2(content, 256))).drop("_digest")
+
+
+def accept_in_order(candidates: DataFrame, source: str, content: str, order: str, wanted: int, most_rounds: int = 1000) -> DataFrame:
+    """candidates that are accepted: each source, in the order of sources, takes its first `wanted` contents (by order) that no
+    source before it has taken.
+
+    Sources choose at once and in rounds: of a content that several hold the first source keeps it, the others lose it for
+    good and choose again among what is left. As all contents prefer the same sources, this ends with what one source after
+    the other would take. Each round's losses are written; rounds end when nothing new is lost.
+    """
+    rows = settle(candidates.groupBy(source, content).agg(F.min(order).alias(order)), "candidates")
+    lost = rows.select(source, content).limit(0)
+    for _ in range(most_rounds):
+        left = rows.join(lost, [source, content], "left_anti")
+        place = F.row_number().over(W.partitionBy(source).orderBy(order, content))
+        chosen = left.withColumn("_n", place).where(F.col("_n") <= wanted).drop("_n")
+        first = chosen.groupBy(content).agg(F.min(source).alias("_first"))
+        beaten = settle(chosen.join(first, content).where(F.col(source) != F.col("_first")).select(source, content), "beaten")
+        if beaten.isEmpty():
+            return chosen
+        lost = lost.unionByName(beaten)
+    raise RuntimeError("sources didn't settle")
+
+
+def second_pass_union(rows: DataFrame, group: str, item: str, first: Column, mean: Column, fraction: Column, tried: Column, mean_gate: float, fraction_gate: float) -> DataFrame:
+    """group and items: what the first pass found, together with the second pass's items that weren't tried before and reach both
+    gates; and how many the second pass adds. A group without either isn't there."""
+    second = F.coalesce(~tried & (mean >= mean_gate) & (fraction >= fraction_gate), F.lit(False))
+    marked = rows.select(group, item, F.coalesce(first, F.lit(False)).alias("_first"), second.alias("_second")).where("_first or _second")
+    one = marked.groupBy(group, item).agg(F.bool_or("_first").alias("_first"))
+    return one.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"), F.count_if(~F.col("_first")).alias("added"))

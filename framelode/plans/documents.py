@@ -12,7 +12,7 @@ from ..functions import geometry as G
 from ..functions import jsondoc as J
 from ..functions import scalars as S
 from ..operators import documents as D
-from ..operators import gates
+from ..operators import dedup, gates
 from ..scratch import scratch_dir
 from ..sources import files
 from ..streaming import stateful, windows
@@ -431,6 +431,15 @@ def val_staged(spark, sf_dir):
     return gates.staged_problems(staged, images, reference, "event_id", "video", "frame", "sha", "bits", 1, 1)
 
 
+@query("win_cross_source_reselect", f"""WITH RECURSIVE c AS (SELECT source, sha256(CAST(doc_id % 97 AS VARCHAR)) AS sha, min(doc_id) AS pos FROM documents GROUP BY ALL), l AS (SELECT source, list(sha ORDER BY pos, sha) AS shas, row_number() OVER (ORDER BY source) AS k FROM c GROUP BY source),
+r AS (SELECT k, source, shas[1:3] AS mine, shas[1:3] AS taken FROM l WHERE k = 1 UNION ALL SELECT l.k, l.source, list_filter(shas, lambda x: NOT list_contains(taken, x))[1:3], list_concat(taken, list_filter(shas, lambda x: NOT list_contains(taken, x))[1:3]) FROM r JOIN l ON l.k = r.k + 1)
+SELECT source, unnest(mine) AS sha FROM r""")
+def win_cross_source_reselect(spark, sf_dir):
+    """Three contents a source; what an earlier source has taken is lost to a later one, which chooses again."""
+    c = read(spark, sf_dir, "documents").select("source", F.sha2((F.col("doc_id") % 97).cast("string"), 256).alias("sha"), F.col("doc_id").alias("at"))
+    return dedup.accept_in_order(c, "source", "sha", "at", 3).select("source", "sha")
+
+
 @query("win_cross_source_conflict", f"WITH {SAMPLES}, r AS (SELECT doc_id, row_number() OVER (PARTITION BY sha ORDER BY source, doc_id) AS n FROM samples) SELECT doc_id, n = 1 AS accepted FROM r")
 def win_cross_source_conflict(spark, sf_dir):
     """Content is accepted from the first source that has it."""
@@ -438,6 +447,12 @@ def win_cross_source_conflict(spark, sf_dir):
     return samples(spark, sf_dir).select("doc_id", (n == 1).alias("accepted"))
 
 
+@query("flt_color_passes", f"WITH {BOXES}, m AS (SELECT frame, det, conf >= 0.6 AND cls = 1 AS f, det % 4 <> 0 AND conf >= 0.3 AND y1 / 40 >= 0.25 AS s FROM boxes) SELECT frame, list(det ORDER BY det) AS items, count(*) FILTER (WHERE NOT f) AS added FROM m WHERE f OR s GROUP BY frame")
+def flt_color_passes(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return dedup.second_pass_union(b, "frame", "det", (F.col("conf") >= 0.6) & (F.col("cls") == 1), F.col("conf"), F.col("y1") / 40, F.col("det") % 4 == 0, 0.3, 0.25)
+
+
 @query("flt_color_union", f"""WITH {BOXES}, r AS (SELECT frame, det, row_number() OVER (PARTITION BY frame ORDER BY det) AS pass FROM boxes WHERE conf >= 0.4 AND cls = 1) SELECT frame, det FROM r WHERE pass = 1""")
 def flt_color_union(spark, sf_dir):
     passed = boxes(spark, sf_dir).where("conf >= 0.4 and cls = 1").withColumn("_n", F.row_number().over(W.partitionBy("frame").orderBy("det")))
