@@ -38,8 +38,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 CUES = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promoted promotion banner menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars widget widgets related recommended share sharing social cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond response responses discussion disqus footer masthead copyright disclaimer skip toolbar pagination pager feedback".split()
 )
-#: Words of class or id that say nothing of what an element holds: the word before them does.
-PLAIN = frozenset("area bar block body bottom box button buttons center col column container content feed form group grid header heading holder icon icons inner item items left link links list main panel post posts right row section slot text title top unit wrap wrapper zone".split())
+#: Cues that are common words too: they mark an element only if they name it, as the last word that isn't a plain one.
+WEAK = frozenset("alert banner copyright disclaimer feedback login modal notice notices notification notifications overlay promotion recommended related reply respond response responses share shared sharing signup skip social subscription toolbar widget widgets".split())
+PLAIN = frozenset("area bar block body bottom box button buttons center col column container content count counter feed form grid group header heading holder icon icons info inner item items label left link links list main media message messages panel popup post posts prompt right row section slot tab tabs text this title top unit us wrap wrapper zone".split())
 ATTRIBUTES = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+""")
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:@][-\w:.]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
@@ -67,9 +68,11 @@ class Page:
 
 
 def cued(tokens: list[str], cues: frozenset) -> bool:
-    """Whether one of the tokens names a cue: by its last word that isn't a plain one, so a share-price is no share."""
+    """Whether one of the tokens holds a cue; of the weak ones only the word that names the element, so a share-price is no share."""
     for t in tokens:
         words = [w.lower() for w in WORDS.findall(t) if len(w) > 1 and not w.isdigit()]
+        if any(w in cues and w not in WEAK for w in words):
+            return True
         while len(words) > 1 and words[-1] in PLAIN:
             words.pop()
         if words and words[-1] in cues:

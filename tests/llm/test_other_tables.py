@@ -35,7 +35,7 @@ def test_main_text():
 
 
 def test_marks_are_the_names_of_elements_not_any_word_of_them():
-    for name, kept in (("share-price", True), ("notice-of-motion", True), ("user-feedback", False), ("cookie-notice", False), ("ad-slot", False), ("readerComments", False), ("sidebar_left", False)):
+    for name, kept in (("share-price", True), ("notice-of-motion", True), ("user-feedback", False), ("cookie-notice", False), ("ad-slot", False), ("readerComments", False), ("sidebar_left", False), ("comment-thread", False), ("cookie-policy", False), ("share-this", False), ("alert-info", False), ("social-media", False), ("social-history", True)):
         assert html_template.main_text(f'<article><p>a</p><div class="{name}">b</div></article>') == ("a\nb" if kept else "a"), name
 
 
