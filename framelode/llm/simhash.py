@@ -30,8 +30,9 @@ from .components import components
 
 #: Bits of the blocks that partitions are made of; cost of a signature row and of a candidate pair in the programs below.
 BLOCK, ROW_COST, PAIR_COST = 4, 1.0, 0.01
-#: Groups of signatures up to this size are compared pair by pair, larger ones by a search that drops what it has reached.
-SMALL = 24
+#: Groups of signatures up to this size are compared pair by pair on whole arrays, larger ones, and those in which nearly all are
+#: near, by a search that drops what it has reached; of up to so many connected members all links are kept for verification.
+PAIRWISE, SMALL = 128, 24
 #: Longs of a fingerprint of texts that are linked by similarity, and those of them that go with a signature; share of pairs
 #: just at the bound that may have no candidate; standard deviations beyond the bits that such a pair is expected to differ in.
 LONGS, SENT, MISS, DEVIATIONS = 8, 2, 0.003, 3.5
@@ -321,24 +322,29 @@ def near_links(signed: DataFrame, radius: int, more: bool = False) -> DataFrame:
     def solve(columns: list[np.ndarray]) -> pa.RecordBatch:
         keys, nodes, fps = columns[0], columns[1], np.stack(columns[2:], axis=1)
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        starts = np.flatnonzero(new)
+        starts, group = np.flatnonzero(new), np.cumsum(new) - 1
         sizes = np.diff(np.concatenate([starts, [len(keys)]]))
-        a, b = [], []
-        for at in np.flatnonzero(sizes > SMALL):
+        a, b, of = [], [], []
+        place = np.arange(len(keys)) - starts[group]
+        left = np.where(sizes[group] > PAIRWISE, 0, sizes[group] - place - 1)  # rows of the group that follow
+        at, step = np.flatnonzero(left > 0), 1
+        while len(at):
+            near = at[_near(fps[at], fps[at + step], radius)]
+            a.append(nodes[near])
+            b.append(nodes[near + step])
+            of.append(group[near])
+            step += 1
+            at = at[left[at] >= step]
+        dense = sizes > PAIRWISE
+        if of:
+            a, b, of = (np.concatenate(x) for x in (a, b, of))
+            dense |= np.bincount(of, minlength=len(sizes)) > 3 * sizes
+            a, b = [a[~dense[of]]], [b[~dense[of]]]
+        for at in np.flatnonzero(dense):
             own = slice(starts[at], starts[at] + sizes[at])
             x, y = spanning_links(nodes[own], fps[own], radius, more)
             a += x
             b += y
-        left = sizes[np.cumsum(new) - 1]
-        left = np.where(left > SMALL, 0, left - (np.arange(len(keys)) - starts[np.cumsum(new) - 1]) - 1)  # rows of the group that follow
-        at = np.flatnonzero(left > 0)
-        step = 1
-        while len(at):
-            near = _near(fps[at], fps[at + step], radius)
-            a.append(nodes[at[near]])
-            b.append(nodes[at[near] + step])
-            step += 1
-            at = at[left[at] >= step]
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
         keep = a != b
         pairs = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], axis=1), axis=0)
@@ -445,7 +451,8 @@ def deduplicated(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Da
     """
     kept = settle(duplicates_by_similarity(docs, width, similarity), "kept").select("k1", "k2", F.col("doc_id").alias("id"), F.col("doc_id").isNull().alias("none"))
     rows = docs.select(*text_key(), F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
-    # one exchange by the text's key serves the join and the window
     met = rows.join(kept.withColumnsRenamed({"id": "_id"}), ["k1", "k2"]).where((F.col("id") == F.col("_id")) | (F.col("none") & F.col("id").isNull()))
+    # what is left, about one row a group, is dealt anew: so the join's side of a text that very many rows hold may be split
+    met = met.select(F.concat_ws(",", "k1", "k2", "id").alias("unit"), "row")
     order = [F.col(f"row.`{c}`") for c in docs.columns if c != "doc_id" and not docs.schema[c].dataType.simpleString().startswith(("map", "variant"))]
-    return met.withColumn("at", F.row_number().over(W.partitionBy("k1", "k2", "id").orderBy(*order or [F.lit(0)]))).where("at = 1").select("row.*")
+    return met.withColumn("at", F.row_number().over(W.partitionBy("unit").orderBy(*order or [F.lit(0)]))).where("at = 1").select("row.*")
