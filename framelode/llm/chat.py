@@ -71,7 +71,7 @@ def best_paths(nodes: DataFrame, branches: int = 1, most_levels: int = 40) -> Da
             raise ValueError("a reply tree has a cycle")
         reach = F.lit(1 << len(jumps)).cast("long")
         jumps.append(now.where("up is not null"))
-        ended.append(now.join(going, "key", "left_anti"))
+        ended.append(settle(now.join(going, "key", "left_anti"), "ended"))
         above = now.select("key", F.col("node").alias("up"), F.col("up").alias("_up"), F.col("score").alias("_score"), F.col("far").alias("_far"))
         met = now.join(going, "key", "left_semi").join(above, ["key", "up"], "left")
         now = settle(met.select("key", "node", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"), F.when(F.col("up").isNull(), F.col("far")).otherwise(reach + F.col("_far")).alias("far")), "jump")
