@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, html_template, media, mixing, packing, quality, simhash, suffix_dedup, url_filter
-from .common import read_table
+from . import ann, chat, html_template, media, mixing, packing, prefix_trie, quality, simhash, suffix_dedup, url_filter
+from .common import read_table, settle
 
 
 def op1_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +56,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = settle(prefix_trie.turns(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")), "turns")
+    members, rebuilt = prefix_trie.with_shared_openings(said)
+    return prefix_trie.trie(members, rebuilt)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_template, op2_simhash, op3_mix_sources, op4_posting_lists, op5_audio_features, op6_url_filter, op7_pack_buckets, op8_reply_trees, op9_weak_labels, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_html_template, op2_simhash, op3_mix_sources, op4_posting_lists, op5_audio_features, op6_url_filter, op7_pack_buckets, op8_reply_trees, op9_weak_labels, op10_suffix_dedup, op12_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": OP6, "op8_reply_trees": OP8, "op10_suffix_dedup": OP10}
+    return {"op6_url_filter": OP6, "op8_reply_trees": OP8, "op10_suffix_dedup": OP10, "op12_prefix_trie": OP12}
 
 
 #: Rules are written out: each rule's test, then the longest that fits.
@@ -111,3 +117,30 @@ kept AS (SELECT a.row_, count(*) AS n_spans, CAST(sum(hi - lo + 1) AS BIGINT) AS
   FROM around a JOIN texts t ON t.row_ = a.row_ GROUP BY a.row_)
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(CASE WHEN k.row_ IS NULL THEN b ELSE unhex(rest) END) AS kept_sha256
 FROM texts t LEFT JOIN kept k ON k.row_ = t.row_"""
+
+#: The checksum bit by bit; a prefix by the digests of its turns; each node counts at every prefix of its least member's path.
+OP12 = r"""
+WITH rows_ AS (
+  SELECT conv_id AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d,
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, length(coalesce(text, '')) AS n FROM conversations),
+convs AS (
+  SELECT conv, conv - conv % 100 AS base, xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(conv::VARCHAR) + 1), lambda i: [ascii(substr(conv::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv FROM rows_)),
+have AS (SELECT conv AS base, count(*) AS n_have FROM rows_ GROUP BY conv),
+rebuilt AS (
+  SELECT conv, d - h + least(h, coalesce(n_have, 0)) AS d, said, n FROM rows_ JOIN convs USING (conv) LEFT JOIN have USING (base) WHERE d > h
+  UNION ALL SELECT c.conv, r.d, r.said, r.n FROM convs c JOIN rows_ r ON r.conv = c.base AND r.d <= c.h),
+path AS (
+  SELECT conv, d, sha256(string_agg(said, ',') OVER (PARTITION BY conv ORDER BY d)) AS id, n FROM rebuilt
+  UNION ALL SELECT conv, 0, '', 0 FROM convs),
+nodes AS (SELECT d, id, count(*) AS n_convs, min(conv) AS least, any_value(n) AS n FROM path GROUP BY d, id),
+tied AS (SELECT v.*, p.id AS over_id, u.least AS over_least FROM nodes v LEFT JOIN path p ON p.conv = v.least AND p.d = v.d - 1 LEFT JOIN nodes u ON u.d = p.d AND u.id = p.id),
+kids AS (SELECT d - 1 AS d, over_id AS id, count(*) AS n_children FROM tied WHERE d > 0 GROUP BY ALL),
+full_ AS (SELECT t.*, coalesce(n_children, 0) AS n_children FROM tied t LEFT JOIN kids USING (d, id)),
+sums AS (
+  SELECT p.d, p.id, sum((v.n_convs - 1) * v.n) AS saved, sum(CASE WHEN v.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+  FROM full_ v JOIN path p ON p.conv = v.least AND p.d <= v.d GROUP BY p.d, p.id),
+ended AS (SELECT d, id, string_agg(conv::VARCHAR, ',' ORDER BY conv) AS ids FROM (SELECT conv, max(d) AS d, max_by(id, d) AS id FROM path GROUP BY conv) GROUP BY d, id)
+SELECT least AS conv_id, d AS depth, over_least AS parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM full_ JOIN sums USING (d, id) LEFT JOIN ended USING (d, id)"""
