@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, html_template, media, mixing, packing, prefix_trie, quality, simhash, suffix_dedup, url_filter
+from . import ann, chat, html_template, media, mixing, packing, periodic, prefix_trie, quality, simhash, suffix_dedup, url_filter
 from .common import read_table, settle
 
 
@@ -56,6 +56,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return periodic.run_digests(periodic.periodic_runs(docs, periodic.planted(F.col("doc_id"), F.col("text"))))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = settle(prefix_trie.turns(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")), "turns")
     members, rebuilt = prefix_trie.with_shared_openings(said)
@@ -63,7 +68,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_template, op2_simhash, op3_mix_sources, op4_posting_lists, op5_audio_features, op6_url_filter, op7_pack_buckets, op8_reply_trees, op9_weak_labels, op10_suffix_dedup, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_html_template, op2_simhash, op3_mix_sources, op4_posting_lists, op5_audio_features, op6_url_filter, op7_pack_buckets, op8_reply_trees, op9_weak_labels, op10_suffix_dedup, op11_periodic_runs, op12_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
