@@ -123,7 +123,7 @@ def find(words: list[str]) -> list[tuple[int, int, int]]:
     return [(start + a, n, p) for start, end in surviving(ids) for a, n, p in runs_within(ids[start:end].tolist())]
 
 
-def periodic_runs(docs: DataFrame, text: str | Column = "text") -> DataFrame:
+def periodic_runs(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, runs (start, length, period; by start, then period), collapsed of each row of docs.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the whole text, numbered from 0. A run is a stretch of words with least period p
@@ -155,25 +155,21 @@ def periodic_runs(docs: DataFrame, text: str | Column = "text") -> DataFrame:
                 runs.append([{"start": a, "length": n, "period": p} for a, n, p in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=t) for c, t in zip((sizes, runs, left), kind.types[1:], strict=True))], schema=kind)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text) if isinstance(text, str) else text).mapInArrow(run, KIND)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, KIND)
 
 
-def planted(doc_id: Column, text: Column) -> Column:
-    """text, of every tenth document with a periodic tail: from word a on, word i is word a + (i - a) % p.
+def planted(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with a periodic tail in every tenth document: from word a on, word i is word a + (i - a) % p.
 
     h is the checksum of the id's decimal digits, g = h // 10, a = g % n, p = 1 + (n - a) // (3 + g % 8) for a text of n
-    words. A null id or text without words is left as it is.
+    words. A text with a null id or without words is left as it is.
     """
-    h = F.crc32(doc_id.cast("string"))
-    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"))
-    n, g = F.size(words).cast("long"), F.floor(h / 10).cast("long")
-
-    def tail(w: Column) -> Column:
-        a = g % F.size(w)
-        p = F.lit(1).cast("long") + F.floor((F.size(w) - a) / (g % 8 + 3)).cast("long")
-        return F.array_join(F.transform(w, lambda x, i: F.when(i >= a, F.element_at(w, (a + (i - a) % p + 1).cast("int"))).otherwise(x)), " ")
-
-    return F.when((h % 10 == 0) & (n > 0), tail(words)).otherwise(text)
+    docs = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("_h"))
+    docs = docs.withColumn("_words", F.when(F.col("_h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))))
+    docs = docs.withColumn("_n", F.size("_words").cast("long")).withColumn("_g", F.expr("_h div 10"))
+    docs = docs.withColumn("_a", F.when(F.col("_n") > 0, F.expr("_g % _n"))).withColumn("_p", F.expr("1 + (_n - _a) div (3 + _g % 8)"))
+    tail = F.expr("array_join(transform(_words, (w, i) -> if(i < _a, w, element_at(_words, int(_a + (i - _a) % _p + 1)))), ' ')")
+    return docs.select("doc_id", F.when(F.col("_n") > 0, tail).otherwise(F.col("text")).alias("text"))
 
 
 def run_digests(found: DataFrame) -> DataFrame:

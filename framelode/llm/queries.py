@@ -57,8 +57,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
-    return periodic.run_digests(periodic.periodic_runs(docs, periodic.planted(F.col("doc_id"), F.col("text"))))
+    docs = periodic.planted(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return periodic.run_digests(periodic.periodic_runs(docs))
 
 
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
