@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, html_template, media, mixing, packing, periodic, prefix_trie, quality, simhash, suffix_dedup, url_filter
+from . import ann, chat, html_template, media, mixing, packing, periodic, personal_data, prefix_trie, quality, simhash, suffix_dedup, url_filter
 from .common import read_table, settle
 
 
@@ -67,8 +67,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(members, rebuilt)
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return personal_data.span_digests(personal_data.personal_data(docs, personal_data.fitted(docs)))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_html_template, op2_simhash, op3_mix_sources, op4_posting_lists, op5_audio_features, op6_url_filter, op7_pack_buckets, op8_reply_trees, op9_weak_labels, op10_suffix_dedup, op11_periodic_runs, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_html_template, op2_simhash, op3_mix_sources, op4_posting_lists, op5_audio_features, op6_url_filter, op7_pack_buckets, op8_reply_trees, op9_weak_labels, op10_suffix_dedup, op11_periodic_runs, op12_prefix_trie, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
