@@ -117,7 +117,7 @@ class Tokens:
             if kind[k] == 0 and len(w) < 4 and 0 < k < self.n - 1 and words[k - 1] in "[(" and words[k + 1] in "])":
                 bracketed[:, k] = w.lower() == "at", w.lower() == "dot"
         large = [kind[k] == 1 and (len(w.lstrip("0")) > 3 or int(w.lstrip("0") or 0) > 255) for k, w in enumerate(words)]
-        counts = [*(kind == k for k in range(11)), *bracketed, large, np.where(kind == 1, size, 0), np.where(kind == 0, size, 0), (kind == 1) & (size == 4), gap[: self.n] > 0, gap[: self.n] > 1]
+        counts = [*(kind == k for k in range(11)), *bracketed, large, np.where(kind == 1, size, 0), np.where(kind == 0, size, 0), (kind == 1) & (size == 4), gap[: self.n] > 0, gap[: self.n] > 1, (gap[: self.n] > 0) & (kind < 2) & (np.concatenate([[10], kind[:-1]]) < 2)]
         self.sums = np.concatenate([np.zeros((len(counts), 1), dtype=np.int64), np.cumsum(np.array(counts, dtype=np.int64), axis=1)], axis=1)
         cue = np.zeros((4, self.n + 1), dtype=bool)
         for k, w in enumerate(words):
@@ -160,7 +160,7 @@ class Tokens:
             c[5] > 0, self.kind[i] == 5, self.kind[i] == 6, (c[6] == 1) & (c[7] == 1), c[6] != c[7], inner > 0, c[4] > 0, c[2] > 0, c[10] > 0, c[8] > 0,
             (self.gap[i] == 0) & (i > 0), (self.gap[j] == 0) & (j < self.n), (self.gap[i] == 0) & (i > 0) & (at > 0), (inner > 0) & (at > 0) & (c[11] == 0), (inner > 0) & (at > 0),
             *(self.cue[k, i] for k in range(4)), (j - i > 6), (j - i > 12), (digits > 8) & (digits < 13) & (letters == 0) & (c[1] > 2), (digits > 8) & (digits < 16) & (letters == 0) & (c[1] == 1),
-            runs_on & (at > 0), runs_on & (at == 0), dot_next & (at > 0), (self.gap[j] > 0) | (j == self.n),
+            runs_on & (at > 0), runs_on & (at == 0), dot_next & (at > 0), (self.gap[j] > 0) | (j == self.n), (self.sums[19, j] > self.sums[19, i + 1]) & (at > 0),
         ]
         return np.stack(columns, axis=1).astype(np.float64)
 
