@@ -30,7 +30,7 @@ def label_count(host: Column) -> Column:
     return F.length(host) - F.length(F.replace(host, F.lit("."))) + 1
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix: int = PREFIX) -> DataFrame:
     """page_id, host, path, rule and verdict of each row of pages.
 
     A rule fits its host and the hosts below it where the path starts with the rule's. Of those that fit, the longest
@@ -38,14 +38,15 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     that blocks. No rule: null and the default verdict. A null url has an empty host and path, and repeated or null
     page_ids are judged row by row.
     Each url is expanded into one suffix of its host for each number of labels that a rule's host has and, for each length
-    of a rule's path, one prefix of its path; so a host of very many labels costs no more than another. The first aggregation is partial and
+    of a rule's path, one prefix of its path; so a host of very many labels costs no more than another. Expressions meet rules on `prefix` hex
+    digits of their digests, and a rule counts only where the whole digests agree. The first aggregation is partial and
     finds all expressions of a row in one task, so one row a page is shuffled. Rules over BROADCAST_ROWS are joined by shuffle, where
     AQE splits hot prefixes.
     """
     rules = rules.select(lower_ascii(F.col("rule_host")).alias("rule_host"), "rule_path", "rule_verdict").where("rule_host is not null and rule_path is not null")
     shape = rules.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.length("rule_path"))).alias("lengths"), F.array_sort(F.collect_set(label_count(F.col("rule_host")))).alias("labels")).first()
     digest = lambda h, p: F.sha2(F.concat(h, F.lit("\x00"), p), 256)
-    keyed = rules.withColumn("_full", digest(F.col("rule_host"), F.col("rule_path"))).withColumn("_short", F.substring("_full", 1, PREFIX))
+    keyed = rules.withColumn("_full", digest(F.col("rule_host"), F.col("rule_path"))).withColumn("_short", F.substring("_full", 1, prefix))
     keyed = F.broadcast(keyed) if shape["n"] <= BROADCAST_ROWS else keyed
 
     host, path = url_parts(F.col("url"))
@@ -54,7 +55,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     prefixes = F.array_compact(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in shape["lengths"]])) if shape["lengths"] else F.array().cast("array<string>")
     parts = rows.withColumn("_suffix", F.explode_outer(suffixes)).withColumn("_prefix", F.explode_outer(prefixes))
     parts = parts.withColumn("_digest", digest(F.col("_suffix"), F.col("_prefix")))
-    met = parts.join(keyed, (F.substring("_digest", 1, PREFIX) == F.col("_short")) & (F.col("_digest") == F.col("_full")), "left")
-    rank = F.when(F.col("rule_host").isNotNull(), F.struct((F.length("rule_host") + F.length("rule_path")).alias("a"), F.length("rule_host").alias("b"), (F.col("rule_verdict") == "block").alias("c"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")))
+    # the join knows short prefixes alone; what it brings is confirmed by the whole digest after it
+    met = parts.withColumn("_short", F.substring("_digest", 1, prefix)).join(keyed, "_short", "left")
+    rank = F.when(F.col("_digest") == F.col("_full"), F.struct((F.length("rule_host") + F.length("rule_path")).alias("a"), F.length("rule_host").alias("b"), (F.col("rule_verdict") == "block").alias("c"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")))
     best = met.groupBy("_row", "page_id", "host", "path").agg(F.max(rank).alias("_best"))
     return best.select("page_id", "host", "path", F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))
