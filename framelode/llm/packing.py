@@ -48,8 +48,8 @@ def pieces(docs: DataFrame, max_words: int, with_text: bool) -> DataFrame:
     if not with_text:
         rows = docs.select("doc_id", n.alias("_n"), F.explode(F.sequence(F.lit(0), many - 1)).alias("piece"))
     else:
-        # each piece takes the white space before its words, so that nothing between two words is lost
-        cut = F.regexp_extract_all(F.col("text"), F.lit(rf"(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{1,{max_words}}}+"), F.lit(0))
+        # each piece takes the white space before its words, the last one also that behind them: the pieces join to the text
+        cut = F.regexp_extract_all(F.col("text"), F.lit(rf"(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{1,{max_words}}}+(?:[\x20\x09-\x0D]++\z)?"), F.lit(0))
         texts = F.when(n <= max_words, F.array(F.coalesce(F.col("text"), F.lit("")))).otherwise(cut)
         rows = docs.select("doc_id", n.alias("_n"), F.posexplode(texts).alias("piece", "text"))
     start = F.col("piece").cast("long") * max_words
