@@ -334,7 +334,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> tuple[DataFrame, DataF
     pieces = _asked_bytes(base.join(asked, ["k1", "k2"]).sortWithinPartitions("k1", "k2").select("k1", "k2", "text", "locs", "doc_id"), length)
     copies = base.where(size >= length).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.max(size.cast("long")).alias("hi")).where("n > 1")
     spans = spans.unionByName(_from_shards(pieces, length)).unionByName(copies.select("k1", "k2", F.lit(0).cast("long").alias("lo"), "hi"))
-    return base, spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    return base, spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def _without(text: bytes, spans: list[dict] | None) -> tuple[bytes, int]:

@@ -107,3 +107,23 @@ def test_neighbours_of_ties_and_few_rows(spark):
     assert sorted(out[0]) == [(k, k) for k in range(1, 6)] and sorted(out[50]) == [(k, k - 1) for k in range(1, 6)]
     one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>")
     assert ann.search(one, lambda v: v % 50 == 0).count() == 0
+
+
+def test_pieces_join_to_their_texts(spark):
+    texts = ["w " * 3000 + "  \n\n", "a b \n", "  x" * 2048 + " ", "y " * 4096, "\n " * 5000, "z" * 9000, " z" * 2049]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = collections.defaultdict(list)
+    for r in packing.pack(docs, with_text=True).collect():
+        found[r.doc_id].append((r.piece, r.text))
+    assert ["".join(t for _, t in sorted(found[i])) for i in range(len(texts))] == texts
+
+
+def test_rules_whose_digests_share_their_prefix_are_told_apart(spark):
+    rules = [(f"h{i}.org", "/a/", "block" if i % 2 else "allow") for i in range(60)]
+    pages = spark.createDataFrame([(i, f"http://w.h{i}.org/a/b") for i in range(60)] + [(60, "http://none.net/a/")], "page_id long, url string")
+    for prefix in (1, 2, 8):
+        judged = url_filter.judge(pages, url_filter.rules_table(spark, rules), prefix=prefix)
+        found = {r.page_id: (r.rule, r.verdict) for r in judged.collect()}
+        assert found == {i: (f"h{i}.org/a/", "block" if i % 2 else "allow") for i in range(60)} | {60: (None, "allow")}
+    joins = [line for line in judged._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert joins and all("_digest" not in j and "_full" not in j for j in joins)
