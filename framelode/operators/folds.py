@@ -148,6 +148,45 @@ def pick(state: dict | None, found: list[dict], longest_gap: int = 3) -> tuple[d
     return state, {"chosen": chosen, "source": source, "carried": carried, "multiple": multiple}
 
 
+@dataclass(frozen=True)
+class StringPolicy:
+    """When the model of lines is asked, and how long a line is carried without an answer."""
+
+    interval: int = 3
+    grace: int = 8
+    longest: int = 12
+
+
+def carry_line(state: tuple | None, frame: int, anchored: bool, seen: dict | None, shift: list[float] | None, how: StringPolicy = StringPolicy()) -> tuple[tuple, dict]:
+    """One frame of the line that is followed: state is (rows read, frame last anchored or -1, age or -1 without a line, points).
+
+    seen is what the model says of the frame if it is asked (points, ambiguous, mismatch); shift is how far the picture moved
+    since the frame before, None where that isn't known. The model is asked every interval-th row if there is an anchor, a
+    line or an anchor within the grace, and once more where an anchored frame would be left without a line. An answer
+    without an anchor, a line or a recent anchor counts for nothing. Without an answer the line before moves along, up to
+    `longest` rows in a row. A line that is ambiguous or doesn't meet the hand isn't carried on.
+    """
+    index, last, age, points = state or (0, -1, -1, [])
+    recent = last >= 0 and frame - last <= how.grace
+    asked = index % how.interval == 0 and (anchored or age >= 0 or recent)
+
+    def line(answer: dict | None) -> tuple[str, int, list[float], bool]:
+        if answer is not None and (anchored or age >= 0 or recent):
+            return "observed", 0, list(answer["points"]), not (answer["ambiguous"] or answer["mismatch"])
+        if answer is None and 0 <= age < how.longest and shift is not None:
+            return "propagated", age + 1, [v + shift[i % 2] for i, v in enumerate(points)], True
+        return "none", -1, [], False
+
+    found = line(seen if asked else None)
+    again = not asked and anchored and found[0] == "none"
+    if again:
+        found = line(seen)
+    source, now, at, seeds = found
+    lost = age >= 0 and source == "none"
+    state = (index + 1, frame if anchored else last, now if seeds else -1, at if seeds else [])
+    return state, {"asked": asked, "again": again, "source": source, "age": now if source != "none" else None, "seeds": seeds, "lost": lost, "x": at[0] if at else None, "y": at[1] if at else None}
+
+
 def match(found: list[list[float]], tracks: list[list[float]], same: Callable[[int, int], bool], limit: float = 0.1) -> list[tuple[int, int, float]]:
     """One-to-one pairs of detections and tracks, greedily by falling (overlap, detection, track)."""
     pairs = sorted(((iou(a, b), i, j) for i, a in enumerate(found) for j, b in enumerate(tracks) if same(i, j)), reverse=True)
@@ -226,3 +265,16 @@ def cadence(df: DataFrame, interval: int, burst: int, stable_needed: int = 4, le
         return state, {"grp": row[group], "frame": row[frame], "label": out["label"], "observed": out["observed"], "burst": out["burst"]}
 
     return fold(df, group, frame, lambda: None, step, "grp long, frame long, label string, observed boolean, burst boolean")
+
+
+LINES = "grp long, frame long, asked boolean, again boolean, source string, age long, seeds boolean, lost boolean, x double, y double"
+
+
+def carried_lines(df: DataFrame, how: StringPolicy = StringPolicy(), group: str = "grp", frame: str = "frame") -> DataFrame:
+    """LINES of each row of df (group, frame, anchored, seen, shift) in the order of frames; see carry_line."""
+
+    def step(state, row):
+        state, out = carry_line(state, row[frame], row["anchored"], row["seen"], row["shift"], how)
+        return state, {"grp": row[group], "frame": row[frame], **out}
+
+    return fold(df, group, frame, lambda: None, step, LINES)

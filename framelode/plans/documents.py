@@ -531,7 +531,7 @@ def st_track_identity(spark, sf_dir):
 
 @query("st_frame_loop")
 def st_frame_loop(spark, sf_dir):
-    """The whole state of a video's loop in one key: track, gaps, label at an adaptive cadence, and the gate."""
+    """The whole state of a video's loop: track, gaps, label at an adaptive cadence, the gate and the line; late frames are marked."""
     return stateful.drain(stateful.frame_loop(streamed(spark, sf_dir, sequences.observations, "observations")), "loop")
 
 

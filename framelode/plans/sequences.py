@@ -281,11 +281,44 @@ def win_track_carry(spark, sf_dir):
     return folds.fold(stream, "grp", "frame", lambda: None, step, "grp long, frame long, track long, source string, carried boolean")
 
 
+#: Frames of 50 videos as what the model of lines would say: the surest box's corners, and how far the picture moved.
+LINE_FRAMES = f"""{BOXES}, shown AS (SELECT frame % 50 AS grp, row_number() OVER (PARTITION BY frame % 50 ORDER BY frame) - 1 AS n, bool_or(cls = 0) AND frame % 4 > 0 AS anchored,
+  CASE WHEN max(conf) > 0.6 THEN arg_max([x1, y1, x2, y2], (conf, -det)) END AS points, count(*) >= 6 AS ambiguous, frame % 11 = 0 AS mismatch, CASE WHEN frame % 5 > 0 THEN CAST(frame % 7 AS DOUBLE) - 3 END AS dx FROM boxes GROUP BY frame)"""
+LINES = f"""WITH RECURSIVE {LINE_FRAMES}, s AS (
+  SELECT grp, -1::BIGINT AS n, -1::BIGINT AS last_, -1::BIGINT AS age, []::DOUBLE[] AS at, false AS asked, false AS again, '' AS source, NULL::BIGINT AS out_age, false AS seeds, false AS lost, []::DOUBLE[] AS shown_at FROM shown WHERE n = 0
+  UNION ALL SELECT grp, n, CASE WHEN anchored THEN n ELSE last_ END, CASE WHEN seeds THEN now ELSE -1 END, CASE WHEN seeds THEN found ELSE [] END, asked, again, source, CASE WHEN source <> 'none' THEN now END, seeds, age >= 0 AND source = 'none', found
+  FROM (SELECT *, CASE source WHEN 'observed' THEN 0 WHEN 'propagated' THEN age + 1 ELSE -1 END AS now, CASE source WHEN 'observed' THEN points WHEN 'propagated' THEN moved ELSE []::DOUBLE[] END AS found, source = 'propagated' OR source = 'observed' AND NOT ambiguous AND NOT mismatch AS seeds
+  FROM (SELECT *, CASE WHEN (asked OR again) AND points IS NOT NULL AND usable THEN 'observed' WHEN (NOT (asked OR again) OR points IS NULL) AND goes THEN 'propagated' ELSE 'none' END AS source
+  FROM (SELECT *, NOT asked AND anchored AND NOT goes AS again
+  FROM (SELECT f.*, s.last_, s.age, anchored OR s.age >= 0 OR s.last_ >= 0 AND f.n - s.last_ <= 8 AS usable, f.n % 3 = 0 AND usable AS asked, s.age >= 0 AND s.age < 12 AND dx IS NOT NULL AS goes, [s.at[1] + dx, s.at[2] + dx / 2, s.at[3] + dx, s.at[4] + dx / 2] AS moved FROM s JOIN shown f ON f.grp = s.grp AND f.n = s.n + 1)))))
+"""
+
+
+def line_frames(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    surest = F.max_by(F.array("x1", "y1", "x2", "y2"), F.struct("conf", -F.col("det")))
+    f = b.groupBy("frame").agg(F.bool_or(F.col("cls") == 0).alias("_any"), F.when(F.max("conf") > 0.6, surest).alias("points"), F.count(F.lit(1)).alias("_n"))
+    dx = (F.col("frame") % 7).cast("double") - 3
+    seen = F.when(F.col("points").isNotNull(), F.struct("points", (F.col("_n") >= 6).alias("ambiguous"), (F.col("frame") % 11 == 0).alias("mismatch")))
+    place = F.row_number().over(W.partitionBy(F.col("frame") % 50).orderBy("frame")) - 1
+    return f.select((F.col("frame") % 50).alias("grp"), place.cast("long").alias("frame"), (F.col("_any") & (F.col("frame") % 4 > 0)).alias("anchored"), seen.alias("seen"), F.when(F.col("frame") % 5 > 0, F.array(dx, dx / 2)).alias("shift"))
+
+
+@query("win_line_carry", LINES + "SELECT grp, n AS frame, asked, again, source, out_age AS age, seeds, lost, round_even(shown_at[1], 6) AS x, round_even(shown_at[2], 6) AS y FROM s WHERE n >= 0")
+def win_line_carry(spark, sf_dir):
+    """The line of a video from frame to frame: when the model is asked, what is carried on and for how long."""
+    return folds.carried_lines(line_frames(spark, sf_dir)).withColumn("x", F.bround("x", 6)).withColumn("y", F.bround("y", 6))
+
+
 def observations(spark, sf_dir):
-    """Frames of 50 videos with what was detected, probabilities of labels and a share of foreground."""
+    """Frames of 50 videos with what was detected, probabilities of labels, a share of foreground, and lines; every 13th comes twice."""
     found = F.array_sort(F.collect_list(F.struct("det", "x1", "y1", "x2", "y2", "conf", "cls")))
     b = boxes(spark, sf_dir).groupBy("frame").agg(found.alias("found"), F.avg("conf").alias("conf"))
-    return b.select((F.col("frame") % 50).alias("grp"), "frame", F.filter("found", lambda d: (d["cls"] == 0) | (F.col("frame") % 9 > 2)).alias("found"), F.array(F.col("conf") + 0.2, F.when(F.col("frame") % 7 == 0, 1.5).otherwise(0.3), F.lit(0.1)).alias("probs"), (F.col("conf") / 10).alias("ratio"))
+    lines = line_frames(spark, sf_dir).select(F.col("grp").alias("_grp"), F.col("frame").alias("_n"), "seen", "shift")
+    n = F.row_number().over(W.partitionBy(F.col("frame") % 50).orderBy("frame")) - 1
+    rows = b.select((F.col("frame") % 50).alias("grp"), n.cast("long").alias("frame"), F.filter("found", lambda d: (d["cls"] == 0) | (F.col("frame") % 9 > 2)).alias("found"), F.array(F.col("conf") + 0.2, F.when(F.col("frame") % 7 == 0, 1.5).otherwise(0.3), F.lit(0.1)).alias("probs"), (F.col("conf") / 10).alias("ratio"))
+    rows = rows.join(lines, (F.col("grp") == F.col("_grp")) & (F.col("frame") == F.col("_n"))).drop("_grp", "_n")
+    return rows.select("*", F.explode(F.when(F.col("frame") % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy")).drop("_copy")
 
 
 @query("topk_temporal_pick", f"""WITH {BOXES}, t AS (SELECT frame, frame % 50 AS grp, arg_max({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}, (conf, -det)) AS top FROM boxes GROUP BY frame), p AS (SELECT frame, lag(top) OVER (PARTITION BY grp ORDER BY frame) AS was FROM t),

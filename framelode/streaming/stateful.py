@@ -1,8 +1,8 @@
 """Keyed state over streams of frames: the step functions of operators.folds, carried from batch to batch.
 
 State is a few numbers a key and goes when the key has been silent for the timeout, if one is given (an endless stream
-needs one; it also keeps an availableNow query from ending). Rows of a key are put in order within a batch, and frames at
-or before one that was seen are dropped, as the loop they come from is strictly ordered.
+needs one; it also keeps an availableNow query from ending). Rows of a key are put in order within a batch, and keyed_fold
+drops frames at or before one that was seen, as the loop they come from is strictly ordered; frame_loop gives them out, marked.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import folds
 from ..scratch import scratch_dir
@@ -87,28 +89,148 @@ def track_identity(df: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     return keyed_fold(df, "grp", "frame", step, "grp long, frame long, track long, source string, carried boolean", timeout_ms)
 
 
-LOOP = "grp long, frame long, track long, source string, carried boolean, missing_streak long, label string, observed boolean, fires boolean, latched boolean"
+LOOP = (
+    "grp long, frame long, late boolean, track long, source string, carried boolean, missing_streak long, label string, observed boolean, fires boolean, latched boolean, "
+    "line_asked boolean, line_again boolean, line_source string, line_age long, line_lost boolean, line_x double, line_y double"
+)
 
 
-def loop_step(state: list | None, row: dict, interval: int = 10, burst: int = 2, window: int = 12, confidence_below: float = 0.3, ratio_above: float = 0.018) -> tuple[list, dict]:
-    """One frame of a video's loop: the track that is followed and how long it is gone, the label at its adaptive cadence, and
-    the latch of the gate over the last frames. row: grp, frame, found (detections), probs, ratio."""
-    track, seen, gate, latched, gone = state or [None, None, [], False, 0]
+@dataclass(frozen=True)
+class LoopPolicy:
+    """Cadence of labels, the gate over the last frames, the line's policy, and the silence after which a video is released."""
+
+    interval: int = 10
+    burst: int = 2
+    window: int = 12
+    confidence_below: float = 0.3
+    ratio_above: float = 0.018
+    line: folds.StringPolicy = folds.StringPolicy()
+    release_ms: int | None = None
+
+
+@dataclass
+class Carried:
+    """What a video carries from frame to frame."""
+
+    last: int | None = None
+    gone: int = 0
+    latched: bool = False
+    track: dict | None = None
+    label: dict | None = None
+    gate: list = field(default_factory=list)
+    line: tuple | None = None
+
+
+def loop_step(now: Carried, row: dict, how: LoopPolicy = LoopPolicy()) -> dict:
+    """One frame of a video's loop; now is brought up to date. row: grp, frame, found (detections), probs, ratio, seen, shift.
+
+    The track that is followed and how long it is gone, the label at its adaptive cadence, the latch of the gate over the
+    last frames, and the line that is asked for or carried. A frame at or before the last one is late: it changes nothing
+    and is given out as such.
+    """
+    empty = dict.fromkeys(c.split()[0] for c in LOOP.split(", "))
+    if now.last is not None and row["frame"] <= now.last:
+        return empty | {"grp": row["grp"], "frame": row["frame"], "late": True}
     found = [{"box": [float(d[c]) for c in ("x1", "y1", "x2", "y2")], "conf": float(d["conf"]), "track": int(d["cls"])} for d in row["found"]]
-    track, chosen = folds.pick(track, found)
-    one = chosen["chosen"]
-    gone = 0 if one else gone + 1
-    seen, said = folds.observe(seen, [float(p) for p in row["probs"]], interval, burst, 4, 0.6)
-    gate = [*gate, [one is not None and chosen["source"] == "preferred_track", float(one["conf"]) if one else 0.0, float(row["ratio"])]][-window:]
-    n = len(gate)
-    fires = n == window and not any(g[0] for g in gate) and sum(g[1] for g in gate) / n < confidence_below and sum(g[2] for g in gate) / n > ratio_above
-    out = {"grp": row["grp"], "frame": row["frame"], "track": one and one["track"], "source": chosen["source"], "carried": chosen["carried"], "missing_streak": gone, "label": said["label"], "observed": said["observed"], "fires": fires, "latched": latched}
-    return [track, seen, gate, latched or fires, gone], out
-
-
-def frame_loop(df: DataFrame, timeout_ms: int | None = None) -> DataFrame:
-    """loop_step over a stream (grp, frame, found, probs, ratio)."""
-    return keyed_fold(df, "grp", "frame", loop_step, LOOP, timeout_ms)
+    now.track, picked = folds.pick(now.track, found)
+    one = picked["chosen"]
+    now.gone = 0 if one else now.gone + 1
+    now.label, said = folds.observe(now.label, [float(p) for p in row["probs"]], how.interval, how.burst, 4, 0.6)
+    now.gate = [*now.gate, (one is not None and picked["source"] == "preferred_track", float(one["conf"]) if one else 0.0, float(row["ratio"]))][-how.window :]
+    n = len(now.gate)
+    fires = n == how.window and not any(g[0] for g in now.gate) and sum(g[1] for g in now.gate) / n < how.confidence_below and sum(g[2] for g in now.gate) / n > how.ratio_above
+    before, now.latched, now.last = now.latched, now.latched or fires, int(row["frame"])
+    shift = None if row["shift"] is None else [float(v) for v in row["shift"]]
+    seen = None if row["seen"] is None else {"points": [float(v) for v in row["seen"]["points"]], "ambiguous": row["seen"]["ambiguous"], "mismatch": row["seen"]["mismatch"]}
+    now.line, line = folds.carry_line(now.line, int(row["frame"]), one is not None, seen, shift, how.line)
+    return empty | {
+        "grp": row["grp"], "frame": row["frame"], "late": False, "track": one and one["track"], "source": picked["source"], "carried": picked["carried"], "missing_streak": now.gone,
+        "label": said["label"], "observed": said["observed"], "fires": fires, "latched": before, **{f"line_{k}": line[k] for k in ("asked", "again", "source", "age", "lost", "x", "y")},
+    }
+
+
+class FrameLoop(StatefulProcessor):
+    """loop_step over a stream. Each part of what is carried is a typed state of its own, so a change of one leaves the others
+    as they are in the store; a timer releases a video that has been silent."""
+
+    STATES = {
+        "clock": "last long, gone long, latched boolean",
+        "track": "track long, box array<double>, gap long, trusted boolean",
+        "label": "index long, next long, stable long, label string, mean array<double>, leader long, candidate long, count long",
+        "line": "rows long, last long, age long, points array<double>",
+    }
+
+    def __init__(self, how: LoopPolicy) -> None:
+        self.how = how
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.values = {name: handle.getValueState(name, kind) for name, kind in self.STATES.items()}
+        self.gate = handle.getListState("gate", "accepted boolean, confidence double, ratio double")
+
+    def read(self) -> Carried:
+        now = Carried()
+        clock, track, label, line = (self.values[name].get() if self.values[name].exists() else None for name in self.STATES)
+        if clock:
+            now.last, now.gone, now.latched = clock
+        if track:
+            now.track = {"track": track[0], "box": track[1] and list(track[1]), "gap": track[2], "trusted": track[3]}
+        if label:
+            known = None if label[4] is None else (tuple(label[4]), label[5], label[6], label[7])
+            now.label = {"index": label[0], "next": label[1], "stable": label[2], "label": label[3], "filter": known}
+        if line:
+            now.line = (line[0], line[1], line[2], list(line[3]))
+        now.gate = [tuple(g) for g in self.gate.get()] if self.gate.exists() else []
+        return now
+
+    def write(self, now: Carried) -> None:
+        self.values["clock"].update((now.last, now.gone, now.latched))
+        self.values["track"].update((now.track["track"], now.track["box"], now.track["gap"], now.track["trusted"]))
+        mean, leader, candidate, count = now.label["filter"] or (None, None, None, None)
+        self.values["label"].update((now.label["index"], now.label["next"], now.label["stable"], now.label["label"], mean and list(mean), leader, candidate, count))
+        self.values["line"].update((now.line[0], now.line[1], now.line[2], list(now.line[3])))
+        self.gate.put(now.gate)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        now = self.read()
+        batch = pd.concat(list(rows)).sort_values("frame", kind="stable")
+        out = [loop_step(now, row, self.how) for row in batch.to_dict("records")]
+        self.write(now)
+        if self.how.release_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.how.release_ms)
+        yield pd.DataFrame(out).astype(_NULLABLE)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        for state in (*self.values.values(), self.gate):
+            state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+_NULLABLE = {name: {"long": "Int64", "boolean": "boolean", "double": "float64", "string": "object"}[kind] for name, kind in (c.split() for c in LOOP.split(", "))}
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def frame_loop(df: DataFrame, how: LoopPolicy = LoopPolicy()) -> DataFrame:
+    """loop_step over a stream (grp, frame, found, probs, ratio, seen, shift): LOOP, with late frames marked and without values.
+
+    Spark keeps the states in its RocksDB store; this sets it for the session, as typed states ask for it.
+    """
+    df.sparkSession.conf.set(*_STORE)
+    return df.groupBy("grp").transformWithStateInPandas(FrameLoop(how), LOOP, "append", "processingTime" if how.release_ms else "none")
+
+
+def frame_loop_replay(df: DataFrame, how: LoopPolicy = LoopPolicy()) -> DataFrame:
+    """The same over a table, video by video in the order of frames."""
+
+    def step(now: Carried, row: dict) -> tuple[Carried, dict]:
+        return now, loop_step(now, row, how)
+
+    return folds.fold(df, "grp", "frame", Carried, step, LOOP)
 
 
 def append_reviews(events: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
