@@ -15,7 +15,7 @@ from ..operators import documents as D
 from ..operators import dedup, gates
 from ..scratch import scratch_dir
 from ..sources import files
-from ..streaming import stateful, windows
+from ..streaming import sinks, stateful, windows
 from . import sequences
 from .tables import BOXES, FRAMES, SAMPLES, SPLIT, boxes, frames, read, samples, split_of
 
@@ -488,11 +488,12 @@ def st_session(spark, sf_dir):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "user_id", "n")
 
 
-def streamed(spark, sf_dir, prepare, label):
+def streamed(spark, sf_dir, prepare, label, files_a_batch=None):
     """Frames, prepared, as a file stream of the shared folder."""
     base = fresh(spark, label)
     prepare(spark, sf_dir).write.parquet(base)
-    return spark.readStream.schema(spark.read.parquet(base).schema).parquet(base)
+    reader = spark.readStream.schema(spark.read.parquet(base).schema)
+    return (reader.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else reader).parquet(base)
 
 
 @query("st_watermark", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n FROM events WHERE ts < (SELECT time_bucket(INTERVAL 1 DAY, max(ts) - INTERVAL 1 DAY) FROM events) GROUP BY 1")
@@ -535,11 +536,23 @@ def st_frame_loop(spark, sf_dir):
     return stateful.drain(stateful.frame_loop(streamed(spark, sf_dir, sequences.observations, "observations")), "loop")
 
 
-@query("st_append_reviews", f"WITH {FRAMES} SELECT grp AS run_id, frame, CASE WHEN frame % 3 = 0 THEN 'rejected' ELSE 'appended' END AS status FROM frames")
+@query("st_append_reviews", f"""WITH {FRAMES}, r AS (SELECT grp, frame, CASE WHEN frame % 7 = 0 THEN 'maybe' WHEN frame % 2 = 0 THEN 'correct' ELSE 'unresolved' END AS decision, CASE WHEN frame % 5 = 0 THEN '' ELSE 'r' || grp END AS reviewer, frame % 3 = 0 AS stale, event_type FROM frames)
+SELECT grp AS run_id, frame AS frame_index, decision, reviewer, CASE WHEN decision = 'maybe' THEN 'unsupported decision' WHEN reviewer = '' THEN 'reviewer missing' WHEN stale THEN 'stale binding' ELSE '' END AS reason, 1 AS lines FROM r""")
 def st_append_reviews(spark, sf_dir):
-    """A stream of audit events against the rows as they are: what is bound is appended to a log, the rest to another."""
-    bindings = lambda s, d: frames(s, d).select(F.col("grp").alias("run_id"), "frame", F.sha2("event_type", 256).alias("digest"))
-    said = lambda s, d: bindings(s, d).withColumn("digest", F.when(F.col("frame") % 3 == 0, "stale").otherwise(F.col("digest"))).withColumn("decision", F.lit("ok"))
-    good, stale = stateful.append_reviews(streamed(spark, sf_dir, said, "reviews"), bindings(spark, sf_dir))
-    log = lambda rows, status: stateful.drain(rows, status).select("run_id", "frame", F.lit(status).alias("status"))
-    return log(good, "appended").unionByName(log(stale, "rejected"))
+    """A stream of reviews against the galleries as they are, appended to a log by their reasons, and then replayed from a lost
+    checkpoint: no line is added."""
+    gallery = lambda s, d: frames(s, d).select(F.col("grp").alias("run_id"), F.sha2(F.col("grp").cast("string"), 256).alias("run_manifest_sha256"), F.col("frame").alias("frame_index"), F.sha2("event_type", 256).alias("frame_record_sha256"), F.col("frame").alias("gallery_index"), F.lit("raw").alias("view"), F.concat("frame", F.lit(".png")).alias("selected_image"))
+
+    def said(s, d):
+        digest = F.when(F.col("frame_index") % 3 == 0, F.lit("stale")).otherwise(F.col("frame_record_sha256"))
+        decision = F.when(F.col("frame_index") % 7 == 0, "maybe").when(F.col("frame_index") % 2 == 0, "correct").otherwise("unresolved")
+        reviewer = F.when(F.col("frame_index") % 5 == 0, "  ").otherwise(F.concat(F.lit(" r"), "run_id"))
+        return gallery(s, d).withColumn("frame_record_sha256", digest).withColumns({"decision": decision, "reviewer": reviewer, "notes": F.lit(None).cast("string")})
+
+    stream = sinks.judged_reviews(streamed(spark, sf_dir, said, "reviews", 4), gallery(spark, sf_dir)).withColumn("reason", F.coalesce("reason", F.lit("")))
+    log = fresh(spark, "review-log")
+    for _ in range(2):
+        sinks.append_once(stream, log, fresh(spark, "review-checkpoint"), by="reason")
+    found = spark.read.schema("review_id string, run_id long, frame_index long, decision string, reviewer string, reason string").json(log)
+    rows = found.withColumn("reason", F.coalesce(F.nullif("reason", F.lit("__HIVE_DEFAULT_PARTITION__")), F.lit("")))
+    return rows.groupBy("review_id", "run_id", "frame_index", "decision", "reviewer", "reason").agg(F.count(F.lit(1)).cast("int").alias("lines")).drop("review_id")

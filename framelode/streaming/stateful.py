@@ -233,14 +233,6 @@ def frame_loop_replay(df: DataFrame, how: LoopPolicy = LoopPolicy()) -> DataFram
     return folds.fold(df, "grp", "frame", Carried, step, LOOP)
 
 
-def append_reviews(events: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Audit events (run_id, frame, digest, decision) that are bound to the rows as they are, to be appended; and stale ones."""
-    now = bindings.select("run_id", "frame", bindings["digest"].alias("_digest"))
-    both = events.join(now, ["run_id", "frame"], "left")
-    bound = both["digest"].eqNullSafe(both["_digest"])
-    return both.where(bound).drop("_digest"), both.where(~bound).drop("_digest")
-
-
 def drain(stream: DataFrame, label: str) -> DataFrame:
     """All that a stream gives from the input that is there now, through files in the shared folder."""
     spark = stream.sparkSession
