@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..scratch import settle
+from .matching import hamming_pairs, hamming_semi
 
 
 def latest_wins(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -68,6 +69,41 @@ def accept_in_order(candidates: DataFrame, source: str, content: str, order: str
     raise RuntimeError("sources didn't settle")
 
 
+def accept_near_in_order(candidates: DataFrame, source: str, order: str, bits: str, wanted: int, radius: int, reference: DataFrame | None = None, most_rounds: int = 1000) -> DataFrame:
+    """candidates that are accepted when each source in turn takes its first `wanted` images (by order) that lie more than
+    radius bits away from all that were taken before, by itself or by the sources before it; and from reference (bits).
+
+    What source after source would do is decided in rounds over all of them. An image goes once an accepted one before it is
+    near; it is accepted once nothing undecided before it is near and it is among the first `wanted` of its source that aren't
+    gone; a source that has its images gives up the rest. The first undecided image is decided in every round, and far more
+    where conflicts are few. Neighbours are those of distinct patterns, found by bands once, and rounds pass the least
+    place of a pattern along them: copies of an image cost one row each, never pairs. Each round is written.
+    """
+    rows = candidates.select(source, order, F.col(bits).cast("long").alias(bits)).distinct()
+    if reference is not None:
+        rows = hamming_semi(rows, reference.select(F.col(bits).cast("long").alias(bits)), bits, radius, "left_anti")
+    rows = settle(rows.withColumn("_taken", F.lit(False)), "candidates")
+    values = rows.select(bits).distinct()
+    near = values.select(F.col(bits).alias("_of"), F.col(bits).alias("_near"))
+    if radius:
+        pairs = hamming_pairs(values, values, bits, radius)
+        near = near.unionByName(pairs.select(F.col(f"a.{bits}").alias("_of"), F.col(f"b.{bits}").alias("_near")).where("_of <> _near"))
+    near = settle(near, "near")
+    me = F.struct(source, order)
+    for _ in range(most_rounds):
+        least = rows.groupBy(F.col(bits).alias("_near")).agg(F.min(F.when(F.col("_taken"), me)).alias("_t"), F.min(F.when(~F.col("_taken"), me)).alias("_u"))
+        around = near.join(least, "_near").groupBy(F.col("_of").alias(bits)).agg(F.min("_t").alias("_t"), F.min("_u").alias("_u"))
+        place = F.row_number().over(W.partitionBy(source).orderBy(order, bits))
+        first = rows.withColumn("_n", place).where(F.col("_n") <= wanted).groupBy(source).agg(F.max(order).alias("_last"), (F.count_if(F.col("_taken")) >= wanted).alias("_full"))
+        seen = rows.join(around, bits).join(first, source)
+        gone = ~F.col("_taken") & (F.coalesce(F.col("_t") < me, F.lit(False)) | F.col("_full"))
+        free = F.col("_taken") | (F.coalesce(F.col("_u") == me, F.lit(True)) & (F.col(order) <= F.col("_last")))
+        rows = settle(seen.where(~gone).select(source, order, bits, free.alias("_taken")), "decided")
+        if rows.where("not _taken").isEmpty():
+            return rows.drop("_taken")
+    raise RuntimeError("sources didn't settle")
+
+
 def second_pass_union(rows: DataFrame, group: str, item: str, first: Column, mean: Column, fraction: Column, tried: Column, mean_gate: float, fraction_gate: float) -> DataFrame:
     """group and items: what the first pass found, together with the second pass's items that weren't tried before and reach both
     gates; and how many the second pass adds. A group without either isn't there."""
