@@ -6,11 +6,14 @@ work on groups first and join the edges of neighbouring groups in a second pass
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.geometry import bbox_center, bbox_diagonal, bbox_iou, distance
+from ..scratch import settle
 
 
 def ordered(group: str = "grp", frame: str = "frame", backward: bool = False):
@@ -25,11 +28,29 @@ def islands(df: DataFrame, condition: Column, group: str = "grp", frame: str = "
     return df.withColumn("_change", change).withColumn("island", F.sum("_change").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_change")
 
 
+def in_ranges(rows: DataFrame, key: str) -> DataFrame:
+    """rows with _range: numbers of ranges of the key, in its order; written, so that every reader sees the same ranges."""
+    return settle(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def scanned(ranges: DataFrame, columns: list[str], start: Column, step: Callable[[Column, Column], Column]) -> DataFrame:
+    """_range and _in: for each range what step (state, row) has made of start over the ranges before it.
+
+    ranges has one row a range, so at most one for each task of a shuffle: they are folded as one array.
+    """
+    listed = ranges.agg(F.array_sort(F.collect_list(F.struct("_range", *columns))).alias("_all"))
+    out = F.filter(F.array(F.struct(F.lit(0).alias("_range"), start.alias("_in"))), lambda r: F.lit(False))
+    first = F.struct(start.alias("state"), out.alias("out"))
+    fold = F.aggregate("_all", first, lambda acc, r: F.struct(step(acc["state"], r).alias("state"), F.concat(acc["out"], F.array(F.struct(r["_range"].alias("_range"), acc["state"].alias("_in")))).alias("out")))
+    return listed.select(F.inline(fold["out"]))
+
+
 def missing_streak(df: DataFrame, target: Column, prediction: Column, group: str = "grp", frame: str = "frame", per_group: bool = False) -> DataFrame:
     """longest and episodes of runs in which the target is there and the prediction isn't; rows with an unknown target are removed first.
 
     A run goes on from the end of a group to the start of the next in the order of groups, unless per_group. Each group is
-    reduced to the lengths of its first, last, longest and whole run; these few rows are joined in order.
+    reduced to the lengths of its first, last, longest and whole run; these rows are scanned in ranges of groups, each by
+    itself, then from range to range, so no task sees them all.
     """
     known = df.where(target.isNotNull()).withColumn("_missing", target & ~F.coalesce(prediction, F.lit(False)))
     runs = islands(known, F.col("_missing"), group, frame).groupBy(group, "island").agg(F.count(F.lit(1)).alias("n"), F.first("hit").alias("hit"))
@@ -40,13 +61,17 @@ def missing_streak(df: DataFrame, target: Column, prediction: Column, group: str
     )
     if per_group:
         return groups.agg(F.coalesce(F.max("longest"), F.lit(0)).alias("longest"), F.coalesce(F.sum("episodes"), F.lit(0)).alias("episodes"))
-    # one row a group: a chain of groups that are missing throughout carries the tail of the group before
-    w = W.orderBy(group)
-    whole = F.col("rows") == F.col("tail")
-    groups = groups.withColumn("_part", F.sum(F.when(whole, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, -1))).withColumn("_part", F.coalesce("_part", F.lit(0)))
-    carried = F.coalesce(F.sum("tail").over(W.partitionBy("_part").orderBy(group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    before = F.coalesce(F.lag(F.when(whole, F.lit(0)).otherwise(F.col("tail"))).over(w), F.lit(0))
-    groups = groups.withColumn("_before", before).withColumn("_carry", carried + F.first("_before").over(W.partitionBy("_part").orderBy(group).rowsBetween(W.unboundedPreceding, 0)))
+    # a chain of groups that are missing throughout carries the tail of the group before, within a range and into the next
+    groups = in_ranges(groups.withColumn("_whole", F.col("rows") == F.col("tail")), group)
+    w = W.partitionBy("_range").orderBy(group)
+    part = F.coalesce(F.sum(F.when(F.col("_whole"), 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.withColumn("_part", part).withColumn("_before", F.coalesce(F.lag(F.when(F.col("_whole"), F.lit(0)).otherwise(F.col("tail"))).over(w), F.lit(0)))
+    own = W.partitionBy("_range", "_part").orderBy(group)
+    carried = F.coalesce(F.sum("tail").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.withColumn("_carry", carried + F.first("_before").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    ends = groups.groupBy("_range").agg(F.min("_whole").alias("whole"), F.max_by(F.col("tail") + F.when(F.col("_whole"), F.col("_carry")).otherwise(0), group).alias("end"))
+    into = scanned(ends, ["whole", "end"], F.lit(0).cast("long"), lambda state, r: r["end"] + F.when(r["whole"], state).otherwise(0))
+    groups = groups.join(into, "_range").withColumn("_carry", F.col("_carry") + F.when(F.col("_part") == 0, F.col("_in")).otherwise(0))
     joined = F.when((F.col("head") > 0) & (F.col("_carry") > 0), 1).otherwise(0)
     return groups.agg(
         F.coalesce(F.greatest(F.max("longest"), F.max(F.when(F.col("head") > 0, F.col("head") + F.col("_carry")).otherwise(0))), F.lit(0)).alias("longest"),
@@ -100,8 +125,8 @@ def motion_errors(df: DataFrame, tx: str, ty: str, px: str, py: str, group: str
     """df with velocity and acceleration errors: distances between target's and prediction's first and second differences.
 
     A row without one of the two resets both. With resets a group is on its own; without, the rows before in the order of
-    (group, frame) count whatever their group: the last two rows of what precedes each group come from a window over one row
-    a group, and join the group's first two.
+    (group, frame) count whatever their group: the last two rows of each group are scanned in ranges of groups and from range
+    to range, and what precedes a group joins its first two rows.
     """
     w = ordered(group, frame)
     valid = F.col(tx).isNotNull() & F.col(ty).isNotNull() & F.col(px).isNotNull() & F.col(py).isNotNull()
@@ -112,8 +137,15 @@ def motion_errors(df: DataFrame, tx: str, ty: str, px: str, py: str, group: str
     else:
         numbered = df.withColumn("_n", F.row_number().over(w)).withColumn("_back", F.row_number().over(ordered(group, frame, True)))
         ends = numbered.where("_back <= 2").groupBy(F.col(group).alias("_of")).agg(*[F.max(F.when(F.col("_back") == k, F.struct("_dx", "_dy"))).alias(f"_e{k}") for k in (1, 2)])
-        order = W.orderBy("_of")
-        before = ends.select("_of", F.lag("_e1").over(order).alias("_p1"), F.coalesce(F.lag("_e2").over(order), F.lag("_e1", 2).over(order)).alias("_p2"))
+        ends = in_ranges(ends, "_of")
+        order = W.partitionBy("_range").orderBy("_of")
+        ends = ends.withColumn("_two", F.coalesce("_e2", F.lag("_e1").over(order))).withColumn("_k", F.row_number().over(order))
+        last = ends.groupBy("_range").agg(F.max_by(F.struct("_e1", "_two"), "_of").alias("last")).select("_range", "last.*")
+        none = F.lit(None).cast("struct<_dx:double,_dy:double>")
+        start = F.struct(none.alias("p1"), none.alias("p2"))
+        into = scanned(last, ["_e1", "_two"], start, lambda state, r: F.struct(r["_e1"].alias("p1"), F.coalesce(r["_two"], state["p1"]).alias("p2")))
+        ends = ends.join(into, "_range").withColumns({"_p1": F.lag("_e1").over(order), "_p2": F.coalesce(F.lag("_e2").over(order), F.lag("_e1", 2).over(order))})
+        before = ends.select("_of", F.when(F.col("_k") == 1, F.col("_in.p1")).otherwise(F.col("_p1")).alias("_p1"), F.when(F.col("_k") == 1, F.col("_in.p2")).when(F.col("_k") == 2, F.coalesce("_p2", "_in.p1")).otherwise(F.col("_p2")).alias("_p2"))
         df = numbered.join(before, F.col(group) == F.col("_of"))
         one = lambda c: F.when(F.col("_n") == 1, F.col(f"_p1.{c}")).otherwise(F.lag(c, 1).over(w))
         two = lambda c: F.when(F.col("_n") == 1, F.col(f"_p2.{c}")).when(F.col("_n") == 2, F.col(f"_p1.{c}")).otherwise(F.lag(c, 2).over(w))
