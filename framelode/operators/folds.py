@@ -10,8 +10,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import hypot, log
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -247,24 +249,122 @@ def fold(df: DataFrame, group: str, order: str, start: Callable[[], object], ste
     return df.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, schema)
 
 
+def fold_many(df: DataFrame, group: str, order: str, inputs: list[str], start: Callable[[int], dict[str, np.ndarray]], step: Callable[[dict[str, np.ndarray], np.ndarray, dict], dict[str, np.ndarray]], read: Callable[[pa.RecordBatch], dict], schema: str, names: dict[str, tuple[str, ...]]) -> DataFrame:
+    """As fold(), for recurrences that step many groups at once: the k-th rows of all groups of a batch go together.
+
+    start (n) makes the states of n groups, arrays by name; step (states, groups, rows) brings those of some groups up to
+    date and returns the results' columns; read makes arrays of a batch's inputs. Columns in names are numbers of names. Of
+    a group that goes on in the next batch its state is carried.
+    """
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys, values = batch.column(group), read(batch)
+            own = pc.fill_null(keys.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)
+            none = keys.is_null().to_numpy(zero_copy_only=False)
+            new = np.concatenate([[True], (own[1:] != own[:-1]) | (none[1:] != none[:-1])])
+            of, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            states = start(len(first))
+            if carried is not None and keys[0].as_py() == last:
+                for c, value in carried.items():
+                    states[c][0] = value
+            place = np.arange(n) - first[of]
+            rows = np.argsort(place, kind="stable")
+            edges = np.concatenate([[0], np.cumsum(np.bincount(place))])
+            out: dict[str, np.ndarray] = {}
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                at = rows[a:b]
+                for c, value in step(states, of[at], {k: v[at] for k, v in values.items()}).items():
+                    out.setdefault(c, np.empty(n, dtype=value.dtype))[at] = value
+            last, carried = keys[n - 1].as_py(), {c: v[-1].copy() for c, v in states.items()}
+            arrays = []
+            for field in kinds:
+                if field.name in out:
+                    arrays.append(pa.array(names[field.name]).take(pa.array(out[field.name])) if field.name in names else pa.array(out[field.name]).cast(field.type))
+                else:
+                    arrays.append(batch.column({"grp": group, "frame": order}[field.name]).cast(field.type))
+            yield pa.RecordBatch.from_arrays(arrays, schema=kinds)
+
+    return df.repartition(group).sortWithinPartitions(group, order).select(group, order, *inputs).mapInArrow(run, schema)
+
+
+STATUSES = ("initialized", "stable", "pending", "confirmed_switched", "strong_switched")
+
+
+def _shares(batch: pa.RecordBatch) -> dict:
+    """Probabilities of a batch, each row scaled to 1."""
+    lists = batch.column("probs")
+    p = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.float64)
+    if lists.null_count or len(p) != len(LABELS) * batch.num_rows or not np.all(pc.list_value_length(lists).to_numpy() == len(LABELS)):
+        raise ValueError("every row needs a probability for each label")
+    p = p.reshape(-1, len(LABELS))
+    total = p[:, 0]
+    for k in range(1, len(LABELS)):
+        total = total + p[:, k]
+    if not np.all((total > 0) & np.isfinite(total)) or (p < 0).any():
+        raise ValueError("probabilities must be finite, non-negative and not all zero")
+    return {"p": p / total[:, None]}
+
+
+def _fresh(n: int) -> dict[str, np.ndarray]:
+    return {"mean": np.zeros((n, len(LABELS))), "label": np.full(n, -1), "candidate": np.full(n, -1), "count": np.zeros(n, dtype=np.int64)}
+
+
+def smooth_many(states: dict[str, np.ndarray], g: np.ndarray, p: np.ndarray, how: Smoothing) -> dict[str, np.ndarray]:
+    """smooth() for one observation p of each of the groups g."""
+    at = np.arange(len(g))
+    was, raw = states["label"][g], p.argmax(axis=1)
+    fresh = was < 0
+    mean = np.where(fresh[:, None], p, (1 - how.alpha) * states["mean"][g] + how.alpha * p)
+    label, leader = np.where(fresh, raw, was), mean.argmax(axis=1)
+    agrees = fresh | (leader == label)
+    count = np.where(agrees, 0, np.where(leader == states["candidate"][g], states["count"][g] + 1, 1))
+    sure = ~agrees & (raw == leader) & (p[at, leader] >= how.strong_confidence) & (p[at, leader] - p[at, label] >= how.strong_margin)
+    moved = sure | (~agrees & (count >= how.confirmations) & (mean[at, leader] - mean[at, label] >= how.margin))
+    label = np.where(moved, leader, label)
+    settled = agrees | moved
+    states["mean"][g], states["label"][g] = mean, label
+    states["candidate"][g], states["count"][g] = np.where(settled, -1, leader), np.where(settled, 0, count)
+    status = np.select([fresh, agrees, sure, moved], [0, 1, 4, 3], 2)
+    return {"label": label, "confidence": np.round(mean[at, label], 6), "raw_label": raw, "raw_confidence": np.round(p[at, raw], 6), "status": status}
+
+
 def smoothed(df: DataFrame, group: str = "grp", frame: str = "frame", how: Smoothing = Smoothing()) -> DataFrame:
     """grp, frame, label, confidence, raw_label, status of each row of df (group, frame, probs: array in the order of LABELS)."""
 
-    def step(state, row):
-        state, out = smooth(state, list(row["probs"]), how)
-        return state, {"grp": row[group], "frame": row[frame], "label": out["label"], "confidence": out["confidence"], "raw_label": out["raw_label"], "status": out["status"]}
+    def step(states: dict, g: np.ndarray, rows: dict) -> dict:
+        out = smooth_many(states, g, rows["p"], how)
+        return {c: out[c] for c in ("label", "confidence", "raw_label", "status")}
 
-    return fold(df, group, frame, lambda: None, step, "grp long, frame long, label string, confidence double, raw_label string, status string")
+    names = {"label": LABELS, "raw_label": LABELS, "status": STATUSES}
+    return fold_many(df, group, frame, ["probs"], _fresh, step, _shares, "grp long, frame long, label string, confidence double, raw_label string, status string", names)
 
 
-def cadence(df: DataFrame, interval: int, burst: int, stable_needed: int = 4, least_confidence: float = 0.6, group: str = "grp", frame: str = "frame") -> DataFrame:
-    """grp, frame, label, observed and burst of each row of a replay with adaptive cadence."""
+def cadence(df: DataFrame, interval: int, burst: int, stable_needed: int = 4, least_confidence: float = 0.6, group: str = "grp", frame: str = "frame", how: Smoothing = Smoothing()) -> DataFrame:
+    """grp, frame, label, observed and burst of each row of a replay with adaptive cadence; see observe()."""
 
-    def step(state, row):
-        state, out = observe(state, list(row["probs"]), interval, burst, stable_needed, least_confidence)
-        return state, {"grp": row[group], "frame": row[frame], "label": out["label"], "observed": out["observed"], "burst": out["burst"]}
+    def start(n: int) -> dict[str, np.ndarray]:
+        return _fresh(n) | {c: np.zeros(n, dtype=np.int64) for c in ("index", "next", "stable")}
+
+    def step(states: dict, g: np.ndarray, rows: dict) -> dict:
+        observed = states["index"][g] >= states["next"][g]
+        soon = np.zeros(len(g), dtype=bool)
+        if observed.any():
+            some = g[observed]
+            seen = smooth_many(states, some, rows["p"][observed], how)
+            unsettled = (seen["raw_label"] != seen["label"]) | (seen["raw_confidence"] < least_confidence) | (seen["status"] != 1)
+            states["stable"][some] = np.where(unsettled, 0, states["stable"][some] + 1)
+            soon[observed] = states["stable"][some] < stable_needed
+            states["next"][some] = states["index"][some] + np.where(soon[observed], burst, interval)
+        states["index"][g] += 1
+        return {"label": np.where(states["label"][g] < 0, len(LABELS), states["label"][g]), "observed": observed, "burst": soon}
 
-    return fold(df, group, frame, lambda: None, step, "grp long, frame long, label string, observed boolean, burst boolean")
+    return fold_many(df, group, frame, ["probs"], start, step, _shares, "grp long, frame long, label string, observed boolean, burst boolean", {"label": (*LABELS, "unknown")})
 
 
 LINES = "grp long, frame long, asked boolean, again boolean, source string, age long, seeds boolean, lost boolean, x double, y double"
