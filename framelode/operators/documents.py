@@ -37,13 +37,6 @@ def review_state(df: DataFrame, decision: Column, valid: Column, approvals: Colu
     return df.withColumn("status", status)
 
 
-def edit_drops_review(labels: DataFrame, edits: DataFrame, reviews: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """labels with valid edits (key and columns) applied, and the reviews that are left: those of labels that weren't edited."""
-    new = edits.select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_edited"))
-    out = labels.join(new, key, "left").select(*[F.when(F.col("_edited"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in labels.columns])
-    return out, reviews.join(edits.select(key), key, "left_anti")
-
-
 def upsert_reviews(reviews: DataFrame, events: DataFrame, key: str, order: str) -> DataFrame:
     """Reviews after events (key, confirmed, order and the rest of the columns): the last wins, one that unconfirms removes."""
     both = reviews.unionByName(events)
@@ -99,12 +92,6 @@ def cleanup_candidates(listing: DataFrame, path: str, keep: list[str], protected
     return listing.where(match & ~guarded & ~p.isin(*keep)).withColumn("depth", F.size(F.split(path, "/")))
 
 
-def storage_key(name: Column, identity: Column) -> Column:
-    """At most 80 characters of a cleaned name and 16 digits of the identity's hash."""
-    clean = F.regexp_replace(name, r"[^\p{L}\p{N}_.-]+", "-")
-    return F.concat(F.substring(clean, 1, 80), F.lit("-"), F.substring(F.sha2(identity, 256), 1, 16))
-
-
 def protected_state(records: DataFrame, listing: DataFrame, reviews: DataFrame, key: str, sha: str) -> DataFrame:
     """problem of each key whose manifest, file and review disagree: missing file, untracked file, hash, review without record."""
     r = records.select(key, F.col(sha).alias("_want"), F.lit(True).alias("_r"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, gates, splits
-from . import documents, relations, rows, sequences
+from . import documents, relations, rows, sequences, workbench
 from .tables import SAMPLES, SPLIT, samples, split_of
 
-MODULES = [rows, relations, sequences, documents]
+MODULES = [rows, relations, sequences, documents, workbench]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

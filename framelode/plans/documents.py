@@ -301,14 +301,6 @@ def doc_review_fsm(spark, sf_dir):
     return D.review_state(samples(spark, sf_dir), decision, F.col("n_chars") >= 300, n, n, 2).select("doc_id", "status")
 
 
-@query("doc_workbench_edit", "SELECT d.doc_id, CASE WHEN d.doc_id % 10 = 0 THEN 'xx' ELSE lang END AS lang, l.doc_id IS NOT NULL AND d.doc_id % 10 <> 0 AS reviewed FROM documents d LEFT JOIN labels l USING (doc_id)")
-def doc_workbench_edit(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang")
-    edits = d.where("doc_id % 10 = 0").select("doc_id", F.lit("xx").alias("lang"))
-    labels, reviews = D.edit_drops_review(d, edits, read(spark, sf_dir, "labels"), "doc_id", ["lang"])
-    return labels.join(reviews.select("doc_id", F.lit(True).alias("_r")), "doc_id", "left").select("doc_id", "lang", F.coalesce("_r", F.lit(False)).alias("reviewed"))
-
-
 @query("doc_review_upsert", "SELECT doc_id FROM labels WHERE doc_id % 5 <> 0 UNION SELECT doc_id FROM documents WHERE doc_id % 7 = 0")
 def doc_review_upsert(spark, sf_dir):
     old = read(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("confirmed"), F.lit(0).alias("at"))
@@ -374,11 +366,6 @@ def doc_cleanup_candidates(spark, sf_dir):
     return D.cleanup_candidates(listing, "path", keep, ["/src1"], [".tmp"]).select("doc_id", "depth")
 
 
-@query("doc_score_crud", f"WITH {SAMPLES} SELECT doc_id, left(regexp_replace(source || ' score', '[^\\p{{L}}\\p{{N}}_.-]+', '-', 'g'), 80) || '-' || left(sha256(sha), 16) AS key FROM samples")
-def doc_score_crud(spark, sf_dir):
-    return samples(spark, sf_dir).select("doc_id", D.storage_key(F.concat("source", F.lit(" score")), F.col("sha")).alias("key"))
-
-
 @query("src_dataset_list", "SELECT source, arg_min(lang, doc_id) AS lang, count(*) AS labels FROM documents GROUP BY source")
 def src_dataset_list(spark, sf_dir):
     return D.root_schema(read(spark, sf_dir, "documents"), "source", "doc_id", "lang")

@@ -333,13 +333,6 @@ def val_label(spark, sf_dir):
     return gates.collect_failures(boxes(spark, sf_dir), rules).select("frame", "det", F.array_join("errors", ",").alias("errors"))
 
 
-@query("val_score_annotation", "SELECT event_id, NOT (value > 0) OR user_id % 5 = 0 AS bad FROM events")
-def val_score_annotation(spark, sf_dir):
-    start, anchor, end = F.lit(1.0), F.lit(1.0) + F.col("value") / 2, F.lit(1.0) + F.col("value")
-    rules = [("order", (start <= anchor) & (anchor <= end) & (start < end)), ("family", F.col("event_type").isin("click", "view", "signup", "purchase", "error")), ("eligible", F.col("user_id") % 5 != 0)]
-    return gates.collect_failures(read(spark, sf_dir, "events"), rules).select("event_id", (F.size("errors") > 0).alias("bad"))
-
-
 @query("val_sampling_record", f"WITH {SAMPLES} SELECT doc_id, n_chars >= 100 AND source IS NOT NULL AS ok FROM samples")
 def val_sampling_record(spark, sf_dir):
     rules = [("digest", S.is_sha256(F.col("sha"))), ("group", F.col("source").isNotNull()), ("length", F.col("n_chars") >= 100)]
@@ -435,7 +428,10 @@ def masks(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").where("size(embedding) = 64").select("vec_id", "embedding", rows.alias("mask"))
 
 
-@query("flt_small_components")
+@query("flt_small_components", """WITH RECURSIVE px AS (SELECT vec_id, i FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings WHERE len(embedding) = 64) WHERE embedding[i + 1] > 0),
+reach AS (SELECT vec_id, i, i AS j FROM px UNION SELECT r.vec_id, r.i, p.i FROM reach r JOIN px p ON p.vec_id = r.vec_id AND abs(p.i // 8 - r.j // 8) <= 1 AND abs(p.i % 8 - r.j % 8) <= 1),
+sizes AS (SELECT vec_id, i, count(*) AS n FROM reach GROUP BY ALL)
+SELECT vec_id, CAST(count(*) FILTER (WHERE n >= 4) AS INTEGER) AS pixels FROM (SELECT DISTINCT vec_id FROM embeddings WHERE len(embedding) = 64) LEFT JOIN sizes USING (vec_id) GROUP BY vec_id""")
 def flt_small_components(spark, sf_dir):
     kept = masks(spark, sf_dir).select("vec_id", R.small_components_removed(F.col("mask"), 4).alias("m"))
     return kept.select("vec_id", F.aggregate(F.flatten("m"), F.lit(0), lambda s, v: s + v).alias("pixels"))

@@ -218,7 +218,7 @@ _STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.
 def frame_loop(df: DataFrame, how: LoopPolicy = LoopPolicy()) -> DataFrame:
     """loop_step over a stream (grp, frame, found, probs, ratio, seen, shift): LOOP, with late frames marked and without values.
 
-    Spark keeps the states in its RocksDB store; this sets it for the session, as typed states ask for it.
+    With release_ms the query runs on, as a timer may be due at any time; availableNow doesn't end it. Spark keeps the states in its RocksDB store; this sets it for the session, as typed states ask for it.
     """
     df.sparkSession.conf.set(*_STORE)
     return df.groupBy("grp").transformWithStateInPandas(FrameLoop(how), LOOP, "append", "processingTime" if how.release_ms else "none")
