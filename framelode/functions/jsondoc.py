@@ -134,60 +134,3 @@ def extract_json(text: Column) -> Column:
 def merge(base: dict, patch: dict) -> dict:
     """base with patch laid over it, objects merged key by key."""
     return {**base, **{k: merge(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in patch.items()}}
-
-
-def patch_strokes(strokes: list[list], ops: list[dict]) -> list[list]:
-    """Stroke operations in order: add, delete or replace a stroke; move, insert or delete a point. A stroke needs two points."""
-    out = [list(s) for s in strokes]
-
-    def checked(points):
-        if len(points or []) < 2:
-            raise ValueError("a stroke needs two points")
-        return [list(p) for p in points]
-
-    for op in ops:
-        kind, at = op["op"], op.get("stroke", len(out))
-        if kind == "add_stroke":
-            out.insert(max(0, min(op.get("index", len(out)), len(out))), checked(op.get("points")))
-            continue
-        if not 0 <= at < len(out):
-            raise ValueError(f"no stroke {at}")
-        line, point = out[at], op.get("point", op.get("index"))
-        if kind == "delete_stroke":
-            del out[at]
-        elif kind == "replace_stroke":
-            out[at] = checked(op.get("points"))
-        elif kind == "insert_point":
-            line.insert(max(0, min(len(line) if point is None else point, len(line))), list(op["value"]))
-        elif kind in ("move_point", "replace_point", "delete_point"):
-            if point is None or not 0 <= point < len(line):
-                raise ValueError(f"no point {point}")
-            if kind == "delete_point":
-                del line[point]
-                if len(line) < 2:
-                    del out[at]
-            else:
-                line[point] = list(op["value"])
-        else:
-            raise ValueError(f"unknown operation {kind}")
-    return out
-
-
-def apply_patch(doc: Column, patch: Column) -> Column:
-    """A document after a patch {set, stroke_ops, notes}: set is merged in, strokes are edited in order. Canonical text."""
-    @F.pandas_udf("string")
-    def run(docs: pd.Series, patches: pd.Series) -> pd.Series:
-        def one(d, p):
-            d, p = parsed(d), parsed(p)
-            if not isinstance(d, dict):
-                return None
-            p = p or {}
-            d = merge(d, p.get("set") or {})
-            if p.get("stroke_ops"):
-                d["strokes"] = patch_strokes(d.get("strokes") or [], p["stroke_ops"]) or None
-            d["notes"] = str(p.get("notes", d.get("notes", "")))[:2000]
-            return canonical(d)
-
-        return pd.Series([one(d, p) for d, p in zip(docs, patches, strict=True)])
-
-    return run(doc, patch)

@@ -12,7 +12,7 @@ from ..functions import geometry as G
 from ..functions import jsondoc as J
 from ..functions import scalars as S
 from ..operators import documents as D
-from ..operators import dedup, gates
+from ..operators import dedup, gates, patches
 from ..scratch import scratch_dir
 from ..sources import files
 from ..streaming import sinks, stateful, windows
@@ -202,11 +202,45 @@ def fn_extract_json(spark, sf_dir):
     return found.groupBy("event_type").agg(F.sum("k").alias("k"))
 
 
-@query("prj_patch_ops", """SELECT event_id, '{"notes":"moved","strokes":[[[0,0],[' || user_id || ',9],[5,5]]],"v":1}' AS doc FROM events""")
+#: The value (10, 20) of a patch in the image's pixels, by the frame of the box.
+MOVED = "CASE frame % 6 WHEN 1 THEN round_even(10 * (199 / 999.0), 3) WHEN 2 THEN 15 WHEN 3 THEN 25 WHEN 4 THEN 20 ELSE 10 END AS vx, CASE frame % 6 WHEN 1 THEN round_even(20 * (99 / 999.0), 3) WHEN 2 THEN 27 WHEN 3 THEN 47 WHEN 4 THEN 40 ELSE 20 END AS vy"
+
+
+@query("prj_patch_ops", f"""WITH {BOXES}, v AS (SELECT *, {MOVED} FROM boxes),
+s AS (SELECT *, [[[x1, y1], [x2, y2]], [[x2, y1], [x1, y2], [x1, y1]]] AS old, CASE WHEN frame % 6 = 5 THEN 'coordinate frame' WHEN det % 9 = 8 THEN 'ops[1]: stroke' WHEN det % 9 = 7 THEN 'ops[0]: points' END AS error FROM v),
+n AS (SELECT *, CASE det % 9 WHEN 0 THEN [[[vx, vy], [vx, vy]], old[1], old[2]] WHEN 1 THEN [old[1]] WHEN 2 THEN [[[vx, vy], [vx, vy], [vx, vy]], old[2]] WHEN 3 THEN [old[1], [[x2, y1], [x1, y2], [vx, vy]]] WHEN 4 THEN [[[x1, y1], [vx, vy], [x2, y2]], old[2]] WHEN 5 THEN [old[2]] WHEN 6 THEN [old[1]] END AS new FROM s)
+SELECT frame, det, error, CASE WHEN error IS NULL THEN len(new) END AS strokes, CASE WHEN error IS NULL THEN len(flatten(new)) END AS points, CASE WHEN error IS NULL THEN round_even(list_sum([p[1] for p in flatten(new)]), 3) END AS x, CASE WHEN error IS NULL THEN round_even(list_sum([p[2] for p in flatten(new)]), 3) END AS y,
+  CASE WHEN error IS NULL THEN round_even(new[1][1][1] / 200 * 999, 3) END AS x_2d, CASE WHEN error IS NULL THEN CASE WHEN det % 9 IN (1, 5, 6) THEN 'open' ELSE 'multiple' END END AS topology,
+  CASE WHEN error IS NULL THEN CASE WHEN frame % 2 = 0 AND sqrt(pow(greatest(greatest(x1 - new[1][1][1], 0), new[1][1][1] - x2), 2) + pow(greatest(greatest(y1 - new[1][1][2], 0), new[1][1][2] - y2), 2)) <= greatest(8, 0.06 * sqrt(200 * 200 + 100 * 100)) THEN 'yoyo' ELSE 'unknown' END END AS start_anchor FROM n""")
 def prj_patch_ops(spark, sf_dir):
-    base = F.lit('{"strokes": [[[0,0],[5,5]],[[1,1],[2,2]]]}')
-    patch = F.concat(F.lit('{"set": {"v": 1}, "notes": "moved", "stroke_ops": [{"op": "insert_point", "stroke": 0, "point": 1, "value": ['), F.col("user_id").cast("string"), F.lit(',8]}, {"op": "move_point", "stroke": 0, "point": 1, "value": ['), F.col("user_id").cast("string"), F.lit(',9]}, {"op": "delete_stroke", "stroke": 1}]}'))
-    return read(spark, sf_dir, "events").select("event_id", J.apply_patch(base, patch).alias("doc"))
+    """A patch for each box's two strokes: all operations in all frames of coordinates, and the path rebuilt from what they leave."""
+    corner = lambda x, y: F.array(F.col(x), F.col(y))
+    b = boxes(spark, sf_dir)
+    strokes = F.array(F.array(corner("x1", "y1"), corner("x2", "y2")), F.array(corner("x2", "y1"), corner("x1", "y2"), corner("x1", "y1")))
+    key = F.concat_ws("-", "frame", "det")
+    docs = b.select(key.alias("key"), "frame", "det", F.array(F.lit(200), F.lit(100)).alias("image_size"), F.when(F.col("frame") % 2 == 0, F.array("x1", "y1", "x2", "y2")).alias("yoyo_bbox_pixel"), strokes.alias("string_polylines_pixel"), F.lit("as it was").alias("notes"))
+    value = "array(10D, 20D)"
+
+    def op(name, stroke="null", index="null", point="null", points="null", value="null"):
+        return F.expr(f"named_struct('op', '{name}', 'stroke', {stroke}, 'index', {index}, 'point', {point}, 'points', {points}, 'value', {value})").cast(patches.OPS[6:-1])
+
+    kinds = [
+        [op("add_stroke", index="-3", points=f"array({value}, {value})")], [op("delete_stroke", stroke="1")], [op("replace_stroke", stroke="0", points=f"array({value}, {value}, {value})")], [op("move_point", stroke="1", point="2", value=value)],
+        [op("insert_point", stroke="0", point="1", value=value)], [op("delete_point", stroke="0", point="0")], [op("delete_point", stroke="1", point="1"), op("delete_point", stroke="1", point="0")], [op("add_stroke", points=f"array({value})")],
+        [op("Insert_Point ", stroke="1", value=value), op("delete_stroke", stroke="5")],
+    ]
+    ops = F.lit(None).cast(patches.OPS)
+    for k, some in enumerate(kinds):
+        ops = F.when(F.col("det") % 9 == k, F.array(*some)).otherwise(ops)
+    frame = F.element_at(F.array(*map(F.lit, ("", "normalized", "crop", "crop_resized", "rendered", "other"))), (F.col("frame") % 6 + 1).cast("int"))
+    size = F.when(frame == "rendered", F.array(F.lit(100.0), F.lit(50.0))).otherwise(F.array(F.lit(50.0), F.lit(25.0)))
+    said = b.select(key.alias("key"), frame.alias("frame"), F.array(*map(F.lit, (5.0, 7.0, 105.0, 57.0))).alias("crop"), size.alias("rendered"), F.lit(None).cast(f"struct<yoyo_bbox_pixel:array<double>,string_polylines_pixel:{patches.STROKES}>").alias("set"), ops.alias("ops"), F.lit(None).cast("string").alias("notes"), F.lit(None).cast("boolean").alias("rebuild"))
+    out = patches.patched(docs, said, "key").join(docs.select("key", "frame", "det"), "key")
+    total = lambda k: F.bround(F.aggregate(F.flatten("string_polylines_pixel"), F.lit(0.0), lambda s, p: s + p[k]), 3)
+    return out.select(
+        "frame", "det", "error", F.when(F.col("error").isNull(), F.size("string_polylines_pixel")).alias("strokes"), F.when(F.col("error").isNull(), F.size(F.flatten("string_polylines_pixel"))).alias("points"), total(0).alias("x"), total(1).alias("y"),
+        F.col("string_polylines_2d")[0][0][0].alias("x_2d"), F.col("string_path.topology").alias("topology"), F.col("string_path.paths")[0]["start_anchor"].alias("start_anchor"),
+    )
 
 
 #: Boxes as label documents of the old schema: a box, a stroke, a path with anchors and edges.

@@ -131,9 +131,6 @@ def test_thresholds_prefer_fewer_false_positives(spark):
 
 def test_documents(spark):
     assert J.first_object("x {: ```json {\"a\": {\"b\": 1}} ``` {}") == '{"a":{"b":1}}' and J.first_object("none") is None
-    assert J.patch_strokes([[[0, 0], [1, 1]]], [{"op": "delete_point", "stroke": 0, "point": 0}]) == []
-    with pytest.raises(ValueError):
-        J.patch_strokes([], [{"op": "add_stroke", "points": [[0, 0]]}])
     assert J.merge({"a": {"b": 1, "c": 2}}, {"a": {"b": None}, "d": [1]}) == {"a": {"b": None, "c": 2}, "d": [1]}
 
 
