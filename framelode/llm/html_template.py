@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Distinct pages of its host that a text recurs on, and a path is judged from, at least; share of its host's pages that a
-#: path is judged from; share of recurring or linked characters over which a slot or class belongs to the template; share of
-#: pages from which a text does so wherever it stands.
-RECURS, JUDGED, MOSTLY, CONSTANT = 3, 0.01, 0.5, 0.6
+#: Distinct pages of its host that a text recurs on, and a path is judged from, at least; share of recurring or linked
+#: characters over which a slot or class belongs to the template; share of pages from which a text does so wherever it stands;
+#: distinct pages from which the template may take something out of an article's place.
+RECURS, MOSTLY, CONSTANT, SURE = 3, 0.5, 0.6, 8
+#: Pages of a host that a task reads in a row, at least and as a share of all: larger hosts are split over tasks.
+RUN, RUN_SHARE = 1000, 4096
 #: Elements that end a block, that stand alone, that hold no readable text, that are closed by a following one.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li listing main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -268,11 +270,13 @@ def classes(rows: DataFrame) -> DataFrame:
 
 
 def templates(rows: DataFrame) -> DataFrame:
-    """rows (host, html) -> host, slots and constants: paths whose slots belong to the template, and hashes of path and text.
+    """rows (host, html) -> host, path, text, sure: what belongs to the template, a row each. Null text: the path's slot; else
+    the text at the path. sure: in an article's place too.
 
-    Texts that don't recur are summed up by path before anything is written or meets the host's number of pages, so that a
-    host with very many pages is a few rows for each of its paths. A host's arrays are bounded by the size of its pages: what
-    they hold occurs on a share of them at least.
+    A path is judged from RECURS pages on, at every size of its host. Texts that don't recur are summed up by path before
+    anything is written or meets the host's number of pages, so a host with very many pages is a few rows for each of its
+    paths. An article's place is trusted as far as it goes: only a text that stands at its path on most of the host's pages
+    (SURE at least), and slots that are mostly links which recur, are taken out of it; a passage that some pages share stays.
     """
     often, whole = F.col("pages") >= RECURS, F.col("text").isNull()
     few = classes(rows).select("host", "path", whole.alias("own"), F.when(often, F.col("text")).alias("text"), "pages", "most", "vector", "chars", "linked")
@@ -280,36 +284,45 @@ def templates(rows: DataFrame) -> DataFrame:
     found = settle(few, "tokens")
     sizes = found.where("own and path = 0").select(F.col("host").alias("of"), F.col("pages").alias("total"))
     sized = lambda df: df.join(sizes, F.col("host") == F.col("of")).drop("of")
-    constants = sized(found.where("text is not null")).where(F.col("pages") >= CONSTANT * F.col("total")).groupBy("host").agg(F.collect_list(F.struct("path", "text")).alias("constants"))
+    sure = F.col("pages") >= SURE
+    constants = sized(found.where("text is not null")).where(F.col("pages") >= CONSTANT * F.col("total")).select("host", "path", "text", sure.alias("sure"))
     amount = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
     of_path = lambda c: F.max(F.when(F.col("own"), F.col(c))).alias(c)
     slots = found.where("path <> 0").groupBy("host", "path").agg(of_path("pages"), of_path("most"), of_path("vector"), amount("chars", "chars"), amount(F.when(F.col("text").isNotNull(), F.col("chars")), "recurring"), amount("linked", "linked"))
-    slots = sized(slots.where(F.col("pages") >= RECURS)).where(F.col("pages") >= JUDGED * F.col("total"))
+    slots = sized(slots.where(F.col("pages") >= RECURS))
     mostly = lambda chars, part: F.col(part) > MOSTLY * F.col(chars)
     # the skeleton's slots are judged one by one, those of a nested class together too
     nested = slots.where("pages < total or most > 1").groupBy("host", "vector").agg(F.sum("chars").alias("all"), F.sum("recurring").alias("of_it"))
     nested = nested.where(mostly("all", "of_it")).select(F.col("host").alias("at"), F.col("vector").alias("kind"))
     both = slots.join(nested, (F.col("host") == F.col("at")) & (F.col("vector") == F.col("kind")), "left")
-    fixed = both.where(F.col("kind").isNotNull() | mostly("chars", "recurring") | mostly("chars", "linked")).groupBy("host").agg(F.collect_set("path").alias("slots"))
-    return fixed.join(constants, "host", "full_outer")
+    fixed = both.where(F.col("kind").isNotNull() | mostly("chars", "recurring") | mostly("chars", "linked"))
+    fixed = fixed.select("host", "path", F.lit(None).cast("long").alias("text"), (sure & mostly("chars", "recurring") & mostly("chars", "linked")).alias("sure"))
+    return fixed.unionByName(constants)
 
 
-def content(page: Page, slots: set[int], constants: set[tuple[int, int]]) -> str:
-    """The page's text: the blocks in the article's place, if it has one; else those of slots that aren't the template's.
+def content(page: Page, known: dict[tuple[int, int | None], bool]) -> str:
+    """The page's text: the blocks in the article's place, if it has one, else those of all slots, without what the template
+    has: known maps (path, text or None) to whether it goes from an article's place too.
 
     Elements, roles and words of class or id that mark what isn't the article are left out in either case.
     """
     marks = judged(page)
     mark = lambda element: marks[element] if element >= 0 else 0
-    chosen = [text for element, text, _ in page.blocks if mark(element) == 2]
-    if not chosen:
-        chosen = [text for element, text, _ in page.blocks if mark(element) == 0 and page.path(element) not in slots and (page.path(element), hashed(text)) not in constants]
-    return "\n".join(chosen)
+    placed = [b for b in page.blocks if mark(b[0]) == 2]
+    out = []
+    for element, text, _ in placed or [b for b in page.blocks if mark(b[0]) == 0]:
+        path = page.path(element)
+        if known:
+            ways = (known.get((path, None)), known.get((path, hashed(text))))
+            if any(ways) if placed else ways != (None, None):
+                continue
+        out.append(text)
+    return "\n".join(out)
 
 
 def main_text(source: str | None) -> str:
     """Text of a page of which no other page of its host is known."""
-    return content(parse(source or ""), set(), set())
+    return content(parse(source or ""), {})
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -317,26 +330,39 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null html is an empty page, whose text is empty; a null url is a host of its own; rows may repeat. The template of a
     host comes from all its distinct pages by partial aggregation, so results depend neither on how rows are dealt nor on
-    copies; pages meet it in a join by host, whose large side may be split. A text that stands in an article's place is
-    never judged by the template, however often it recurs. An empty table gives an empty one.
+    copies. A task reads the rows of a host's template, then the host's pages one after the other; hosts of many pages are
+    dealt over tasks, each of which gets the template, and at most RUN_SHARE hosts are that large. An empty table gives an
+    empty one.
     """
     host = F.xxhash64(F.coalesce(F.lower(F.regexp_extract("url", r"://([^/?#]*)", 1)), F.lit("")))
     rows = pages.select("page_id", "url", host.alias("host"), "html")
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
+    counts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    run_of = max(RUN, total // RUN_SHARE)
+    large = F.broadcast(counts.where(F.col("n") > run_of).select("host", F.ceil(F.col("n") / run_of).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    dealt = rows.join(large, "host", "left").select("host", F.pmod(F.xxhash64("html", "page_id"), parts).alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("path"), F.lit(None).cast("long").alias("text"), F.lit(None).cast("boolean").alias("sure"), "page_id", "url", "html")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("page_id", kind), ("url", "string"), ("html", "string"))]
+    known = templates(rows).join(large, "host", "left").select("host", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(0).alias("kind"), "path", "text", "sure", *none)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, slots, constants = None, set(), set()
+        now, known = None, {}
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 some = batch.slice(begin, 256)
-                texts = []
-                for host, source, found, fixed in zip(some.column(2).to_pylist(), some.column(3), some.column(4), some.column(5), strict=True):
-                    if host != now:
-                        now, slots = host, set(found.as_py() or [])
-                        constants = {(c["path"], c["text"]) for c in fixed.as_py() or []}
-                    texts.append(content(parse(source.as_py() or ""), slots, constants))
-                columns = [some.column(0), some.column(1), texts, [len(t) for t in texts]]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["page_id", "url", "text", "n_chars"])
-
-    met = rows.join(templates(rows), "host", "left").select("page_id", "url", "host", "html", "slots", "constants")
-    return met.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+                at, texts = [], []
+                for i, (host, part, kind, path, text, sure) in enumerate(zip(*(some.column(k).to_pylist() for k in range(6)), strict=True)):
+                    if (host, part) != now:
+                        now, known = (host, part), {}
+                    if kind == 0:
+                        known[path, text] = sure
+                    else:
+                        at.append(i)
+                        texts.append(content(parse(some.column(8)[i].as_py() or ""), known))
+                if at:
+                    taken = pa.array(at, type=pa.int64())
+                    yield pa.RecordBatch.from_arrays([some.column(6).take(taken), some.column(7).take(taken), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    ordered = known.unionByName(dealt).repartition("host", "part").sortWithinPartitions("host", "part", "kind")
+    return ordered.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")

@@ -210,3 +210,37 @@ def test_constants_are_those_of_the_whole_host(spark):
     whole = lambda i: f"Welcome to the site\n{own(i)}\nAll rights"
     expected = {i: own(i) for i in range(65)} | {1000 + i: own(0) for i in range(300)} | {2000 + i: own(i) for i in range(1, 4)} | {3000: whole(0), 3001: whole(1)}
     assert out == expected
+
+
+def deal_page(i):
+    """An article with an advert and a rail of links of the template inside, and a passage that some pages share."""
+    shared = "<p>A passage that some pages have in common, word for word</p>" if i % 4 == 0 else ""
+    body = f"<div class=x7>Hot deals: call 555</div><h1>Title {i}</h1><p>Own words {i} and {i * 7}</p>{shared}<div class=rail><a href=/1>Best of</a> <a href=/2>Most read</a></div>"
+    return f"<html><body><div class=top>Home | News</div><main>{body}</main></body></html>"
+
+
+def deal_text(i):
+    return f"Title {i}\nOwn words {i} and {i * 7}" + ("\nA passage that some pages have in common, word for word" if i % 4 == 0 else "")
+
+
+def test_the_template_decides_inside_an_article_too(spark):
+    table = spark.createDataFrame([(i, "http://a.b/x", deal_page(i)) for i in range(200)] + [(1000 + i, "http://c.d/", deal_page(i)) for i in range(5)], "page_id long, url string, html string")
+    for dealt in (table.repartition(4), table.repartition(61)):
+        out = {r.page_id: r.text for r in html_template.extract(dealt).collect()}
+        assert {i: out[i] for i in range(200)} == {i: deal_text(i) for i in range(200)}
+        # of five pages nothing is taken out of the article
+        assert all(out[1000 + i].startswith("Hot deals: call 555\n" + deal_text(i)[:7]) and "Best of" in out[1000 + i] for i in range(5))
+
+
+@pytest.mark.parametrize("size", [12, 200, 1000])
+def test_a_rare_box_is_judged_alike_on_hosts_of_any_size(spark, size):
+    plain = lambda i: f"<body><div class=top>Home | News</div>{'<div class=kk>Rare box same text</div>' if i < 5 else ''}<div class=c><p>Own words {i} and {i * 7}</p></div></body>"
+    table = spark.createDataFrame([(i, "http://a.b/x", plain(i)) for i in range(size)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_template.extract(table).collect()} == {i: f"Own words {i} and {i * 7}" for i in range(size)}
+
+
+def test_large_hosts_are_dealt_over_tasks(spark, monkeypatch):
+    table = spark.createDataFrame([(i, f"http://h{i % 3 // 2}.x/", deal_page(i)) for i in range(240)], "page_id long, url string, html string")
+    whole = {r.page_id: r.text for r in html_template.extract(table).collect()}
+    monkeypatch.setattr(html_template, "RUN", 7)
+    assert {r.page_id: r.text for r in html_template.extract(table).collect()} == whole == {i: deal_text(i) for i in range(240)}
