@@ -124,22 +124,37 @@ def _stacked(batch: pa.RecordBatch, first: int = 0) -> np.ndarray:
     return np.stack([c.to_numpy() for c in batch.columns[first:]], axis=1) if batch.num_rows else np.empty((0, batch.num_columns - first), np.int64)
 
 
-def _summed(table: DataFrame, count: Callable[[np.ndarray], np.ndarray], cells: int) -> np.ndarray:
-    """Sums of count(fps) over all rows: cells numbers, whatever the number of rows or tasks."""
+def _summed(table: DataFrame, count: Callable[[np.ndarray], np.ndarray], cells: int, fan: int = 32) -> np.ndarray:
+    """Sums of count(fps) over all rows: cells numbers, whatever the number of rows or tasks.
+
+    Each task has one row of sums, packed; `fan` tasks add these up as they stream by, then one adds theirs, so a table of
+    very many tasks costs a row each, and the driver gets one.
+    """
+
+    def packed(total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([total.tobytes()], type=pa.binary())], names=["sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, dtype=np.int64)
+        total, seen = np.zeros(cells, dtype=np.int64), False
         for batch in batches:
-            fps = _stacked(batch)
+            fps, seen = _stacked(batch), seen or batch.num_rows > 0
             for at in range(0, len(fps), 16_384):
                 total += count(fps[at : at + 16_384])
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+        if seen:
+            yield packed(total)
 
-    out = np.zeros(cells, dtype=np.int64)
-    found = table.select(*_columns(table)).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(cells, dtype=np.int64), False
+        for batch in batches:
+            for sums in batch.column(0):
+                total += np.frombuffer(sums.as_py(), dtype=np.int64)
+                seen = True
+        if seen:
+            yield packed(total)
+
+    parts = table.select(*_columns(table)).mapInArrow(run, "sums binary").withColumn("_to", F.pmod(F.spark_partition_id(), F.lit(fan)))
+    found = parts.repartition(fan, "_to").select("sums").mapInArrow(add, "sums binary").repartition(1).mapInArrow(add, "sums binary").collect()
+    return np.frombuffer(bytes(found[0].sums), dtype=np.int64) if found else np.zeros(cells, dtype=np.int64)
 
 
 def bit_order(distinct: DataFrame) -> tuple[list[int], int]:
