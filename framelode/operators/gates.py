@@ -212,6 +212,27 @@ def export_reasons(labels: DataFrame, errors: Column, required: Column) -> DataF
     return labels.withColumn("reasons", F.array_sort(F.array_distinct(F.concat(errors, F.array_compact(F.array(status, few))))))
 
 
+def sampling_errors(records: DataFrame) -> DataFrame:
+    """Sampling records with error, the first rule that is broken: digests of video and image, names that aren't blank, a known
+    role, and numbers of frames and a time from 0 on, where an anchor is its own anchor."""
+    text = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    hexed = lambda c: F.col(c).rlike("^[0-9a-f]{64}$")
+    time = F.col("timestamp_s")
+    numbers = (F.col("frame_index") >= 0) & (F.col("anchor_frame_index") >= 0) & (time >= 0) & ~F.isnan(time) & (time < float("inf"))
+    rules = [("source_video_sha256", hexed("source_video_sha256")), ("output_image_sha256", hexed("output_image_sha256")), *[(c, text(c)) for c in ("source_video", "source_group", "sequence_id", "output_image")]]
+    rules += [("role", F.col("role").isin("anchor", "temporal_context")), ("provenance", numbers & ((F.col("role") != "anchor") | (F.col("frame_index") == F.col("anchor_frame_index"))))]
+    return gate_cascade(records, rules, "error")
+
+
+def export_decisions(labels: DataFrame, collection: str, reasons: Column, conflicts: DataFrame) -> DataFrame:
+    """labels with reasons and exported. A collection with conflicts (collection, kind) exports nothing: each of its labels has
+    the first of them as a further reason."""
+    first = conflicts.groupBy(collection).agg(F.min("kind").alias("_kind"))
+    both = labels.withColumn("reasons", reasons).join(first, collection, "left")
+    listed = F.when(F.col("_kind").isNotNull(), F.array_append("reasons", F.concat(F.lit("collection: "), "_kind"))).otherwise(F.col("reasons"))
+    return both.withColumn("reasons", listed).withColumn("exported", F.size("reasons") == 0).drop("_kind")
+
+
 def without_conflicts(labels: DataFrame, conflicts: DataFrame) -> DataFrame:
     """labels, unless the collection has conflicts (a table of kind and value): then the first of them stops the query.
 

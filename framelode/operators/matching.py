@@ -125,6 +125,31 @@ def merge_append(existing: DataFrame, addition: DataFrame, keys: list[str]) -> t
     return both, out
 
 
+def merged_manifest(existing: DataFrame, addition: DataFrame, keys: list[str], reference: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The records of both manifests with `collides` (the keys whose value another record has too: the merge is an error if
+    any has one), and the distinct values of reference with place, the order in which they first occur."""
+    both, _ = merge_append(existing, addition, keys)
+    for k in keys:
+        n = both.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("_k")).agg((F.count(F.lit(1)) > 1).alias(f"_{k}"))
+        both = both.join(n, F.col(k) == F.col("_k"), "left").drop("_k")
+    out = both.withColumn("collides", F.array_compact(F.array(*[F.when(F.col(f"_{k}"), F.lit(k)) for k in keys]))).drop(*[f"_{k}" for k in keys])
+    first = existing.withColumn("_side", F.lit(0)).unionByName(addition.withColumn("_side", F.lit(1))).groupBy(reference).agg(F.min(F.struct("_side", *order)).alias("place"))
+    return out, first
+
+
+def stem_pairs(images: DataFrame, labels: DataFrame, image_root: str, label_root: str) -> DataFrame:
+    """split, stem, image and label of files (path) of two trees root/split/...: equal splits and relative paths without suffix.
+
+    Files without a counterpart aren't there; of several images of a stem the first by path counts.
+    """
+    def keyed(files: DataFrame, root: str, name: str) -> DataFrame:
+        parts = rf"^{root}/([^/]+)/(.+)\.[^./]+$"
+        rows = files.select(F.regexp_extract("path", parts, 1).alias("split"), F.regexp_extract("path", parts, 2).alias("stem"), "path").where("stem <> ''")
+        return rows.groupBy("split", "stem").agg(F.min("path").alias(name))
+
+    return keyed(images, image_root, "image").join(keyed(labels, label_root, "label"), ["split", "stem"])
+
+
 def lineage_overlap(parent_train: DataFrame, evaluation: DataFrame, group: str) -> DataFrame:
     """Groups trained on before that are evaluated now: a model is eligible if there is none."""
     return parent_train.select(group).intersect(evaluation.select(group))

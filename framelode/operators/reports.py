@@ -238,6 +238,24 @@ def collection_conflicts(df: DataFrame, sha: str, group: str, video: str) -> Dat
     return over(sha, group, "image in groups").unionByName(over(group, video, "videos in group")).unionByName(over(video, group, "video in groups"))
 
 
+def reference_inventory(labels: DataFrame, images: DataFrame) -> DataFrame:
+    """kind, value and frame of what reference sets have, each once: provenance (digest of the video, frame), digests of images
+    that labels name or files have, and the files' difference hashes.
+
+    labels: name, video_sha256, frame_index, image_sha256; images: name, sha256, bits. A label without its provenance or an
+    image without bits stops the query and is named.
+    """
+    def sound(ok: Column, said: str) -> Column:
+        return F.when(F.coalesce(ok, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(said), F.col("name").cast("string"))).cast("boolean"))
+
+    whole = (F.length("video_sha256") == 64) & F.col("frame_index").isNotNull() & (F.length("image_sha256") == 64)
+    one = lambda kind, value, frame=None: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(frame).cast("long").alias("frame"))
+    seen = F.struct(F.lit("provenance").alias("kind"), F.lower("video_sha256").alias("value"), F.col("frame_index").cast("long").alias("frame"))
+    given = labels.where(sound(whole, "no provenance: ")).select(F.inline(F.array(seen, one("image", F.lower("image_sha256")))))
+    files = images.where(sound(F.col("bits").isNotNull(), "unreadable: ")).select(F.inline(F.array(one("image", F.lower("sha256")), one("difference", F.col("bits").cast("string")))))
+    return given.unionByName(files).distinct()
+
+
 def flag_counts(df: DataFrame, flags: str) -> DataFrame:
     return df.select(F.explode(flags).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
 

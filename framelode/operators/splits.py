@@ -46,22 +46,23 @@ def assignment_scores(features: DataFrame, assignments: DataFrame, ratios: dict[
 def random_search(features: DataFrame, group: str, ratios: dict[str, float], seed: int, attempts: int = 6000) -> DataFrame:
     """(group, split) of the best of seeded random assignments that use every split; ties go to the least names in group order.
 
-    Attempts are drawn on the driver, over the sorted names of groups, and scored in parallel.
+    A draw is a hash of seed, attempt and group, so each row of groups makes its own draws and reruns agree; nothing of it is
+    on the driver. Scores count to six decimals.
     """
-    spark = features.sparkSession
-    groups = sorted(r[0] for r in features.select(group).distinct().collect())
-    if len(groups) < len(SPLITS):
+    groups = features.select(group).distinct()
+    if groups.limit(len(SPLITS)).count() < len(SPLITS):
         raise ValueError("three groups at least are needed for three splits")
-    rng = random.Random(seed)
-    rows = []
-    for attempt in range(max(1, attempts)):
-        drawn = rng.choices(SPLITS, weights=[ratios[s] for s in SPLITS], k=len(groups))
-        if set(drawn) == set(SPLITS):
-            rows += [(attempt, g, s) for g, s in zip(groups, drawn, strict=True)]
-    drawn = spark.createDataFrame(rows, f"attempt int, {group} string, split string")
-    names = drawn.groupBy("attempt").agg(F.transform(F.array_sort(F.collect_list(F.struct(group, "split"))), lambda s: s["split"]).alias("names"))
-    best = assignment_scores(features, drawn, ratios, group).join(names, "attempt").agg(F.min_by("attempt", F.struct("score", "names")).alias("attempt"))
-    return drawn.join(best, "attempt").select(group, "split")
+    tried = groups.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(max(1, attempts) - 1))))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "attempt", group)), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    split, upto = F.lit(SPLITS[-1]), 1.0
+    for name in reversed(SPLITS[:-1]):
+        upto -= ratios[SPLITS[SPLITS.index(name) + 1]]
+        split = F.when(u < round(upto, 9), name).otherwise(split)
+    drawn = tried.withColumn("split", split)
+    names = drawn.groupBy("attempt").agg(F.transform(F.array_sort(F.collect_list(F.struct(group, "split"))), lambda s: s["split"]).alias("names")).where(F.size(F.array_distinct("names")) == len(SPLITS))
+    scores = assignment_scores(features, drawn.join(names.select("attempt"), "attempt", "left_semi"), ratios, group)
+    best = scores.join(names, "attempt").agg(F.min_by("attempt", F.struct(F.bround("score", 6), "names")).alias("attempt"))
+    return drawn.join(F.broadcast(best), "attempt").select(group, "split")
 
 
 def frozen(groups: DataFrame, before: DataFrame, group: str) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import geometry as G
 from ..functions import jsondoc as J
 from ..functions import scalars as S
 from ..operators import documents as D
-from ..operators import dedup, gates, patches
+from ..operators import dedup, gates, patches, reports
 from ..scratch import scratch_dir
 from ..sources import files
 from ..streaming import sinks, stateful, windows
@@ -372,11 +372,18 @@ def doc_edge_rescore(spark, sf_dir):
     return boxes(spark, sf_dir).select("frame", "det", s["evidence"].alias("evidence"), F.bround(s["confidence"], 6).alias("confidence"))
 
 
-@query("doc_export_gate", f"WITH {SAMPLES} SELECT doc_id, concat_ws(',', CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN coalesce(quality, 0) = 0 THEN 'status' END, CASE WHEN toxic = 1 THEN 'audit' END) AS reasons FROM samples")
+@query("doc_export_gate", f"""WITH {SAMPLES}, c AS (SELECT DISTINCT lang FROM (SELECT lang FROM samples GROUP BY lang, sha HAVING count(DISTINCT source) > 1) WHERE lang <> 'en')
+SELECT doc_id, concat_ws(',', CASE WHEN n_chars < 300 THEN 'short' END, CASE WHEN coalesce(quality, 0) = 0 THEN 'status' END, CASE WHEN toxic = 1 THEN 'audit' END, CASE WHEN lang IN (SELECT lang FROM c) THEN 'collection: image in groups' END) AS reasons,
+  NOT (n_chars < 300 OR coalesce(quality, 0) = 0 OR coalesce(toxic, 0) = 1 OR lang IN (SELECT lang FROM c)) AS exported FROM samples""")
 def doc_export_gate(spark, sf_dir):
-    out, excluded = D.export_gate(samples(spark, sf_dir), [("short", F.col("n_chars") < 300), ("status", F.coalesce("quality", F.lit(0)) == 0), ("audit", F.col("toxic") == 1)])
-    return out.select("doc_id", F.lit("").alias("reasons")).unionByName(excluded.select("doc_id", F.array_join("reasons", ",").alias("reasons")))
-
+    """A language is a collection: one whose images lie in several sources exports nothing; English ones are told apart by source."""
+    s = samples(spark, sf_dir)
+    image = F.when(F.col("lang") == "en", F.concat("sha", "source")).otherwise(F.concat("lang", "sha"))
+    found = reports.collection_conflicts(s.select(image.alias("image"), "source", F.lit("").alias("video")), "image", "source", "video")
+    conflicts = s.select("lang", image.alias("value")).join(found, "value", "left_semi").select("lang", F.lit("image in groups").alias("kind")).distinct()
+    reasons = F.array_compact(F.array(F.when(F.col("n_chars") < 300, "short"), F.when(F.coalesce("quality", F.lit(0)) == 0, "status"), F.when(F.col("toxic") == 1, "audit")))
+    out = gates.export_decisions(s, "lang", reasons, conflicts)
+    return out.select("doc_id", F.array_join("reasons", ",").alias("reasons"), "exported")
 
 @query("doc_rebase_sources", f"WITH {SAMPLES} SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'mismatch' ELSE 'rebased' END AS action, CASE WHEN doc_id % 7 = 0 OR doc_id % 5 = 0 THEN 'old/' ELSE 'new/' END || doc_id AS path FROM samples")
 def doc_rebase_sources(spark, sf_dir):

@@ -150,11 +150,17 @@ def set_diff_strict(spark, sf_dir):
     return matching.strict_problems(*_manifests(spark, sf_dir), "sha", "source", "split", RATIOS, 0.05)
 
 
-@query("set_union_dedup_merge", f"WITH {SAMPLES} SELECT 'sha' AS key, sha AS value, count(*) AS n FROM samples GROUP BY sha HAVING count(*) > 1")
+@query("set_union_dedup_merge", f"""WITH {SAMPLES}, c AS (SELECT sha FROM samples GROUP BY sha HAVING count(*) > 1)
+SELECT 'record' AS kind, CAST(doc_id AS VARCHAR) AS value, sha IN (SELECT sha FROM c) AS collides, NULL::BIGINT AS place FROM samples
+UNION ALL SELECT 'reference', source, false, row_number() OVER (ORDER BY min(CASE WHEN doc_id < 500 THEN 0 ELSE 1 END), min(doc_id)) FROM samples GROUP BY source""")
 def set_union_dedup_merge(spark, sf_dir):
-    s = samples(spark, sf_dir).select("doc_id", "sha")
-    return matching.merge_append(s.where("doc_id < 500"), s.where("doc_id >= 500"), ["sha", "doc_id"])[1]
-
+    """The merged manifest with what collides in it, and the references of both in the order in which they first occur."""
+    s = samples(spark, sf_dir).select("doc_id", "sha", "source")
+    both, first = matching.merged_manifest(s.where("doc_id < 500"), s.where("doc_id >= 500"), ["sha", "doc_id"], "source", ["doc_id"])
+    records = both.select(F.lit("record").alias("kind"), F.col("doc_id").cast("string").alias("value"), (F.size("collides") > 0).alias("collides"), F.lit(None).cast("long").alias("place"))
+    # one row a reference set
+    named = first.select(F.lit("reference").alias("kind"), F.col("source").alias("value"), F.lit(False).alias("collides"), F.row_number().over(W.orderBy("place")).cast("long").alias("place"))
+    return records.unionByName(named)
 
 @query("set_intersect_lineage", "SELECT DISTINCT source FROM documents WHERE doc_id % 7 = 0 INTERSECT SELECT DISTINCT source FROM documents WHERE doc_id % 11 = 0")
 def set_intersect_lineage(spark, sf_dir):
@@ -198,11 +204,14 @@ def prj_resolve_image(spark, sf_dir):
     return matching.first_by_priority(d, "doc_id", [own, source], listing, "path")
 
 
-@query("src_yolo_pairs", "SELECT l.page_id, i.url FROM pages l JOIN pages i ON i.page_id = l.page_id WHERE l.page_id % 3 <> 0")
+@query("src_yolo_pairs", """WITH f AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, 'h' || page_id % 7 || '/p.' || page_id AS stem FROM pages)
+SELECT split, stem, 'ds/images/' || split || '/' || stem || CASE WHEN page_id % 2 = 0 THEN '.jpg' ELSE '.png' END AS image, 'ds/labels/' || split || '/' || stem || '.txt' AS label FROM f WHERE page_id % 3 <> 0 AND page_id % 11 <> 0""")
 def src_yolo_pairs(spark, sf_dir):
-    p = read(spark, sf_dir, "pages")
-    return p.where("page_id % 3 <> 0").select("page_id").join(p.select("page_id", "url"), "page_id")
-
+    """Images and labels of two trees by split and relative stem; a third of the labels is missing, some lie in another split."""
+    p = read(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, "val").otherwise("train").alias("split"), F.concat(F.lit("h"), F.col("page_id") % 7, F.lit("/p."), "page_id").alias("stem"))
+    images = p.select(F.concat(F.lit("ds/images/"), "split", F.lit("/"), "stem", F.when(F.col("page_id") % 2 == 0, ".jpg").otherwise(".png")).alias("path"))
+    labels = p.where("page_id % 3 <> 0").select(F.concat(F.lit("ds/labels/"), F.when(F.col("page_id") % 11 == 0, "test").otherwise(F.col("split")), F.lit("/"), "stem", F.lit(".txt")).alias("path"))
+    return matching.stem_pairs(images, labels, "ds/images", "ds/labels")
 
 # deduplication and splits
 
@@ -260,11 +269,16 @@ def sp_assignment_score(spark, sf_dir):
     return scored.select("attempt", F.bround("score", 4).alias("score"))
 
 
-@query("sp_random_search")
+@query("sp_random_search", f"""WITH {FEATURES}, l AS (UNPIVOT g ON samples, en, good, toxic INTO NAME feature VALUE n), t AS (SELECT feature, sum(n) AS total, count(*) FILTER (WHERE n > 0) AS k FROM l GROUP BY feature),
+u AS (SELECT attempt, source, CAST('0x' || left(md5('7:' || attempt || ':' || source), 13) AS BIGINT) / pow(2, 52) AS u FROM (SELECT DISTINCT source FROM g) CROSS JOIN (SELECT unnest(range(6000)) AS attempt)),
+d AS (SELECT attempt, source, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split FROM u), a AS (SELECT attempt, string_agg(split, ',' ORDER BY source) AS names FROM d GROUP BY attempt HAVING count(DISTINCT split) = 3),
+s AS (SELECT * FROM (VALUES ('train', 0.7::DOUBLE), ('val', 0.2::DOUBLE), ('test', 0.1::DOUBLE)) v(split, ratio)), filled AS (SELECT attempt, split, feature, sum(n) AS n FROM d JOIN l USING (source) GROUP BY ALL),
+c AS (SELECT a.attempt, names, t.feature, coalesce(f.n, 0) AS n, total * ratio AS target, k FROM a CROSS JOIN t CROSS JOIN s LEFT JOIN filled f ON f.attempt = a.attempt AND f.split = s.split AND f.feature = t.feature),
+best AS (SELECT attempt FROM c GROUP BY attempt, names ORDER BY round_even(sum(CASE WHEN feature = 'samples' THEN 8.0 ELSE 1.0 END * pow(n - target, 2) / greatest(1.0, target) + CASE WHEN feature <> 'samples' AND k >= 3 AND n = 0 THEN 100 ELSE 0 END), 6), names, attempt LIMIT 1)
+SELECT source, split FROM d JOIN best USING (attempt)""")
 def sp_random_search(spark, sf_dir):
     return splits.random_search(splits.long_features(_features(spark, sf_dir), "source"), "source", RATIOS, seed=7)
 
-
 @query("sp_quotas", "SELECT count(DISTINCT source) >= 3 AS enough FROM documents")
 def sp_quotas(spark, sf_dir):
     return read(spark, sf_dir, "documents").agg((F.count_distinct("source") >= 3).alias("enough"))
@@ -297,13 +311,17 @@ def sp_neg_weight(spark, sf_dir):
     return samples(spark, sf_dir).select("doc_id", splits.negative_weight(F.coalesce("quality", F.lit(0)) == 0, 0.25).alias("weight"))
 
 
-@query("sp_weighted_draw", f"WITH {SAMPLES} SELECT count(*) AS draws, true AS from_all FROM samples")
+@query("sp_weighted_draw", f"""WITH {SAMPLES}, w AS (SELECT doc_id, CASE WHEN coalesce(quality, 0) = 0 THEN 0.25 ELSE 1.0 END::DOUBLE AS weight FROM samples), e AS (SELECT doc_id, weight * (count(*) OVER ()) / sum(weight) OVER () AS share FROM w)
+SELECT doc_id, CAST(floor(share) AS BIGINT) AS least, CAST(ceil(share) AS BIGINT) AS most, true AS fair, (SELECT count(*) FROM samples) AS draws FROM e""")
 def sp_weighted_draw(spark, sf_dir):
-    """As many rows as there are, drawn with replacement by weight; that every draw is a row is what can be stated."""
+    """As many rows as there are, drawn with replacement by weight: each as often as its share says, to one draw."""
     s = samples(spark, sf_dir).select("doc_id", splits.negative_weight(F.coalesce("quality", F.lit(0)) == 0, 0.25).alias("weight"))
     drawn = splits.weighted_draw(s, "doc_id", "weight", seed=3)
-    return drawn.agg(F.sum("times").alias("draws"), F.bool_and(F.col("times") > 0).alias("from_all"))
-
+    whole = s.agg(F.count(F.lit(1)).alias("_n"), F.sum("weight").alias("_w")).first()
+    share = F.col("weight") * whole["_n"] / whole["_w"]
+    draws = drawn.agg(F.sum("times")).first()[0]
+    both = s.join(drawn, "doc_id", "left").select("doc_id", F.floor(share).alias("least"), F.ceil(share).alias("most"), F.coalesce("times", F.lit(0)).alias("times"))
+    return both.select("doc_id", "least", "most", F.col("times").between(F.col("least"), F.col("most")).alias("fair"), F.lit(draws).cast("long").alias("draws"))
 
 @query("sp_frames_per_source", "WITH s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)) SELECT source, CAST(115 // n + CASE WHEN i < 115 % n THEN 1 ELSE 0 END AS INTEGER) AS frames FROM s")
 def sp_frames_per_source(spark, sf_dir):
@@ -558,11 +576,13 @@ def agg_rejections(spark, sf_dir):
     return gates.gate_cascade(samples(spark, sf_dir), rules).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg_reference_inventory", f"WITH {SAMPLES} SELECT DISTINCT source, sha FROM samples WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@query("agg_reference_inventory", f"""WITH {SAMPLES} SELECT 'provenance' AS kind, sha256(source) AS value, n_chars % 50 AS frame FROM samples WHERE doc_id % 2 = 0
+UNION SELECT 'image', sha, NULL FROM samples WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 UNION SELECT 'difference', CAST(CAST('0x' || left(sha, 15) AS BIGINT) AS VARCHAR), NULL FROM samples WHERE doc_id % 3 = 0""")
 def agg_reference_inventory(spark, sf_dir):
-    s = samples(spark, sf_dir).select("doc_id", "source", "sha")
-    return s.where("doc_id % 2 = 0").unionByName(s.where("doc_id % 3 = 0")).select("source", "sha").distinct()
-
+    s = samples(spark, sf_dir)
+    labels = s.where("doc_id % 2 = 0").select(F.col("doc_id").alias("name"), F.upper(F.sha2("source", 256)).alias("video_sha256"), (F.col("n_chars") % 50).alias("frame_index"), F.col("sha").alias("image_sha256"))
+    images = s.where("doc_id % 3 = 0").select(F.col("doc_id").alias("name"), F.col("sha").alias("sha256"), F.conv(F.substring("sha", 1, 15), 16, 10).cast("long").alias("bits"))
+    return reports.reference_inventory(labels, images)
 
 @query("agg_run_eval", "SELECT c_mktsegment AS run, round_even(avg(c_acctbal), 2) AS metric, CASE WHEN avg(c_acctbal) > 4500 THEN 'eligible' ELSE 'held' END AS status FROM customer GROUP BY c_mktsegment")
 def agg_run_eval(spark, sf_dir):

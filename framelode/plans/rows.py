@@ -333,11 +333,16 @@ def val_label(spark, sf_dir):
     return gates.collect_failures(boxes(spark, sf_dir), rules).select("frame", "det", F.array_join("errors", ",").alias("errors"))
 
 
-@query("val_sampling_record", f"WITH {SAMPLES} SELECT doc_id, n_chars >= 100 AND source IS NOT NULL AS ok FROM samples")
+@query("val_sampling_record", f"""WITH {SAMPLES} SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'source_video_sha256' WHEN doc_id % 17 = 0 THEN 'output_image_sha256' WHEN doc_id % 19 = 0 THEN 'sequence_id' WHEN doc_id % 5 = 4 THEN 'role'
+  WHEN n_chars % 23 = 0 OR doc_id % 29 = 0 OR doc_id % 5 < 2 AND doc_id % 3 <> 0 THEN 'provenance' END AS error FROM samples""")
 def val_sampling_record(spark, sf_dir):
-    rules = [("digest", S.is_sha256(F.col("sha"))), ("group", F.col("source").isNotNull()), ("length", F.col("n_chars") >= 100)]
-    return gates.collect_failures(samples(spark, sf_dir), rules).select("doc_id", (F.size("errors") == 0).alias("ok"))
-
+    d = F.col("doc_id")
+    records = samples(spark, sf_dir).select(
+        "doc_id", F.lit("a.mp4").alias("source_video"), F.when(d % 13 == 0, F.upper("sha")).otherwise(F.col("sha")).alias("source_video_sha256"), F.col("source").alias("source_group"), F.when(d % 19 == 0, " ").otherwise("s1").alias("sequence_id"), F.lit("a.png").alias("output_image"),
+        F.when(d % 17 == 0, F.lit(None)).otherwise(F.col("sha")).alias("output_image_sha256"), F.when(d % 5 < 2, "anchor").when(d % 5 < 4, "temporal_context").otherwise("other").alias("role"), (d % 3).alias("frame_index"), F.when(d % 29 == 0, -1).otherwise(0).alias("anchor_frame_index"),
+        F.when(F.col("n_chars") % 23 == 0, F.lit(float("nan"))).otherwise(1.5).alias("timestamp_s"),
+    )
+    return gates.sampling_errors(records).select("doc_id", "error")
 
 @query("val_sample_key", "SELECT doc_id, doc_id % 4 = 0 AS ok FROM documents")
 def val_sample_key(spark, sf_dir):
