@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,22 +77,26 @@ def frozen_errors(groups: DataFrame, before: DataFrame, group: str) -> DataFrame
     return gone.unionByName(twice).unionByName(unknown)
 
 
-def incremental_plan(old: dict[str, tuple[str, int]], new: dict[str, int], ratios: dict[str, float], seed: int = 0, attempts: int = 20_000) -> dict[str, str]:
-    """Splits of new groups (name, images) beside fixed ones (name, split and images): the least squared deviation from the
-    ratios, then the least choice. All choices are tried if they are no more than attempts, else seeded random ones."""
-    names = sorted(new)
-    fixed = {s: sum(n for t, n in old.values() if t == s) for s in SPLITS}
-    total = sum(fixed.values()) + sum(new.values())
-    choices = product(range(3), repeat=len(names)) if 3 ** len(names) <= attempts else (tuple(random.Random(f"{seed}-{k}").randrange(3) for _ in names) for k in range(attempts))
+def incremental_plan(old: DataFrame, new: DataFrame, group: str, ratios: dict[str, float], seed: int = 0, attempts: int = 20_000) -> DataFrame:
+    """(group, split) of new groups (group, n images) beside fixed ones (group, split, n): the least squared deviation of the
+    splits' shares from the ratios (to twelve decimals), then the least choice.
 
-    def cost(choice: tuple[int, ...]) -> float:
-        counts = dict(fixed)
-        for g, c in zip(names, choice, strict=True):
-            counts[SPLITS[c]] += new[g]
-        return sum((counts[s] / max(1, total) - ratios[s]) ** 2 for s in SPLITS)
-
-    best = min(choices, key=lambda c: (cost(c), c))
-    return {g: SPLITS[c] for g, c in zip(names, best, strict=True)}
+    All choices are tried if they are no more than attempts, in the order of the groups' names, else hashed ones. Each new
+    group makes its own rows of all choices, which are summed by choice; a plan adds few groups, and one row each is numbered.
+    """
+    numbered = new.withColumn("_i", F.row_number().over(W.orderBy(group)) - 1)
+    k, n_splits = new.count(), len(SPLITS)
+    fixed = {r["split"]: r["n"] for r in old.groupBy("split").agg(F.sum("n").alias("n")).collect() if r["split"] in SPLITS}
+    every = n_splits**k <= attempts
+    tried = numbered.withColumn("_choice", F.explode(F.sequence(F.lit(0), F.lit((n_splits**k if every else attempts) - 1))))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "_choice", group)), 1, 13), 16, 10).cast("long") % n_splits
+    digit = F.floor(F.col("_choice") / F.pow(F.lit(float(n_splits)), F.lit(k - 1) - F.col("_i"))).cast("long") % n_splits if every else drawn
+    tried = tried.withColumn("_split", digit)
+    sums = tried.groupBy("_choice").agg(F.sum("n").alias("_all"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "_split"))), lambda d: d["_split"]).alias("_digits"), *[F.coalesce(F.sum(F.when(F.col("_split") == s, F.col("n"))), F.lit(0)).alias(f"_{s}") for s in range(n_splits)])
+    total = F.greatest(F.lit(1), F.col("_all") + sum(fixed.values()))
+    cost = sum(((F.lit(fixed.get(name, 0)) + F.col(f"_{s}")) / total - ratios[name]) * ((F.lit(fixed.get(name, 0)) + F.col(f"_{s}")) / total - ratios[name]) for s, name in enumerate(SPLITS))
+    best = sums.agg(F.min_by("_choice", F.struct(F.bround(cost, 12), "_digits")).alias("_choice"))
+    return tried.join(F.broadcast(best), "_choice").select(group, F.element_at(F.array(*map(F.lit, SPLITS)), (F.col("_split") + 1).cast("int")).alias("split"))
 
 
 def oversample(df: DataFrame, label: str, order: str) -> DataFrame:

@@ -291,13 +291,17 @@ def sp_frozen(spark, sf_dir):
     return splits.frozen(groups, before, "source")
 
 
-@query("sp_incremental_plan")
+@query("sp_incremental_plan", """WITH g AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS k FROM documents GROUP BY source), new AS (SELECT source, n, i - (k - 4) AS i FROM g WHERE i >= k - 4),
+t AS (SELECT choice, source, n, i, choice // CAST(pow(3, 3 - i) AS BIGINT) % 3 AS s FROM new CROSS JOIN (SELECT unnest(range(81)) AS choice)),
+b AS (SELECT choice, x.s, coalesce(f.n, 0) + coalesce((SELECT sum(t.n) FROM t WHERE t.choice = y.choice AND t.s = x.s), 0) AS n FROM (SELECT unnest(range(81)) AS choice) y CROSS JOIN (SELECT unnest(range(3)) AS s) x LEFT JOIN (SELECT i % 3 AS s, sum(n) AS n FROM g WHERE i < k - 4 GROUP BY 1) f ON f.s = x.s),
+best AS (SELECT choice FROM b GROUP BY choice ORDER BY round_even(sum(pow(n / (SELECT sum(n) FROM g) - [0.7::DOUBLE, 0.2::DOUBLE, 0.1::DOUBLE][s + 1], 2)), 12), choice LIMIT 1)
+SELECT source, ['train', 'val', 'test'][s + 1] AS split FROM t JOIN best USING (choice)""")
 def sp_incremental_plan(spark, sf_dir):
-    counts = {r["source"]: r["count"] for r in read(spark, sf_dir, "documents").groupBy("source").count().collect()}
-    names = sorted(counts)
-    old = {s: (splits.SPLITS[i % 3], counts[s]) for i, s in enumerate(names[:-4])}
-    plan = splits.incremental_plan(old, {s: counts[s] for s in names[-4:]}, RATIOS)
-    return spark.createDataFrame(sorted(plan.items()), "source string, split string")
+    """The last four sources are new; those before them keep the splits they have."""
+    d = read(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    numbered = d.withColumn("_i", F.row_number().over(W.orderBy("source")) - 1).withColumn("_k", F.count(F.lit(1)).over(W.partitionBy()))
+    old = numbered.where("_i < _k - 4").select("source", F.element_at(F.array(*map(F.lit, splits.SPLITS)), (F.col("_i") % 3 + 1).cast("int")).alias("split"), "n")
+    return splits.incremental_plan(old, numbered.where("_i >= _k - 4").select("source", "n"), "source", RATIOS)
 
 
 @query("sp_oversample_minority", f"""WITH {SAMPLES}, t AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY quality) AS n FROM samples WHERE quality IS NOT NULL), m AS (SELECT max(n) AS most FROM t)

@@ -76,10 +76,9 @@ def test_entry():
 
 
 def test_frame_loop_is_its_batch_fold(spark):
-    from framelode.operators import folds
     from framelode.plans import sequences
     from framelode.streaming import stateful
 
-    batch = folds.fold(sequences.observations(spark, DATA), "grp", "frame", lambda: None, stateful.loop_step, stateful.LOOP)
+    batch = stateful.frame_loop_replay(sequences.observations(spark, DATA))
     stream = catalogue.queries()["st_frame_loop"](spark, DATA)
     assert sorted(map(repr, batch.collect())) == sorted(map(repr, stream.select(*batch.columns).collect()))

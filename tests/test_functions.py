@@ -107,7 +107,8 @@ def test_splits(spark):
     ratios = {"train": 0.5, "val": 0.25, "test": 0.25}
     a, b = (sorted(map(tuple, splits.random_search(f, "source", ratios, seed=7, attempts=200).collect())) for _ in range(2))
     assert a == b and {s for _, s in a} == set(splits.SPLITS) and len(a) == 6
-    plan = splits.incremental_plan({"a": ("train", 1), "b": ("val", 1), "c": ("test", 1)}, {"x": 1, "y": 1, "z": 1}, dict.fromkeys(splits.SPLITS, 1 / 3))
+    one = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    plan = {r.g: r.split for r in splits.incremental_plan(one([("a", "train", 1), ("b", "val", 1), ("c", "test", 1)], "g string, split string, n long"), one([("x", 1), ("y", 1), ("z", 1)], "g string, n long"), "g", dict.fromkeys(splits.SPLITS, 1 / 3)).collect()}
     assert sorted(plan.values()) == ["test", "train", "val"]
     before = spark.createDataFrame([("g0", "train"), ("zz", "val"), ("g1", "odd")], "source string, split string")
     assert {r.error for r in splits.frozen_errors(f.select("source").distinct(), before, "source").collect()} == {"missing", "unknown split"}
