@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..scratch import settle
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
@@ -102,21 +104,24 @@ def threshold_report(pixels: DataFrame, image: str, score: Column, target: Colum
     """Pixel, tolerant and image-level metrics at each threshold, rounded as in reports: one row a threshold.
 
     pixels: a row a pixel; near_score is the largest score within the tolerance, near_target whether a target lies within it.
-    All counts are of values that reach a threshold, so rows are counted by how many thresholds they reach and these counts,
-    as few as thresholds, are summed up; images are one row each before that.
+    All counts are of values that reach a threshold, so rows are counted by image and how many thresholds they reach, in one
+    pass that is written, and these counts, by then as few as thresholds, are summed up.
     """
     limits = F.array(*[F.lit(t) for t in thresholds])
     reach = lambda v: F.aggregate(limits, F.lit(0), lambda n, t: n + F.when(v >= t, 1).otherwise(0))
     rows = pixels.select(F.col(image).alias("image"), reach(score).alias("own"), reach(near_score).alias("near"), target.alias("target"), near_target.alias("beside"))
-    images = rows.groupBy("image").agg(F.max("own").alias("own"), F.bool_or("target").alias("target"), F.count_if("target").alias("pixels"))
+    # pixels are read once: from here on a row stands for all pixels of an image that are alike
+    cells = settle(rows.groupBy("image", "own", "near", "target", "beside").agg(F.count(F.lit(1)).alias("n")), "cells")
+    pixels_if = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    images = cells.groupBy("image").agg(F.max("own").alias("own"), F.bool_or("target").alias("target"), pixels_if(F.col("target")).alias("pixels"))
     names = ("tp", "fp", "tolerant_p", "tolerant_t", "image_tp", "image_fp", "negative")
     zero = {n: F.lit(0).cast("long") for n in names}
     counted = lambda df, key, **found: df.groupBy(F.col(key).alias("reached")).agg(*[found.get(n, F.max(zero[n])).alias(n) for n in names])
     parts = [
-        counted(rows, "own", tp=F.count_if("target"), fp=F.count_if(~F.col("target")), tolerant_p=F.count_if("beside")),
-        counted(rows.where("target"), "near", tolerant_t=F.count(F.lit(1))),
+        counted(cells, "own", tp=pixels_if(F.col("target")), fp=pixels_if(~F.col("target")), tolerant_p=pixels_if(F.col("beside"))),
+        counted(cells.where("target"), "near", tolerant_t=F.sum("n")),
         counted(images, "own", image_tp=F.count_if("target"), image_fp=F.count_if(~F.col("target"))),
-        counted(rows.join(images.where("not target").select("image"), "image", "left_semi"), "own", negative=F.count(F.lit(1))),
+        counted(cells.join(images.where("not target").select("image"), "image", "left_semi"), "own", negative=F.sum("n")),
     ]
     sums = reduce(DataFrame.unionByName, parts)
     totals = images.agg(F.sum("pixels").alias("targets"), F.count_if("target").alias("positive"), F.count_if(~F.col("target")).alias("empty"))
