@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import jsondoc as J
 from ..functions.geometry import point_box_distance
+from .dedup import latest_reasons
 
 
 def init_labels(records: DataFrame, existing: DataFrame, key: str, blank: dict[str, Column]) -> DataFrame:
@@ -67,6 +68,48 @@ def export_gate(df: DataFrame, reasons: list[tuple[str, Column]]) -> tuple[DataF
     return marked.where("size(reasons) = 0").drop("reasons"), marked.where("size(reasons) > 0")
 
 
+def scanned_labels(labels: DataFrame, version: str, orientations: tuple[str, ...], visibilities: tuple[str, ...]) -> DataFrame:
+    """path and reason of each label, null where it is kept: the first gate that it fails, or what became of it as a duplicate.
+
+    labels: path, schema_version, has_pose, managed, source_group, trick_orientation, string_review_status, string_visibility,
+    scopes, image_digest (null without an image), image_sha256 (declared), updated_at. Of labels of one image the latest by
+    (updated_at, path) is kept; as they come by path, one behind the leader is superseded by it, one that led is replaced.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    shown = lambda name, c: F.concat(F.lit(f"{name}="), F.coalesce(c, F.lit("None")))
+    declared = text("image_sha256")
+    gates = [
+        (F.coalesce(F.col("schema_version") == version, F.lit(False)), shown("unsupported_schema_version", F.col("schema_version"))),
+        (~F.col("has_pose"), F.lit("unsupported_pose_annotation_fields")), (~F.col("managed"), F.lit("unsupported_dataset_management_field")), (text("source_group") != "", F.lit("missing_source_group")),
+        (text("trick_orientation").isin(*orientations), shown("invalid_trick_orientation", text("trick_orientation"))), (F.lower(F.coalesce("string_review_status", F.lit(""))).isin("approved", "reviewed"), shown("string_review_status", F.col("string_review_status"))),
+        (text("string_visibility").isin(*visibilities), shown("invalid_string_visibility", text("string_visibility"))), (F.size(F.array_intersect("scopes", F.array(F.lit("visible_geometry"), F.lit("yoyo_bbox")))) == 2, F.lit("missing_geometry_or_yoyo_quality_approval")),
+        (F.col("image_digest").isNotNull(), F.lit("source_image_missing")), ((declared == "") | (declared == F.col("image_digest")), F.lit("image_sha256_mismatch")),
+    ]
+    reason = F.lit(None).cast("string")
+    for holds, said in reversed(gates):
+        reason = F.when(~F.coalesce(holds, F.lit(False)), said).otherwise(reason)
+    # labels that fail have an image of their own, so that they meet no other
+    judged = labels.withColumn("reason", reason).withColumn("_image", F.when(F.col("reason").isNull(), F.col("image_digest")).otherwise(F.col("path")))
+    told = latest_reasons(judged.withColumn("_updated", F.coalesce("updated_at", F.lit(""))), "_image", ["_updated"], "path")
+    fate = F.when(F.col("fate") == "superseded", F.concat(F.lit("duplicate_image_superseded_by="), "by")).when(F.col("fate") == "replaced", F.concat(F.lit("duplicate_image_replaced_by="), "by"))
+    return told.select("path", F.coalesce("reason", fate).alias("reason"))
+
+
+def applied_once(labels: DataFrame, results: DataFrame, key: str, message: Column) -> DataFrame:
+    """Labels (key, revision, messages, fields: a map) with the results (key, promotions: a map) applied, and apply_status.
+
+    A result whose message is in the label's history has been applied before and changes nothing (already_applied); one without
+    promotions doesn't either (nothing_to_apply); else its fields are set, the revision goes up by one and the message is put
+    down. So a result that comes again, after a run that broke off or from a cache, counts once.
+    """
+    both = labels.join(results.select(key, "promotions", message.alias("_message")), key, "left")
+    status = F.when(F.col("_message").isNull(), "no_result").when(F.array_contains("messages", F.col("_message")), "already_applied").when(F.size("promotions") < 1, "nothing_to_apply").otherwise("applied")
+    both = both.withColumn("apply_status", status)
+    done = F.col("apply_status") == "applied"
+    kept = F.map_filter("fields", lambda k, _: ~F.array_contains(F.map_keys("promotions"), k))
+    return both.select(key, F.when(done, F.map_concat(kept, "promotions")).otherwise(F.col("fields")).alias("fields"), (F.col("revision") + done.cast("long")).alias("revision"), F.when(done, F.array_append("messages", F.col("_message"))).otherwise(F.col("messages")).alias("messages"), "apply_status")
+
+
 def rebase_sources(labels: DataFrame, listing: DataFrame, key: str, path: str) -> DataFrame:
     """action for each label: rebased (hash and size of the expected file agree), mismatch or missing; path is the new one where rebased."""
     new = listing.select(F.col(key), F.col(path).alias("_path"), F.col("sha").alias("_sha"), F.col("size").alias("_size"))

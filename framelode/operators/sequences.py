@@ -216,6 +216,22 @@ def rolling_gate(df: DataFrame, accepted: Column, confidence: Column, ratio: Col
     return df.withColumn("latched", F.coalesce(F.col(frame) > first, F.lit(False)))
 
 
+def adaptive_route(df: DataFrame, gated: list[Column], native: float, adapted: float, adapted_below: float, single_below: float, window: int = 12, group: str = "grp", frame: str = "frame", **limits: float) -> DataFrame:
+    """df with fires, latched (see rolling_gate; gated: accepted, confidence, ratio), mean, route and threshold.
+
+    mean is that of the confidence over the window that fires first. Up to the latch the route is `ensemble` with the native
+    threshold; after it the threshold is the adapted one if mean is below adapted_below, and the route is `single` if
+    mean is below single_below, which has to be over 0, else `adaptive_ensemble`.
+    """
+    out = rolling_gate(df, *gated, window=window, group=group, frame=frame, **limits)
+    out = out.withColumn("_mean", F.avg(gated[1]).over(ordered(group, frame).rowsBetween(1 - window, 0)))
+    first = F.min_by("_mean", F.when(F.col("fires"), F.col(frame))).over(W.partitionBy(group))
+    out = out.withColumn("mean", first).drop("_mean")
+    single = F.lit(single_below > 0) & (F.col("mean") < single_below)
+    route = F.when(~F.col("latched"), "ensemble").when(single, "single").otherwise("adaptive_ensemble")
+    return out.withColumn("route", route).withColumn("threshold", F.when(F.col("latched") & (F.col("mean") < adapted_below), adapted).otherwise(native))
+
+
 def interval_frames(df: DataFrame, time: Column, fps: float, group: str = "grp", frame: str = "frame") -> DataFrame:
     """Per group, rows between observations at fps: the source's rate is 1 / median positive step of time; 1 at least."""
     step = time - F.lag(time).over(ordered(group, frame))

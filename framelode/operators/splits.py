@@ -64,6 +64,19 @@ def random_search(features: DataFrame, group: str, ratios: dict[str, float], see
     return drawn.join(F.broadcast(best), "attempt").select(group, "split")
 
 
+def split_quotas(counts: DataFrame, groups: str, val: float, test: float) -> DataFrame:
+    """counts with train, val and test: how many of so many groups each split gets. Validation and test get their rounded share,
+    one at least; if nothing would be left for training, the larger of them (validation if equal) gives way. Fewer than three
+    groups stop the query."""
+    n = F.col(groups)
+    enough = F.when(n >= len(SPLITS), n).otherwise(F.raise_error(F.lit("three groups at least are needed for three splits")).cast("long"))
+    share = lambda r: F.greatest(F.lit(1), F.bround(enough * r, 0)).cast("long")
+    out = counts.withColumn("_v", share(val)).withColumn("_t", share(test)).withColumn("_over", F.greatest(F.lit(0), F.col("_v") + F.col("_t") - n + 1))
+    first = F.col("_v") >= F.col("_t")
+    out = out.withColumn("val", F.col("_v") - F.when(first, F.col("_over")).otherwise(0)).withColumn("test", F.col("_t") - F.when(first, 0).otherwise(F.col("_over")))
+    return out.withColumn("train", n - F.col("val") - F.col("test")).drop("_v", "_t", "_over")
+
+
 def frozen(groups: DataFrame, before: DataFrame, group: str) -> DataFrame:
     """Groups keep the split they had; new ones go to train."""
     return groups.join(before.select(group, F.col("split").alias("_was")), group, "left").withColumn("split", F.coalesce("_was", F.lit("train"))).drop("_was")

@@ -61,11 +61,21 @@ def src_jsonl_strict(spark, sf_dir):
     return files.json_lines_strict(spark, base, T.StructType.fromDDL("event_id long, user_id long"))
 
 
-@query("src_label_scan_gated", f"WITH {SAMPLES} SELECT doc_id, CASE WHEN n_chars < 200 THEN 'excluded' WHEN quality IS NULL THEN 'excluded' ELSE 'kept' END AS side FROM samples")
+@query("src_label_scan_gated", f"""WITH {SAMPLES}, l AS (SELECT *, 'labels/' || lpad(doc_id::VARCHAR, 9, '0') || '.json' AS path, (n_chars % 5)::VARCHAR AS updated FROM samples),
+g AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'unsupported_schema_version=v4' WHEN doc_id % 13 = 0 THEN 'unsupported_pose_annotation_fields' WHEN doc_id % 17 = 0 THEN 'unsupported_dataset_management_field' WHEN doc_id % 19 = 0 THEN 'missing_source_group' WHEN doc_id % 23 = 0 THEN 'invalid_trick_orientation=diagonal'
+  WHEN toxic IS NOT NULL AND quality = 0 THEN 'string_review_status=draft' WHEN doc_id % 29 = 0 THEN 'invalid_string_visibility=bad' WHEN doc_id % 31 = 0 THEN 'missing_geometry_or_yoyo_quality_approval' WHEN doc_id % 37 = 0 THEN 'source_image_missing' WHEN doc_id % 41 = 0 THEN 'image_sha256_mismatch' END AS gate FROM l),
+b AS (SELECT *, max(updated || path) OVER (PARTITION BY CASE WHEN gate IS NULL THEN sha ELSE path END ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g), d AS (SELECT *, before IS NULL OR updated || path > before AS leads FROM b),
+n AS (SELECT *, min(CASE WHEN leads THEN path END) OVER (PARTITION BY CASE WHEN gate IS NULL THEN sha ELSE path END ORDER BY path ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM d)
+SELECT path, coalesce(gate, CASE WHEN NOT leads THEN 'duplicate_image_superseded_by=' || substr(before, 2) WHEN nxt IS NOT NULL THEN 'duplicate_image_replaced_by=' || nxt END) AS reason FROM n""")
 def src_label_scan_gated(spark, sf_dir):
-    gated = gates.gate_cascade(samples(spark, sf_dir), [("short", F.col("n_chars") >= 200), ("unreviewed", F.col("quality").isNotNull())])
-    kept, excluded = gates.split_gated(gated)
-    return kept.select("doc_id", F.lit("kept").alias("side")).unionByName(excluded.select("doc_id", F.lit("excluded").alias("side")))
+    """Every label with the first gate that it fails, or the label of the same image that took its place."""
+    d = F.col("doc_id")
+    labels = samples(spark, sf_dir).select(
+        F.concat(F.lit("labels/"), F.lpad(d.cast("string"), 9, "0"), F.lit(".json")).alias("path"), F.when(d % 11 == 0, "v4").otherwise("v5").alias("schema_version"), (d % 13 == 0).alias("has_pose"), (d % 17 == 0).alias("managed"), F.when(d % 19 == 0, " ").otherwise(F.col("source")).alias("source_group"),
+        F.when(d % 23 == 0, "diagonal").otherwise(" normal").alias("trick_orientation"), F.when(F.col("toxic").isNotNull() & (F.col("quality") == 0), "draft").otherwise("Approved").alias("string_review_status"), F.when(d % 29 == 0, "bad").otherwise("partial").alias("string_visibility"),
+        F.when(d % 31 == 0, F.array(F.lit("yoyo_bbox"))).otherwise(F.array(F.lit("yoyo_bbox"), F.lit("visible_geometry"), F.lit("x"))).alias("scopes"), F.when(d % 37 != 0, F.col("sha")).alias("image_digest"), F.when(d % 41 == 0, "0").when(d % 2 == 0, F.col("sha")).alias("image_sha256"), (F.col("n_chars") % 5).cast("string").alias("updated_at"),
+    )
+    return D.scanned_labels(labels, "v5", ("normal", "horizontal", "not_applicable"), ("visible", "partial", "not_visible", "uncertain"))
 
 
 @query("src_discover_roots")
@@ -393,11 +403,23 @@ def doc_rebase_sources(spark, sf_dir):
     return D.rebase_sources(labels, listing, "doc_id", "path").select("doc_id", "action", "path")
 
 
-@query("doc_triage_cache", f"WITH {SAMPLES} SELECT doc_id, doc_id % 2 = 0 AS cached, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'computed' END AS answer FROM samples")
+@query("doc_triage_cache", f"""WITH {SAMPLES} SELECT doc_id, doc_id % 2 = 0 AS cached, CASE WHEN doc_id % 7 = 0 THEN 'no_result' WHEN doc_id % 5 = 0 THEN 'already_applied' WHEN doc_id % 3 = 0 THEN 'nothing_to_apply' ELSE 'applied' END AS status,
+  CASE WHEN doc_id % 7 > 0 AND doc_id % 5 > 0 AND doc_id % 3 > 0 THEN 2 ELSE 1 END AS revision, CASE WHEN doc_id % 7 > 0 AND doc_id % 5 > 0 AND doc_id % 3 > 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'computed' END ELSE 'none' END AS scene, CASE WHEN doc_id % 7 > 0 THEN 'already' END AS again FROM samples""")
 def doc_triage_cache(spark, sf_dir):
+    """Answers from the cache or computed, applied to their labels, and applied a second time: nothing changes then."""
     s = samples(spark, sf_dir).select("doc_id", F.lit("v1").alias("prompt"))
     cache = s.where("doc_id % 2 = 0").withColumn("answer", F.lit("old")).unionByName(s.where("doc_id % 2 = 1").withColumn("prompt", F.lit("v0")).withColumn("answer", F.lit("stale")))
-    return D.with_cache(s, cache, ["doc_id", "prompt"], "answer", F.lit("computed")).select("doc_id", "cached", "answer")
+    answers = D.with_cache(s, cache, ["doc_id", "prompt"], "answer", F.lit("computed"))
+    message = F.concat(F.lit("triage "), F.sha2(F.concat_ws("|", "doc_id", "answer"), 256))
+    none = F.expr("map_filter(map('scene_label', ''), (k, v) -> false)")
+    results = answers.where("doc_id % 7 <> 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, none).otherwise(F.create_map(F.lit("scene_label"), F.col("answer"))).alias("promotions"), message.alias("message"))
+    said = answers.select("doc_id", "cached", message.alias("message"))
+    labels = said.select("doc_id", F.lit(1).cast("long").alias("revision"), F.when(F.col("doc_id") % 5 == 0, F.array("message")).otherwise(F.array(F.lit("first"))).alias("messages"), F.create_map(F.lit("scene_label"), F.lit("none")).alias("fields"))
+    once = D.applied_once(labels, results, "doc_id", F.col("message"))
+    twice = D.applied_once(once.drop("apply_status"), results.withColumn("promotions", F.create_map(F.lit("scene_label"), F.lit("other"))).join(once.where("apply_status <> 'nothing_to_apply'").select("doc_id"), "doc_id", "left_semi"), "doc_id", F.col("message"))
+    again = twice.select("doc_id", F.when(F.col("apply_status") == "already_applied", "already").alias("again"), F.col("fields")["scene_label"].alias("scene"), F.col("revision").cast("int").alias("revision"))
+    out = once.select("doc_id", F.col("apply_status").alias("status")).join(again, "doc_id").join(said.select("doc_id", "cached"), "doc_id")
+    return out.select("doc_id", "cached", "status", "revision", "scene", F.when((F.col("status") == "nothing_to_apply"), "already").otherwise(F.col("again")).alias("again"))
 
 
 @query("doc_cleanup_candidates", "SELECT doc_id, 3 AS depth FROM documents WHERE doc_id % 3 = 0 AND source <> 'src1' AND doc_id <> 9")

@@ -279,9 +279,13 @@ SELECT source, split FROM d JOIN best USING (attempt)""")
 def sp_random_search(spark, sf_dir):
     return splits.random_search(splits.long_features(_features(spark, sf_dir), "source"), "source", RATIOS, seed=7)
 
-@query("sp_quotas", "SELECT count(DISTINCT source) >= 3 AS enough FROM documents")
+@query("sp_quotas", """WITH g AS (SELECT user_id, count(DISTINCT event_type) AS n, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY user_id), s AS (SELECT user_id, n + days AS n FROM g WHERE n + days >= 3),
+q AS (SELECT *, greatest(1, CAST(round_even(n * 0.45::DOUBLE, 0) AS BIGINT)) AS v, greatest(1, CAST(round_even(n * 0.5::DOUBLE, 0) AS BIGINT)) AS t FROM s), o AS (SELECT *, greatest(0, v + t - n + 1) AS more FROM q)
+SELECT user_id, n - v - t + more AS train, v - CASE WHEN v >= t THEN more ELSE 0 END AS val, t - CASE WHEN v >= t THEN 0 ELSE more END AS test FROM o""")
 def sp_quotas(spark, sf_dir):
-    return read(spark, sf_dir, "documents").agg((F.count_distinct("source") >= 3).alias("enough"))
+    """Quotas of users as if the kinds and days of their events were groups."""
+    g = read(spark, sf_dir, "events").groupBy("user_id").agg((F.count_distinct("event_type") + F.count_distinct(F.to_date("ts"))).alias("n")).where("n >= 3")
+    return splits.split_quotas(g, "n", 0.45, 0.5).select("user_id", "train", "val", "test")
 
 
 @query("sp_frozen", f"SELECT source, CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INTEGER) < 15 THEN {SPLIT} ELSE 'train' END AS split FROM (SELECT DISTINCT source FROM documents)")

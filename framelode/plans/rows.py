@@ -387,12 +387,6 @@ def prj_metric_summary(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", F.try_element_at(kept, F.lit("metrics/mAP50(B)")).alias("mAP50"), F.try_element_at(kept, F.lit("metrics/recall(B)")).alias("recall"))
 
 
-@query("prj_adaptive_route", f"WITH {BOXES} SELECT frame, det, CASE WHEN conf < 0.3 THEN 'single' WHEN conf < 0.7 THEN 'low_threshold' ELSE 'ensemble' END AS route FROM boxes")
-def prj_adaptive_route(spark, sf_dir):
-    route = F.when(F.col("conf") < 0.3, "single").when(F.col("conf") < 0.7, "low_threshold").otherwise("ensemble")
-    return boxes(spark, sf_dir).select("frame", "det", route.alias("route"))
-
-
 @query("prj_hand_anchor", f"WITH {BOXES} SELECT frame, det, 'not_applicable' AS anchor, false AS mismatch, greatest(48.0, 0.025 * sqrt(640.0 * 640.0 + 360.0 * 360.0)) AS threshold FROM boxes")
 def prj_hand_anchor(spark, sf_dir):
     diagonal = F.sqrt(F.lit(640.0 * 640.0 + 360.0 * 360.0))
@@ -406,12 +400,6 @@ def prj_string_lines(spark, sf_dir):
     return boxes(spark, sf_dir).select("frame", "det", F.when(F.col("conf") < 0.3, "").otherwise(line).alias("line"))
 
 
-@query("flt_reacquire", f"WITH {BOXES} SELECT frame, det, coalesce(lag(conf) OVER w < 0.5, false) AND conf >= 0.5 AS rerun, cls = 1 AND conf >= 0.4 AS seeds FROM boxes WINDOW w AS (PARTITION BY frame ORDER BY det)")
-def flt_reacquire(spark, sf_dir):
-    before = F.lag("conf").over(W.partitionBy("frame").orderBy("det"))
-    return boxes(spark, sf_dir).select("frame", "det", (F.coalesce(before < 0.5, F.lit(False)) & (F.col("conf") >= 0.5)).alias("rerun"), ((F.col("cls") == 1) & (F.col("conf") >= 0.4)).alias("seeds"))
-
-
 @query("val_manifest_match", "SELECT source, source <> 'src5' AS matches, CASE WHEN source = 'src5' THEN '-other-' || left(sha256(source), 8) ELSE '' END AS suffix FROM (SELECT DISTINCT source FROM documents)")
 def val_manifest_match(spark, sf_dir):
     s = read(spark, sf_dir, "documents").select("source").distinct()
@@ -419,13 +407,6 @@ def val_manifest_match(spark, sf_dir):
     return s.select("source", same.alias("matches"), F.when(same, "").otherwise(F.concat(F.lit("-other-"), F.substring(F.sha2("source", 256), 1, 8))).alias("suffix"))
 
 
-@query("flt_seed", f"WITH {BOXES} SELECT frame, det, cls = 1 AND conf >= 0.4 AND det % 3 <> 0 AS seeds FROM boxes")
-def flt_seed(spark, sf_dir):
-    """Only rows that are visible, sure and unambiguous seed the next one."""
-    clear = (F.col("cls") == 1) & (F.col("conf") >= 0.4) & (F.col("det") % 3 != 0)
-    return boxes(spark, sf_dir).select("frame", "det", clear.alias("seeds"))
-
-
 def masks(spark, sf_dir):
     """8 x 8 masks of the signs of vectors."""
     bit = F.transform("embedding", lambda v: (v > 0).cast("int"))

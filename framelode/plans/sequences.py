@@ -153,6 +153,16 @@ def win_rolling_gate(spark, sf_dir):
     return e.select("grp", "frame", "fires", "latched")
 
 
+@query("prj_adaptive_route", f"""WITH {FRAMES}, g AS (SELECT *, avg(value / 500) OVER w AS m, count(*) OVER w = 12 AND sum(CASE WHEN event_type = 'click' AND value > 100 THEN 1 ELSE 0 END) OVER w <= 0 AND avg(value / 500) OVER w < 0.1 AND avg(value / 1000) OVER w > 0.018 AS fires FROM frames WINDOW w AS (PARTITION BY grp ORDER BY frame ROWS 11 PRECEDING)),
+f AS (SELECT *, coalesce(frame > min(CASE WHEN fires THEN frame END) OVER (PARTITION BY grp), false) AS latched, min_by(m, CASE WHEN fires THEN frame END) OVER (PARTITION BY grp) AS mean FROM g)
+SELECT grp, frame, round_even(mean, 6) AS mean, CASE WHEN NOT latched THEN 'ensemble' WHEN mean < 0.085 THEN 'single' ELSE 'adaptive_ensemble' END AS route, CASE WHEN latched AND mean < 0.095 THEN 0.35 ELSE 0.5 END::DOUBLE AS threshold FROM f""")
+def prj_adaptive_route(spark, sf_dir):
+    """The route and threshold of each frame of a video: those that the gate's first window decides, from the frame after it on."""
+    gated = [(F.col("event_type") == "click") & (F.col("value") > 100), F.col("value") / 500, F.col("value") / 1000]
+    e = S.adaptive_route(frames(spark, sf_dir), gated, native=0.5, adapted=0.35, adapted_below=0.095, single_below=0.085, confidence_below=0.1)
+    return e.select("grp", "frame", F.bround("mean", 6).alias("mean"), "route", "threshold")
+
+
 @query("win_interval_frames", f"""WITH {FRAMES}, s AS (SELECT grp, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY grp ORDER BY frame) AS step FROM frames)
 SELECT grp, greatest(1, CAST(round_even(coalesce(1 / median(CASE WHEN step > 0 THEN step END), 0.00001) / 0.00001, 0) AS BIGINT)) AS interval FROM s GROUP BY grp""")
 def win_interval_frames(spark, sf_dir):
@@ -310,6 +320,18 @@ def win_line_carry(spark, sf_dir):
     return folds.carried_lines(line_frames(spark, sf_dir)).withColumn("x", F.bround("x", 6)).withColumn("y", F.bround("y", 6))
 
 
+@query("flt_reacquire", LINES + "SELECT grp, n AS frame, again AS rerun, asked OR again AS consulted FROM s WHERE n >= 0")
+def flt_reacquire(spark, sf_dir):
+    """Frames on which the model is asked again, as an anchored one would be left without a line."""
+    return folds.carried_lines(line_frames(spark, sf_dir)).select("grp", "frame", F.col("again").alias("rerun"), (F.col("asked") | F.col("again")).alias("consulted"))
+
+
+@query("flt_seed", LINES + "SELECT grp, n AS frame, source <> 'none' AS found, seeds FROM s WHERE n >= 0")
+def flt_seed(spark, sf_dir):
+    """Lines that the next frame goes on from: neither ambiguous nor off the hand."""
+    return folds.carried_lines(line_frames(spark, sf_dir)).select("grp", "frame", (F.col("source") != "none").alias("found"), "seeds")
+
+
 def observations(spark, sf_dir):
     """Frames of 50 videos with what was detected, probabilities of labels, a share of foreground, and lines; every 13th comes twice."""
     found = F.array_sort(F.collect_list(F.struct("det", "x1", "y1", "x2", "y2", "conf", "cls")))
