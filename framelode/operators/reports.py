@@ -82,10 +82,15 @@ def source_inventory(roots: DataFrame, labels: DataFrame, root: str, label: str,
     return roots.select(root).join(found, root, "left").join(first, root, "left").select(root, zero("discovered"), zero("included"), zero("excluded"))
 
 
+def limits_reached(value: Column, limits: list[float]) -> Column:
+    """How many of the limits a value reaches, as one sum that is compiled; null reaches none."""
+    return reduce(lambda a, b: a + b, (F.when(value >= t, 1).otherwise(0) for t in limits), F.lit(0))
+
+
 def threshold_table(df: DataFrame, score: Column, target: Column, thresholds: list[float]) -> DataFrame:
     """tp, fp, fn and f1 at each threshold, in one pass: rows are counted by the number of thresholds they reach, then summed up."""
     limits = F.array(*[F.lit(t) for t in thresholds])
-    reached = F.aggregate(limits, F.lit(0), lambda n, t: n + F.when(score >= t, 1).otherwise(0))
+    reached = limits_reached(score, thresholds)
     counts = df.where(target.isNotNull()).groupBy(reached.alias("reached")).agg(F.count_if(target).alias("pos"), F.count_if(~target).alias("neg"))
     table = df.sparkSession.range(1).select(F.posexplode(limits).alias("i", "threshold"))
     # at most as many rows as there are thresholds on either side
@@ -108,7 +113,7 @@ def threshold_report(pixels: DataFrame, image: str, score: Column, target: Colum
     pass that is written, and these counts, by then as few as thresholds, are summed up.
     """
     limits = F.array(*[F.lit(t) for t in thresholds])
-    reach = lambda v: F.aggregate(limits, F.lit(0), lambda n, t: n + F.when(v >= t, 1).otherwise(0))
+    reach = lambda v: limits_reached(v, thresholds)
     rows = pixels.select(F.col(image).alias("image"), reach(score).alias("own"), reach(near_score).alias("near"), target.alias("target"), near_target.alias("beside"))
     # pixels are read once: from here on a row stands for all pixels of an image that are alike
     cells = settle(rows.groupBy("image", "own", "near", "target", "beside").agg(F.count(F.lit(1)).alias("n")), "cells")
