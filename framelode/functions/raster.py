@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .geometry import resample
+from .geometry import _samples, resample
 
 #: Steps to the eight neighbours of a pixel, in the order in which searches take them.
 NEIGHBOURS = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -163,18 +163,44 @@ def skeleton_path(mask: Column, most: int = 64) -> Column:
     return run(mask)
 
 
+def _shares(lines: pa.Array, masks: pa.Array, spacing: float, most_pairs: int = 1 << 21) -> np.ndarray:
+    """For each row the share of its line's samples in one of its polygons: samples of all rows against the polygons of theirs, edge by edge."""
+    n = len(lines)
+    one_each = pa.ListArray.from_arrays(pa.array(np.arange(n + 1), type=pa.int32()), lines)
+    at, row = _samples(one_each, spacing)
+    at, hit = at.astype(np.float64), np.zeros(len(at), dtype=bool)
+    polygons = pc.list_flatten(masks)
+    sizes = pc.fill_null(pc.list_value_length(polygons), 0).to_numpy().astype(np.int64)
+    corners = pc.list_flatten(pc.list_flatten(polygons)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, 2)
+    starts = np.cumsum(sizes) - sizes
+    count = np.bincount(pc.list_parent_indices(masks).to_numpy(), minlength=n)
+    first = np.cumsum(count) - count
+    edges = np.cumsum(count[row])
+    low = 0
+    while low < len(row):
+        high = max(low + 1, int(np.searchsorted(edges, (edges[low - 1] if low else 0) + most_pairs, side="right")))
+        times = count[row[low:high]]
+        sample = np.repeat(np.arange(low, high), times)
+        polygon = np.repeat(first[row[low:high]], times) + np.arange(len(sample)) - np.repeat(np.cumsum(times) - times, times)
+        odd = np.zeros(len(sample), dtype=bool)
+        for k in range(int(sizes[polygon].max(initial=0))):
+            live = np.flatnonzero(sizes[polygon] > k)
+            a, b = starts[polygon[live]] + k, starts[polygon[live]] + (k + 1) % sizes[polygon[live]]
+            (x1, y1), (x2, y2), (x, y) = corners[a].T, corners[b].T, at[sample[live]].T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                odd[live] ^= ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+        hit[sample[odd]] = True
+        low = high
+    total = np.bincount(row, minlength=n)
+    return np.where(total > 0, np.bincount(row, weights=hit, minlength=n) / np.maximum(1, total), 0.0)
+
+
 def mask_support(line: Column, polygons: Column, spacing: float = 2.0) -> Column:
     """Share of a line's samples that lie in one of the polygons; 0 without samples."""
-    def share(points, polys):
-        at = resample(np.array(points), spacing) if points else np.empty((0, 2))
-        hit = np.zeros(len(at), dtype=bool)
-        for p in polys or []:
-            hit |= inside(at, np.array(p))
-        return float(hit.mean()) if len(at) else 0.0
 
     @F.arrow_udf("double")
     def run(lines: pa.Array, masks: pa.Array) -> pa.Array:
-        return pa.array([share(a, b) for a, b in zip(lines.to_pylist(), masks.to_pylist(), strict=True)], type=pa.float64())
+        return pa.array(_shares(lines, masks, spacing))
 
     return run(line, polygons)
 

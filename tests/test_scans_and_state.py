@@ -231,3 +231,20 @@ def test_a_store_of_scores_forgets_what_is_deleted(spark, tmp_path):
         workbench.delete_scores(spark.createDataFrame([("../x.json",)], "storage_key string"), base, 4)
     names = spark.createDataFrame([("a b/c: d.x.mp4",), ("...",), (None,), ("x" * 200,)], "n string").select(workbench.score_key(F.col("n"), F.lit("i")).alias("k")).collect()
     assert [r.k.rsplit("_", 1)[0] for r in names] == ["c_d.x", "video", "video", "x" * 80]
+
+
+def test_support_of_a_batch_is_that_of_each_line(spark):
+    point = lambda: [RNG.uniform(0, 30), RNG.uniform(0, 30)]
+    rows = [(k, [point() for _ in range(RNG.randint(0, 4))], [[point() for _ in range(RNG.choice([0, 3, 4, 7]))] for _ in range(RNG.randint(0, 3))]) for k in range(80)] + [(80, None, [[point()]]), (81, [point(), point()], None), (82, None, None)]
+    df = spark.createDataFrame(rows, "k long, line array<array<double>>, polygons array<array<array<double>>>")
+    for r in df.select("k", raster.mask_support(F.col("line"), F.col("polygons")).alias("share")).collect():
+        _, line, polygons = rows[r.k]
+        samples = G.resample(np.array(line), 2.0) if line else np.empty((0, 2))
+        hit = np.zeros(len(samples), dtype=bool)
+        for p in polygons or []:
+            if p:
+                hit |= raster.inside(samples, np.array(p))
+        assert r.share == pytest.approx(hit.mean() if len(samples) else 0.0, abs=1e-12)
+    cut = pa.array([[[0.0, 0.0], [9.0, 9.0]]] * 5, type=pa.list_(pa.list_(pa.float64())))
+    square = pa.array([[[[0.0, 0.0], [5.0, 0.0], [5.0, 5.0], [0.0, 5.0]]]] * 5, type=pa.list_(pa.list_(pa.list_(pa.float64()))))
+    assert len(set(raster._shares(cut, square, 2.0, most_pairs=3).tolist())) == 1
