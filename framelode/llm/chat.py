@@ -42,7 +42,8 @@ def chains(rows: DataFrame) -> DataFrame:
     Turns are ordered by (turn, role, text), a null turn first; rows with an equal turn follow each other. Numbers come
     from running totals over runs of turns, so that no task sees a whole conversation.
     """
-    named = rows.select(F.col("conv_id").cast("long").alias("tree"), F.greatest(F.coalesce(F.col("turn").cast("long") + 1, F.lit(0)), F.lit(0)).alias("_slot"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    slot = F.when(F.col("turn") >= 0, F.least(F.col("turn").cast("long"), F.lit((1 << 63) - 2)) + 1).otherwise(0)  # the last two share one
+    named = rows.select(F.col("conv_id").cast("long").alias("tree"), slot.alias("_slot"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     named = named.withColumn("_key", F.coalesce(F.col("tree").cast("string"), F.lit(""))).withColumn("_one", F.lit(1).cast("long"))
     numbered = running_total(named, "_key", "_slot", ["turn", "role", "text"], "_one", "_at", shifts=(10, 20))
     node = F.col("_at") - 1

@@ -51,39 +51,42 @@ def with_shared_openings(said: DataFrame, block: int = 100, lengths: int = 6) ->
     return members.select("conv"), own.unionByName(shared)
 
 
-def _subtries(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Nodes of the subtries whose turns one group holds: dictionaries of pointers from a turn to a child, sums in postorder."""
-    for rows in groups:
-        children: list[dict] = [{}]
-        least, parent, ids, depth, chars, convs = [None], [0], [None], [0], [0], [0]
-        now, at = None, 0
-        for conv, d, name, n_chars, weight in rows.sort_values(["conv", "at"])[["conv", "at", "id", "n_chars", "weight"]].itertuples(index=False, name=None):
-            if conv != now:
-                now, at = conv, 0
-            child = children[at].get(name)
-            if child is None:
-                child = children[at][name] = len(children)
-                children.append({})
-                for column, value in ((least, conv), (parent, at), (ids, name), (depth, d), (chars, n_chars), (convs, 0)):
-                    column.append(value)
-            at = child
-            convs[at] += weight
-        order, stack = [], [0]
-        while stack:
-            at = stack.pop()
-            order.append(at)
-            stack.extend(children[at].values())
-        leaves, saved = [0] * len(children), [0] * len(children)
-        for at in reversed(order[1:]):
-            leaves[at] += not children[at]
-            saved[at] += (convs[at] - 1) * chars[at]
-            leaves[parent[at]] += leaves[at]
-            saved[parent[at]] += saved[at]
-        nodes = range(1, len(children))
-        yield pd.DataFrame({
-            "id": ids[1:], "at": depth[1:], "conv": least[1:], "above": [least[parent[i]] for i in nodes], "n_convs": convs[1:],
-            "n_children": [len(children[i]) for i in nodes], "n_leaves": leaves[1:], "saved": saved[1:],
-        })
+def _subtries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nodes of the subtries whose turns one group holds: dictionaries of pointers from a turn to a child, sums in postorder.
+
+    A group comes in batches, and a conversation or a subtrie may lie in several: they are put together first.
+    """
+    rows = pd.concat(batches, ignore_index=True)
+    children: list[dict] = [{}]
+    least, parent, ids, depth, chars, convs = [None], [0], [None], [0], [0], [0]
+    now, at = None, 0
+    for conv, d, name, n_chars, weight in rows.sort_values(["conv", "at"])[["conv", "at", "id", "n_chars", "weight"]].itertuples(index=False, name=None):
+        if conv != now:
+            now, at = conv, 0
+        child = children[at].get(name)
+        if child is None:
+            child = children[at][name] = len(children)
+            children.append({})
+            for column, value in ((least, conv), (parent, at), (ids, name), (depth, d), (chars, n_chars), (convs, 0)):
+                column.append(value)
+        at = child
+        convs[at] += weight
+    order, stack = [], [0]
+    while stack:
+        at = stack.pop()
+        order.append(at)
+        stack.extend(children[at].values())
+    leaves, saved = [0] * len(children), [0] * len(children)
+    for at in reversed(order[1:]):
+        leaves[at] += not children[at]
+        saved[at] += (convs[at] - 1) * chars[at]
+        leaves[parent[at]] += leaves[at]
+        saved[parent[at]] += saved[at]
+    nodes = range(1, len(children))
+    yield pd.DataFrame({
+        "id": ids[1:], "at": depth[1:], "conv": least[1:], "above": [least[parent[i]] for i in nodes], "n_convs": convs[1:],
+        "n_children": [len(children[i]) for i in nodes], "n_leaves": leaves[1:], "saved": saved[1:],
+    })
 
 
 def _ends(ended: DataFrame) -> DataFrame:

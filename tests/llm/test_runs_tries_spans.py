@@ -131,6 +131,28 @@ def test_tries_of_nulls_ties_and_turnless_members(spark):
     assert collections.Counter(map(tuple, prefix_trie.trie(members, said).collect())) == brute_trie(rebuilt)
 
 
+def test_tries_of_more_rows_than_a_batch_are_those_of_brute_force(spark):
+    """Groups come to Python in batches of spark.sql.execution.arrow.maxRecordsPerBatch rows, which may cut conversations."""
+    rng = random.Random(6)
+    by = {c: [("user", rng.choice("ab")) for _ in range(rng.randint(1, 6))] + [("assistant", "c")] * rng.randint(0, 3) for c in range(60)}
+    rows = [(c, k, role, text, 9) for c, said in by.items() for k, (role, text) in enumerate(said)]
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = [collections.Counter(map(tuple, prefix_trie.prefix_trie(talks(spark, rows), most).collect())) for most in (40, 200_000)]
+        said = prefix_trie.turns(talks(spark, rows))
+        found.append(collections.Counter(map(tuple, prefix_trie.trie(said.select("conv").distinct(), said, usual_rows=50).collect())))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert all(f == brute_trie(by) for f in found)
+
+
+def test_tries_of_the_greatest_and_least_turns(spark):
+    rows = [(1, 2**63 - 1, "user", "z", 1), (1, 2**63 - 2, "user", "y", 1), (1, 0, "user", "x", 1), (1, -(2**63), "user", "b", 1), (1, None, "user", "a", 1)]
+    by = {1: [("user", t) for t in "abxyz"]}
+    assert collections.Counter(map(tuple, prefix_trie.prefix_trie(talks(spark, rows)).collect())) == brute_trie(by)
+
+
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
 
