@@ -31,8 +31,9 @@ from .components import components
 #: Bits of the blocks that partitions are made of; cost of a signature row and of a candidate pair in the programs below.
 BLOCK, ROW_COST, PAIR_COST = 4, 1.0, 0.01
 #: Groups of signatures up to this size are compared pair by pair on whole arrays, larger ones, and those in which nearly all are
-#: near, by a search that drops what it has reached; of up to so many connected members all links are kept for verification.
-PAIRWISE, SMALL = 128, 24
+#: near, by a search that drops what it has reached; of up to so many connected members all links are verified at once, the rest
+#: of a crowded group's pairs later, in cells of about so many rows of a group by as many.
+PAIRWISE, SMALL, CELL = 128, 24, 1024
 #: Longs of a fingerprint of texts that are linked by similarity, and those of them that go with a signature; share of pairs
 #: just at the bound that may have no candidate; standard deviations beyond the bits that such a pair is expected to differ in.
 LONGS, SENT, MISS, DEVIATIONS = 8, 2, 0.003, 3.5
@@ -331,8 +332,27 @@ def spanning_links(nodes: np.ndarray, fps: np.ndarray, radius: int, more: bool =
     return a, b
 
 
+def few_links(nodes: np.ndarray, fps: np.ndarray, radius: int, fold: int = 3) -> tuple[list[np.ndarray], list[np.ndarray]] | None:
+    """All links within the radius in one group; None if these are more than fold times its members."""
+    a, b, found = [], [], 0
+    for i in range(len(nodes) - 1):
+        near = _near(fps[i + 1 :], fps[i], radius)
+        b.append(nodes[i + 1 :][near])
+        a.append(np.full(len(b[-1]), nodes[i]))
+        found += len(b[-1])
+        if found > fold * len(nodes):
+            return None
+    return a, b
+
+
 def near_links(signed: DataFrame, radius: int, more: bool = False) -> DataFrame:
-    """(a, b): links of nodes within the radius, enough of them to connect all that each group of equal keys connects."""
+    """(a, b): links of nodes within the radius, enough of them to connect all that each group of equal keys connects.
+
+    With more, for links that are still to be verified: (a, b, key, first longs) with all links of a group, but for a crowded
+    one, with over three links a member: it gives spanning links and, with its key and without b, each of its members, whose
+    other links come from links_between().
+    """
+    longs = _columns(signed)
 
     def solve(columns: list[np.ndarray]) -> pa.RecordBatch:
         keys, nodes, fps = columns[0], columns[1], np.stack(columns[2:], axis=1)
@@ -355,15 +375,27 @@ def near_links(signed: DataFrame, radius: int, more: bool = False) -> DataFrame:
             a, b, of = (np.concatenate(x) for x in (a, b, of))
             dense |= np.bincount(of, minlength=len(sizes)) > 3 * sizes
             a, b = [a[~dense[of]]], [b[~dense[of]]]
+        crowds = []
         for at in np.flatnonzero(dense):
             own = slice(starts[at], starts[at] + sizes[at])
-            x, y = spanning_links(nodes[own], fps[own], radius, more)
+            if more and sizes[at] > PAIRWISE and (all_of := few_links(nodes[own], fps[own], radius)) is not None:
+                x, y = all_of
+            else:
+                x, y = spanning_links(nodes[own], fps[own], radius, more)
+                crowds.append(np.arange(own.start, own.stop))
             a += x
             b += y
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
         keep = a != b
         pairs = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=["a", "b"])
+        ends = [pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]
+        if not more:
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+        of = np.concatenate(crowds) if crowds else np.empty(0, np.int64)
+        none = lambda n: pa.nulls(n, pa.int64())
+        members = [pa.array(nodes[of]), none(len(of)), pa.array(keys[of]), *(pa.array(np.ascontiguousarray(fps[of, i])) for i in range(len(longs)))]
+        both = [pa.concat_arrays([x, y]) for x, y in zip([*ends, *[none(len(pairs))] * (1 + len(longs))], members, strict=True)]
+        return pa.RecordBatch.from_arrays(both, names=["a", "b", "key", *longs])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -381,7 +413,38 @@ def near_links(signed: DataFrame, radius: int, more: bool = False) -> DataFrame:
         if held:
             yield solve([np.concatenate([h[i] for h in held]) for i in range(len(held[0]))])
 
-    return signed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    names = ["a", "b", "key", *longs] if more else ["a", "b"]
+    return signed.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def links_between(members: DataFrame, linked: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
+    """(a, b): all links within the radius between members of one group that are of different components so far.
+
+    members: key, node, first longs; linked: node, root. A group is dealt into blocks, each pair of which is compared by
+    itself, so that neither rows nor links of a large group meet in one task. Groups of one component have nothing to give.
+    """
+    longs = _columns(members)
+    rooted = members.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("_least"), F.max("root").alias("_most"), F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("_blocks"))
+    dealt = rooted.join(mixed.where("_least < _most"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "node", "root", *longs)
+
+    def compare(rows: pa.Table) -> pa.Table:
+        own, low, nodes, roots = (rows.column(c).to_numpy() for c in ("own", "low", "node", "root"))
+        fps = np.stack([rows.column(c).to_numpy() for c in longs], axis=1)
+        order = np.argsort(own != low, kind="stable")
+        nodes, roots, fps, split = nodes[order], roots[order], fps[order], int((own == low).sum())
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(split):
+            rest = slice(split if split < len(nodes) else i + 1, None)
+            near = (roots[rest] != roots[i]) & _near(fps[rest], fps[i], radius)
+            b.append(nodes[rest][near])
+            a.append(np.full(len(b[-1]), nodes[i]))
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
@@ -433,6 +496,38 @@ def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: in
     return both.where(common >= similarity * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b")
 
 
+def similar_links_of_crowds(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, similarity: float, share: int = 2_000_000) -> DataFrame:
+    """As similar_links(), for nodes with very many links: blocks of nodes by blocks, so that a set goes once to each that needs it."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("of")).distinct()
+    wanted = nodes.join(ends, F.col("node") == F.col("of"), "left_semi").select("node", "k1", "k2")
+    sets = settle(_shingle_sets(docs, wanted, width), "shingles")
+    blocks = 1 + int(sets.agg(F.sum(F.size("hashes"))).first()[0] or 0) // share
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    pairs = links.select(block("a").alias("of_a"), block("b").alias("of_b"), "a", "b")
+    needed = pairs.select(F.col("of_a").alias("at_a"), F.col("of_b").alias("at_b"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    sent = needed.join(sets.dropDuplicates(["node"]), "node").select("at_a", "at_b", "node", "hashes")
+
+    def verify(pairs: pa.Table, sent: pa.Table) -> pa.Table:
+        column = sent.column("hashes").combine_chunks()
+        starts, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)  # the order that they are sorted in
+        at = {n: k for k, n in enumerate(sent.column("node").to_pylist())}
+        pairs = pairs.sort_by("a")
+        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+        places = [np.fromiter((at[x] for x in ends.tolist()), dtype=np.int64, count=len(ends)) for ends in (a, b)]
+        sizes, common = np.diff(starts), np.zeros(len(a), dtype=np.int64)
+        for k, (i, j) in enumerate(zip(*(p.tolist() for p in places), strict=True)):
+            if not k or a[k] != a[k - 1]:
+                own = flat[starts[i] : starts[i + 1]]
+            other = flat[starts[j] : starts[j + 1]]
+            # sets are sorted: a member is there if it is at its place
+            if len(own) and min(len(own), len(other)) >= similarity * max(len(own), len(other)) - 1e-6:
+                common[k] = np.count_nonzero(own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other)
+        kept = common >= similarity * (sizes[places[0]] + sizes[places[1]] - common) - 1e-9
+        return pa.table({"a": a[kept], "b": b[kept]})
+
+    return pairs.groupBy("of_a", "of_b").cogroup(sent.groupBy("at_a", "at_b")).applyInArrow(verify, "a long, b long")
+
+
 def duplicates_by_similarity(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, k1, k2 and root of each distinct (id, text) that stands for its near-duplicates: the one with the least id.
 
@@ -451,9 +546,14 @@ def duplicates_by_similarity(docs: DataFrame, width: int = 5, similarity: float
     radius = int(bits * apart + DEVIATIONS * sqrt(bits * apart * (1 - apart)))
     chain, n = bit_order(nodes)
     parts = allocate_for(block_distances(nodes, chain, 2), n, apart)
-    links = settle(near_links(signatures(nodes, chain, parts, SENT), radius, more=True).distinct(), "candidates")
+    met = settle(near_links(signatures(nodes, chain, parts, SENT), radius, more=True), "candidates")
     keys = nodes.select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
-    linked = components(similar_links(docs, keys, links, width, similarity))
+    similar = settle(similar_links(docs, keys, met.where("b IS NOT NULL").select("a", "b").distinct(), width, similarity), "similar")
+    linked = components(similar)
+    # the rest of crowded groups: all pairs of what isn't connected by then
+    rest = settle(links_between(met.where("b IS NULL").withColumnRenamed("a", "node").drop("b"), linked, radius), "rest")
+    if not rest.isEmpty():
+        linked = components(similar.unionByName(similar_links_of_crowds(docs, keys, rest, width, similarity)))
     rooted = nodes.select("node", "first").join(linked.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), "first")
     return rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.k1", "first.k2", "root")
 

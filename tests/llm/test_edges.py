@@ -4,6 +4,8 @@ import collections
 import random
 
 
+import numpy as np
+
 import corpus_pipeline
 from framelode.llm import ann, chat, html_template, media, mixing, packing, quality, simhash, suffix_dedup, url_filter
 
@@ -63,6 +65,37 @@ def test_similarity_of_repeated_lines_is_that_of_sets(spark):
     assert kept == {1, 2, 4}
 
 
+def test_similar_texts_in_a_crowd_of_less_similar_ones_are_linked(spark):
+    """100 pairs at about 0.82 whose texts are at about 0.5 to all others: a crowd that agrees in most partitions."""
+    rng = random.Random(4)
+    base, texts = [f"w{i}" for i in range(104)], []
+    for k in range(100):
+        own = list(base)
+        for at in rng.sample(range(0, 100, 5), 4):
+            own[at + 2] = f"x{k}-{at}"
+        twin = list(own)
+        for at in rng.sample([i for i in range(7, 95, 5) if own[i][0] == "w"], 2):
+            twin[at] = f"y{k}-{at}"
+        texts += [" ".join(own), " ".join(twin)]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    near = {(i, j) for j in range(200) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert near == {(i, i + 1) for i in range(0, 200, 2)}
+    kept = sorted(r.doc_id for r in simhash.deduplicated(clashing(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect())
+    assert kept == list(range(0, 200, 2))
+
+
+def test_links_between_components_of_a_group_are_all_of_them(spark):
+    rng = np.random.default_rng(3)
+    prints = rng.integers(-(2**62), 2**62, 8)[rng.integers(0, 8, 90)] ^ (1 << rng.integers(0, 60, 90))
+    members = spark.createDataFrame([(k, i, int(f)) for k in (5, 6) for i, f in enumerate(prints)], "key long, node long, fp long")
+    linked = spark.createDataFrame([(i, i % 4) for i in range(60)], "node long, root long")
+    root = lambda i: i % 4 if i < 60 else i
+    exact = {(i, j) for j in range(90) for i in range(j) if (int(prints[i]) ^ int(prints[j])).bit_count() <= 2 and root(i) != root(j)}
+    for cell in (7, 1000):
+        found = [(r.a, r.b) for r in simhash.links_between(members, linked, 2, cell).collect()]
+        assert len(found) == len(exact) and set(found) == exact
+
+
 def test_suffix_dedup_of_long_and_null_texts(spark):
     out = suffix_dedup.removal(clashing(spark, ROWS)).collect()
     by = collections.defaultdict(list)
