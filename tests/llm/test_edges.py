@@ -3,7 +3,6 @@
 import collections
 import random
 
-
 import numpy as np
 
 import corpus_pipeline
