@@ -32,8 +32,9 @@ from .components import components
 BLOCK, ROW_COST, PAIR_COST = 4, 1.0, 0.01
 #: Groups of signatures up to this size are compared pair by pair on whole arrays, larger ones, and those in which nearly all are
 #: near, by a search that drops what it has reached; of up to so many connected members all links are verified at once, the rest
-#: of a crowded group's pairs later, in cells of about so many rows of a group by as many.
-PAIRWISE, SMALL, CELL = 128, 24, 1024
+#: of a crowded group's pairs later, in cells of at most about so many rows of a group by as many, and so many shingles. A group
+#: has LEAST_BLOCKS blocks at least, unless it is small.
+PAIRWISE, SMALL, CELL, SHARE, LEAST_BLOCKS = 128, 24, 1024, 1_000_000, 8
 #: Longs of a fingerprint of texts that are linked by similarity, and those of them that go with a signature; share of pairs
 #: just at the bound that may have no candidate; standard deviations beyond the bits that such a pair is expected to differ in.
 LONGS, SENT, MISS, DEVIATIONS = 8, 2, 0.003, 3.5
@@ -348,11 +349,11 @@ def few_links(nodes: np.ndarray, fps: np.ndarray, radius: int, fold: int = 3) ->
 def near_links(signed: DataFrame, radius: int, more: bool = False) -> DataFrame:
     """(a, b): links of nodes within the radius, enough of them to connect all that each group of equal keys connects.
 
-    With more, for links that are still to be verified: (a, b, key, first longs) with all links of a group, but for a crowded
-    one, with over three links a member: it gives spanning links and, with its key and without b, each of its members, whose
-    other links come from links_between().
+    With more, for links that are still to be verified: (a, b, crowd) with all links of a group, but for a crowded one, with
+    over three links a member: it gives spanning links, marked by crowd; what else is within reach of each other in it comes
+    from links_of_crowds().
     """
-    longs = _columns(signed)
+    names = ["a", "b", "crowd"] if more else ["a", "b"]
 
     def solve(columns: list[np.ndarray]) -> pa.RecordBatch:
         keys, nodes, fps = columns[0], columns[1], np.stack(columns[2:], axis=1)
@@ -375,27 +376,21 @@ def near_links(signed: DataFrame, radius: int, more: bool = False) -> DataFrame:
             a, b, of = (np.concatenate(x) for x in (a, b, of))
             dense |= np.bincount(of, minlength=len(sizes)) > 3 * sizes
             a, b = [a[~dense[of]]], [b[~dense[of]]]
-        crowds = []
+        crowd = [np.zeros(len(x), dtype=np.int64) for x in a]
         for at in np.flatnonzero(dense):
             own = slice(starts[at], starts[at] + sizes[at])
             if more and sizes[at] > PAIRWISE and (all_of := few_links(nodes[own], fps[own], radius)) is not None:
-                x, y = all_of
+                (x, y), crowded = all_of, 0
             else:
-                x, y = spanning_links(nodes[own], fps[own], radius, more)
-                crowds.append(np.arange(own.start, own.stop))
+                (x, y), crowded = spanning_links(nodes[own], fps[own], radius, more), 1
             a += x
             b += y
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+            crowd += [np.full(len(z), crowded) for z in x]
+        a, b, crowd = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b, crowd))
         keep = a != b
-        pairs = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]], axis=1), axis=0)
-        ends = [pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)]
-        if not more:
-            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-        of = np.concatenate(crowds) if crowds else np.empty(0, np.int64)
-        none = lambda n: pa.nulls(n, pa.int64())
-        members = [pa.array(nodes[of]), none(len(of)), pa.array(keys[of]), *(pa.array(np.ascontiguousarray(fps[of, i])) for i in range(len(longs)))]
-        both = [pa.concat_arrays([x, y]) for x, y in zip([*ends, *[none(len(pairs))] * (1 + len(longs))], members, strict=True)]
-        return pa.RecordBatch.from_arrays(both, names=["a", "b", "key", *longs])
+        found = [np.minimum(a, b)[keep], np.maximum(a, b)[keep], *([crowd[keep]] if more else [])]
+        found = np.unique(np.stack(found, axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in found.T], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -413,38 +408,75 @@ def near_links(signed: DataFrame, radius: int, more: bool = False) -> DataFrame:
         if held:
             yield solve([np.concatenate([h[i] for h in held]) for i in range(len(held[0]))])
 
-    names = ["a", "b", "key", *longs] if more else ["a", "b"]
     return signed.repartition("key").sortWithinPartitions("key").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def links_between(members: DataFrame, linked: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
-    """(a, b): all links within the radius between members of one group that are of different components so far.
+def links_between(members: DataFrame, linked: DataFrame, within: float, cell: int = CELL, share: int = SHARE) -> DataFrame:
+    """(a, b): links between members of one group that are of different components so far.
 
-    members: key, node, first longs; linked: node, root. A group is dealt into blocks, each pair of which is compared by
-    itself, so that neither rows nor links of a large group meet in one task. Groups of one component have nothing to give.
+    members: key, node and first longs, for all links that differ in `within` bits at most; or key, node and hashes (a set), for
+    links of at least this Jaccard similarity: verified where sets meet, and enough of them to connect all that they connect,
+    so a cell gives fewer links than it has rows. linked: node, root. A group is dealt into blocks, each pair of which is
+    compared by itself, so that neither rows nor links of a large group meet in one task. Groups of one component have nothing
+    to give.
     """
-    longs = _columns(members)
-    rooted = members.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("_least"), F.max("root").alias("_most"), F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("_blocks"))
+    longs, sets = _columns(members), "hashes" in members.columns
+    light = members.select("key", "node", (F.size("hashes") if sets else F.lit(1)).alias("size"))
+    rooted = light.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    n = F.count(F.lit(1))
+    blocks = F.ceil(F.greatest(n / cell, F.sum("size") / share, F.least(n * LEAST_BLOCKS / cell, F.lit(LEAST_BLOCKS)))).cast("int")
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("_least"), F.max("root").alias("_most"), blocks.alias("_blocks"))
     dealt = rooted.join(mixed.where("_least < _most"), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "node", "root", *longs)
+    dealt = dealt.select("key", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "node", "root")
+    dealt = dealt.join(members, ["key", "node"])
+
+    def arranged(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, int]:
+        """Rows, nodes and roots with those of the lower block first, and the number of these."""
+        lower = rows.column("own").to_numpy() == rows.column("low").to_numpy()
+        rows = rows.take(np.argsort(~lower, kind="stable"))
+        return rows, rows.column("node").to_numpy(), rows.column("root").to_numpy(), int(lower.sum())
+
+    def links(a: list[np.ndarray], b: list[np.ndarray]) -> pa.Table:
+        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def compare(rows: pa.Table) -> pa.Table:
-        own, low, nodes, roots = (rows.column(c).to_numpy() for c in ("own", "low", "node", "root"))
+        rows, nodes, roots, split = arranged(rows)
         fps = np.stack([rows.column(c).to_numpy() for c in longs], axis=1)
-        order = np.argsort(own != low, kind="stable")
-        nodes, roots, fps, split = nodes[order], roots[order], fps[order], int((own == low).sum())
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        a, b = [], []
         for i in range(split):
             rest = slice(split if split < len(nodes) else i + 1, None)
-            near = (roots[rest] != roots[i]) & _near(fps[rest], fps[i], radius)
+            near = (roots[rest] != roots[i]) & _near(fps[rest], fps[i], within)
             b.append(nodes[rest][near])
             a.append(np.full(len(b[-1]), nodes[i]))
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return links(a, b)
+
+    def verify(rows: pa.Table) -> pa.Table:
+        rows, nodes, roots, split = arranged(rows)
+        roots, column = roots.copy(), rows.column("hashes").combine_chunks()
+        starts = column.offsets.to_numpy().astype(np.int64)
+        values, ids = np.unique(column.values.to_numpy()[starts[0] : starts[-1]], return_inverse=True)
+        starts, held = starts - starts[0], np.zeros(len(values), dtype=bool)
+        sizes = np.diff(starts)
+        a, b = [], []
+        for i in range(split):
+            first = split if split < len(nodes) else i + 1
+            if (roots[first:] == roots[i]).all():
+                continue
+            own = ids[starts[i] : starts[i + 1]]
+            held[own] = True
+            met = np.concatenate([[0], np.cumsum(held[ids[starts[first] :]])])[starts[first:] - starts[first]]
+            held[own] = False
+            common = np.diff(met)
+            similar = first + np.flatnonzero((roots[first:] != roots[i]) & (common >= within * (sizes[i] + sizes[first:] - common) - 1e-9))
+            _, one = np.unique(roots[similar], return_index=True)  # a link for each component that is met
+            b.append(nodes[similar[one]])
+            a.append(np.full(len(one), nodes[i]))
+            roots[np.isin(roots, roots[similar])] = roots[i]
+        return links(a, b)
 
-    return dealt.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long").distinct()
+    return dealt.groupBy("key", "low", "high").applyInArrow(verify if sets else compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
@@ -484,48 +516,25 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return texts.sortWithinPartitions("k1", "k2").select("node", "text").mapInArrow(run, "node long, hashes array<long>")
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose texts have at least this Jaccard similarity of distinct shingles; nodes: node, k1, k2."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("of")).distinct()
-    wanted = nodes.join(ends, F.col("node") == F.col("of"), "left_semi").select("node", "k1", "k2")
-    # a hot copy's rows may be split over tasks, each of which gives its set
-    sets = settle(_shingle_sets(docs, wanted, width), "shingles").dropDuplicates(["node"])
+def similar_links(sets: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose nodes have sets (node, hashes) of at least this Jaccard similarity."""
     side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
     both = links.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(common >= similarity * (F.size("of_a") + F.size("of_b") - common) - 1e-9).select("a", "b")
 
 
-def similar_links_of_crowds(docs: DataFrame, nodes: DataFrame, links: DataFrame, width: int, similarity: float, share: int = 2_000_000) -> DataFrame:
-    """As similar_links(), for nodes with very many links: blocks of nodes by blocks, so that a set goes once to each that needs it."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("of")).distinct()
-    wanted = nodes.join(ends, F.col("node") == F.col("of"), "left_semi").select("node", "k1", "k2")
-    sets = settle(_shingle_sets(docs, wanted, width), "shingles")
-    blocks = 1 + int(sets.agg(F.sum(F.size("hashes"))).first()[0] or 0) // share
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    pairs = links.select(block("a").alias("of_a"), block("b").alias("of_b"), "a", "b")
-    needed = pairs.select(F.col("of_a").alias("at_a"), F.col("of_b").alias("at_b"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    sent = needed.join(sets.dropDuplicates(["node"]), "node").select("at_a", "at_b", "node", "hashes")
-
-    def verify(pairs: pa.Table, sent: pa.Table) -> pa.Table:
-        column = sent.column("hashes").combine_chunks()
-        starts, flat = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)  # the order that they are sorted in
-        at = {n: k for k, n in enumerate(sent.column("node").to_pylist())}
-        pairs = pairs.sort_by("a")
-        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
-        places = [np.fromiter((at[x] for x in ends.tolist()), dtype=np.int64, count=len(ends)) for ends in (a, b)]
-        sizes, common = np.diff(starts), np.zeros(len(a), dtype=np.int64)
-        for k, (i, j) in enumerate(zip(*(p.tolist() for p in places), strict=True)):
-            if not k or a[k] != a[k - 1]:
-                own = flat[starts[i] : starts[i + 1]]
-            other = flat[starts[j] : starts[j + 1]]
-            # sets are sorted: a member is there if it is at its place
-            if len(own) and min(len(own), len(other)) >= similarity * max(len(own), len(other)) - 1e-6:
-                common[k] = np.count_nonzero(own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other)
-        kept = common >= similarity * (sizes[places[0]] + sizes[places[1]] - common) - 1e-9
-        return pa.table({"a": a[kept], "b": b[kept]})
-
-    return pairs.groupBy("of_a", "of_b").cogroup(sent.groupBy("at_a", "at_b")).applyInArrow(verify, "a long, b long")
+def links_of_crowds(sets: DataFrame, crowded: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links of at least this similarity between what crowded links (a, b) connect and linked (node, root) doesn't yet.
+
+    What crowded links connect, taken over the components so far, is one group; its texts are compared by their sets, all with
+    all, and no pair becomes a row unless it is similar.
+    """
+    of = lambda side: linked.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    ends = crowded.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    groups = components(ends.where("a <> b")).select(F.col("node").alias("root"), F.col("root").alias("key"))
+    nodes = crowded.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return links_between(nodes.join(groups, "root").select("key", "node").join(sets, "node"), linked, similarity)
 
 
 def duplicates_by_similarity(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -548,12 +557,16 @@ def duplicates_by_similarity(docs: DataFrame, width: int = 5, similarity: float
     parts = allocate_for(block_distances(nodes, chain, 2), n, apart)
     met = settle(near_links(signatures(nodes, chain, parts, SENT), radius, more=True), "candidates")
     keys = nodes.select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
-    similar = settle(similar_links(docs, keys, met.where("b IS NOT NULL").select("a", "b").distinct(), width, similarity), "similar")
-    linked = components(similar)
+    links = met.select("a", "b").distinct()
+    wanted = keys.join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    # a hot copy's rows may be split over tasks, each of which gives its set
+    sets = settle(_shingle_sets(docs, wanted, width), "shingles").dropDuplicates(["node"])
+    similar = settle(similar_links(sets, links, similarity), "similar")
+    linked = settle(components(similar), "linked")
     # the rest of crowded groups: all pairs of what isn't connected by then
-    rest = settle(links_between(met.where("b IS NULL").withColumnRenamed("a", "node").drop("b"), linked, radius), "rest")
+    rest = settle(links_of_crowds(sets, met.where("crowd = 1").select("a", "b").distinct(), linked, similarity), "rest")
     if not rest.isEmpty():
-        linked = components(similar.unionByName(similar_links_of_crowds(docs, keys, rest, width, similarity)))
+        linked = components(similar.unionByName(rest))
     rooted = nodes.select("node", "first").join(linked.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select(F.coalesce("root", "node").alias("root"), "first")
     return rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.k1", "first.k2", "root")
 

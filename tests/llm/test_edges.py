@@ -83,6 +83,54 @@ def test_similar_texts_in_a_crowd_of_less_similar_ones_are_linked(spark):
     assert kept == list(range(0, 200, 2))
 
 
+def test_a_crowd_of_less_similar_texts_makes_no_row_for_each_pair(spark, monkeypatch):
+    """Texts at about 0.7 to each other, within reach of the fingerprints, and one pair at over 0.8."""
+    rng, settle, written = random.Random(5), simhash.settle, {}
+
+    def counted(df, label):
+        out = settle(df, label)
+        written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "settle", counted)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for k in range(150):
+        own = list(base)
+        for at in rng.sample(range(0, 195, 6), 6):
+            own[at + 2] = f"x{k}-{at}"
+        texts.append(" ".join(own))
+    texts.append(texts[0].replace(" w199", " z"))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    near = {(i, j) for j in range(151) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert (0, 150) in near
+    root = list(range(151))
+    for i, j in near:
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    kept = sorted(r.doc_id for r in simhash.deduplicated(clashing(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect())
+    assert kept == sorted(set(root)) and len(kept) > 100
+    assert written["rest"] <= 151 and max(written.values()) < 151 * 150 / 4
+
+
+def test_links_between_sets_of_a_group_connect_what_all_links_connect(spark):
+    rng = np.random.default_rng(6)
+    sets = [sorted({*range(10 * (i % 9), 10 * (i % 9) + 40)} - {*rng.integers(0, 130, 10).tolist()}) for i in range(80)] + [[]]
+    members = spark.createDataFrame([(k, i, s) for k in (5, 6) for i, s in enumerate(sets)], "key long, node long, hashes array<long>")
+    linked = spark.createDataFrame([(i, i % 4) for i in range(8)], "node long, root long")
+    near = {(i, j) for j in range(81) for i in range(j) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]}) - 1e-9}
+
+    def classes(links):
+        root = [i % 4 if i < 8 else i for i in range(81)]
+        for i, j in links:
+            root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+        return root
+
+    assert len(near) > 80
+    for cell, share in ((7, 10**6), (1000, 10**6), (1000, 300)):
+        found = [(r.a, r.b) for r in simhash.links_between(members, linked, 0.8, cell, share).collect()]
+        assert set(found) <= near and classes(found) == classes(near)
+        assert cell < 1000 or share < 1000 or len(found) < 81
+
+
 def test_links_between_components_of_a_group_are_all_of_them(spark):
     rng = np.random.default_rng(3)
     prints = rng.integers(-(2**62), 2**62, 8)[rng.integers(0, 8, 90)] ^ (1 << rng.integers(0, 60, 90))
