@@ -136,18 +136,19 @@ def resample(points: np.ndarray, spacing: float) -> np.ndarray:
     return resampled(points, np.zeros(len(points), dtype=np.int64), spacing)[0]
 
 
-def resampled(points: np.ndarray, line: np.ndarray, spacing: float) -> tuple[np.ndarray, np.ndarray]:
-    """The samples of many lines at once, with the line of each. points: (n, 2) floats; line: the line of each, not falling."""
-    points = points.astype(np.float32)
+def resampled(points: np.ndarray, line: np.ndarray, spacing: float, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """The samples of many lines at once, with the line of each. points: (n, 2) floats; line: the line of each, not falling;
+    kind: the precision of points, lengths and samples. A length next to a multiple of the spacing may round across it in single."""
+    points = points.astype(kind)
     if not len(points):
         return points, line
     names, first, size = np.unique(line, return_index=True, return_counts=True)
     own = np.repeat(np.arange(len(names)), size)
     place = np.arange(len(points)) - first[own]
-    step = np.zeros(len(points), dtype=np.float32)
+    step = np.zeros(len(points), dtype=kind)
     step[1:] = np.where(place[1:] > 0, np.hypot(*np.diff(points, axis=0).T), 0)
-    along = np.zeros(len(points), dtype=np.float32)
-    for k in range(1, int(size.max())):  # sums go along a line in single precision, all lines at once
+    along = np.zeros(len(points), dtype=kind)
+    for k in range(1, int(size.max())):  # sums go along a line in its precision, all lines at once
         at = first[size > k] + k
         along[at] = along[at - 1] + step[at]
     along = along.astype(np.float64)
@@ -167,16 +168,16 @@ def resampled(points: np.ndarray, line: np.ndarray, spacing: float) -> tuple[np.
     share = np.where(width > 0, (at - along[low]) / np.where(width > 0, width, 1), 0.0)[:, None]
     found = points[low].astype(np.float64) + (points[high].astype(np.float64) - points[low]) * share
     found = np.where((last & (count[of] > 1))[:, None], points[first[of] + size[of] - 1], found)
-    return found.astype(np.float32), names[of]
+    return found.astype(kind), names[of]
 
 
-def _samples(lines: pa.Array, spacing: float) -> tuple[np.ndarray, np.ndarray]:
+def _samples(lines: pa.Array, spacing: float, kind: type = np.float32) -> tuple[np.ndarray, np.ndarray]:
     """Samples of all polylines of all rows of an array of rows of lines of points, and the row of each."""
     row_of_line = pc.list_parent_indices(lines).to_numpy()
     flat = pc.list_flatten(lines)
     points = pc.list_flatten(flat)
-    xy = pc.list_flatten(points).to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, 2)
-    at, line = resampled(xy, pc.list_parent_indices(flat).to_numpy(), spacing)
+    xy = pc.list_flatten(points).to_numpy(zero_copy_only=False).astype(kind).reshape(-1, 2)
+    at, line = resampled(xy, pc.list_parent_indices(flat).to_numpy(), spacing, kind)
     return at, row_of_line[line] if len(line) else line
 
 

@@ -132,11 +132,11 @@ def fn_polyline_sample(spark, sf_dir):
 t AS (SELECT frame, coalesce(sum(step), 0) AS total, arg_min(x1, det) AS x_first, arg_min(y1, det) AS y_first, arg_max(x1, det) AS x_last, arg_max(y1, det) AS y_last FROM l GROUP BY frame)
 SELECT frame, CASE WHEN total > 1e-6 THEN greatest(2, CAST(ceil(total / 4.0) AS BIGINT) + 1) ELSE 1 END AS samples, x_first, y_first, CASE WHEN total > 1e-6 THEN x_last ELSE x_first END AS x_last, CASE WHEN total > 1e-6 THEN y_last ELSE y_first END AS y_last, true AS even FROM t""")
 def fn_polyline_points(spark, sf_dir):
-    """The samples of fn_polyline_sample one row each, by a table function; here how many a line has, its ends, and that no two
-    that follow each other are further apart than the spacing."""
+    """The samples of fn_polyline_sample one row each, by a table function and in double precision; here how many a line has, its
+    ends, and that no two that follow each other are further apart than the spacing."""
     lines = polylines(spark, sf_dir).select(F.col("frame").alias("id"), F.array("line").alias("lines"), F.lit(4.0).alias("spacing"))
     w = W.partitionBy("id").orderBy("place")
-    points = TF.polyline_samples(lines).withColumn("_far", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
+    points = TF.polyline_samples(lines, double=True).withColumn("_far", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
     first, last = (lambda c: F.min_by(c, "place").alias(f"{c}_first")), (lambda c: F.max_by(c, "place").alias(f"{c}_last"))
     found = points.groupBy(F.col("id").alias("frame")).agg(F.count(F.lit(1)).alias("samples"), first("x"), first("y"), last("x"), last("y"), F.coalesce(F.max("_far") <= 4.001, F.lit(True)).alias("even"))
     return found.select("frame", "samples", "x_first", "y_first", "x_last", "y_last", "even")

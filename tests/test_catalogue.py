@@ -82,3 +82,25 @@ def test_frame_loop_is_its_batch_fold(spark):
     batch = stateful.frame_loop_replay(sequences.observations(spark, DATA))
     stream = catalogue.queries()["st_frame_loop"](spark, DATA)
     assert sorted(map(repr, batch.collect())) == sorted(map(repr, stream.select(*batch.columns).collect()))
+
+
+def against_sql(spark, name, folder, **tables):
+    """Rows of a query over tables made here, and those of its SQL."""
+    con = duckdb.connect()
+    for table, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    df = catalogue.queries()[name](spark, str(folder))
+    columns = sorted(df.columns)
+    return sorted(map(tuple, df.select(*columns).collect())), sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({catalogue.oracle_sql()[name]})").fetchall())
+
+
+LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double"
+
+
+def test_samples_are_counted_in_double_precision(spark, tmp_path):
+    corners = [(1, 0), (21, 10), (18, 2), (45, 3), (23, 17)], [(56, 11), (35, 14), (19, 0), (33, 27), (55, 5)], [(0, 0), (4, 0)], [(3, 3)], [(5, 5), (5, 5)]
+    rows = [(k, x, y, n, 1.0, 1.0, 0.0) for k, line in enumerate(corners) for n, (x, y) in enumerate(line)]
+    found, expected = against_sql(spark, "fn_polyline_points", tmp_path, lineitem=(rows, LINES))
+    assert found == expected  # the first lines are longer than 84 and 104 by less than single precision tells
+    assert [r[2] for r in sorted(found, key=lambda r: r[1])] == [23, 28, 2, 1, 1]
