@@ -89,6 +89,21 @@ def observe(state: dict | None, probabilities: list[float], interval: int, burst
     return state, out | {"label": state["label"] or "unknown"}
 
 
+def mean(values: list[float]) -> float:
+    """The average of values added one after the other, as windows in SQL add them; sum() carries what rounding loses and may
+    end on the other side of a limit."""
+    total = 0.0
+    for v in values:
+        total += v
+    return total / len(values)
+
+
+def gate_fires(rows: list, window: int, confidence_below: float, ratio_above: float, most_accepts: int = 0) -> bool:
+    """Whether the last rows (accepted, confidence, ratio) fire the rolling gate: the window is full, accepts at most so often,
+    and is less sure than the limit and farther than the limit on average."""
+    return len(rows) == window and sum(r[0] for r in rows) <= most_accepts and mean([r[1] for r in rows]) < confidence_below and mean([r[2] for r in rows]) > ratio_above
+
+
 def iou(a: list[float], b: list[float]) -> float:
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     both = max(0.0, w) * max(0.0, h)

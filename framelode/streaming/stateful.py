@@ -72,8 +72,7 @@ def gate_latch(df: DataFrame, window: int = 12, confidence_below: float = 0.82,
     def step(state, row):
         rows, latched = state or [[], False]
         rows = [*rows, [bool(row["accepted"]), float(row["confidence"]), float(row["ratio"])]][-window:]
-        n = len(rows)
-        fires = n == window and sum(r[0] for r in rows) <= most_accepts and sum(r[1] for r in rows) / n < confidence_below and sum(r[2] for r in rows) / n > ratio_above
+        fires = folds.gate_fires(rows, window, confidence_below, ratio_above, most_accepts)
         return [rows, latched or fires], {"grp": row["grp"], "frame": row["frame"], "fires": fires, "latched": latched}
 
     return keyed_fold(df, "grp", "frame", step, "grp long, frame long, fires boolean, latched boolean", timeout_ms)
@@ -137,8 +136,7 @@ def loop_step(now: Carried, row: dict, how: LoopPolicy = LoopPolicy()) -> dict:
     now.gone = 0 if one else now.gone + 1
     now.label, said = folds.observe(now.label, [float(p) for p in row["probs"]], how.interval, how.burst, 4, 0.6)
     now.gate = [*now.gate, (one is not None and picked["source"] == "preferred_track", float(one["conf"]) if one else 0.0, float(row["ratio"]))][-how.window :]
-    n = len(now.gate)
-    fires = n == how.window and not any(g[0] for g in now.gate) and sum(g[1] for g in now.gate) / n < how.confidence_below and sum(g[2] for g in now.gate) / n > how.ratio_above
+    fires = folds.gate_fires(now.gate, how.window, how.confidence_below, how.ratio_above)
     before, now.latched, now.last = now.latched, now.latched or fires, int(row["frame"])
     shift = None if row["shift"] is None else [float(v) for v in row["shift"]]
     seen = None if row["seen"] is None else {"points": [float(v) for v in row["seen"]["points"]], "ambiguous": row["seen"]["ambiguous"], "mismatch": row["seen"]["mismatch"]}

@@ -1,5 +1,6 @@
 """Queries against their SQL on the smallest tables, and the rule that nothing else imports the training-data operators."""
 
+import datetime
 import importlib
 import math
 import os
@@ -104,3 +105,13 @@ def test_samples_are_counted_in_double_precision(spark, tmp_path):
     found, expected = against_sql(spark, "fn_polyline_points", tmp_path, lineitem=(rows, LINES))
     assert found == expected  # the first lines are longer than 84 and 104 by less than single precision tells
     assert [r[2] for r in sorted(found, key=lambda r: r[1])] == [23, 28, 2, 1, 1]
+
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def test_the_gate_adds_as_its_sql(spark, tmp_path):
+    values = [16.56, 18.9, 11.0, 26.76, 181.31, 13.06, 92.94, 101.26, 23.25, 66.04, 10.58, 38.34, 20.0]  # the first twelve are 600, next to the limit
+    rows = [(k, datetime.datetime(2024, 1, 1, 0, k), 7, "view", v, "") for k, v in enumerate(values)]
+    found, expected = against_sql(spark, "st_gate_latch", tmp_path, events=(rows, EVENTS))
+    assert found == expected and len(found) == 13
