@@ -586,8 +586,9 @@ def st_gate_latch(spark, sf_dir):
 
 @query("st_track_identity", sequences.FOLLOWED)
 def st_track_identity(spark, sf_dir):
-    rows = lambda s, d: boxes(s, d).groupBy((F.col("frame") % 50).alias("grp"), "frame").agg(F.array_sort(F.collect_list(F.struct("det", "x1", "y1", "x2", "y2", "conf", "cls"))).alias("found"))
-    return stateful.drain(stateful.track_identity(streamed(spark, sf_dir, rows, "found")), "tracks")
+    b = boxes(spark, sf_dir).groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("det", "x1", "y1", "x2", "y2", "conf", "cls"))).alias("found"))
+    rows = b.join(sequences.places(spark, sf_dir), "frame", "left").select((F.col("frame") % 50).alias("grp"), "frame", "found", F.coalesce("place", F.lit(0)).alias("place"))
+    return stateful.drain_in_steps(rows, F.floor(F.col("place") / stateful.STEP), stateful.track_identity, "tracks")
 
 
 @query("st_frame_loop")

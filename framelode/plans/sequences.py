@@ -332,6 +332,13 @@ def flt_seed(spark, sf_dir):
     return folds.carried_lines(line_frames(spark, sf_dir)).select("grp", "frame", (F.col("source") != "none").alias("found"), "seeds")
 
 
+def places(spark, sf_dir):
+    """Frames with their places in their videos (50, by the frame's number), from 0. Only keys go through the order of a video, which
+    one task has."""
+    keys = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame")).distinct()
+    return keys.select("frame", (F.row_number().over(W.partitionBy(F.col("frame") % 50).orderBy("frame")) - 1).cast("long").alias("place"))
+
+
 def observations(spark, sf_dir):
     """Frames of 50 videos with what was detected, probabilities of labels, a share of foreground, and lines; every 13th comes twice."""
     found = F.array_sort(F.collect_list(F.struct("det", "x1", "y1", "x2", "y2", "conf", "cls")))

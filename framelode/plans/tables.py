@@ -24,8 +24,9 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders as detections: one frame an order, a box of four doubles, confidence and class."""
     at = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     x, y = (F.col("l_partkey") % 60).cast("double"), (F.col("l_suppkey") % 40).cast("double")
-    return read(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("frame"), at.cast("long").alias("det"), x.alias("x1"), y.alias("y1"), (x + 20 + F.col("l_quantity")).alias("x2"), (y + 15 + 8 * F.col("l_linenumber")).alias("y2"),
+    # numbered first: what is derived then doesn't go through the shuffle, and its partitions serve groups by frame
+    return read(spark, sf_dir, "lineitem").withColumn("det", at.cast("long")).select(
+        F.col("l_orderkey").alias("frame"), "det", x.alias("x1"), y.alias("y1"), (x + 20 + F.col("l_quantity")).alias("x2"), (y + 15 + 8 * F.col("l_linenumber")).alias("y2"),
         (F.col("l_discount") * 9 + 0.05).alias("conf"), (F.col("l_linenumber") % 2).cast("long").alias("cls"),
     )
 

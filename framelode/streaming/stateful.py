@@ -10,17 +10,27 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import folds
 from ..scratch import scratch_dir
 
 
+def _in_order(batches: Iterator[pd.DataFrame], order: str, size: int = 2000) -> Iterator[list[dict]]:
+    """A key's rows of a batch in order, as records of some rows at a time."""
+    rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+    for at in range(0, len(rows), size):
+        yield rows.iloc[at : at + size].to_dict("records")
+
+
 def keyed_fold(df: DataFrame, group: str, order: str, step: Callable[[object, dict], tuple[object, dict]], schema: str, timeout_ms: int | None = None) -> DataFrame:
     """step over a stream's rows by key; its state must survive json (tuples come back as lists)."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -30,18 +40,21 @@ def keyed_fold(df: DataFrame, group: str, order: str, step: Callable[[object, di
             state.remove()
             return
         last, inner = (state.get[0], json.loads(state.get[1])) if state.exists else (None, None)
-        rows = []
-        for row in pd.concat(list(batches)).sort_values(order).to_dict("records"):
-            if last is not None and row[order] <= last:
-                continue
-            inner, out = step(inner, row)
-            last = int(row[order])
-            rows.append(out)
+        parts = []
+        for records in _in_order(batches, order):
+            rows = []
+            for row in records:
+                if last is not None and row[order] <= last:
+                    continue
+                inner, out = step(inner, row)
+                last = int(row[order])
+                rows.append(out)
+            parts.append(pd.DataFrame(rows, columns=names))
         if last is not None:
             state.update((last, json.dumps(inner)))
             if timeout_ms:
                 state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(rows, columns=names)
+        yield from parts
 
     return df.groupBy(group).applyInPandasWithState(run, schema, "last long, inner string", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
 
@@ -231,9 +244,46 @@ def frame_loop_replay(df: DataFrame, how: LoopPolicy = LoopPolicy()) -> DataFram
     return folds.fold(df, "grp", "frame", Carried, step, LOOP)
 
 
+#: Rows of a key in one step of drain_in_steps: what a Python worker holds at once of a key.
+STEP = 20_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _swept(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each job that begins inside go when it ends, not when the driver happens to collect its plan."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def _run(stream: DataFrame, base: str) -> None:
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+
+
 def drain(stream: DataFrame, label: str) -> DataFrame:
     """All that a stream gives from the input that is there now, through files in the shared folder."""
     spark = stream.sparkSession
     base = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{base}/out").awaitTermination()
+    _run(stream, base)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def drain_in_steps(rows: DataFrame, step: Column, run: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """All that run makes of rows as a stream that comes step by step: the rows with the least number first, and those of each
+    number in a batch of its own, after the batch before has ended. So of a key a batch holds no more than a step has of it,
+    however long the key is, if steps follow the key's order; state goes from batch to batch in the checkpoint.
+    """
+    spark = rows.sparkSession
+    base = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    with _swept(spark):
+        rows.withColumn("_step", step.cast("long")).write.partitionBy("_step").parquet(f"{base}/rows")
+        kept = spark.read.schema(StructType([*rows.schema, StructField("_step", LongType())])).parquet(f"{base}/rows")
+        for number in sorted(r[0] for r in kept.select("_step").distinct().collect()) or [0]:
+            kept.where(F.col("_step") == number).drop("_step").write.mode("append").parquet(f"{base}/in")
+            stream = run(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+            _run(stream, base)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
