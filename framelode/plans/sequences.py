@@ -304,14 +304,19 @@ LINES = f"""WITH RECURSIVE {LINE_FRAMES}, s AS (
 """
 
 
-def line_frames(spark, sf_dir):
-    b = boxes(spark, sf_dir)
+def said():
+    """What the model of lines has of a frame's boxes, as aggregates; and from these the columns seen and shift."""
     surest = F.max_by(F.array("x1", "y1", "x2", "y2"), F.struct("conf", -F.col("det")))
-    f = b.groupBy("frame").agg(F.bool_or(F.col("cls") == 0).alias("_any"), F.when(F.max("conf") > 0.6, surest).alias("points"), F.count(F.lit(1)).alias("_n"))
     dx = (F.col("frame") % 7).cast("double") - 3
     seen = F.when(F.col("points").isNotNull(), F.struct("points", (F.col("_n") >= 6).alias("ambiguous"), (F.col("frame") % 11 == 0).alias("mismatch")))
+    return [F.when(F.max("conf") > 0.6, surest).alias("points"), F.count(F.lit(1)).alias("_n")], [seen.alias("seen"), F.when(F.col("frame") % 5 > 0, F.array(dx, dx / 2)).alias("shift")]
+
+
+def line_frames(spark, sf_dir):
+    of_boxes, columns = said()
+    f = boxes(spark, sf_dir).groupBy("frame").agg(F.bool_or(F.col("cls") == 0).alias("_any"), *of_boxes)
     place = F.row_number().over(W.partitionBy(F.col("frame") % 50).orderBy("frame")) - 1
-    return f.select((F.col("frame") % 50).alias("grp"), place.cast("long").alias("frame"), (F.col("_any") & (F.col("frame") % 4 > 0)).alias("anchored"), seen.alias("seen"), F.when(F.col("frame") % 5 > 0, F.array(dx, dx / 2)).alias("shift"))
+    return f.select((F.col("frame") % 50).alias("grp"), place.cast("long").alias("frame"), (F.col("_any") & (F.col("frame") % 4 > 0)).alias("anchored"), *columns)
 
 
 @query("win_line_carry", LINES + "SELECT grp, n AS frame, asked, again, source, out_age AS age, seeds, lost, round_even(shown_at[1], 6) AS x, round_even(shown_at[2], 6) AS y FROM s WHERE n >= 0")
@@ -342,11 +347,9 @@ def places(spark, sf_dir):
 def observations(spark, sf_dir):
     """Frames of 50 videos with what was detected, probabilities of labels, a share of foreground, and lines; every 13th comes twice."""
     found = F.array_sort(F.collect_list(F.struct("det", "x1", "y1", "x2", "y2", "conf", "cls")))
-    b = boxes(spark, sf_dir).groupBy("frame").agg(found.alias("found"), F.avg("conf").alias("conf"))
-    lines = line_frames(spark, sf_dir).select(F.col("grp").alias("_grp"), F.col("frame").alias("_n"), "seen", "shift")
-    n = F.row_number().over(W.partitionBy(F.col("frame") % 50).orderBy("frame")) - 1
-    rows = b.select((F.col("frame") % 50).alias("grp"), n.cast("long").alias("frame"), F.filter("found", lambda d: (d["cls"] == 0) | (F.col("frame") % 9 > 2)).alias("found"), F.array(F.col("conf") + 0.2, F.when(F.col("frame") % 7 == 0, 1.5).otherwise(0.3), F.lit(0.1)).alias("probs"), (F.col("conf") / 10).alias("ratio"))
-    rows = rows.join(lines, (F.col("grp") == F.col("_grp")) & (F.col("frame") == F.col("_n"))).drop("_grp", "_n")
+    of_boxes, columns = said()
+    b = boxes(spark, sf_dir).groupBy("frame").agg(found.alias("found"), F.avg("conf").alias("conf"), *of_boxes).join(places(spark, sf_dir), "frame")
+    rows = b.select((F.col("frame") % 50).alias("grp"), F.col("place").alias("frame"), F.filter("found", lambda d: (d["cls"] == 0) | (F.col("frame") % 9 > 2)).alias("found"), F.array(F.col("conf") + 0.2, F.when(F.col("frame") % 7 == 0, 1.5).otherwise(0.3), F.lit(0.1)).alias("probs"), (F.col("conf") / 10).alias("ratio"), *columns)
     return rows.select("*", F.explode(F.when(F.col("frame") % 13 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("_copy")).drop("_copy")
 
 

@@ -204,14 +204,13 @@ class FrameLoop(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         now = self.read()
-        batch = pd.concat(list(rows)).sort_values("frame", kind="stable")
-        out = [loop_step(now, row, self.how) for row in batch.to_dict("records")]
+        out = [pd.DataFrame([loop_step(now, row, self.how) for row in records]).astype(_NULLABLE) for records in _in_order(rows, "frame")]
         self.write(now)
         if self.how.release_ms:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.how.release_ms)
-        yield pd.DataFrame(out).astype(_NULLABLE)
+        yield from out
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
         for state in (*self.values.values(), self.gate):

@@ -5,6 +5,8 @@ import importlib
 import math
 import os
 import re
+import tempfile
+import time
 from pathlib import Path
 
 import duckdb
@@ -123,7 +125,7 @@ def test_a_long_video_comes_in_steps(spark, monkeypatch):
 
     folder = Path(re.sub("^file:/+", "/", scratch_dir(spark)))
     monkeypatch.setattr(stateful, "STEP", 10)
-    for name, label, same in (("st_track_identity", "tracks", "win_track_carry"),):
+    for name, label, same in (("st_track_identity", "tracks", "win_track_carry"), ("st_frame_loop", "loop", None)):
         before = set(folder.iterdir())
         df = catalogue.queries()[name](spark, DATA)
         (base,) = [d for d in set(folder.iterdir()) - before if d.name.startswith(label)]
@@ -139,3 +141,20 @@ def test_steps_of_a_table_without_rows(spark):
 
     rows = spark.createDataFrame([], "grp long, frame long, found array<struct<x1:double,y1:double,x2:double,y2:double,conf:double,cls:long>>")
     assert stateful.drain_in_steps(rows, rows.frame, stateful.track_identity, "none").collect() == []
+
+
+def test_frames_of_videos_are_shuffled_once_and_leave_no_files(spark):
+    from framelode.plans import sequences
+
+    plan = sequences.observations(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert plan.count("FileScan") == 2 and len(wide) == 3, plan  # rows of boxes once; the keys' two
+    files = lambda: {f for d in Path(tempfile.gettempdir()).glob("blockmgr-*") for f in d.rglob("shuffle_*.data")}
+    spark._jvm.System.gc()
+    before = files()
+    catalogue.queries()["st_frame_loop"](spark, DATA)
+    for _ in range(40):
+        if not (left := files() - before):
+            break
+        time.sleep(0.25)
+    assert not left
